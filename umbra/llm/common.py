@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,9 +58,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later steps survive lost executors and don't compute it again."""
-    path = scratch(df.sparkSession, name)
+    path, spark, schema = scratch(df.sparkSession, name), df.sparkSession, df.schema
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def tidy(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop shuffle files of finished steps."""
+    for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
+        if path.rpartition("/")[2].startswith("umbra-"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def id_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
