@@ -11,20 +11,23 @@ def clip(spans: DataFrame, priority: str = "priority") -> DataFrame:
     """Each character belongs to the best span over it (priority, confidence, length, then order); spans keep what is theirs.
 
     Elementary intervals: the ends of a document's spans cut it into pieces, each piece goes to the best span over it, and
-    neighbouring pieces of one span are joined. One exchange by doc_id.
+    neighbouring pieces of one span are joined. Spans are read once and meet in one exchange by doc_id.
     """
-    one = Window.partitionBy("doc_id")
-    ranked = spans.withColumn("span_no", F.row_number().over(one.orderBy(F.desc(priority), F.desc("confidence"), F.desc(F.col("end") - F.col("start")), "start", "end", "label", "source")))
-    cuts = ranked.select("doc_id", F.explode(F.array("start", "end")).alias("from")).distinct()
-    pieces = cuts.withColumn("to", F.lead("from").over(one.orderBy("from"))).where(F.col("to").isNotNull())
-    over = pieces.join(ranked.select("doc_id", "start", "end", "span_no"), "doc_id").where((F.col("start") <= F.col("from")) & (F.col("end") >= F.col("to")))
-    best = over.groupBy("doc_id", "from", "to").agg(F.min("span_no").alias("span_no"))
-    of = Window.partitionBy("doc_id", "span_no").orderBy("from")
+    key = F.struct((-F.col(priority)).alias("p"), (-F.col("confidence")).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "label", "source", F.struct(*spans.columns).alias("own"))
+    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("all"))
+    lists = lists.withColumn("points", F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(x["start"], x["end"]))))))
+
+    def piece(a: Column, i: Column) -> Column:
+        b = F.get("points", i + 1)
+        return F.struct(a.alias("from"), b.alias("to"), F.array_position(F.transform("all", lambda x: (x["start"] <= a) & (x["end"] >= b)), True).cast("int").alias("no"))
+
+    pieces = lists.select("doc_id", "all", F.explode(F.transform(F.slice("points", 1, F.size("points") - 1), piece)).alias("x")).where(F.col("x.no") > 0)
+    best = pieces.select("doc_id", "x.*", F.expr("element_at(all, x.no)").getField("own").alias("own"))
+    of = Window.partitionBy("doc_id", "no").orderBy("from")
     runs = best.withColumn("run", F.sum((F.coalesce(F.lag("to").over(of), F.lit(-1)) != F.col("from")).cast("int")).over(of))
-    joined = runs.groupBy("doc_id", "span_no", "run").agg(F.min("from").alias("new_start"), F.max("to").alias("new_end"))
-    out = joined.join(ranked, ["doc_id", "span_no"])
-    clipped = (F.col("new_start") != F.col("start")) | (F.col("new_end") != F.col("end"))
-    rest = [c for c in spans.columns if c not in ("doc_id", "start", "end")]
+    out = runs.groupBy("doc_id", "no", "run").agg(F.min("from").alias("new_start"), F.max("to").alias("new_end"), F.first("own").alias("own"))
+    clipped = (F.col("new_start") != F.col("own.start")) | (F.col("new_end") != F.col("own.end"))
+    rest = [F.col(f"own.{c}") for c in spans.columns if c not in ("doc_id", "start", "end")]
     return out.select("doc_id", F.col("new_start").alias("start"), F.col("new_end").alias("end"), *rest, clipped.alias("clipped"))
 
 

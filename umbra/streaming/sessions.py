@@ -21,7 +21,7 @@ def mask_values(values: DataFrame) -> DataFrame:
     return number(values, scope="namespace", order=("seq",))
 
 
-def mask_stream(values: DataFrame, timeout: str = "24 hours") -> DataFrame:
+def mask_stream(values: DataFrame, hours: int | None = 24) -> DataFrame:
     """The same over a stream: state by namespace has the placeholders so far and the last seq; rows out of order are marked."""
     schema = "namespace string, seq long, surface string, placeholder string, late boolean"
 
@@ -29,7 +29,8 @@ def mask_stream(values: DataFrame, timeout: str = "24 hours") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        names, last = ({}, -1) if not state.exists else (dict(zip(*state.get[:2], strict=True)), state.get[2])
+        old = state.get if state.exists else ([], [], -1)
+        names, last = dict(zip(old[0], old[1], strict=True)), int(old[2])
         counts: dict[str, int] = {}
         for p in names.values():
             prefix = p[1:].rpartition("_")[0]
@@ -44,10 +45,11 @@ def mask_stream(values: DataFrame, timeout: str = "24 hours") -> DataFrame:
             rows.append((key[0], r["seq"], r["surface"], names[owner], bool(r["seq"] <= last)))
             last = max(last, int(r["seq"]))
         state.update((list(names), list(names.values()), last))
-        state.setTimeoutDuration(timeout)
+        if hours:
+            state.setTimeoutDuration(hours * 3_600_000)
         yield pd.DataFrame(rows, columns=["namespace", "seq", "surface", "placeholder", "late"])
 
-    return values.groupBy("namespace").applyInPandasWithState(run, schema, "owners array<string>, placeholders array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return values.groupBy("namespace").applyInPandasWithState(run, schema, "owners array<string>, placeholders array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout if hours else GroupStateTimeout.NoTimeout)
 
 
 def refill_chunks(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
