@@ -85,7 +85,7 @@ def signatures(elements: np.ndarray, ends: np.ndarray, weights: np.ndarray | Non
 def _throw(e: np.ndarray, owner: np.ndarray, w: np.ndarray, reach: np.ndarray, level: int, low: float, high: float, k: int, table: np.ndarray) -> None:
     """Darts of one strip: ranks are a Poisson process at the strip's width, places in it are uniform."""
     with np.errstate(over="ignore"):
-        state = mix(e + np.uint64(level + 1) * _MIX[0])
+        state = mix(mix(e) + np.uint64(level + 1) * _MIX[0])
         rank, limit = np.zeros(len(e)), reach[owner]
         while len(state):
             state = mix(state + _MIX[0])
