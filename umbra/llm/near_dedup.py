@@ -7,8 +7,10 @@ kept: documents agree in a coordinate with the probability of their (weighted) J
 coordinates give candidates: at a similarity of 0.8 a pair is missed with a probability below 0.0001.
 
 Candidates are checked by their whole texts: a link is a similarity of 0.8 or more. In a bucket all are compared with its
-first document. Where a bucket then still spans several classes, further documents of it are compared with all those of
-other classes, until none is left, so that no link within a bucket is lost and no bucket gives all pairs. Equal texts are
+first document. Where a bucket then still spans several classes, further documents of it are compared with those of
+other classes, until none is left, so that no link within a bucket is lost and no bucket gives all pairs. One minus the
+similarity is a metric: two documents whose distances from the first one differ by more than a link allows are no link
+and needn't be compared. Equal texts are
 one document from the start. Classes are connected components; each is named by its least doc_id.
 
 Defined results: a null text is alike to nothing; texts without words are alike to equal texts only; rows with the same
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from umbra.llm import common
 from umbra.llm.decontaminate import hashes, words
@@ -30,8 +33,8 @@ from umbra.llm.decontaminate import hashes, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Comparisons that a bucket asks for in a further round (at least one document is compared with all others).
-ROUND_PAIRS = 2_000
+#: Comparisons that a bucket may ask for in a further round (at least one document is compared with all others).
+ROUND_PAIRS = 20_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -148,17 +151,16 @@ def _jaccard(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, similarity: float, counted: bool) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity."""
+def _compared(pairs: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
+    """The pairs (a, b) with the similarity of their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(common.steps(batches, "ta"), "tb"):
-            sets = [shingles(*common.bytes_view(batch.column(i))) for i in (2, 3)]
-            (ea, na), (eb, nb) = sets
-            good = np.array([na[i + 1] > na[i] and nb[i + 1] > nb[i] and _jaccard(ea[na[i] : na[i + 1]], eb[nb[i] : nb[i + 1]], counted) >= similarity for i in range(batch.num_rows)], bool)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
+            (ea, na), (eb, nb) = [shingles(*common.bytes_view(batch.column(i))) for i in (2, 3)]
+            alike = [_jaccard(ea[na[i] : na[i + 1]], eb[nb[i] : nb[i + 1]], counted) if na[i + 1] > na[i] and nb[i + 1] > nb[i] else 0.0 for i in range(batch.num_rows)]
+            yield common.record(["a", "b", "alike"], [batch.column(0), batch.column(1), pa.array(alike, pa.float64())])
 
     ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, alike double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,27 +191,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     whole = common.id_text(docs)
     texts = common.stored(whole.join(needed, whole["doc_id"] == needed["id"], "left_semi").dropDuplicates(["doc_id"]), "compared")
     tested = common.stored(members.where(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = common.stored(_links(tested, texts, similarity, counted), "links")
+    tested = common.stored(_compared(tested, texts, counted), "compared")
+    links = tested.where(F.col("alike") >= similarity).select("a", "b")
     labels = components(links)
-    done = members.where(F.col("doc") == F.col("hub")).select("bucket", "doc")
+    # Each document of a bucket with its distance from the bucket's first one.
+    far = members.join(tested, (F.col("hub") == F.col("a")) & (F.col("doc") == F.col("b")), "left").select("bucket", "doc", F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(1 - F.col("alike")).alias("far"), (F.col("doc") == F.col("hub")).alias("first"))
+    far = common.stored(far, "distances")
+    common.tidy(spark)
+    done = far.where("first").select("bucket", "doc")
     while True:
-        named = members.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+        named = far.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "far", F.coalesce("label", "doc").alias("label"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where(F.col("least") != F.col("most"))
         # Documents of a bucket outside its least class that were not yet compared with all others.
         left = named.join(mixed, "bucket").where(F.col("label") != F.col("least")).join(done, ["bucket", "doc"], "left_anti")
-        chosen = left.groupBy("bucket", "n").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), "doc", "label")).alias("c")).select("bucket", F.col("c.doc").alias("pivot"), F.col("c.label").alias("own"))
-        small = left.where(F.col("n") * F.col("n") <= ROUND_PAIRS).select("bucket", F.col("doc").alias("pivot"), F.col("label").alias("own"))
-        pivots = common.stored(chosen.unionByName(small).distinct(), "pivots")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc"))
+        pivots = left.withColumn("turn", turn).where(F.col("turn") <= F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("n")))).select(F.col("bucket").alias("of"), F.col("doc").alias("pivot"), F.col("label").alias("own"), F.col("far").alias("away"))
+        pivots = common.stored(pivots, "pivots")
         if not pivots.limit(1).count():
             break
-        pairs = named.join(pivots, "bucket").where(F.col("label") != F.col("own")).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        close = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("away")) <= 1 - similarity + 1e-9)
+        pairs = named.join(pivots, close).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         fresh = common.stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        more = common.stored(_links(fresh, texts, similarity, counted), "links")
-        done = done.unionByName(pivots.select("bucket", F.col("pivot").alias("doc")))
-        if more.limit(1).count():
-            links = links.unionByName(more)
+        more = common.stored(_compared(fresh, texts, counted), "compared")
+        tested = tested.unionByName(more)
+        done = done.unionByName(pivots.select(F.col("of").alias("bucket"), F.col("pivot").alias("doc")))
+        found = more.where(F.col("alike") >= similarity).select("a", "b")
+        if found.limit(1).count():
+            links = links.unionByName(found)
             labels = components(links)
+        common.tidy(spark)
     firsts = same.select("h1", "h2", "first").join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("class_id"))
     found = signed.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     nulls = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"))
