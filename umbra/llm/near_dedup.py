@@ -10,7 +10,8 @@ Candidates are checked by their whole texts: a link is a similarity of 0.8 or mo
 first document. Where a bucket then still spans several classes, further documents of it are compared with those of
 other classes, until none is left, so that no link within a bucket is lost and no bucket gives all pairs. One minus the
 similarity is a metric: two documents whose distances from the first one differ by more than a link allows are no link
-and needn't be compared. Equal texts are
+and needn't be compared. Neither are those whose signatures (four bits of each coordinate) agree in fewer coordinates than
+a link does with a probability of 0.99999. Equal texts are
 one document from the start. Classes are connected components; each is named by its least doc_id.
 
 Defined results: a null text is alike to nothing; texts without words are alike to equal texts only; rows with the same
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,8 +117,32 @@ def bands(table: np.ndarray, rows: int = ROWS) -> np.ndarray:
         return mix(out)
 
 
+def nibbles(table: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates in an integer."""
+    n, k = table.shape
+    wide = np.zeros((n, -(-k // 16) * 16), np.uint64)
+    wide[:, :k] = table & 15
+    with np.errstate(over="ignore"):
+        return (wide.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def _apart(a: str, b: str, k: int = BANDS * ROWS) -> Column:
+    """In how many coordinates two columns of nibbles differ."""
+    out = F.lit(0)
+    for i in range(-(-k // 16)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        out = out + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def most_apart(similarity: float, k: int = BANDS * ROWS) -> int:
+    p = similarity + (1 - similarity) / 16
+    return k - int(k * p - 4.3 * (k * p * (1 - p)) ** 0.5)
+
+
 def _signed(docs: DataFrame, counted: bool) -> DataFrame:
-    """doc_id, h1, h2 (of the text; null for a null text), bands."""
+    """doc_id, h1, h2 (of the text; null for a null text), bands, bits."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +156,16 @@ def _signed(docs: DataFrame, counted: bool) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])])) if len(order) else np.zeros(0, np.int64)
                 weights = np.diff(np.append(new, len(order))).astype(np.float64)
                 elements, ends = elements[new], np.searchsorted(owner[new], np.arange(batch.num_rows + 1))
-            found = bands(signatures(elements, ends, weights)).view(np.int64)
+            table = signatures(elements, ends, weights)
+            found, bits = bands(table).view(np.int64), nibbles(table).view(np.int64)
             some = np.diff(ends) > 0
             size = np.concatenate([[0], np.cumsum(np.where(some, found.shape[1], 0))]).astype(np.int32)
-            yield common.record(["doc_id", "h1", "h2", "bands"], [batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel()))])
+            each = np.arange(batch.num_rows + 1, dtype=np.int32) * bits.shape[1]
+            yield common.record(["doc_id", "h1", "h2", "bands", "bits"], [batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel())), pa.ListArray.from_arrays(pa.array(each), pa.array(bits.ravel()))])
 
     text = common.id_text(docs)
     text = text.withColumns({"h1": F.when(F.col("text").isNotNull(), F.xxhash64("text")), "h2": F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("again"), F.col("text"), F.octet_length("text")))})
-    return text.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return text.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
@@ -182,7 +209,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     """doc_id, class_id for each row of docs. counted: shingles weigh as often as they occur, else a text is a set."""
     spark = docs.sparkSession
     signed = common.stored(_signed(docs, counted), "signed")
-    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     same = common.stored(same, "texts")
     rows = same.select(F.col("first").alias("doc"), F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") != F.col("last")).select("bucket", "hub")
@@ -196,20 +223,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
     labels = components(links)
     # Each document of a bucket with its distance from the bucket's first one.
     far = members.join(tested, (F.col("hub") == F.col("a")) & (F.col("doc") == F.col("b")), "left").select("bucket", "doc", F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(1 - F.col("alike")).alias("far"), (F.col("doc") == F.col("hub")).alias("first"))
-    far = common.stored(far, "distances")
+    far = common.stored(far.join(same.select(F.col("first").alias("doc"), "bits"), "doc"), "distances")
     common.tidy(spark)
     done = far.where("first").select("bucket", "doc")
     while True:
-        named = far.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "far", F.coalesce("label", "doc").alias("label"))
+        named = far.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "far", "bits", F.coalesce("label", "doc").alias("label"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where(F.col("least") != F.col("most"))
         # Documents of a bucket outside its least class that were not yet compared with all others.
         left = named.join(mixed, "bucket").where(F.col("label") != F.col("least")).join(done, ["bucket", "doc"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc"))
-        pivots = left.withColumn("turn", turn).where(F.col("turn") <= F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("n")))).select(F.col("bucket").alias("of"), F.col("doc").alias("pivot"), F.col("label").alias("own"), F.col("far").alias("away"))
+        pivots = left.withColumn("turn", turn).where(F.col("turn") <= F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("n")))).select(F.col("bucket").alias("of"), F.col("doc").alias("pivot"), F.col("label").alias("own"), F.col("far").alias("away"), F.col("bits").alias("own_bits"))
         pivots = common.stored(pivots, "pivots")
         if not pivots.limit(1).count():
             break
-        close = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("away")) <= 1 - similarity + 1e-9)
+        close = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("away")) <= 1 - similarity + 1e-9) & (_apart("bits", "own_bits") <= most_apart(similarity))
         pairs = named.join(pivots, close).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
         fresh = common.stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = common.stored(_compared(fresh, texts, counted), "compared")
