@@ -171,6 +171,35 @@ def test_substrings(spark, docs, monkeypatch, hot):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_substrings_tell_rows_of_an_id_apart(spark):
+    """Many texts with one doc_id or none: each loses its own repeats."""
+    long = prose(110, 40)
+    texts = [prose(3, 1000 + i) + f" {i} " + (long if i % 2 else "") + str(i) * 3 for i in range(700)]
+    # Texts with one id that also share 16 bits of their hash.
+    low = spark.createDataFrame([(t,) for t in (f"{i} {long[: 300 + i % 40]}" for i in range(1500))], "text string").selectExpr("text", "xxhash64(text) & 65535 AS mark")
+    by = {}
+    for r in low.collect():
+        by.setdefault(r.mark, []).append(r.text)
+    clash = [t for ts in by.values() if len(ts) > 1 for t in ts]
+    assert clash
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)] + [(None, t) for t in clash] + [(8, t) for t in clash]
+    c = Counter(t[k : k + 200] for _, t in ((i, x.encode()) for i, x in rows) for k in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        mark = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if c[b[k : k + 200]] > 1:
+                mark[k : k + 200] = b"\1" * 200
+        want.append((i, bytes(x for x, m in zip(b, mark, strict=True) if not m)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = [(r.doc_id, r.n_bytes - r.n_removed, r.kept_sha256) for r in substrings.digest(docs).collect()]
+    assert sorted(got, key=key) == sorted(((i, len(b), hashlib.sha256(b).hexdigest()) for i, b in want), key=key)
+    got = [(r.doc_id, r.text) for r in substrings.without_repeats(docs).collect()]
+    assert sorted(got, key=key) == sorted(((i, b.decode("utf-8", "ignore")) for i, b in want), key=key)
+
+
 def test_suffix_order():
     data = np.random.default_rng(0).integers(97, 99, 400).astype(np.uint8)
     starts = np.arange(0, 380)

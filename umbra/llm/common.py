@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one step of a Python task works on at a time (one longer text is one step).
 STEP_BYTES = 4 << 20
 
+#: The column that numbered() adds.
+ROW = "__row"
+
 _shipped: set[str] = set()
 
 
@@ -63,6 +66,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (all columns) with a number of each row, stored, so that a row has the same number whenever it is read."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def tidy(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop shuffle files of finished steps."""
     for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:

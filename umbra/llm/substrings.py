@@ -15,7 +15,8 @@ aren't gathered: their strings are counted one by one, with sums made before the
 Phrases are told apart by two 64-bit hashes (of trigger and phrase).
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing; repeated rows are repeats of each
-other, also with the same doc_id; strings never cross documents; a null doc_id is a document like any other.
+other, also with the same doc_id; strings never cross rows; rows with a null or the same doc_id are documents like any
+other, as spans belong to a row number (common.numbered), not to a doc_id.
 """
 
 from __future__ import annotations
@@ -37,21 +38,19 @@ WINDOW = 48
 HOT_PHRASES = 20_000
 #: Bytes of phrases whose suffixes are put in order at a time (one trigger's phrases may be more).
 ORDER_BYTES = 4 << 20
-#: Stands for a null doc_id in joins.
-NO_ID = -(1 << 63)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, mark: 16 bits of the text's hash, which tell apart rows with the same doc_id."""
-    return common.id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+def _texts(rows: DataFrame) -> DataFrame:
+    """__row, text of numbered rows."""
+    return rows.select(common.ROW, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 32, at >> 24 & 255, at >> 16 & 255, at & 0xFFFF
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at >> 32, at >> 24 & 255
 
 
-def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """trigger, phrase (hashes; null: a phrase counted with another row of its step), doc_id, place, n."""
+def parse(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """trigger, phrase (hashes; null: a phrase counted with another row of its step), row, place, n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches):
             data, bounds = common.bytes_view(batch.column(1))
@@ -61,15 +60,14 @@ def parse(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFr
             lo, hi, at = phrases(rolling, bounds, length, window)
             trigger, phrase = rolling.of(at, at + window), mix(rolling.of(lo, hi + length) + (at - lo).astype(np.uint64))
             row = np.searchsorted(bounds, lo, side="right") - 1
-            ids, marks = batch.column(0).to_numpy()[row], batch.column(2).to_numpy()[row]
-            place = (lo - bounds[row]) << 32 | (hi - lo) << 24 | (at - lo) << 16 | marks
+            place = (lo - bounds[row]) << 32 | (hi - lo) << 24 | (at - lo) << 16
             _, first, of = np.unique(phrase, return_index=True, return_inverse=True)
             n = np.minimum(np.bincount(of), 2)[of]
             counted = np.ones(len(lo), bool)
             counted[first] = False
-            yield common.record(["trigger", "phrase", "doc_id", "place", "n"], [pa.array(trigger.view(np.int64), mask=counted), pa.array(phrase.view(np.int64), mask=counted), pa.array(ids), pa.array(place), pa.array(n)])
+            yield common.record(["trigger", "phrase", "row", "place", "n"], [pa.array(trigger.view(np.int64), mask=counted), pa.array(phrase.view(np.int64), mask=counted), pa.array(batch.column(0).to_numpy()[row]), pa.array(place), pa.array(n)])
 
-    return _keyed(docs).mapInArrow(run, "trigger long, phrase long, doc_id long, place long, n long")
+    return _texts(rows).mapInArrow(run, "trigger long, phrase long, row long, place long, n long")
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,30 +106,27 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
-def _extents(spread: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """trigger, hot, n, doc_id, place, bytes of the phrases in `spread`."""
+def _extents(spread: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """trigger, hot, n, row, place, bytes of the phrases in `spread`."""
     kind = "array<struct<place:long,trigger:long,n:long,hot:boolean>>"
-    lists = spread.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("place", "trigger", "n", "hot")).alias("own"))  # of one document
+    lists = spread.groupBy("row").agg(F.collect_list(F.struct("place", "trigger", "n", "hot")).alias("own"))  # of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches):
             data, bounds = common.bytes_view(batch.column(1))
-            own = batch.column(3)
+            own = batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
             flat = own.flatten()
             place, trigger, n, hot = (flat.field(i) for i in range(4))
-            lo, reach, _, mark = _unpacked(place.to_numpy())
-            good = np.flatnonzero(mark == batch.column(2).to_numpy()[row])
-            start = bounds[row[good]] + lo[good]
-            size = reach[good] + length
+            lo, reach = _unpacked(place.to_numpy())
+            start, size = bounds[row] + lo, reach + length
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             cut = data[_ranges(start, size)]
-            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(good), [None, pa.py_buffer(ends), pa.py_buffer(cut)]).cast(pa.binary())
-            take = pa.array(good)
-            yield common.record(["trigger", "hot", "n", "doc_id", "place", "bytes"], [trigger.take(take), hot.take(take), n.take(take), batch.column(0).take(pa.array(row[good])), place.take(take), column])
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(cut)]).cast(pa.binary())
+            yield common.record(["trigger", "hot", "n", "row", "place", "bytes"], [trigger, hot, n, batch.column(0).take(pa.array(row)), place, column])
 
-    joined = _keyed(docs).join(lists, F.col("doc_id") == F.col("of")).select("doc_id", "text", "mark", F.col("own").cast(kind))
-    return joined.mapInArrow(run, "trigger long, hot boolean, n long, doc_id long, place long, bytes binary")
+    joined = _texts(rows).join(lists, F.col(common.ROW) == F.col("row")).select("row", "text", F.col("own").cast(kind))
+    return joined.mapInArrow(run, "trigger long, hot boolean, n long, row long, place long, bytes binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -156,12 +151,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table
 
 
 def _common_strings(extents: DataFrame, length: int) -> DataFrame:
-    """doc_id, mark, lo, hi: runs of starts of strings that also stand in another phrase; of phrases that occur once."""
+    """row, lo, hi: runs of starts of strings that also stand in another phrase; of phrases that occur once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches, ORDER_BYTES):
             table = table.combine_chunks()
             data, bounds = common.bytes_view(table.column("bytes"))
-            lo, reach, at, mark = _unpacked(table.column("place").to_numpy())
+            lo, reach = _unpacked(table.column("place").to_numpy())
             owner = np.repeat(np.arange(len(lo)), reach + 1)
             starts = _ranges(bounds[:-1], reach + 1)
             order, new = suffix_order(data, starts, length)
@@ -173,12 +168,12 @@ def _common_strings(extents: DataFrame, length: int) -> DataFrame:
             a, b = np.flatnonzero(begin), np.flatnonzero(end)
             o = owner[a]
             offset = lo[o] - bounds[o]
-            yield common.record(["doc_id", "mark", "lo", "hi"], [pa.array(table.column("doc_id").to_numpy()[o]), pa.array(mark[o]), pa.array(starts[a] + offset), pa.array(starts[b] + offset)])
+            yield common.record(["row", "lo", "hi"], [pa.array(table.column("row").to_numpy()[o]), pa.array(starts[a] + offset), pa.array(starts[b] + offset)])
 
-    rows = extents.where(~F.col("hot")).select("trigger", "n", "doc_id", "place", "bytes")
+    rows = extents.where(~F.col("hot")).select("trigger", "n", "row", "place", "bytes")
     size = rows.agg(F.sum(F.octet_length("bytes")).alias("b")).first().b or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * ORDER_BYTES)))
-    return rows.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(run, "doc_id long, mark long, lo long, hi long")
+    return rows.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(run, "row long, lo long, hi long")
 
 
 def _hot_strings(extents: DataFrame, length: int) -> DataFrame:
@@ -186,57 +181,55 @@ def _hot_strings(extents: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, "bytes", 1 << 20):
             data, bounds = common.bytes_view(batch.column(4))
-            lo, reach, at, mark = _unpacked(batch.column(3).to_numpy())
+            lo, reach = _unpacked(batch.column(3).to_numpy())
             owner = np.repeat(np.arange(len(lo)), reach + 1)
             starts = _ranges(bounds[:-1], reach + 1)
             whole = Rolling(data).of(starts, starts + length)
-            yield common.record(["trigger", "whole", "doc_id", "mark", "start", "n"], [pa.array(batch.column(0).to_numpy()[owner]), pa.array(whole.view(np.int64)), pa.array(batch.column(2).to_numpy()[owner]), pa.array(mark[owner]), pa.array(starts - bounds[owner] + lo[owner]), pa.array(batch.column(1).to_numpy()[owner])])
+            yield common.record(["trigger", "whole", "row", "start", "n"], [pa.array(batch.column(0).to_numpy()[owner]), pa.array(whole.view(np.int64)), pa.array(batch.column(2).to_numpy()[owner]), pa.array(starts - bounds[owner] + lo[owner]), pa.array(batch.column(1).to_numpy()[owner])])
 
-    rows = extents.where("hot").select("trigger", "n", "doc_id", "place", "bytes")
-    strings = rows.mapInArrow(run, "trigger long, whole long, doc_id long, mark long, start long, n long")
+    rows = extents.where("hot").select("trigger", "n", "row", "place", "bytes")
+    strings = rows.mapInArrow(run, "trigger long, whole long, row long, start long, n long")
     twice = strings.groupBy("trigger", "whole").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("trigger", "whole")
-    return strings.where(F.col("n") < 2).join(twice, ["trigger", "whole"], "left_semi").select("doc_id", "mark", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    return strings.where(F.col("n") < 2).join(twice, ["trigger", "whole"], "left_semi").select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT_PHRASES) -> DataFrame:
-    """doc_id, mark, lo, hi: first and last starts of repeated strings, in runs that may overlap."""
-    spark = docs.sparkSession
+def spans(rows: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT_PHRASES) -> DataFrame:
+    """row, lo, hi: first and last starts of repeated strings in numbered rows, in runs that may overlap."""
+    spark = rows.sparkSession
     common.ship(spark)
-    parsed = common.stored(parse(docs, length, window), "parse")
+    parsed = common.stored(parse(rows, length, window), "parse")
     counted = parsed.where(F.col("trigger").isNotNull())
     often = counted.groupBy("trigger").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("trigger")
-    shared = common.stored(counted.join(often, "trigger").select("trigger", "phrase", "doc_id", "place", "n"), "shared")
-    alone = common.stored(parsed.where(F.col("trigger").isNull()).select("doc_id", "place"), "counted")
+    shared = common.stored(counted.join(often, "trigger").select("trigger", "phrase", "row", "place", "n"), "shared")
+    alone = common.stored(parsed.where(F.col("trigger").isNull()).select("row", "place"), "counted")
     common.tidy(spark, parsed)
     one = Window.partitionBy("trigger", "phrase")
-    ranked = shared.withColumns({"all": F.sum("n").over(one), "nth": F.row_number().over(one.orderBy("doc_id", "place"))})
+    ranked = shared.withColumns({"all": F.sum("n").over(one), "nth": F.row_number().over(one.orderBy("row", "place"))})
     dictionary = common.stored(ranked, "dictionary")
     common.tidy(spark, shared)
-    entries = dictionary.where(F.col("nth") == 1).select("trigger", "doc_id", "place", F.col("all").alias("n"))
+    entries = dictionary.where(F.col("nth") == 1).select("trigger", "row", "place", F.col("all").alias("n"))
     several = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > 1)
-    spread = entries.join(several, "trigger").select("trigger", "doc_id", "place", "n", (F.col("phrases") > hot).alias("hot"))
-    extents = common.stored(_extents(spread, docs, length), "extents")
+    spread = entries.join(several, "trigger").select("trigger", "row", "place", "n", (F.col("phrases") > hot).alias("hot"))
+    extents = common.stored(_extents(spread, rows, length), "extents")
     common.tidy(spark)
-    lo, mark = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFF))
-    whole = [t.select("doc_id", mark.alias("mark"), lo.alias("lo"), (lo + F.shiftright("place", 24).bitwiseAND(F.lit(255))).alias("hi")) for t in (dictionary.where(F.col("all") > 1), alone)]
+    lo = F.shiftright("place", 32)
+    whole = [t.select("row", lo.alias("lo"), (lo + F.shiftright("place", 24).bitwiseAND(F.lit(255))).alias("hi")) for t in (dictionary.where(F.col("all") > 1), alone)]
     found = common.stored(whole[0].unionByName(whole[1]).unionByName(_common_strings(extents, length)).unionByName(_hot_strings(extents, length)), "spans")
     common.tidy(spark, dictionary, alone, extents)
     return found
 
 
 def _cut(batch: pa.RecordBatch, length: int) -> Iterator[tuple[memoryview, np.ndarray, np.ndarray]]:
-    """For each row (doc_id, text, mark, own): its bytes, and where its maximal removed runs start and end."""
+    """For each row (row, text, own): its bytes, and where its maximal removed runs start and end."""
     data, bounds = common.bytes_view(batch.column(1))
-    own = batch.column(3).fill_null([]) if batch.column(3).null_count else batch.column(3)
+    own = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
     at, flat = own.offsets.to_numpy(), own.flatten()
-    mark, lo, hi = (flat.field(i).to_numpy() for i in range(3))
-    marks = batch.column(2).to_numpy()
+    lo, hi = (flat.field(i).to_numpy() for i in range(2))
     raw = memoryview(data)
     for i in range(batch.num_rows):
         text = raw[bounds[i] : bounds[i + 1]]
         mine = slice(at[i], at[i + 1])
-        good = mark[mine] == marks[i]
-        a, b = lo[mine][good], hi[mine][good] + length
+        a, b = lo[mine], hi[mine] + length
         if len(a):
             by = np.argsort(a, kind="stable")
             a, b = a[by], np.maximum.accumulate(b[by])
@@ -245,10 +238,9 @@ def _cut(batch: pa.RecordBatch, length: int) -> Iterator[tuple[memoryview, np.nd
         yield text, a, b
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    found = spans(docs, length)
-    lists = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("own"))
-    return _keyed(docs).join(lists, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "mark", "own")
+def _lists(rows: DataFrame, length: int) -> DataFrame:
+    """row, own: the spans of each row that has any."""
+    return spans(rows, length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -263,10 +255,11 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     end = y
                 kept.update(text[end:])
                 out.append((len(text), int((b - a).sum()), len(a), kept.hexdigest()))
-            yield common.record(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))])
+            yield common.record(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [batch.column(3), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))])
 
-    out = _with_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    rows = common.numbered(common.id_text(docs))
+    whole = rows.join(_lists(rows, length), F.col(common.ROW) == F.col("row"), "left").select("row", F.coalesce("text", F.lit("")).alias("text"), "own", "doc_id")
+    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -280,14 +273,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, a, b in _cut(batch, length):
                 ends = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)] if len(a) else [0, len(text)]
                 texts.append("".join([bytes(text[x:y]).decode("utf-8", "ignore") for x, y in zip(ends[::2], ends[1::2], strict=True)]))
-            yield common.record(["__of", "__mark", "__text", "__cut"], [batch.column(0), batch.column(2), pa.array(texts, pa.string()), pa.array(batch.column(3).is_valid())])
-
-    whole = _with_spans(docs, length)
-    cut = whole.where(F.col("own").isNotNull()).mapInArrow(run, "__of long, __mark long, __text string, __cut boolean").dropDuplicates(["__of", "__mark"])
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF))
-    out = docs.join(cut, (key[0] == F.col("__of")) & (key[1] == F.col("__mark")), "left")
-    text = F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.when(F.col("__cut"), F.char_length("__text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+            yield common.record(["__of", "__text"], [batch.column(0), pa.array(texts, pa.string())])
+
+    rows = common.numbered(docs)
+    cut = _texts(rows).join(_lists(rows, length), F.col(common.ROW) == F.col("row")).select("row", "text", "own").mapInArrow(run, "__of long, __text string")
+    out = rows.join(cut, F.col(common.ROW) == F.col("__of"), "left")
+    text = F.coalesce("__text", "text")
+    columns = [text.alias("text") if c == "text" else F.when(F.col("__of").isNotNull(), F.char_length("__text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*columns)
 
 
