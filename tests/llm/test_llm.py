@@ -251,3 +251,54 @@ def test_media_table(docs):
     for r in got:
         payload = media.padded((TEXTS[r.doc_id] or "").encode())
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+
+
+#: A null id, an id shared by two texts, and a row that is repeated.
+SHARED = [(None, "first"), (1, "first"), (1, "second"), (2, "second"), (2, "second")]
+
+
+def by_rows(spark, texts):
+    return spark.createDataFrame([(i, texts[t]) for i, t in SHARED], "doc_id long, text string").repartition(2)
+
+
+def seen(df, texts):
+    names = {t: k for k, t in texts.items()}
+    return sorted(((r.doc_id, names[r.text]) for r in df.collect()), key=str)
+
+
+def test_near_dedup_decides_by_row(spark):
+    texts = {"first": prose(60, 70), "second": prose(60, 71)}
+    docs = by_rows(spark, texts)
+    assert seen(near_dedup.without_copies(docs), texts) == [(1, "first"), (1, "second")]
+    assert sorted(((r.doc_id, r.class_id) for r in near_dedup.classes(docs).collect()), key=str) == [(1, 1), (1, 1), (2, 1), (2, 1), (None, 1)]
+    lone = spark.createDataFrame([(None, texts["first"]), (None, texts["first"] + " end"), (None, texts["second"]), (None, None)], "doc_id long, text string")
+    assert near_dedup.without_copies(lone).count() == 3
+
+
+def test_decontamination_decides_by_row(spark):
+    texts = {"first": prose(60, 72), "second": prose(60, 73)}
+    bench = spark.createDataFrame([(1, " ".join(texts["first"].split()[5:30]))], "item_id long, text string")
+    assert seen(decontaminate.without_spans(by_rows(spark, texts), bench), texts) == [(1, "second"), (2, "second"), (2, "second")]
+
+
+def test_toxicity_decides_by_row(spark):
+    bad = " you stupid idiot! pathetic scum"
+    texts = {"first": prose(40, 74) + bad, "second": prose(40, 75)}
+    rows = [(i, prose(40, i) + (bad if i % 5 == 0 else "")) for i in range(1000, 1400)]
+    docs = by_rows(spark, texts).unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1000, 1400)], "doc_id long, toxic int")
+    left = toxicity.without_toxic(docs, labels)
+    assert left.columns == docs.columns
+    assert seen(left.where("doc_id IS NULL OR doc_id < 1000"), texts) == [(1, "second"), (2, "second"), (2, "second")]
+
+
+def test_token_files_without_ids(spark):
+    from umbra.llm import common
+
+    texts = {"first": prose(20, 76), "second": prose(20, 77)}
+    docs = by_rows(spark, texts).unionByName(spark.createDataFrame([(-(1 << 63), texts["first"]), (None, texts["second"]), (0, "")], "doc_id long, text string"))
+    encoded, folder = common.stored(token_files.encode(docs, bpe.vocabulary_file(), 16, 2), "encoded"), common.scratch(spark, "ids")
+    got = [(r.doc_id, r.ids_crc32) for r in token_files.read(token_files.write(encoded, folder, 16), folder).collect()]
+    t = library()
+    crc = lambda x: zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted(got, key=str) == sorted(((r.doc_id, crc(r.text)) for r in docs.collect()), key=str)

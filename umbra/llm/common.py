@@ -71,6 +71,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def without(rows: DataFrame, hit: DataFrame) -> DataFrame:
+    """Numbered rows without those whose number is in hit (one column), and without the number."""
+    return rows.join(hit.toDF("__hit"), F.col(ROW) == F.col("__hit"), "left_anti").drop(ROW)
+
+
 def tidy(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop shuffle files of finished steps."""
     for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:

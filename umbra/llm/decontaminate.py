@@ -307,9 +307,9 @@ def _searcher(shared, window: int):
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (all columns) without contaminated documents."""
-    found = scan(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__hit"], "left_anti")
+    """docs (all columns) without contaminated rows."""
+    rows = common.numbered(docs)
+    return common.without(rows, scan(rows, benchmark, id_column=common.ROW).where(F.size("spans") > 0).select("doc_id"))
 
 
 def op2_fm_index(spark, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ other classes, until none is left, so that no link within a bucket is lost and n
 similarity is a metric: two documents whose distances from the first one differ by more than a link allows are no link
 and needn't be compared. Neither are those whose signatures (four bits of each coordinate) agree in fewer coordinates than
 a link does with a probability of 0.99999. Equal texts are
-one document from the start. Classes are connected components; each is named by its least doc_id.
+one document from the start. Classes are connected components; each is named by its least doc_id, and its row with that
+doc_id (the first of several) is kept.
 
-Defined results: a null text is alike to nothing; texts without words are alike to equal texts only; rows with the same
-doc_id are one document and stay or go together; a null doc_id has a null class and stays; no rows give no rows.
+Defined results: a null text is alike to nothing; texts without words are alike to equal texts only; each row is a document
+by its number (common.numbered), whether its doc_id is null, shared or its own, and equal rows are copies of each other; a
+class is null if none of its rows has a doc_id; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -141,9 +143,9 @@ def most_apart(similarity: float, k: int = BANDS * ROWS) -> int:
     return k - int(k * p - 4.3 * (k * p * (1 - p)) ** 0.5)
 
 
-def _signed(docs: DataFrame, counted: bool) -> DataFrame:
-    """doc_id, h1, h2 (of the text; null for a null text), bands, bits."""
-    common.ship(docs.sparkSession)
+def _signed(rows: DataFrame, counted: bool) -> DataFrame:
+    """row, doc_id, h1, h2 (of the text; null for a null text), bands, bits of numbered rows."""
+    common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches):
@@ -161,11 +163,11 @@ def _signed(docs: DataFrame, counted: bool) -> DataFrame:
             some = np.diff(ends) > 0
             size = np.concatenate([[0], np.cumsum(np.where(some, found.shape[1], 0))]).astype(np.int32)
             each = np.arange(batch.num_rows + 1, dtype=np.int32) * bits.shape[1]
-            yield common.record(["doc_id", "h1", "h2", "bands", "bits"], [batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel())), pa.ListArray.from_arrays(pa.array(each), pa.array(bits.ravel()))])
+            yield common.record(["row", "doc_id", "h1", "h2", "bands", "bits"], [batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel())), pa.ListArray.from_arrays(pa.array(each), pa.array(bits.ravel()))])
 
-    text = common.id_text(docs)
+    text = rows.select(F.col(common.ROW).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     text = text.withColumns({"h1": F.when(F.col("text").isNotNull(), F.xxhash64("text")), "h2": F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("again"), F.col("text"), F.octet_length("text")))})
-    return text.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>, bits array<long>")
+    return text.mapInArrow(run, "row long, doc_id long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
@@ -186,7 +188,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
             alike = [_jaccard(ea[na[i] : na[i + 1]], eb[nb[i] : nb[i + 1]], counted) if na[i + 1] > na[i] and nb[i + 1] > nb[i] else 0.0 for i in range(batch.num_rows)]
             yield common.record(["a", "b", "alike"], [batch.column(0), batch.column(1), pa.array(alike, pa.float64())])
 
-    ta, tb = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    ta, tb = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, alike double")
 
 
@@ -205,18 +207,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
-    """doc_id, class_id for each row of docs. counted: shingles weigh as often as they occur, else a text is a set."""
-    spark = docs.sparkSession
-    signed = common.stored(_signed(docs, counted), "signed")
-    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+def classified(numbered: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+    """row, doc_id, class_id, kept of numbered rows. counted: shingles weigh as often as they occur, else a text is a set."""
+    spark = numbered.sparkSession
+    signed = common.stored(_signed(numbered, counted), "signed")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
+    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("row").alias("first"), lead, F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     same = common.stored(same, "texts")
     rows = same.select(F.col("first").alias("doc"), F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") != F.col("last")).select("bucket", "hub")
     members = common.stored(rows.join(buckets, "bucket"), "members")
     needed = members.select(F.col("doc").alias("id")).distinct()
-    whole = common.id_text(docs)
-    texts = common.stored(whole.join(needed, whole["doc_id"] == needed["id"], "left_semi").dropDuplicates(["doc_id"]), "compared")
+    whole = numbered.select(F.col(common.ROW).alias("row"), F.col("text").cast("string").alias("text"))
+    texts = common.stored(whole.join(needed, whole["row"] == needed["id"], "left_semi"), "compared")
     tested = common.stored(members.where(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     tested = common.stored(_compared(tested, texts, counted), "compared")
     links = tested.where(F.col("alike") >= similarity).select("a", "b")
@@ -247,18 +250,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = Fal
             links = links.unionByName(found)
             labels = components(links)
         common.tidy(spark)
-    firsts = same.select("h1", "h2", "first").join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("class_id"))
-    found = signed.select("doc_id", "h1", "h2").join(firsts, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    nulls = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"))
-    return found.unionByName(nulls)
+    linked = same.select("first", "lead").join(labels.withColumnRenamed("node", "first"), "first")
+    leads = linked.join(linked.groupBy("label").agg(F.min("lead").alias("best")), "label").select("first", "best")
+    firsts = same.select("h1", "h2", "first", "lead").join(leads, "first", "left").select("h1", "h2", F.coalesce("best", "lead").alias("best"))
+    found = signed.select("row", "doc_id", "h1", "h2").join(firsts, ["h1", "h2"], "left")
+    class_id = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return found.select("row", "doc_id", class_id.alias("class_id"), F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+    """doc_id, class_id for each row of docs."""
+    return classified(common.numbered(common.id_text(docs)), similarity, counted).select("doc_id", "class_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """docs (all columns) with one document of each class: the one with the least doc_id."""
-    gone = classes(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__hit"], "left_anti")
+    """docs (all columns) with one row of each class: the first with the least doc_id."""
+    rows = common.numbered(docs)
+    return common.without(rows, classified(rows).where(~F.col("kept")).select("row"))
 
 
 def op1_dart_minhash(spark, sf_dir: str) -> DataFrame:
-    found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classified(common.numbered(common.id_text(spark.read.parquet(f"{sf_dir}/documents.parquet")))).drop("row")

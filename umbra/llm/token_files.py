@@ -1,11 +1,11 @@
 """Token ids in bit-packed binary files.
 
 File: the 8 bytes "UMBRAIDS", then little-endian unsigned 64-bit integers: bits of an id, ids of a block, documents,
-ids; then for each document its id and its number of ids (signed 64-bit), for each block its byte offset from the start
+ids; then for each document its id and its number of ids (signed 64-bit; a null id is 0 with the number below zero), for each block its byte offset from the start
 of the blocks (unsigned 64-bit), then the blocks. A block holds its ids at the fixed width, lowest bit first, padded to
 whole bytes, so any id is found from its block's offset alone.
 
-Files hold documents in ascending doc_id order (equal ids in the order of the first pass), rolled over at a bounded
+Files hold documents in ascending doc_id order (null first, equal ids in the order of the first pass), rolled over at a bounded
 number of ids. They are written under a name of the attempt and then renamed, with the same content in each attempt.
 
 Defined results: null and empty texts have the end id alone; repeated rows are stored as often as they occur; no rows
@@ -62,7 +62,7 @@ def unpack(data: bytes | np.ndarray, bits: int, count: int) -> np.ndarray:
 
 
 def file_bytes(docs: list[tuple[int, int]], ids: np.ndarray, bits: int, block: int = BLOCK_IDS) -> bytes:
-    """One file: docs has (doc_id, number of ids) in order."""
+    """One file: docs has (doc_id, number of ids) in order, (0, -number) without a doc_id."""
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     offsets = np.cumsum([0, *map(len, blocks)])[:-1] if blocks else np.zeros(0)
     head = np.array([bits, block, len(docs), len(ids)], "<u8").tobytes()
@@ -160,7 +160,7 @@ def write(encoded: DataFrame, folder: str, bits: int, file_ids: int = FILE_IDS)
 
         for batch in batches:
             for doc, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                docs.append((doc, n))
+                docs.append((doc, n) if doc is not None else (0, -n))
                 arrays.append(unpack(packed.as_buffer(), bits, n))
                 held += n
                 if held >= file_ids:
@@ -189,7 +189,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with place.open_input_file(f"{root}/{name}") as f:
                     file = File(f.read())
-                ends = np.cumsum(file.docs[:, 1])
+                ends = np.cumsum(np.abs(file.docs[:, 1]))
                 for i in range(0, len(ends), 5_000):
                     j = min(len(ends), i + 5_000)
                     first = int(ends[i - 1]) if i else 0
@@ -197,7 +197,7 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                     at = np.append(first, ends[i:j]) - first
                     raw = memoryview(ids.tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    columns = [pa.array(file.docs[i:j, 0].copy()), pa.array(at[:-1] + first + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
+                    columns = [pa.array(file.docs[i:j, 0].copy(), mask=file.docs[i:j, 1] < 0), pa.array(at[:-1] + first + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4"))))
                     yield common.record(["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)], columns)

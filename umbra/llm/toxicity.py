@@ -195,16 +195,16 @@ def with_features(docs: DataFrame, lexicon, keep: str = "") -> DataFrame:
     return docs.select("doc_id", "text", *names).mapInArrow(run, "doc_id long, " + keep + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted of each text."""
+def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns of integers named in `key`, held_out, score, predicted of each text."""
     common.ship(docs.sparkSession)
     labelled = sample(docs, labels, rows)
     share = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    texts = common.id_text(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
     held_out = ~training_column()
     if not share.n or not 0 < share.toxic < share.n:
         value = float(share.toxic / share.n) if share.n else 0.0
-        return texts.select("doc_id", held_out.alias("held_out"), F.lit(value).alias("score"), F.lit(int(value >= THRESHOLD)).alias("predicted"))
+        return texts.select("doc_id", *key, held_out.alias("held_out"), F.lit(value).alias("score"), F.lit(int(value >= THRESHOLD)).alias("predicted"))
     for_even, for_odd, full = lexicons(labelled)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     halves = [with_features(labelled.where(F.col("fold") % 2 == h), lex, "toxic int, fold int, ") for h, lex in ((0, for_even), (1, for_odd))]
@@ -214,15 +214,15 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFr
     raw = vector_to_array("probability")[1]
     judged = trees.transform(train.where(F.col("fold") >= 4)).select(raw.alias("raw"), "label")
     fitted = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(judged)
-    table = trees.transform(vectors.transform(with_features(texts, full)).select("doc_id", "features")).select("doc_id", raw.alias("raw"))
-    scored = fitted.transform(table).select("doc_id", held_out.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+    table = trees.transform(vectors.transform(with_features(texts, full, "".join(f"{c} long, " for c in key))).select("doc_id", *key, "features")).select("doc_id", *key, raw.alias("raw"))
+    scored = fitted.transform(table).select("doc_id", *key, held_out.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (all columns) without the documents that are predicted toxic."""
-    toxic = score(docs, labels).where(F.col("predicted") == 1).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["__hit"], "left_anti")
+    """docs (all columns) without the rows that are predicted toxic."""
+    rows = common.numbered(docs)
+    return common.without(rows, score(rows, labels, key=(common.ROW,)).where(F.col("predicted") == 1).select(common.ROW))
 
 
 def op8_boosted_toxicity(spark, sf_dir: str) -> DataFrame:
