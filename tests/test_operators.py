@@ -9,7 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from umbra.functions import patterns, text
-from umbra.operators import detect, placeholders, policy, spans
+from umbra.operators import detect, guard, placeholders, policy, spans
+from umbra.plans import queries as plans
 from umbra.sources import readers
 from umbra.streaming import sessions
 
@@ -103,3 +104,20 @@ def test_rolling(spark):
     got = [r.seen for r in sessions.rolling(chunks, 6).orderBy("chunk_no").collect()]
     assert got == ["pass", "password=Zx9LmN4vBtQ7", "4vBtQ7!"]
     assert F.col("x") is not None
+
+
+def test_private_keys(spark):
+    a, b, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\nMIIEpAIBAAKCAQEA 13812345678 a@b.org\n"
+    bare = f"-----begin  PRIVATE\tKEY-----{body}-----END PRIVATE KEY-----"
+    good = {0: f"😀 key: {a}{body}{b} tel 13912345678", 1: f"{bare} and {a}{body}{b}", 2: "no key, only PRIVATE words"}
+    bad = {10: f"x {a}{body}", 11: f"{a}{body}{a}{body}{b}", 12: f"{bare[:30]}{body}{b}", 13: f"{a} \n {b}", 14: f"{body}{b}", 15: f"---BEGIN PRIVATE KEY-----{body}-----END PRIVATE KEY-----", 16: f"-----BEGIN PRIVATE{body}"}
+    docs = spark.createDataFrame([*good.items(), *bad.items(), (20, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in plans.redacted(docs).collect()}
+    assert got[0].redacted_text == "😀 key: <CREDENTIAL_001> tel <CONTACT_001>" and got[1].redacted_text == "<CREDENTIAL_001> and <CREDENTIAL_002>" and got[2].redacted_text == good[2]
+    assert all(got[i].error is None for i in (*good, 20)) and all(got[i].redacted_text is None for i in bad)
+    words = {10: "incomplete", 11: "nested", 12: "mismatched", 13: "empty", 14: "mismatched", 15: "incomplete", 16: "incomplete"}
+    assert {i: got[i].error for i in bad} == {i: f"{w} private key block" for i, w in words.items()}
+    keys = {(r.doc_id, r.surface, r.confidence, r.risk_level) for r in detect.rule_spans(docs).where("rule_id = 'private_key_block'").collect()}
+    assert keys == {(0, f"{a}{body}{b}", 1.0, "critical"), (1, bare, 1.0, "critical"), (1, f"{a}{body}{b}", 1.0, "critical")}
+    found = {(r.doc_id, r.pattern_id) for r in guard.secrets(docs).collect() if r.pattern_id.startswith("private_key")}
+    assert found == {(i, "private_key_block") for i in (0, 1)} | {(i, "private_key_malformed") for i in bad}

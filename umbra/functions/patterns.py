@@ -50,6 +50,11 @@ RULES = (
     Rule("enterprise_by_strong_cue", "SUPPLIER", "high", 0.84, r"(?:未登记(?:机构|主体|顾问|供应商|相对方)|未登记项目名|供应商|相对方|候选人来自未登记机构|来自未登记机构)[为是:：]?\s*([一-龥]{2,20}" + _FIRM + ")", ("未登记", "供应商", "相对方"), 1),
     Rule("enterprise_after_partner_cue", "SUPPLIER", "high", 0.83, r"与((?!(?:(?:商办|住宅|办公|商业|本|该)?(?:项目|地块|股权)|股同权|同股同权|进行|实施|后续))[一-龥]{2,20}" + _FIRM + r")(?=就|协商|洽谈|沟通|联络|核对|确认|结算|谈判|提交|对接|发生|报价|，|。)", ("与",), 1),
 )
+#: What begins or ends a private key, well framed or not; detect.private_keys puts the markers together.
+PRIVATE_KEY_MARKER = r"(?i)-{2,}(?:BEGIN|END)[ \t]+(?:[A-Z0-9]+[ \t]+)?PRIVATE(?:[ \t]+KEY)?-*"
+PRIVATE_KEY = Rule("private_key_block", "CREDENTIAL", "critical", 1.0, PRIVATE_KEY_MARKER)
+#: Priority of a whole private key over all other spans.
+PRIVATE_KEY_PRIORITY = 110
 
 INJECTION = {
     "ignore_instructions": r"(?i)ignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|prompts?|messages?|context|rules?)",

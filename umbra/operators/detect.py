@@ -29,11 +29,52 @@ def matches(scan: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
 
 
+def private_keys(whole: Column, scan: Column) -> Column:
+    """struct<ranges: array<struct<start, end>>, error> of the PEM private keys of a text and its half-width view; null without a marker.
+
+    Bad framing gives an error and no ranges: such a text must not be given out in part.
+    """
+    def piece(m: Column) -> Column:
+        p = F.substring(scan, m["start"] + 1, m["end"] - m["start"])
+        name = F.upper(F.regexp_replace(F.regexp_extract(p, "(?i)^-+(?:BEGIN|END)[ \t]+([^-]*)", 1), "[ \t]+", " "))
+        framed = p.rlike("^-{5}[^-]") & p.rlike("[^-]-{5}$") & name.endswith("PRIVATE KEY")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), p.rlike("(?i)^-+BEGIN").alias("begin"), name.alias("name"), framed.alias("framed"))
+
+    ranges = F.array().cast("array<struct<start:int,end:int>>")
+    first = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("name"), ranges.alias("ranges"), F.lit(None).cast("string").alias("error"))
+
+    def step(a: Column, m: Column) -> Column:
+        opened, same = a["start"].isNotNull(), F.coalesce(a["name"] == m["name"], F.lit(False))
+        blank = F.substring(whole, a["end"] + 1, m["start"] - a["end"]).rlike(r"(?U)^\s*\z")
+        kind = F.when(~m["framed"], "incomplete").when(m["begin"] & opened, "nested").when(~m["begin"] & ~same, "mismatched").when(~m["begin"] & blank, "empty")
+        found = F.when(m["begin"], a["ranges"]).otherwise(F.concat(a["ranges"], F.array(F.struct(a["start"].alias("start"), m["end"].alias("end")))))
+        now = [F.when(m["begin"], m[c]).alias(c) for c in ("start", "end", "name")]
+        return F.struct(*now, found.alias("ranges"), F.coalesce(a["error"], kind).alias("error"))
+
+    def end(a: Column) -> Column:
+        error = F.coalesce(a["error"], F.when(a["start"].isNotNull(), "incomplete"))
+        return F.struct(F.when(error.isNull(), a["ranges"]).otherwise(ranges).alias("ranges"), F.concat(error, F.lit(" private key block")).alias("error"))
+
+    folded = F.aggregate(F.transform(matches(scan, patterns.PRIVATE_KEY_MARKER), piece), first, step, end)
+    return F.when(scan.rlike(patterns.FLAGS + patterns.PRIVATE_KEY_MARKER), folded)
+
+
+def framed(docs: DataFrame) -> DataFrame:
+    """docs with error: what is wrong with the framing of a private key. The text of such a document is null, so that nothing of it is given out."""
+    error = private_keys(F.col("text"), text.half_width("text"))["error"]
+    return docs.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+
+
+def priority() -> Column:
+    """Rules have one priority, but a whole private key goes before all spans."""
+    return F.when(F.col("rule_id") == patterns.PRIVATE_KEY.rule_id, patterns.PRIVATE_KEY_PRIORITY).otherwise(1)
+
+
 def _named(r: patterns.Rule) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.risk).alias("risk_level"))
 
 
-def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = patterns.RULES) -> DataFrame:
+def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
     """All rules over the half-width view, in one pass without a shuffle but for the last step that drops equal spans.
 
     A rule's pattern runs only on texts that hold one of its anchors. Surfaces are cut from the original text.
@@ -41,7 +82,8 @@ def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = patterns.RULES)
     scan = docs.select("doc_id", "text", text.half_width("text").alias("scan"))
     found = []
     for r in rules:
-        spans = F.transform(matches(F.col("scan"), r.pattern, r.group), _named(r))
+        at = private_keys(F.col("text"), F.col("scan"))["ranges"] if r is patterns.PRIVATE_KEY else matches(F.col("scan"), r.pattern, r.group)
+        spans = F.transform(at, _named(r))
         if r.anchors:
             spans = F.when(reduce(Column.__or__, [F.col("scan").contains(a) for a in r.anchors]), spans)
         found.append(spans)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import patterns
-from umbra.functions.text import entropy, text_hash
+from umbra.functions.text import entropy, half_width, text_hash
+from umbra.operators import detect
 
 SEVERITIES = {"info": 1, "warn": 2, "critical": 3}
 
@@ -25,12 +26,16 @@ def injection(texts: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame
 
 
 def secrets(texts: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """key, pattern_id, matched: known key formats, and named values of enough length and entropy."""
+    """key, pattern_id, matched: known key formats, private keys (of badly framed ones the markers), and named values of enough length and entropy."""
     known = [r for r in patterns.RULES if r.label == "CREDENTIAL" and r.rule_id != "token_like"]
     found = [F.transform(F.regexp_extract_all("text", F.lit(patterns.FLAGS + r.pattern), F.lit(r.group)), _finding(r.rule_id)) for r in known]
     named = F.filter(F.regexp_extract_all("text", F.lit(patterns.SECRET), F.lit(1)), lambda m: (F.char_length(m) >= patterns.SECRET_LENGTH) & (entropy(m) >= patterns.SECRET_BITS))
     found.append(F.transform(named, _finding("generic_secret")))
-    return texts.select(*key, F.explode(F.flatten(F.array(*found))).alias("f")).select(*key, "f.pattern_id", "f.matched")
+    scan = half_width("text")
+    keys, cut = detect.private_keys(F.col("text"), scan), lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    bad = F.when(keys["error"].isNotNull(), detect.matches(scan, patterns.PRIVATE_KEY_MARKER))
+    found += [F.transform(keys["ranges"], lambda s: _finding("private_key_block")(cut(s))), F.transform(bad, lambda s: _finding("private_key_malformed")(cut(s)))]
+    return texts.select(*key, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("f")).select(*key, "f.pattern_id", "f.matched")
 
 
 def severity(name: Column) -> Column:

@@ -62,8 +62,8 @@ def documents_rule_counts(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    docs = contracts(spark, sf_dir)
-    found = detect.suppress_areas(detect.rule_spans(docs), docs).withColumn("priority", F.lit(1))
+    docs = detect.framed(contracts(spark, sf_dir)).drop("error")
+    found = detect.suppress_areas(detect.rule_spans(docs), docs).withColumn("priority", detect.priority())
     return docs, spans.trim(spans.clip(found), docs)
 
 
@@ -388,12 +388,18 @@ def rolling_guard(spark, sf_dir):
     return guard.secrets(sessions.rolling(turns).select("stream_id", "chunk_no", F.col("seen").alias("text")), ("stream_id", "chunk_no"))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """doc_id, redacted_text, placeholders, error. Documents with a badly framed private key have an error and no text."""
+    docs = detect.framed(docs)
+    found = detect.rule_spans(docs).withColumn("priority", detect.priority())
+    masked, mapped = placeholders.redact(docs, policy.apply(spans.trim(spans.clip(found), docs), policy.PROFILES["strict"]))
+    counted = masked.join(mapped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("placeholders")), "doc_id", "left").fillna(0, ["placeholders"])
+    return counted.join(docs.where(F.col("error").isNotNull()).select("doc_id", "error"), "doc_id", "left")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents redacted under the strict profile, with the number of placeholders of each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = detect.rule_spans(docs).withColumn("priority", F.lit(1))
-    masked, mapped = placeholders.redact(docs, policy.apply(spans.trim(spans.clip(found), docs), policy.PROFILES["strict"]))
-    return masked.join(mapped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("placeholders")), "doc_id", "left").fillna(0, ["placeholders"])
+    return redacted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(None)
