@@ -60,6 +60,44 @@ def test_rounds_of_a_mixed_bucket():
     assert abs((s[0] == s[1]).mean() - 0.5) < 0.06
 
 
+def components_by_hand(texts: list[str], similarity: float = 0.8) -> list[int]:
+    sets = []
+    for t in texts:
+        w = WORDS.findall(t.encode().translate(LOW))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)})
+    root = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_dedup_of_groups_around_the_threshold(spark, seed):
+    """Copies with 1 to 14 words changed: many are linked with the group only through some other copy."""
+    r = np.random.default_rng(seed)
+    texts = []
+    for g in range(4):
+        base = prose(130 + 40 * g, 90 + g).split()
+        for _ in range(60):
+            own = list(base)
+            for at in r.integers(0, len(own), r.integers(1, 15)):
+                own[at] = f"x{r.integers(0, 9 if g % 2 else 10**6)}"
+            texts.append(" ".join(own) + (" tail" * int(r.integers(0, 30)) if g == 3 else ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    want = components_by_hand(texts)
+    assert len(set(want)) > 10 and sum(got[i] == want[i] for i in range(len(texts))) == len(texts)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 1])
 def test_decontamination(spark, docs, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
@@ -101,6 +139,16 @@ def test_bpe(docs, none):
     assert bpe.digest(none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["", "  a  b ", "İ ǰ́ ǰ don't 12", "ÀÉ× ÷ß Ÿ, x!? 'tis l'eau\0 \0 a\0b", "<|endoftext|>x <|endoftext|>", "café.'s word.'t ok!s É", "áb é́ ", "naïve…, ñ!? ª º µ", "A" * 5000 + ", " + "é" * 3000, "x" * 300 + "\u3000y"])
+def test_library_runs(text):
+    own = token_files.library(bpe.vocabulary_file())
+    data = (text + prose(5, 1)).encode()
+    ids, ends = own.encode(np.frombuffer(data, np.uint8), np.array([0, len(text.encode()), len(data)]))
+    want = library().encode_batch([text, prose(5, 1)], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [e.ids for e in want]
+    assert token_files.vocabulary_size(bpe.vocabulary_file()) == 49408
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 31, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype("<u4")

@@ -129,6 +129,13 @@ def loaded(path: str) -> tuple[ForcedSplit, Decimal, Decimal]:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop what was remembered of texts; the vocabulary stays."""
+    for split, *_ in _loaded.values():
+        split.known.clear()
+        split.words.clear()
+
+
 def _texts(ids: list[bytes], strings: Decimal, codes: pa.DictionaryArray) -> tuple[memoryview, np.ndarray]:
     """The strings of the ids of all pieces, joined, and each piece's bounds."""
     flat = np.frombuffer(b"".join(ids), "<u4")
@@ -151,7 +158,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             flat = np.frombuffer(data.tobytes(), "<i4")
             yield common.record(["doc_id", "ids"], [batch.column(0), pa.ListArray.from_arrays(pa.array((bounds[at] // 4).astype(np.int32)), pa.array(flat))])
 
-    return common.id_text(docs, id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.id_text(docs, id_column, text_column).mapInArrow(common.lean(run, forget), "doc_id long, ids array<int>")
 
 
 def decode(table: DataFrame, ids_column: str = "ids", path: str | None = None) -> DataFrame:
@@ -165,7 +172,7 @@ def decode(table: DataFrame, ids_column: str = "ids", path: str | None = None) -
             texts = [" ".join([strings[i] if i is not None and 0 <= i < len(strings) else "" for i in x or []]) for x in batch.column(1).to_pylist()]
             yield common.record(["doc_id", "text"], [batch.column(0), pa.array(texts, pa.string())])
 
-    return table.select("doc_id", ids_column).mapInArrow(run, "doc_id long, text string")
+    return table.select("doc_id", ids_column).mapInArrow(common.lean(run, forget), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -186,7 +193,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                 out.append([hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)])  # without the last space
             yield common.record(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [batch.column(0), np.diff(count[at]), *out])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.id_text(docs).mapInArrow(common.lean(run, forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_forced_split_bpe(spark, sf_dir: str) -> DataFrame:

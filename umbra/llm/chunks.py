@@ -30,8 +30,10 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Each text cut where a run of non-space bytes starts (spaces stay with what stands before them), and the number of pieces before each text."""
     solid = ~SPACE[data]
-    first, _ = starts(data, bounds, solid)
-    at = np.union1d(first, bounds[:-1][bounds[:-1] < bounds[1:]])  # spaces that begin a text are a piece
+    begins = np.empty(len(data), bool)
+    np.logical_and(solid[1:], ~solid[:-1], out=begins[1:])
+    begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True  # spaces that begin a text are a piece
+    at = np.flatnonzero(begins) if len(data) else np.zeros(0, np.int64)
     column = binaries(data, np.append(at, len(data)))
     return column.dictionary_encode(), np.searchsorted(at, bounds)
 

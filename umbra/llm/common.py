@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python task works on at a time (one longer text is one step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark hands to a Python task, where the session doesn't say.
+BATCH_BYTES = 4 << 20
 
 #: The column that numbered() adds.
 ROW = "__row"
@@ -26,8 +29,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each Spark application."""
+    """Give executors this package, once for each Spark application, and bound Arrow batches by bytes: rows may be long."""
     sc = spark.sparkContext
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
@@ -39,6 +44,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def lean(run: Callable, *forget: Callable) -> Callable:
+    """run over Arrow batches, and at the end of the task call `forget` and give memory back: Spark reuses Python workers for other steps."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return task
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, one of our own beside the warehouse or, in local mode, in /tmp."""
     sc = spark.sparkContext
@@ -47,6 +67,9 @@ def shared_folder(spark: SparkSession) -> str:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         found = tempfile.mkdtemp(prefix="umbra-shared-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_umbra"
         spark.conf.set("spark.checkpoint.dir", found)
+    if ":" not in found:  # a path of Spark's default file system, whatever reads it
+        default = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).toString()
+        found = ("file://" if default.startswith("file:") else default.rstrip("/")) + os.path.abspath(found)
     return found.rstrip("/")
 
 
@@ -118,5 +141,25 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             at = to
 
 
+_FACTOR, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch first..last of the data, eight bytes at a time."""
+    size = last - first
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    with np.errstate(over="ignore"):
+        out = (size.astype(np.uint64) + np.uint64(1)) * _FACTOR
+        live, at = np.arange(len(first)), 0
+        while len(live):
+            word = eight[first[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]
+            h = (out[live] ^ word) * _MORE
+            out[live] = (h ^ (h >> np.uint64(29))) * _FACTOR + np.uint64(at)
+            at += 8
+            live = live[size[live] > at]
+        return out ^ (out >> np.uint64(32))
+
+
 def record(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in arrays], names)

@@ -9,13 +9,14 @@ searched backward at once; occurrences are located by walking to sampled positio
 The benchmark goes to the workers in blocks of at most BLOCK_BYTES; each further block is one more pass over the stored
 rows, so no broadcast grows with the benchmark.
 
-Defined results: null and empty texts have no words and no hits; an item without words has no window; repeated rows and
-repeated items count each for itself; an empty benchmark leaves all documents clean. `scan` needs the id and text
+Defined results: null and empty texts have no words and no hits; an item without words has no window; an item without an
+id hits, but has no name to be listed; repeated rows and repeated items count each for itself; an empty benchmark leaves all documents clean. `scan` needs the id and text
 columns alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,13 @@ WINDOW = 10
 #: Bytes of benchmark text that a pass searches for.
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
+#: Bytes of a shard: texts of one index (one longer text is one shard).
+STEP_BYTES = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
 
@@ -44,29 +46,6 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return data, *chunks.starts(data, bounds, WORD[data])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n + 1, _FACTOR, np.uint64)
-        down = np.full(n + 1, pow(int(_FACTOR), -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-_power_tables = [np.zeros(0, np.uint64)] * 2
-
-
-def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes; equal words have equal hashes."""
-    if len(_power_tables[0]) <= len(data):
-        _power_tables[:] = _powers(len(data) + (1 << 20))
-    up, down = _power_tables
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        h = (sums[last] - sums[first]) * down[first]
-        return h ^ (h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 class Windows:
     """The windows of a block of the benchmark over its own vocabulary; number 0 is the separator."""
 
@@ -90,7 +69,7 @@ class Windows:
             self.table[i, size - len(r) :] = r
         known = list(self.numbers)
         ends = np.cumsum([0, *map(len, known)])
-        h = hashes(np.frombuffer(b"".join(known), np.uint8), ends[:-1], ends[1:]) if known else np.zeros(0, np.uint64)
+        h = common.hashes(np.frombuffer(b"".join(known), np.uint8), ends[:-1], ends[1:]) if known else np.zeros(0, np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
         self.maybe = np.zeros(1 << _BITS, bool)
@@ -98,7 +77,7 @@ class Windows:
 
     def number(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Each word's number; words outside the benchmark have 0 (but for one in 2**64, which `check` finds)."""
-        h = hashes(data, first, last)
+        h = common.hashes(data, first, last)
         out = np.zeros(len(first), np.int32)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if len(at) and len(self.hashes):
@@ -278,17 +257,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     return out.drop("text")
 
 
-_made: dict[int, Windows] = {}
+_made: dict[str, Windows] = {}
 
 
 def _searcher(shared, window: int):
+    key = uuid.uuid4().hex  # of this block, on the driver: workers outlive broadcasts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((id(shared.value), window))
         if key not in _made:
             _made.clear()
             _made[key] = Windows(shared.value, window)
         windows = _made[key]
-        for batch in common.steps(batches, "text", 16 << 20):
+        for batch in common.steps(batches, "text", STEP_BYTES):
             count, text, word, which = shard_hits(*common.bytes_view(batch.column(1)), windows)
             spans, items = [x or [] for x in batch.column(2).to_pylist()], [x or [] for x in batch.column(3).to_pylist()]
             order = np.argsort(text, kind="stable")
@@ -303,7 +283,7 @@ def _searcher(shared, window: int):
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield common.record(["doc_id", "n_words", "spans", "items", "text"], [batch.column(0), pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64())), batch.column(1)])
 
-    return run
+    return common.lean(run)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -349,7 +349,7 @@ def extract(pages: DataFrame, html_column: str = "html", chain: Chain | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"`{into}` string"
-    return pages.select(*[f"`{f.name}`" for f in kept], F.col(html_column).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*[f"`{f.name}`" for f in kept], F.col(html_column).cast("string").alias("__html")).mapInArrow(common.lean(run), schema)
 
 
 def op7_crf_main_text(spark, sf_dir: str) -> DataFrame:

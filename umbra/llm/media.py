@@ -218,7 +218,7 @@ def store_text(docs: DataFrame) -> DataFrame:
             media = [pack(padded(raw[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield common.record(["doc_id", "n_bytes", "media"], [batch.column(0), np.diff(bounds), pa.array(media, pa.binary())])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.id_text(docs).mapInArrow(common.lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def probe(table: DataFrame, media: str = "media") -> DataFrame:
@@ -239,7 +239,7 @@ def probe(table: DataFrame, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + new, [f.name for f in kept] + names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {k}" for n, k in zip(names, kinds, strict=True)])
-    return table.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return table.select(*[f"`{f.name}`" for f in kept]).mapInArrow(common.lean(run), schema)
 
 
 def digest(stored: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def digest(stored: DataFrame) -> DataFrame:
                 out["feature"].append(f"frames={len(x['offsets'])};duration={x['samples']}/{x['rate']};vbr={int(x['vbr'])};table={x['table']};crc={x['crc_good']}/{x['crc_checked']};junk={x['junk']};seek_crc32={seek}")
             yield common.record(["doc_id", "n_bytes", *out], [batch.column(0), batch.column(1), *out.values()])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(common.lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_mpeg_audio(spark, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Near-duplicate classes by DartMinHash.
 
-A document is the set of its runs of five words (all its words, if it has fewer). Each shingle throws darts: a Poisson
-process over weight and rank that depends on the shingle alone; a document collects the darts within its weights, up to a
-rank at which it has some k ln k of them. Each dart falls on one of k coordinates, and the earliest of each coordinate is
-kept: documents agree in a coordinate with the probability of their (weighted) Jaccard similarity. Bands of ROWS
-coordinates give candidates: at a similarity of 0.8 a pair is missed with a probability below 0.0001.
-
-Candidates are checked by their whole texts: a link is a similarity of 0.8 or more. In a bucket all are compared with its
-first document. Where a bucket then still spans several classes, further documents of it are compared with those of
-other classes, until none is left, so that no link within a bucket is lost and no bucket gives all pairs. One minus the
-similarity is a metric: two documents whose distances from the first one differ by more than a link allows are no link
-and needn't be compared. Neither are those whose signatures (four bits of each coordinate) agree in fewer coordinates than
-a link does with a probability of 0.99999. Equal texts are
-one document from the start. Classes are connected components; each is named by its least doc_id, and its row with that
-doc_id (the first of several) is kept.
+A document is the set of its runs of five words (all its words, if it has fewer), weighted: a shingle that occurs c times
+weighs 1 + ln(c) / 16. Each shingle throws darts: a Poisson process over weight and rank that depends on the shingle
+alone; a document collects the darts within its weights, up to a rank at which it has some k ln k of them. Each dart
+falls on one of k coordinates, and the earliest of each coordinate is kept: documents agree in a coordinate with the
+probability of their weighted Jaccard similarity. Bands of ROWS coordinates give candidates: at a similarity of 0.8 a pair
+is missed with a probability below 0.0001.
+
+Candidates are checked by their whole texts: a link is a Jaccard similarity of 0.8 or more of the plain sets. A bucket
+has a hub, its document with most company in all its buckets, and each document is compared with its hubs. What is then
+linked with the hub is of one class. A pair of which one is not linked with the hub can only be a link if both depart
+from the hub in the same shingles, and in how many follows from the sizes: with n shingles in the hub, a and b added to it
+and r and s taken away, at least (0.8 (n + a + b) - n + r + s) / 1.8 of them. So only departures are joined, by
+the rarest of each document that this bound leaves (prefix and position filter, which lose nothing), and what remains is
+compared. No bucket gives all pairs, and no link within a bucket is lost.
+
+Equal texts are one document from the start. Classes are connected components; each is named by its least doc_id, and its
+row with that doc_id (the first of several) is kept.
 
 Defined results: a null text is alike to nothing; texts without words are alike to equal texts only; each row is a document
 by its number (common.numbered), whether its doc_id is null, shared or its own, and equal rows are copies of each other; a
@@ -26,18 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from umbra.llm import common
-from umbra.llm.decontaminate import hashes, words
+from umbra.llm.decontaminate import words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Comparisons that a bucket may ask for in a further round (at least one document is compared with all others).
-ROUND_PAIRS = 20_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def shingles(data: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles and the number of shingles before each text."""
     lower, first, last = words(data, bounds)
-    h = mix(hashes(lower, first, last))
+    h = mix(common.hashes(lower, first, last))
     upto = np.searchsorted(first, bounds)
     n = np.diff(upto)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
@@ -119,77 +119,95 @@ def bands(table: np.ndarray, rows: int = ROWS) -> np.ndarray:
         return mix(out)
 
 
-def nibbles(table: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates in an integer."""
-    n, k = table.shape
-    wide = np.zeros((n, -(-k // 16) * 16), np.uint64)
-    wide[:, :k] = table & 15
-    with np.errstate(over="ignore"):
-        return (wide.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-
-
-def _apart(a: str, b: str, k: int = BANDS * ROWS) -> Column:
-    """In how many coordinates two columns of nibbles differ."""
-    out = F.lit(0)
-    for i in range(-(-k // 16)):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        out = out + F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
-    return out
-
-
-def most_apart(similarity: float, k: int = BANDS * ROWS) -> int:
-    p = similarity + (1 - similarity) / 16
-    return k - int(k * p - 4.3 * (k * p * (1 - p)) ** 0.5)
+def weighted(elements: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different elements of each set, their ends, and their weights."""
+    n = len(ends) - 1
+    owner = np.repeat(np.arange(n), np.diff(ends))
+    order = np.lexsort((elements, owner))
+    elements, owner = elements[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])])) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(order)))
+    return elements[new], np.searchsorted(owner[new], np.arange(n + 1)), 1 + np.log(count) / 16
 
 
-def _signed(rows: DataFrame, counted: bool) -> DataFrame:
-    """row, doc_id, h1, h2 (of the text; null for a null text), bands, bits of numbered rows."""
+def _signed(rows: DataFrame) -> DataFrame:
+    """row, doc_id, h1, h2 (of the text; null for a null text), bands of numbered rows."""
     common.ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches):
-            elements, ends = shingles(*common.bytes_view(batch.column(1)))
-            weights = None
-            if counted:
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-                order = np.lexsort((elements, owner))
-                elements, owner = elements[order], owner[order]
-                new = np.flatnonzero(np.concatenate([[True], (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])])) if len(order) else np.zeros(0, np.int64)
-                weights = np.diff(np.append(new, len(order))).astype(np.float64)
-                elements, ends = elements[new], np.searchsorted(owner[new], np.arange(batch.num_rows + 1))
-            table = signatures(elements, ends, weights)
-            found, bits = bands(table).view(np.int64), nibbles(table).view(np.int64)
+            elements, ends, weights = weighted(*shingles(*common.bytes_view(batch.column(1))))
+            found = bands(signatures(elements, ends, weights)).view(np.int64)
             some = np.diff(ends) > 0
             size = np.concatenate([[0], np.cumsum(np.where(some, found.shape[1], 0))]).astype(np.int32)
-            each = np.arange(batch.num_rows + 1, dtype=np.int32) * bits.shape[1]
-            yield common.record(["row", "doc_id", "h1", "h2", "bands", "bits"], [batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel())), pa.ListArray.from_arrays(pa.array(each), pa.array(bits.ravel()))])
+            yield common.record(["row", "doc_id", "h1", "h2", "bands"], [batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(pa.array(size), pa.array(found[some].ravel()))])
 
     text = rows.select(F.col(common.ROW).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     text = text.withColumns({"h1": F.when(F.col("text").isNotNull(), F.xxhash64("text")), "h2": F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("again"), F.col("text"), F.octet_length("text")))})
-    return text.mapInArrow(run, "row long, doc_id long, h1 long, h2 long, bands array<long>, bits array<long>")
+    return text.mapInArrow(common.lean(run), "row long, doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray, counted: bool) -> float:
-    if not counted:
-        both = len(np.intersect1d(a, b))
-        return both / (len(np.unique(a)) + len(np.unique(b)) - both)
-    (ka, na), (kb, nb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    both = np.minimum(na[i], nb[j]).sum()
-    return both / (len(a) + len(b) - both)
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of the texts ta and tb of each row, sorted and different."""
+    (ea, na), (eb, nb) = [shingles(*common.bytes_view(batch.column(i))) for i in (2, 3)]
+    for i in range(batch.num_rows):
+        yield np.unique(ea[na[i] : na[i + 1]]), np.unique(eb[nb[i] : nb[i + 1]])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
-    """The pairs (a, b) with the similarity of their texts."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ta, tb = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with n shingles of a, how many of them b lacks and how many it adds, and their similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(common.steps(batches, "ta"), "tb"):
-            (ea, na), (eb, nb) = [shingles(*common.bytes_view(batch.column(i))) for i in (2, 3)]
-            alike = [_jaccard(ea[na[i] : na[i + 1]], eb[nb[i] : nb[i + 1]], counted) if na[i + 1] > na[i] and nb[i + 1] > nb[i] else 0.0 for i in range(batch.num_rows)]
-            yield common.record(["a", "b", "alike"], [batch.column(0), batch.column(1), pa.array(alike, pa.float64())])
+            rows = []
+            for x, y in _sets(batch):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                rows.append((len(x), len(x) - both, len(y) - both))
+            n, lacks, adds = np.array(rows, np.int64).T
+            alike = (n - lacks) / np.maximum(n + adds, 1)
+            yield common.record(["a", "b", "n", "lacks", "adds", "alike"], [batch.column(0), batch.column(1), n, lacks, adds, alike])
+
+    return _with_texts(pairs, texts).mapInArrow(common.lean(run), "a long, b long, n long, lacks long, adds long, alike double")
 
-    ta, tb = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, alike double")
+
+def _departures(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, element: the shingles that one of the two has and the other one has not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(common.steps(batches, "ta"), "tb"):
+            found = [np.setxor1d(x, y, assume_unique=True) for x, y in _sets(batch)]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield common.record(["a", "b", "element"], [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), np.concatenate(found).view(np.int64)])
+
+    return _with_texts(pairs, texts).mapInArrow(common.lean(run), "a long, b long, element long")
+
+
+def _left_over(tested: DataFrame, labels: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs with a hub in common that may yet be links between classes, each once."""
+    name = labels.select(F.col("node").alias("b"), F.col("label").alias("of"))
+    hub = labels.select(F.col("node").alias("a"), F.col("label").alias("of_hub"))
+    named = tested.join(name, "b", "left").join(hub, "a", "left").select("a", "b", "n", "lacks", "adds", (F.col("alike") >= similarity).alias("linked"), F.coalesce("of", "b").alias("label"), F.coalesce("of_hub", "a").alias("hub_label"))
+    mixed = named.where(F.col("label") != F.col("hub_label")).select("a").distinct()
+    group = common.stored(named.join(mixed, "a", "left_semi").where(F.col("lacks") + F.col("adds") > 0), "groups")
+    apart = common.stored(_departures(group.select("a", "b"), texts), "departures")
+    shared = apart.groupBy("a", "element").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    # A document's departures from rarest to most frequent; those of its own alone come first and meet nothing.
+    rank = apart.join(shared, ["a", "element"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
+    t = F.lit(similarity)
+    size = F.col("lacks") + F.col("adds")
+    least = F.when(F.col("linked"), t * F.col("adds") + F.col("lacks")).otherwise(t * (F.col("n") + F.col("adds")) - F.col("n") + F.col("lacks")) / (1 + t)
+    prefix = size - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1
+    cut = group.join(rank, ["a", "b"]).withColumn("alone", size - F.size("ranked"))
+    kept = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone")).cast("int"))
+    rows = cut.select("a", "b", "n", "lacks", "adds", "linked", "label", "alone", F.posexplode(kept).alias("at", "entry"))
+    rows = common.stored(rows.select("a", "b", "n", "lacks", "adds", "linked", "label", F.col("entry.element").alias("element"), (size - F.col("alone") - F.col("at") - 1).alias("behind")), "prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    need = F.ceil((t * (F.col("x.n") + F.col("x.adds") + F.col("y.adds")) - F.col("x.n") + F.col("x.lacks") + F.col("y.lacks")) / (1 + t) - 1e-9)
+    close = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & ~(F.col("x.linked") & F.col("y.linked")) & (1 + F.least("x.behind", "y.behind") >= need)
+    return x.join(y, close).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,49 +225,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classified(numbered: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
-    """row, doc_id, class_id, kept of numbered rows. counted: shingles weigh as often as they occur, else a text is a set."""
+def classified(numbered: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row, doc_id, class_id, kept of numbered rows."""
     spark = numbered.sparkSession
-    signed = common.stored(_signed(numbered, counted), "signed")
+    signed = common.stored(_signed(numbered), "signed")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lead")
-    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("row").alias("first"), lead, F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    same = signed.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.min("row").alias("first"), lead, F.first("bands").alias("bands"))
     same = common.stored(same, "texts")
     rows = same.select(F.col("first").alias("doc"), F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where(F.col("hub") != F.col("last")).select("bucket", "hub")
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = common.stored(rows.join(buckets, "bucket"), "members")
+    company = members.groupBy("doc").agg(F.sum("n").alias("met"))
+    hubs = members.join(company, "doc").groupBy("bucket").agg(F.max(F.struct("met", "doc")).alias("hub")).select("bucket", F.col("hub.doc").alias("hub"))
+    pairs = members.join(hubs, "bucket").where(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     needed = members.select(F.col("doc").alias("id")).distinct()
     whole = numbered.select(F.col(common.ROW).alias("row"), F.col("text").cast("string").alias("text"))
     texts = common.stored(whole.join(needed, whole["row"] == needed["id"], "left_semi"), "compared")
-    tested = common.stored(members.where(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    tested = common.stored(_compared(tested, texts, counted), "compared")
+    tested = common.stored(_compared(pairs, texts), "tested")
     links = tested.where(F.col("alike") >= similarity).select("a", "b")
     labels = components(links)
-    # Each document of a bucket with its distance from the bucket's first one.
-    far = members.join(tested, (F.col("hub") == F.col("a")) & (F.col("doc") == F.col("b")), "left").select("bucket", "doc", F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(1 - F.col("alike")).alias("far"), (F.col("doc") == F.col("hub")).alias("first"))
-    far = common.stored(far.join(same.select(F.col("first").alias("doc"), "bits"), "doc"), "distances")
+    common.tidy(spark, members)
+    more = common.stored(_compared(common.stored(_left_over(tested, labels, texts, similarity), "pairs"), texts), "compared").where(F.col("alike") >= similarity).select("a", "b")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     common.tidy(spark)
-    done = far.where("first").select("bucket", "doc")
-    while True:
-        named = far.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "far", "bits", F.coalesce("label", "doc").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where(F.col("least") != F.col("most"))
-        # Documents of a bucket outside its least class that were not yet compared with all others.
-        left = named.join(mixed, "bucket").where(F.col("label") != F.col("least")).join(done, ["bucket", "doc"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc"))
-        pivots = left.withColumn("turn", turn).where(F.col("turn") <= F.greatest(F.lit(1), F.floor(ROUND_PAIRS / F.col("n")))).select(F.col("bucket").alias("of"), F.col("doc").alias("pivot"), F.col("label").alias("own"), F.col("far").alias("away"), F.col("bits").alias("own_bits"))
-        pivots = common.stored(pivots, "pivots")
-        if not pivots.limit(1).count():
-            break
-        close = (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("own")) & (F.abs(F.col("far") - F.col("away")) <= 1 - similarity + 1e-9) & (_apart("bits", "own_bits") <= most_apart(similarity))
-        pairs = named.join(pivots, close).select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        fresh = common.stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = common.stored(_compared(fresh, texts, counted), "compared")
-        tested = tested.unionByName(more)
-        done = done.unionByName(pivots.select(F.col("of").alias("bucket"), F.col("pivot").alias("doc")))
-        found = more.where(F.col("alike") >= similarity).select("a", "b")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        common.tidy(spark)
     linked = same.select("first", "lead").join(labels.withColumnRenamed("node", "first"), "first")
     leads = linked.join(linked.groupBy("label").agg(F.min("lead").alias("best")), "label").select("first", "best")
     firsts = same.select("h1", "h2", "first", "lead").join(leads, "first", "left").select("h1", "h2", F.coalesce("best", "lead").alias("best"))
@@ -258,9 +257,9 @@ def classified(numbered: DataFrame, similarity: float = SIMILARITY, counted: boo
     return found.select("row", "doc_id", class_id.alias("class_id"), F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id for each row of docs."""
-    return classified(common.numbered(common.id_text(docs)), similarity, counted).select("doc_id", "class_id")
+    return classified(common.numbered(common.id_text(docs)), similarity).select("doc_id", "class_id")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

@@ -6,18 +6,27 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_tables: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+#: Powers are kept for data of up to so many bytes; longer data have their own while they are worked on.
+KEPT = 1 << 20
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    with np.errstate(over="ignore"):
+        for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            tables.append(np.cumprod(table, dtype=np.uint64, out=table))
+    return tables[0], tables[1]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables[0]) <= n:
-        m = n + (1 << 20)
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-                table = np.full(m, base, np.uint64)
-                table[0] = 1
-                _tables[i] = np.cumprod(table, dtype=np.uint64)
-    return _tables[0], _tables[1]
+    if n > KEPT:
+        return _power_tables(n + 1)
+    if not _tables:
+        _tables.append(_power_tables(KEPT + 1))
+    return _tables[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -91,7 +91,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     fields = ["block", "k", "word", "n", "doc_id", "held_out", "codes"]
     source = common.id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(0)))
-    return source.mapInArrow(run, "block long, k int, word binary, n long, doc_id long, held_out boolean, codes binary")
+    return source.mapInArrow(common.lean(run), "block long, k int, word binary, n long, doc_id long, held_out boolean, codes binary")
 
 
 def symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def grams(words: DataFrame, order: int = ORDER) -> DataFrame:
                 n = np.bincount(at, count[there], minlength=len(gram)).astype(np.int64)
                 yield common.record(["level", "gram", "n"], [pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)])
 
-    rows = words.mapInArrow(run, "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(common.lean(run), "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n"))
     rows = common.stored(rows, "grams")
     longest = rows.where(F.col("level") == order)
     out = rows

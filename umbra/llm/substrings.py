@@ -52,7 +52,7 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def parse(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """trigger, phrase (hashes; null: a phrase counted with another row of its step), row, place, n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches):
+        for batch in common.steps(batches, "text", 1 << 20):
             data, bounds = common.bytes_view(batch.column(1))
             if len(data) < length:
                 continue
@@ -67,7 +67,7 @@ def parse(rows: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFr
             counted[first] = False
             yield common.record(["trigger", "phrase", "row", "place", "n"], [pa.array(trigger.view(np.int64), mask=counted), pa.array(phrase.view(np.int64), mask=counted), pa.array(batch.column(0).to_numpy()[row]), pa.array(place), pa.array(n)])
 
-    return _texts(rows).mapInArrow(run, "trigger long, phrase long, row long, place long, n long")
+    return _texts(rows).mapInArrow(common.lean(run), "trigger long, phrase long, row long, place long, n long")
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def _extents(spread: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             yield common.record(["trigger", "hot", "n", "row", "place", "bytes"], [trigger, hot, n, batch.column(0).take(pa.array(row)), place, column])
 
     joined = _texts(rows).join(lists, F.col(common.ROW) == F.col("row")).select("row", "text", F.col("own").cast(kind))
-    return joined.mapInArrow(run, "trigger long, hot boolean, n long, row long, place long, bytes binary")
+    return joined.mapInArrow(common.lean(run), "trigger long, hot boolean, n long, row long, place long, bytes binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -173,7 +173,7 @@ def _common_strings(extents: DataFrame, length: int) -> DataFrame:
     rows = extents.where(~F.col("hot")).select("trigger", "n", "row", "place", "bytes")
     size = rows.agg(F.sum(F.octet_length("bytes")).alias("b")).first().b or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * ORDER_BYTES)))
-    return rows.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(run, "row long, lo long, hi long")
+    return rows.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(common.lean(run), "row long, lo long, hi long")
 
 
 def _hot_strings(extents: DataFrame, length: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _hot_strings(extents: DataFrame, length: int) -> DataFrame:
             yield common.record(["trigger", "whole", "row", "start", "n"], [pa.array(batch.column(0).to_numpy()[owner]), pa.array(whole.view(np.int64)), pa.array(batch.column(2).to_numpy()[owner]), pa.array(starts - bounds[owner] + lo[owner]), pa.array(batch.column(1).to_numpy()[owner])])
 
     rows = extents.where("hot").select("trigger", "n", "row", "place", "bytes")
-    strings = rows.mapInArrow(run, "trigger long, whole long, row long, start long, n long")
+    strings = rows.mapInArrow(common.lean(run), "trigger long, whole long, row long, start long, n long")
     twice = strings.groupBy("trigger", "whole").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("trigger", "whole")
     return strings.where(F.col("n") < 2).join(twice, ["trigger", "whole"], "left_semi").select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
 
@@ -259,7 +259,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = common.numbered(common.id_text(docs))
     whole = rows.join(_lists(rows, length), F.col(common.ROW) == F.col("row"), "left").select("row", F.coalesce("text", F.lit("")).alias("text"), "own", "doc_id")
-    return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.mapInArrow(common.lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -276,7 +276,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield common.record(["__of", "__text"], [batch.column(0), pa.array(texts, pa.string())])
 
     rows = common.numbered(docs)
-    cut = _texts(rows).join(_lists(rows, length), F.col(common.ROW) == F.col("row")).select("row", "text", "own").mapInArrow(run, "__of long, __text string")
+    cut = _texts(rows).join(_lists(rows, length), F.col(common.ROW) == F.col("row")).select("row", "text", "own").mapInArrow(common.lean(run), "__of long, __text string")
     out = rows.join(cut, F.col(common.ROW) == F.col("__of"), "left")
     text = F.coalesce("__text", "text")
     columns = [text.alias("text") if c == "text" else F.when(F.col("__of").isNotNull(), F.char_length("__text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]

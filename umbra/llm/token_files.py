@@ -14,6 +14,7 @@ give no files and no rows; columns besides the id and the text don't matter.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from umbra.llm import bpe, chunks, common
+from umbra.llm.decontaminate import LOWER
 
 MAGIC = b"UMBRAIDS"
 BLOCK_IDS = 4096
@@ -98,26 +100,144 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
 
-class Library(bpe.Remembered):
-    """The library's own encoding, run by run: no token of its reaches over white space."""
+class Library:
+    """The library's own encoding of a step's different runs, in few calls.
+
+    No token of the library's reaches over white space, so each different run between spaces is encoded once. Runs of
+    plain letters with punctuation behind are cut there, as the library's pattern does; their words go to its model
+    alone (lower-cased, all letters of one code page, so that its normaliser has nothing else to do), joined by spaces,
+    and the tokens that end a word tell where one ends. Other runs go through the whole library, joined by a byte 0, which
+    is a token of its own between spaces.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = max(vocabulary.values()) + 1
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        mark = self._ids(self.whole, "\0")
+        self.mark = mark[0] if len(mark) == 1 and self.ends[mark[0]] else None
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different plain words, and where each word's end."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        data, bounds = common.bytes_view(words)
+        ids = np.array(self._ids(self.model, b" ".join(words.to_pylist()).decode()), "<u4")
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        if len(ends) != len(words) + 1:
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        return ids, ends
+
+    def others(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any runs."""
+        alone = np.array([self.mark is None or b"\0" in r for r in runs], bool)
+        joined = [r.decode() for r, a in zip(runs, alone.tolist(), strict=True) if not a]
+        parts = []
+        for i in range(0, len(joined), 20_000):
+            own = joined[i : i + 20_000]
+            ids = np.array(self._ids(self.whole, " \0 ".join(own)), "<u4")
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) != len(own) - 1:
+                raise ValueError("a run has the mark's token")
+            parts += np.split(np.delete(ids, at), at - np.arange(len(at)))
+        each = iter(parts)
+        out = [np.array(self._ids(self.whole, r.decode()), "<u4") if a else next(each) for r, a in zip(runs, alone.tolist(), strict=True)]
+        return np.concatenate([np.zeros(0, "<u4"), *out]), np.cumsum([0, *map(len, out)])
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's end."""
+        codes, at = chunks.pieces(data, bounds)
+        if not len(codes):
+            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+        runs, ends = chunks.data_of(codes.dictionary)
+        runs = runs[: ends[-1]]
+        first, last = ends[:-1], ends[1:]
+        core = _last(~chunks.SPACE[runs], first, last)
+        stem = _last(~_TAIL[runs], first, core)
+        lead = np.concatenate([[0], runs[:-1]])
+        plain = _LETTER[runs] | ((runs == 0xC3) & _AFTER[np.append(runs[1:], 0)]) | (_AFTER[runs] & (lead == 0xC3))
+        other = np.concatenate([[0], np.cumsum(~plain)])
+        easy = (stem > first) & (other[stem] == other[first])
+        lower = np.where(_AFTER[runs] & (runs < 0x9F), runs + 32, LOWER[runs])
+        # The parts of different runs: plain words, what stands behind them, and all other runs whole.
+        heads = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(easy.sum()), [None, pa.py_buffer(_offsets(first[easy], stem[easy])), pa.py_buffer(lower[_within(first[easy], stem[easy])])]).dictionary_encode()
+        raw = runs.tobytes()
+        tails = pa.array([raw[a:b] for a, b in zip(stem[easy].tolist(), core[easy].tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        rest = [raw[a:b] for a, b in zip(first[~easy].tolist(), core[~easy].tolist(), strict=True)]
+        known = [self.words(heads.dictionary), self.others(tails.dictionary.to_pylist()), self.others(rest)]
+        base = np.cumsum([0, *(len(e) - 1 for _, e in known)])
+        ids = np.concatenate([i for i, _ in known])
+        begin = np.concatenate([e[:-1] + o for (_, e), o in zip(known, np.cumsum([0, *(len(i) for i, _ in known)]), strict=False)])
+        size = np.concatenate([np.diff(e) for _, e in known])
+        part = np.zeros((len(first), 2), np.int64)
+        part[easy, 0], part[easy, 1] = heads.indices.to_numpy(), tails.indices.to_numpy() + base[1]
+        part[~easy, 0], part[~easy, 1] = np.arange(len(rest)) + base[2], len(size)
+        begin, size = np.append(begin, 0), np.append(size, 0)
+        of_runs = part[codes.indices.to_numpy()].ravel()
+        place = np.concatenate([[0], np.cumsum(size[of_runs])])
+        return ids[_within(begin[of_runs], begin[of_runs] + size[of_runs])], place[2 * at]
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Second bytes of the letters from U+00C0 to U+00FF.
+_AFTER = np.zeros(256, bool)
+_AFTER[0x80:0xC0] = True
+_AFTER[[0x97, 0xB7]] = False
+#: Punctuation that is cut off behind a letter.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?")] = True
+
+
+def _last(holds: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Behind the last place of each stretch first..last where `holds` is true; its start if there is none."""
+    at = np.arange(1, len(holds) + 1)
+    seen = np.concatenate([[0], np.maximum.accumulate(np.where(holds, at, 0))])
+    return np.maximum(seen[last], first)
+
+
+def _offsets(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
+
+
+def _within(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0]-1, first[1] .. last[1]-1, ..."""
+    size = last - first
+    return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+_libraries: dict[str, Library] = {}
 
-    def fresh(self, runs: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(runs), 10_000):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs[i : i + 10_000]], add_special_tokens=False)]
-        return out
 
+def library(path: str) -> Library:
+    """Once in each worker."""
+    if path not in _libraries:
+        _libraries[path] = Library(path)
+    return _libraries[path]
 
-_libraries: dict[str, Library] = {}
+
+def vocabulary_size(path: str) -> int:
+    """The ids that the tokenizer file knows, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
 
 
 def encode(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
@@ -125,18 +245,14 @@ def encode(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _libraries:
-            _libraries[path] = Library(path)
-        library = _libraries[path]
-        end = np.array([end_id], "<u4")
-        for batch in common.steps(batches):
-            codes, at = chunks.pieces(*common.bytes_view(batch.column(1)))
-            data, bounds = chunks.spread(library.ids(codes), codes)
-            ids, ends = np.frombuffer(data.tobytes(), "<u4"), (bounds[at] // 4).tolist()
+        own, end = library(path), np.array([end_id], "<u4")
+        for batch in common.steps(batches, "text", 8 << 20):
+            ids, ends = own.encode(*common.bytes_view(batch.column(1)))
+            ends = ends.tolist()
             packed = [pack(np.concatenate([ids[a:b], end]), bits) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield common.record(["doc_id", "n_tokens", "packed"], [batch.column(0), np.diff(ends).astype(np.int64) + 1, pa.array(packed, pa.binary())])
 
-    return common.id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, packed binary").withColumn("seq", F.monotonically_increasing_id())
+    return common.id_text(docs).mapInArrow(common.lean(run), "doc_id long, n_tokens long, packed binary").withColumn("seq", F.monotonically_increasing_id())
 
 
 def write(encoded: DataFrame, folder: str, bits: int, file_ids: int = FILE_IDS) -> DataFrame:
@@ -170,7 +286,7 @@ def write(encoded: DataFrame, folder: str, bits: int, file_ids: int = FILE_IDS)
             yield flush()
 
     ordered = encoded.repartitionByRange(parts, "doc_id", "seq").sortWithinPartitions("doc_id", "seq").select("doc_id", "n_tokens", "packed")
-    files = common.stored(ordered.mapInArrow(run, "part int, file int, name string, n_docs long, n_ids long"), "manifest")
+    files = common.stored(ordered.mapInArrow(common.lean(run), "part int, file int, name string, n_docs long, n_ids long"), "manifest")
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as partitions
     bases = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,11 +319,12 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
                     yield common.record(["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)], columns)
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("name", "base").repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return manifest.select("name", "base").repartition(parts).mapInArrow(common.lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def op3_packed_token_files(spark, sf_dir: str, path: str | None = None, vocabulary: int = 49408, end_id: int = 2) -> DataFrame:
-    docs, bits = spark.read.parquet(f"{sf_dir}/documents.parquet"), width(vocabulary)
-    encoded = common.stored(encode(docs, path or bpe.vocabulary_file(), bits, end_id), "encoded")
+def op3_packed_token_files(spark, sf_dir: str, path: str | None = None, end_id: int = 2) -> DataFrame:
+    path = path or bpe.vocabulary_file()
+    docs, bits = spark.read.parquet(f"{sf_dir}/documents.parquet"), width(vocabulary_size(path))
+    encoded = common.stored(encode(docs, path, bits, end_id), "encoded")
     folder = common.scratch(spark, "ids")
     return read(write(encoded, folder, bits), folder)

@@ -161,7 +161,7 @@ def lexicons(labelled: DataFrame) -> list[dict[int, tuple[np.ndarray, np.ndarray
             keys = list(counts)
             yield common.record(["half", "length", "code", "toxic", "n"], [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(np.array([k[2] for k in keys], np.uint64).view(np.int64)), pa.array([k[3] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())])
 
-    rows = labelled.select("doc_id", "text", "toxic", "fold").mapInArrow(run, "half int, length int, code long, toxic int, n long")
+    rows = labelled.select("doc_id", "text", "toxic", "fold").mapInArrow(common.lean(run), "half int, length int, code long, toxic int, n long")
     sums = rows.groupBy("length", "code").agg(*[F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)])
     kept = sums.where(F.col("n01") + F.col("n11") >= LEAST_TEXTS).toPandas()
     all_ = {(r.half, r.toxic): r.n for r in labelled.groupBy((F.col("fold") % 2).alias("half"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -192,7 +192,7 @@ def with_features(docs: DataFrame, lexicon, keep: str = "") -> DataFrame:
             rows = features(*common.bytes_view(batch.column(1)), shared.value)
             yield common.record(["doc_id", *names, *FEATURES], [batch.column(0), *batch.columns[2:], *(pa.array(np.ascontiguousarray(c)) for c in rows.T)])
 
-    return docs.select("doc_id", "text", *names).mapInArrow(run, "doc_id long, " + keep + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.select("doc_id", "text", *names).mapInArrow(common.lean(run), "doc_id long, " + keep + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: tuple[str, ...] = ()) -> DataFrame:
