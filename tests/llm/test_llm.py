@@ -275,6 +275,27 @@ def test_html(spark):
     assert sum(chain.decode(html_text.features(html_text.blocks(p))) == y for p, y in test) >= 90
 
 
+#: Pages written by hand, and their main text.
+PAGES = [
+    ("<html><body><header><h1>The Daily</h1><p>News for all</p></header><nav><a href=/>Home</a></nav><article><h1>Rates rise</h1><p>The bank raised its rate, and markets fell.</p><p>More is to come.</p></article><div><p>Copyright 2024 The Daily. All rights reserved.</p></div></body></html>", "Rates rise The bank raised its rate, and markets fell. More is to come."),
+    ("<html><body><div><h1>Our trip</h1><p>We went to the sea, and it was good.</p><p>Then we went home.</p></div><div><h3>Comments</h3><div>Ann: I liked it, thank you.</div><div>Bob: Me too!</div></div></body></html>", "Our trip We went to the sea, and it was good. Then we went home."),
+    ("<head><title>x</title><p>Plain page text, nothing more.<p>And <math><mi>x</mi></math> stays.", "Plain page text, nothing more. And x stays."),
+    ("<body><main><h1>How to bake</h1><p>Mix it, bake it.</p><ul><li>Flour, two cups.</li><li>Salt.</li></ul></main><aside class=related><h3>More</h3><p><a href=/a>Cakes</a></p></aside><form class=newsletter><label>Mail</label><button>Join</button></form><footer>&copy; Bakers</footer></body>", "How to bake Mix it, bake it. Flour, two cups. Salt."),
+    ("<div id=cookie-consent><p>We use cookies on this site.</p><button>Accept</button></div><article><p>A short note, no more.</article><div class=ad-box>Buy now!</div>", "A short note, no more."),
+]
+
+
+def test_pages_by_hand():
+    chain = html_text.Chain.fit(html_text.labelled_pages())
+    assert [html_text.main_text(p, chain) for p, _ in PAGES] == [t for _, t in PAGES]
+
+
+def test_html_clashes_and_empty(spark):
+    rows = spark.createDataFrame([(1, "<article><p>Some words, and a stop.</p></article>", "kept")], "page_id long, html string, words string")
+    assert [tuple(r) for r in html_text.extract(rows).collect()] == [(1, "kept", "Some words, and a stop.")]
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
 def test_toxicity(spark):
     rows = [(i, prose(40, i) + (" you stupid idiot! pathetic scum" if i % 5 == 0 else ""), 1) for i in range(400)] + [(400, None, 1), (401, "", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
@@ -350,3 +371,132 @@ def test_token_files_without_ids(spark):
     t = library()
     crc = lambda x: zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes())
     assert sorted(got, key=str) == sorted(((r.doc_id, crc(r.text)) for r in docs.collect()), key=str)
+
+
+def _crc_by_division(bits: str) -> int:
+    """The checksum as the remainder of a long division, the first 16 bits turned over."""
+    work = [int(b) for b in bits + "0" * 16]
+    work[:16] = [1 - b for b in work[:16]]
+    for k in range(len(bits)):
+        if work[k]:
+            for j, p in enumerate("11000000000000101"):
+                work[k + j] ^= int(p)
+    return int("".join(map(str, work[-16:])), 2)
+
+
+def frame(second: int, third: int, fourth: int, body: bytes, covered: int) -> bytes:
+    h = media.Header.read(0xFF, second, third, fourth)
+    head = bytes([0xFF, second, third, fourth])
+    bits = "".join(f"{b:08b}" for b in head[2:] + body)[: 16 + covered]
+    return (head + _crc_by_division(bits).to_bytes(2, "big") + body).ljust(h.size, b"\0")[: h.size]
+
+
+def test_checksums_of_layers():
+    body = bytes(range(1, 200))
+    one = frame(0xFE, 0x94, 0xC0, body, 128)  # layer I, mono
+    two = frame(0xFC, 0x94, 0x00, bytes(120), 11 * 8 + 12 * 6 + 4 * 4)  # layer II, stereo, nothing allocated
+    got = media.parse(one * 3)
+    assert (len(got["offsets"]), got["crc_checked"], got["crc_good"]) == (3, 3, 3)
+    got = media.parse(two * 3)
+    assert (len(got["offsets"]), got["crc_checked"], got["crc_good"]) == (3, 3, 3)
+    bad = bytearray(one * 3)
+    bad[8] ^= 1
+    assert media.parse(bytes(bad))["crc_good"] == 2
+    mixed = media.parse(one * 3 + b"damage" + two * 4)
+    assert (len(mixed["offsets"]), mixed["junk"], mixed["resyncs"]) == (7, 6, 1)
+    assert mixed["seconds"] == media.Fraction(3 * 384, 48000) + media.Fraction(4 * 1152, 48000)
+
+
+def test_tables_and_free_format():
+    head = bytes([0xFF, 0xFB, 0x90, 0x00])  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz, stereo, no checksum
+    size = media.Header.read(*head).size
+    plain = head.ljust(size, b"\0")
+    vbri = head + bytes(32) + b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (9000).to_bytes(4, "big") + (7).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"\0\1\0\2\1\0"
+    got = media.parse(vbri.ljust(size, b"\0") + plain * 4)
+    assert (got["table"], got["table_bytes"], got["table_frames"], got["toc"], len(got["offsets"])) == ("VBRI", 9000, 7, [2, 4, 512], 4)
+    xing = head + bytes(32) + b"Xing" + (7).to_bytes(4, "big") + (4).to_bytes(4, "big") + (5 * size).to_bytes(4, "big") + bytes(range(100))
+    got = media.parse(xing.ljust(size, b"\0") + plain * 4)
+    assert (got["table"], got["table_frames"], got["table_bytes"], got["toc"]) == ("Xing", 4, 5 * size, list(range(100)))
+    free = bytes([0xFF, 0xFB, 0x00, 0x00]).ljust(500, b"\1")
+    got = media.parse(free * 4)
+    assert got["offsets"] == [0, 500, 1000, 1500] and got["seconds"] == media.Fraction(4 * 1152, 44100)
+
+
+def test_tags():
+    text = b"TXXX" + (8).to_bytes(4, "big") + b"\0\0" + b"\0key\0\xff\0\xe0b"
+    body = (6).to_bytes(4, "big") + bytes(6) + text  # an extended header in front, bytes 0 put in behind 0xFF
+    tag = b"ID3\3\0\xc0" + bytes(len(body) >> s & 127 for s in (21, 14, 7, 0)) + body
+    frames = bytes([0xFF, 0xFB, 0x90, 0x00]).ljust(417, b"\0") * 3
+    got = media.parse(tag + tag + frames + b"TAG".ljust(128, b"x"))
+    assert len(got["offsets"]) == 3 and got["offsets"][0] == 2 * len(tag) and got["junk"] == 0 and "key" in got["tags"]
+
+
+def test_probe(spark):
+    stream = media.pack(media.padded(b"abc" * 700))
+    rows = spark.createDataFrame([(1, bytearray(stream), "x"), (2, None, "y"), (3, bytearray(b"noise"), "z")], "id long, media binary, rate string")
+    got = {r.id: r for r in media.probe(rows).collect()}
+    by_hand = [k for k in range(len(stream) - 3) if stream[k : k + 2] == b"\xff\xfa" and media.Header.read(*stream[k : k + 4])]
+    assert got[1].seek_offsets == by_hand[1:] and got[1].n_frames == len(by_hand) - 1 and got[1].seconds == pytest.approx(1152 * got[1].n_frames / 48000)
+    assert got[1].table_frames == got[1].n_frames and got[1].crc_good == got[1].crc_checked
+    assert got[2].n_frames == got[3].n_frames == 0 and got[2].seconds is None and got[3].seek_offsets == []
+    assert media.probe(rows.limit(0)).count() == 0
+
+
+def test_ring_by_hand(spark):
+    import xxhash
+
+    def spark_hash(word: str, number: int) -> int:
+        return xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(word.encode(), 42))
+
+    shards, virtual, n = 5, 8, 1000
+    nodes: dict[int, int] = {}
+    for i in range(shards * virtual):
+        at = spark_hash("ring", i) >> 48
+        nodes[at] = min(nodes.get(at, shards), i % shards)
+    ring = sorted(nodes.items())
+    arc_of = {i: next((a for a, (at, _) in enumerate(ring) if at >= spark_hash("key", i) >> 48), 0) for i in range(n)}
+    free = [n // shards + (s < n % shards) for s in range(shards)]
+    want: Counter = Counter()
+    for arc in range(len(ring)):
+        left = sum(a == arc for a in arc_of.values())
+        for s in dict.fromkeys(s for _, s in ring[arc:] + ring[:arc]):
+            take = min(left, free[s])
+            left, free[s] = left - take, free[s] - take
+            want[arc, s] += take
+    got = Counter((arc_of[r.id], r.shard) for r in sharding.assign(spark.range(n), "id", shards, virtual).collect())
+    assert +got == +want
+
+
+def test_toxicity_reads_whole_words(spark):
+    """A word that only begins like one of the lexicon isn't one."""
+    data = "worthlessness garbagebag w0rthless".encode()
+    read, first, last = toxicity.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert [bool(x) for x in np.isin(toxicity.common.hashes(read, first, last), toxicity._hashed(toxicity.INSULTS))] == [False, False, True]
+    docs = spark.createDataFrame([(None, "a b"), (1, "c d")], "doc_id long, text string")
+    assert {r.doc_id: r.held_out for r in toxicity.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()}[None] is False
+    assert toxicity.score(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_bpe_encode_and_decode(spark, docs):
+    t = library()
+    ids = bpe.encode(docs)
+    for r in ids.collect():
+        assert r.ids == t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+    for r in bpe.decode(ids).collect():
+        assert r.text == t.decode(t.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_long_texts(spark):
+    """A text of some megabytes beside short ones, with its own repeats."""
+    long = prose(200, 800) + " " + " ".join(f"w{i}" for i in range(400_000)) + " " + prose(200, 800)
+    rows = spark.createDataFrame([(1, long), (2, "short"), (3, long[:3000])], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in substrings.digest(rows).collect()}
+    n = len(prose(200, 800).encode())
+    assert got[1].n_removed >= 2 * n and got[3].n_removed == 3000 + len(long[:3000].encode()) - 3000 and got[2].n_removed == 0
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(rows).collect()} == {1: 1, 2: 2, 3: 3}
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(399_980, 399_999)))], "item_id long, text string")
+    hits = {r.doc_id: sum(s.hi - s.lo for s in r.spans) for r in decontaminate.scan(rows, bench).collect()}
+    assert hits == {1: 19, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_tokens for r in ppm.score(rows).collect()}[1] == len(long.split()) + 1
+    t = library()
+    assert {r.doc_id: r.n_tokens for r in bpe.digest(rows).collect()}[1] == len(t.encode(long, add_special_tokens=False).ids)

@@ -22,8 +22,8 @@ STEP_BYTES = 2 << 20
 #: Bytes of an Arrow batch that Spark hands to a Python task, where the session doesn't say.
 BATCH_BYTES = 4 << 20
 
-#: The column that numbered() adds.
-ROW = "__row"
+#: The column that numbered() adds. Names that begin with __umbra_ are this library's; any other column may be in a table.
+ROW = "__umbra_row"
 
 _shipped: set[str] = set()
 
@@ -96,7 +96,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def without(rows: DataFrame, hit: DataFrame) -> DataFrame:
     """Numbered rows without those whose number is in hit (one column), and without the number."""
-    return rows.join(hit.toDF("__hit"), F.col(ROW) == F.col("__hit"), "left_anti").drop(ROW)
+    return rows.join(hit.toDF("__umbra_hit"), F.col(ROW) == F.col("__umbra_hit"), "left_anti").drop(ROW)
 
 
 def tidy(spark: SparkSession, *tables: DataFrame) -> None:

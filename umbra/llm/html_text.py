@@ -33,7 +33,8 @@ ROUNDS = 250
 
 # Fixed values of HTML: elements that never have content, raw-text elements that aren't shown, block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template textarea select svg math iframe object canvas head title audio video datalist".split())
+UNSEEN = frozenset("script style noscript template textarea select svg iframe head title audio video datalist".split())
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag ends an open element of these kinds, unless an element of the second set is open within it.
@@ -54,8 +55,12 @@ ATTRIBUTE_WORDS = {
     "main": "article post entry content story body main text prose".split(),
 }
 _WORD_KIND = {w: kind for kind, words in ATTRIBUTE_WORDS.items() for w in words}
-_TEXT = ["words<=3", "words<=8", "words<=20", "words<=50", "words>50", "links none", "links few", "links some", "links most", "stop", "comma", "capital", "copyright", "digits", "sign"]
-_PLACE = ["first tenth", "last tenth", "before heading", "after heading"]
+# How headings of reader comments, and notes of rights, begin or end.
+COMMENT_CUES = ("comment", "comments", "leave a", "replies", "responses", "discussion", "join the", "kommentare", "commentaires", "comentarios")
+RIGHTS_CUES = ("©", "copyright", "(c) ")
+RIGHTS_ENDS = ("all rights reserved", "all rights reserved.", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados")
+_TEXT = ["words<=3", "words<=8", "words<=20", "words<=50", "words>50", "links none", "links few", "links some", "links most", "stop", "comma", "capital", "copyright", "digits", "sign", "comments cue"]
+_PLACE = ["first tenth", "last tenth", "before heading", "after heading", "after comments cue", "site heading"]
 FEATURES = {name: i for i, name in enumerate(["bias", *(f"in {t}" for t in TAGS), *(f"is {t}" for t in [*TAGS, "other"]), *(f"told {k}" for k in ATTRIBUTE_WORDS), "article header", "alone", *_TEXT, *_PLACE])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -130,7 +135,7 @@ def blocks(page: str) -> list[Block]:
                         break
         elif tag == "br" and not unseen:
             text.append(" ")
-        if tag == "body" and unseen and "head" in stack:
+        if unseen and "head" in stack and tag not in HEAD:  # a head without its end tag ends here
             close(stack.index("head"))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -151,7 +156,9 @@ def blocks(page: str) -> list[Block]:
 
 def features(found: list[Block]) -> list[list[int]]:
     """The features that each block of a page has."""
-    f, out, heading = FEATURES, [], next((i for i, b in enumerate(found) if "h1" in b.stack), -1)
+    f, out = FEATURES, []
+    heading = next((i for i, b in enumerate(found) if "h1" in b.stack and ("header" not in b.stack or "article" in b.stack or "main" in b.stack)), -1)
+    cued = False
     for i, b in enumerate(found):
         own = [f["bias"], *(f[f"in {t}"] for t in set(b.stack) if t in _TAG_SET)]
         inner = next((t for t in reversed(b.stack) if t in BLOCK), "other")
@@ -164,8 +171,12 @@ def features(found: list[Block]) -> list[list[int]]:
         words, linked, t = b.text.count(" ") + 1, b.links / len(b.text), b.text
         own.append(f["words<=3" if words <= 3 else "words<=8" if words <= 8 else "words<=20" if words <= 20 else "words<=50" if words <= 50 else "words>50"])
         own.append(f["links none" if not linked else "links few" if linked < 0.3 else "links some" if linked < 0.7 else "links most"])
-        own += [f[name] for name, holds in (("stop", t[-1] in ".!?…:\"”»"), ("comma", "," in t), ("capital", t[0].isupper()), ("copyright", t[0] == "©"), ("digits", t[0].isdigit()), ("sign", "|" in t or "»" in t or "@" in t)) if holds]
-        own += [f[name] for name, holds in (("first tenth", i * 10 < len(found)), ("last tenth", (i + 1) * 10 > len(found) * 9), ("before heading", i < heading), ("after heading", 0 <= heading < i)) if holds]
+        low = t[:60].lower()
+        rights = low.startswith(RIGHTS_CUES) or t[-40:].lower().endswith(RIGHTS_ENDS)
+        cue = words <= 5 and low.lstrip("0123456789 (").startswith(COMMENT_CUES) and "article" not in b.stack
+        own += [f[name] for name, holds in (("stop", t[-1] in ".!?…:\"”»"), ("comma", "," in t), ("capital", t[0].isupper()), ("copyright", rights), ("comments cue", cue), ("digits", t[0].isdigit()), ("sign", "|" in t or "»" in t or "@" in t)) if holds]
+        own += [f[name] for name, holds in (("first tenth", i * 10 < len(found)), ("last tenth", (i + 1) * 10 > len(found) * 9), ("before heading", i < heading), ("after heading", 0 <= heading < i), ("after comments cue", cued), ("site heading", "h1" in b.stack and "header" in b.stack and "article" not in b.stack)) if holds]
+        cued = cued or cue
         out.append(own)
     return out
 
@@ -211,7 +222,9 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
         if pick == "menu":
             return _menu("nav", "menu")
         if pick == "header":
-            return part("header", "header", [f"<div>{word()}</div>", f"<p>{sentence(2, 5)}</p>"])
+            name = " ".join(word() for _ in range(r.randint(1, 3))).title()
+            top = r.choice([f"<div>{name}</div>", f"<h1>{name}</h1>", f'<a href="/">{name}</a>', f"<p>{name}</p>"])
+            return part("header", "header", [top, *([f"<p>{sentence(2, 5)}</p>"] if not top.startswith("<a") else [])])
         if pick == "notice":
             return part("aside", "notice", [f"<p>{sentence()}</p>", f"<button>{word()}</button>"], 1)
         if pick == "advert":
@@ -220,10 +233,17 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
             return part("form", "form", [f"<label>{word()}</label>", f"<button>{word()}</button>"], 1)
         if pick == "side":
             return part("aside", "side", [f"<h3>{word()}</h3>", *(f"<p>{x}</p>" for x in links(3)), f"<p>{sentence()}</p>"], 1)
+        if pick == "comments" and r.random() < 0.4:  # without telling tags or attributes but for its heading
+            cue = r.choice(["Comments", "{} comments", "Leave a reply", "Discussion", "Comments ({})"]).format(r.randint(1, 99))
+            rows = [r.choice(["<div>{}</div>", "<div><p>{}</p></div>", "<p>{}</p>"]).format(f"{word()}: {prose()}" if r.random() < 0.5 else prose()) for _ in range(r.randint(1, 5))]
+            return f"<div><{(t := r.choice(('h2', 'h3', 'p')))}>{cue}</{t}>{''.join(rows)}</div>", 1 + len(rows)
         if pick == "comments":
             return part("section", "comments", [f"<h3>{word()}</h3>", *(f"<p>{prose()}</p>" for _ in range(r.randint(1, 5)))], 1)
         if pick == "share":
             return part("div", "share", [f"<span>{' '.join(links(3))}</span>"], 1)
+        if r.random() < 0.35:
+            note = r.choice(["Copyright {} {}. All rights reserved.", "&copy; {} {}", "(c) {} {}, all rights reserved", "{} {}. All rights reserved."]).format(r.randint(1990, 2026), word().title())
+            return r.choice(["<div>{}</div>", "<div><p>{}</p></div>", "<p>{}</p>"]).format(note), 1
         return part("footer", "footer", [f"&copy; {word()}.example &middot; {sentence(3, 9)}"] if r.random() < 0.6 else [f"<p>&copy; {word()}</p>", f"<p>{' '.join(links(4))}</p>"])
 
     def _menu(tag: str, kind: str) -> tuple[str, int]:
@@ -234,6 +254,8 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
         out = [(f"<h1>{sentence(3, 9)[:-1]}</h1>", 1)]
         for _ in range(r.randint(1, 9)):
             kind = r.choice(["p"] * 9 + ["h2", "ul", "quote", "bare", "table", "pre"])
+            if r.random() < 0.04:  # a licence line of the text itself
+                out.append((f"<p>{r.choice(('All rights reserved.', f'Copyright {word()}.', f'© {word()}. All rights reserved.'))}</p>", 1))
             if kind == "ul":
                 n = r.randint(2, 4)
                 out.append(("<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(n)) + "</ul>", n))
@@ -251,7 +273,7 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
         for where in ["top"] * r.randint(0, 3):
             x, n = junk(where)
             body, labels = body + x, labels + [0] * n
-        opening, closing = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<div>", "</div>")])
+        opening, closing = r.choice([("<article>", "</article>")] * 3 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<div>", "</div>"), ("", "")])
         body += opening
         for x, n in article():
             body, labels = body + x, labels + [1] * n
@@ -344,12 +366,12 @@ def extract(pages: DataFrame, html_column: str = "html", chain: Chain | None = N
     kept = [f for f in pages.schema.fields if f.name not in (html_column, into)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, "__html"):
+        for batch in common.steps(batches, "__umbra_html"):
             texts = [main_text(x, shared.value) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + f"`{into}` string"
-    return pages.select(*[f"`{f.name}`" for f in kept], F.col(html_column).cast("string").alias("__html")).mapInArrow(common.lean(run), schema)
+    return pages.select(*[f"`{f.name}`" for f in kept], F.col(html_column).cast("string").alias("__umbra_html")).mapInArrow(common.lean(run), schema)
 
 
 def op7_crf_main_text(spark, sf_dir: str) -> DataFrame:

@@ -14,12 +14,13 @@ size; (4) each part is broadcast in turn and adds what it predicts to the code l
 to their blocks, and documents are summed there. The tables of words and contexts grow with the corpus; no broadcast,
 task or group does.
 
-Defined results: null and empty texts are one end; repeated rows count and are scored each for itself; without training
+Defined results: null and empty texts are one end; a null doc_id is held out or not as id 0 is; repeated rows count and are scored each for itself; without training
 rows the trie is empty and every byte costs 1/256; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -233,16 +234,18 @@ def code_lengths(words: DataFrame, trained: DataFrame, order: int = ORDER) -> Da
     return out
 
 
-_tries: dict[int, Trie] = {}
+_tries: dict[str, Trie] = {}
 
 
 def _adder(shared, part: int, parts: int, order: int) -> Callable:
+    key = uuid.uuid4().hex  # of this part, on the driver: workers outlive broadcasts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, gram, n, discount = shared.value
-        if id(shared.value) not in _tries:
+        if key not in _tries:
             _tries.clear()
-            _tries[id(shared.value)] = Trie(level, gram.view(np.uint64), n, discount, order)
-        trie = _tries[id(shared.value)]
+            _tries[key] = Trie(level, gram.view(np.uint64), n, discount, order)
+        trie = _tries[key]
         for batch in common.steps(batches, "word", 1 << 20):
             data, place, owner = symbols(batch.column(0))
             context = contexts(data, place, order)
@@ -252,7 +255,7 @@ def _adder(shared, part: int, parts: int, order: int) -> Callable:
             added = np.bincount(owner[mine], lp, minlength=batch.num_rows)
             yield common.record(["word", "c", "lp"], [batch.column(0), batch.column(1), pa.array(batch.column(2).to_numpy() + added)])
 
-    return run
+    return common.lean(run)
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:

@@ -273,13 +273,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for text, a, b in _cut(batch, length):
                 ends = [0, *np.stack([a, b], 1).ravel().tolist(), len(text)] if len(a) else [0, len(text)]
                 texts.append("".join([bytes(text[x:y]).decode("utf-8", "ignore") for x, y in zip(ends[::2], ends[1::2], strict=True)]))
-            yield common.record(["__of", "__text"], [batch.column(0), pa.array(texts, pa.string())])
+            yield common.record(["__umbra_of", "__umbra_text"], [batch.column(0), pa.array(texts, pa.string())])
 
     rows = common.numbered(docs)
-    cut = _texts(rows).join(_lists(rows, length), F.col(common.ROW) == F.col("row")).select("row", "text", "own").mapInArrow(common.lean(run), "__of long, __text string")
-    out = rows.join(cut, F.col(common.ROW) == F.col("__of"), "left")
-    text = F.coalesce("__text", "text")
-    columns = [text.alias("text") if c == "text" else F.when(F.col("__of").isNotNull(), F.char_length("__text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    cut = _texts(rows).join(_lists(rows, length), F.col(common.ROW) == F.col("row")).select("row", "text", "own").mapInArrow(common.lean(run), "__umbra_of long, __umbra_text string")
+    out = rows.join(cut, F.col(common.ROW) == F.col("__umbra_of"), "left")
+    text = F.coalesce("__umbra_text", "text")
+    columns = [text.alias("text") if c == "text" else F.when(F.col("__umbra_of").isNotNull(), F.char_length("__umbra_text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*columns)
 
 

@@ -9,7 +9,10 @@ the order of a hash of the id. The beginnings are learnt on one half for the fea
 round, the trees on two thirds, the calibration on the last third; beginnings for scoring come from the whole sample.
 No other column but the text is an input of a score.
 
-Defined results: null and empty texts have all features 0 and are scored as such; a document with both labels counts as
+Scores are the calibrated shares, with a thousandth of the trees' own output mixed in, so that texts of one step of the
+calibration keep their order.
+
+Defined results: a null doc_id is not held out; null and empty texts have all features 0 and are scored as such; a document with both labels counts as
 toxic; null labels don't count; if the sample lacks one of the labels, all scores are its share of toxic rows (0 without
 rows); repeated rows are scored each for itself.
 """
@@ -33,6 +36,8 @@ from umbra.llm import chunks, common
 #: Labelled rows that a fit uses at most.
 SAMPLE_ROWS = 10_000
 THRESHOLD = 0.3
+#: Share of the trees' own output in a score.
+OWN = 0.001
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
 LENGTHS = (3, 4, 5, 6, 7, 8)
@@ -65,10 +70,6 @@ def codes(read: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) ->
     return np.where(last - first >= length, out, 0)
 
 
-def _code(word: str) -> int:
-    return int.from_bytes(word.encode()[:8], "big")
-
-
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The text as read, and its words: runs of letters and look-alikes with at least one letter in front or behind."""
     first, last = chunks.starts(data, bounds, _LETTER[data] | _MASKED[data])
@@ -77,13 +78,9 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return _READ[data], first[keep], last[keep]
 
 
-def _whole(read: np.ndarray, first: np.ndarray, last: np.ndarray, lexicon: list[str]) -> np.ndarray:
-    """Which words are in the lexicon; of long ones the first 8 bytes count."""
-    size = np.minimum(last - first, 8)
-    packed = np.zeros(len(first), np.uint64)
-    for k in range(8):
-        packed = np.where(size > k, packed << np.uint64(8) | read[np.minimum(first + k, max(len(read) - 1, 0))], packed)
-    return np.isin(packed, np.array(sorted({_code(w) for w in lexicon}), np.uint64))
+def _hashed(lexicon: list[str]) -> np.ndarray:
+    ends = np.cumsum([0, *(len(w.encode()) for w in lexicon)])
+    return common.hashes(np.frombuffer("".join(lexicon).encode(), np.uint8), ends[:-1], ends[1:])
 
 
 def features(data: np.ndarray, bounds: np.ndarray, lexicon: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -107,7 +104,8 @@ def features(data: np.ndarray, bounds: np.ndarray, lexicon: dict[int, tuple[np.n
             code = codes(read, first, last, length)
             at = np.minimum(np.searchsorted(known, code), len(known) - 1)
             weight = np.maximum(weight, np.where(known[at] == code, value[at], 0))
-    fixed, person = _whole(read, first, last, INSULTS), _whole(read, first, last, PERSONS)
+    whole = common.hashes(read, first, last)
+    fixed, person = np.isin(whole, _hashed(INSULTS)), np.isin(whole, _hashed(PERSONS))
     hit = (weight > 0) | fixed
     text = np.searchsorted(upto, np.arange(len(first)), side="right") - 1
     persons = np.concatenate([[0], np.cumsum(person)])
@@ -201,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: tupl
     labelled = sample(docs, labels, rows)
     share = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
-    held_out = ~training_column()
+    held_out = F.coalesce(~training_column(), F.lit(False))
     if not share.n or not 0 < share.toxic < share.n:
         value = float(share.toxic / share.n) if share.n else 0.0
         return texts.select("doc_id", *key, held_out.alias("held_out"), F.lit(value).alias("score"), F.lit(int(value >= THRESHOLD)).alias("predicted"))
@@ -215,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: tupl
     judged = trees.transform(train.where(F.col("fold") >= 4)).select(raw.alias("raw"), "label")
     fitted = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(judged)
     table = trees.transform(vectors.transform(with_features(texts, full, "".join(f"{c} long, " for c in key))).select("doc_id", *key, "features")).select("doc_id", *key, raw.alias("raw"))
-    scored = fitted.transform(table).select("doc_id", *key, held_out.alias("held_out"), F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+    scored = fitted.transform(table).select("doc_id", *key, held_out.alias("held_out"), F.least(F.greatest(F.lit(1 - OWN) * F.col("score") + F.lit(OWN) * F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
