@@ -120,6 +120,15 @@ def test_decontamination(spark, docs, monkeypatch, block):
     assert got == sorted(want)
 
 
+def test_cut_spans(spark, docs):
+    bench = spark.createDataFrame(BENCH[:1], "item_id long, text string")
+    left = decontaminate.cut_spans(docs, bench)
+    assert left.columns == docs.columns
+    got = {(r.doc_id, r.seq): r.text for r in left.collect()}
+    part = BENCH[0][1]
+    assert got == {(i, q): t and t.replace(part, "") for i, t, _, _, q in ROWS}
+
+
 def test_empty_benchmark(spark, docs):
     assert decontaminate.without_spans(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(ROWS)
 

@@ -99,6 +99,12 @@ def without(rows: DataFrame, hit: DataFrame) -> DataFrame:
     return rows.join(hit.toDF("__umbra_hit"), F.col(ROW) == F.col("__umbra_hit"), "left_anti").drop(ROW)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """docs with names that clash with nothing, and these names with their types."""
+    names = [f"__umbra_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [(n, f.dataType.simpleString()) for n, f in zip(names, docs.schema.fields, strict=True)]
+
+
 def tidy(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and let Spark drop shuffle files of finished steps."""
     for path in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:

@@ -243,24 +243,32 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterato
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans array<struct<lo, hi>> (hit words, end excluded), items array<long>. No shuffle."""
-    spark = docs.sparkSession
+SPANS, ITEMS, WORDS = "__umbra_spans", "__umbra_items", "__umbra_words"
+
+
+def _scanned(table: DataFrame, text: str, benchmark: DataFrame, item_column: str, item_text: str, window: int) -> DataFrame:
+    """The table with the number of words of its text, hit spans and found items; one pass for each block of the benchmark."""
+    spark, out = table.sparkSession, None
     common.ship(spark)
-    schema = "doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<long>"
-    out = None
+    kind = "array<struct<lo:bigint,hi:bigint>>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields), f"{WORDS} bigint, {SPANS} {kind}, {ITEMS} array<bigint>"])
     for block in _blocks(benchmark, item_column, item_text):
         shared = spark.sparkContext.broadcast(block)
-        before = common.id_text(docs, id_column, text_column).withColumns({"spans": F.array().cast("array<struct<lo:long,hi:long>>"), "items": F.array().cast("array<long>")}) if out is None else common.stored(out, "scan")
-        source = before.select("doc_id", "text", "spans", "items")
-        out = source.mapInArrow(_searcher(shared, window), schema + ", text string")
-    return out.drop("text")
+        before = table.withColumns({WORDS: F.lit(0).cast("long"), SPANS: F.array().cast(kind), ITEMS: F.array().cast("array<bigint>")}) if out is None else common.stored(out, "scan")
+        out = before.mapInArrow(_searcher(shared, text, window), schema)
+    return out
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, spans array<struct<lo, hi>> (hit words, end excluded), items array<long>. No shuffle."""
+    found = _scanned(common.id_text(docs, id_column, text_column), "text", benchmark, item_column, item_text, window)
+    return found.select("doc_id", F.col(WORDS).alias("n_words"), F.col(SPANS).alias("spans"), F.col(ITEMS).alias("items"))
 
 
 _made: dict[str, Windows] = {}
 
 
-def _searcher(shared, window: int):
+def _searcher(shared, text_column: str, window: int):
     key = uuid.uuid4().hex  # of this block, on the driver: workers outlive broadcasts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +276,10 @@ def _searcher(shared, window: int):
             _made.clear()
             _made[key] = Windows(shared.value, window)
         windows = _made[key]
-        for batch in common.steps(batches, "text", STEP_BYTES):
-            count, text, word, which = shard_hits(*common.bytes_view(batch.column(1)), windows)
-            spans, items = [x or [] for x in batch.column(2).to_pylist()], [x or [] for x in batch.column(3).to_pylist()]
+        for batch in common.steps(batches, text_column, STEP_BYTES):
+            own = batch.num_columns - 3
+            count, text, word, which = shard_hits(*common.bytes_view(batch.column(batch.schema.get_field_index(text_column))), windows)
+            spans, items = ([x or [] for x in batch.column(own + k).to_pylist()] for k in (1, 2))
             order = np.argsort(text, kind="stable")
             text, word, which = text[order], word[order], which[order]
             begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else []
@@ -281,15 +290,45 @@ def _searcher(shared, window: int):
                 spans[t] = [{"lo": x, "hi": y} for x, y in merged(low, high)]
                 items[t] = sorted({*items[t], *(i for w in np.unique(which[a:b]).tolist() for i in windows.items[w] if i is not None)})
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield common.record(["doc_id", "n_words", "spans", "items", "text"], [batch.column(0), pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64())), batch.column(1)])
+            yield common.record(batch.schema.names, [*batch.columns[:own], pa.array(count, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))])
 
     return common.lean(run)
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (all columns) without contaminated rows."""
-    rows = common.numbered(docs)
-    return common.without(rows, scan(rows, benchmark, id_column=common.ROW).where(F.size("spans") > 0).select("doc_id"))
+def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs (all columns) with the hit words of each text cut out, from the first one's start to the last one's end; n_chars, where docs has it, follows."""
+    return _apply(docs, benchmark, window, whole=False)
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs (all columns) without contaminated rows: each row is decided by its own text, in one pass."""
+    return _apply(docs, benchmark, window, whole=True)
+
+
+def _apply(docs: DataFrame, benchmark: DataFrame, window: int, whole: bool) -> DataFrame:
+    table, keep = common.renamed(docs)
+    names = dict(zip(docs.columns, keep, strict=True))
+    found = _scanned(table, names["text"][0], benchmark, "item_id", "text", window)
+    if whole:
+        return found.where(F.size(SPANS) == 0).drop(WORDS, SPANS, ITEMS).toDF(*docs.columns)
+    text, own = names["text"][0], [n for n, _ in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(batches, text):
+            texts = []
+            for t, spans in zip(batch.column(own.index(text)).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
+                if spans:
+                    raw = np.frombuffer(t.encode(), np.uint8)
+                    _, first, last = words(raw, np.array([0, len(raw)]))
+                    ends = [0, *(int(x) for s in spans for x in (first[s["lo"]], last[s["hi"] - 1])), len(raw)]
+                    t = b"".join(raw[a:b].tobytes() for a, b in zip(ends[::2], ends[1::2], strict=True)).decode()
+                texts.append(t)
+            columns = list(batch.columns[: len(own)])
+            columns[own.index(text)] = pa.array(texts, pa.string())
+            yield common.record(own, columns)
+
+    out = found.select(*own, SPANS).mapInArrow(common.lean(run), ", ".join(f"`{n}` {t}" for n, t in keep)).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(names["n_chars"][1])) if "n_chars" in docs.columns else out
 
 
 def op2_fm_index(spark, sf_dir: str) -> DataFrame:

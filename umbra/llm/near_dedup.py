@@ -248,7 +248,7 @@ def classified(numbered: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     more = common.stored(_compared(common.stored(_left_over(tested, labels, texts, similarity), "pairs"), texts), "compared").where(F.col("alike") >= similarity).select("a", "b")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    common.tidy(spark)
+    common.tidy(spark, tested, texts)
     linked = same.select("first", "lead").join(labels.withColumnRenamed("node", "first"), "first")
     leads = linked.join(linked.groupBy("label").agg(F.min("lead").alias("best")), "label").select("first", "best")
     firsts = same.select("h1", "h2", "first", "lead").join(leads, "first", "left").select("h1", "h2", F.coalesce("best", "lead").alias("best"))

@@ -179,48 +179,55 @@ def lexicons(labelled: DataFrame) -> list[dict[int, tuple[np.ndarray, np.ndarray
     return out
 
 
-def with_features(docs: DataFrame, lexicon, keep: str = "") -> DataFrame:
-    """doc_id, columns named in `keep` ("name type, "), and FEATURES as doubles."""
+def with_features(docs: DataFrame, lexicon, keep: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """The columns (name, type) in `keep`, and FEATURES of the text as doubles."""
     common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    names = [x.split()[0] for x in keep.split(",") if x.strip()]
+    names = [n for n, _ in keep]
+    columns = [*dict.fromkeys([*names, text])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches):
-            rows = features(*common.bytes_view(batch.column(1)), shared.value)
-            yield common.record(["doc_id", *names, *FEATURES], [batch.column(0), *batch.columns[2:], *(pa.array(np.ascontiguousarray(c)) for c in rows.T)])
+        for batch in common.steps(batches, text):
+            rows = features(*common.bytes_view(batch.column(columns.index(text))), shared.value)
+            yield common.record([*names, *FEATURES], [*batch.columns[: len(names)], *(pa.array(np.ascontiguousarray(c)) for c in rows.T)])
 
-    return docs.select("doc_id", "text", *names).mapInArrow(common.lean(run), "doc_id long, " + keep + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.select(*columns).mapInArrow(common.lean(run), ", ".join([f"`{n}` {t}" for n, t in keep] + [f"{f} double" for f in FEATURES]))
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, columns of integers named in `key`, held_out, score, predicted of each text."""
-    common.ship(docs.sparkSession)
+def _scored(docs: DataFrame, labels: DataFrame, table: DataFrame, keep: list[tuple[str, str]], text: str, rows: int) -> DataFrame:
+    """The columns in `keep` of the table, __umbra_score of its text; fitted to the labelled rows of docs."""
     labelled = sample(docs, labels, rows)
     share = labelled.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
-    held_out = F.coalesce(~training_column(), F.lit(False))
     if not share.n or not 0 < share.toxic < share.n:
         value = float(share.toxic / share.n) if share.n else 0.0
-        return texts.select("doc_id", *key, held_out.alias("held_out"), F.lit(value).alias("score"), F.lit(int(value >= THRESHOLD)).alias("predicted"))
+        return table.select(*[n for n, _ in keep], F.lit(value).alias("__umbra_score"))
     for_even, for_odd, full = lexicons(labelled)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    halves = [with_features(labelled.where(F.col("fold") % 2 == h), lex, "toxic int, fold int, ") for h, lex in ((0, for_even), (1, for_odd))]
+    halves = [with_features(labelled.where(F.col("fold") % 2 == h), lex, [("toxic", "int"), ("fold", "int")]) for h, lex in ((0, for_even), (1, for_odd))]
     rows_ = common.stored(halves[0].unionByName(halves[1]), "features")
     train = vectors.transform(rows_).select("features", F.col("toxic").cast("double").alias("label"), "fold")
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, seed=7, maxBins=32).fit(train.where(F.col("fold") < 4))
     raw = vector_to_array("probability")[1]
     judged = trees.transform(train.where(F.col("fold") >= 4)).select(raw.alias("raw"), "label")
     fitted = IsotonicRegression(featuresCol="raw", predictionCol="score").fit(judged)
-    table = trees.transform(vectors.transform(with_features(texts, full, "".join(f"{c} long, " for c in key))).select("doc_id", *key, "features")).select("doc_id", *key, raw.alias("raw"))
-    scored = fitted.transform(table).select("doc_id", *key, held_out.alias("held_out"), F.least(F.greatest(F.lit(1 - OWN) * F.col("score") + F.lit(OWN) * F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    found = trees.transform(vectors.transform(with_features(table, full, keep, text)).select(*[n for n, _ in keep], "features"))
+    scored = fitted.transform(found.select(*[n for n, _ in keep], raw.alias("raw")))
+    mixed = F.lit(1 - OWN) * F.col("score") + F.lit(OWN) * F.col("raw")
+    return scored.select(*[n for n, _ in keep], F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0)).alias("__umbra_score"))
+
+
+def score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted of each text."""
+    found = _scored(docs, labels, common.id_text(docs), [("doc_id", "bigint")], "text", rows)
+    held_out = F.coalesce(~training_column(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("__umbra_score").alias("score"), (F.col("__umbra_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (all columns) without the rows that are predicted toxic."""
-    rows = common.numbered(docs)
-    return common.without(rows, score(rows, labels, key=(common.ROW,)).where(F.col("predicted") == 1).select(common.ROW))
+    """docs (all columns) without the rows that are predicted toxic: each row is decided by its own text, in one pass."""
+    table, keep = common.renamed(docs)
+    found = _scored(docs, labels, table, keep, keep[docs.columns.index("text")][0], SAMPLE_ROWS)
+    return found.where(F.col("__umbra_score") < THRESHOLD).drop("__umbra_score").toDF(*docs.columns)
 
 
 def op8_boosted_toxicity(spark, sf_dir: str) -> DataFrame:
