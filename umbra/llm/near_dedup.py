@@ -155,8 +155,9 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Merge joins at every size: few pairs aren't broadcast, so that plans and their cost follow the input."""
     ta, tb = (texts.select(F.col("row").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    return pairs.hint("merge").join(ta, "a").hint("merge").join(tb, "b").select("a", "b", "ta", "tb")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -240,7 +241,7 @@ def classified(numbered: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     pairs = members.join(hubs, "bucket").where(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     needed = members.select(F.col("doc").alias("id")).distinct()
     whole = numbered.select(F.col(common.ROW).alias("row"), F.col("text").cast("string").alias("text"))
-    texts = common.stored(whole.join(needed, whole["row"] == needed["id"], "left_semi"), "compared")
+    texts = common.stored(whole.join(needed.hint("merge"), whole["row"] == needed["id"], "left_semi"), "compared")
     tested = common.stored(_compared(pairs, texts), "tested")
     links = tested.where(F.col("alike") >= similarity).select("a", "b")
     labels = components(links)
