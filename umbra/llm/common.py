@@ -7,9 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra import workers
+
 #: Text bytes that one step of a Python task works on at a time (one longer text is one step).
 STEP_BYTES = 2 << 20
 #: Bytes of an Arrow batch that Spark hands to a Python task, where the session doesn't say.
@@ -25,23 +25,12 @@ BATCH_BYTES = 4 << 20
 #: The column that numbered() adds. Names that begin with __umbra_ are this library's; any other column may be in a table.
 ROW = "__umbra_row"
 
-_shipped: set[str] = set()
-
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for each Spark application, and bound Arrow batches by bytes: rows may be long."""
-    sc = spark.sparkContext
     if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="umbra-"), "umbra.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
+    workers.ship(spark)
 
 
 def lean(run: Callable, *forget: Callable) -> Callable:
