@@ -50,6 +50,17 @@ RULES = (
     Rule("enterprise_by_strong_cue", "SUPPLIER", "high", 0.84, r"(?:未登记(?:机构|主体|顾问|供应商|相对方)|未登记项目名|供应商|相对方|候选人来自未登记机构|来自未登记机构)[为是:：]?\s*([一-龥]{2,20}" + _FIRM + ")", ("未登记", "供应商", "相对方"), 1),
     Rule("enterprise_after_partner_cue", "SUPPLIER", "high", 0.83, r"与((?!(?:(?:商办|住宅|办公|商业|本|该)?(?:项目|地块|股权)|股同权|同股同权|进行|实施|后续))[一-龥]{2,20}" + _FIRM + r")(?=就|协商|洽谈|沟通|联络|核对|确认|结算|谈判|提交|对接|发生|报价|，|。)", ("与",), 1),
 )
+# Public regions and authorities, read only where a profile asks for them.
+_REGION = r"(?:[一-龥]{2,8}(?:省|自治区|自治州|市|区|县)){1,3}"
+_OFFICES = "规划和自然资源局|自然资源和规划局|自然资源局|发展和改革委员会|住房和城乡建设委员会|住房和城乡建设局|财政局|国资委"
+PUBLIC = (
+    Rule("public_region", "PUBLIC_REGION", "low", 0.96, _REGION, ("省", "自治", "市", "区", "县")),
+    Rule("public_authority", "PUBLIC_AUTHORITY", "low", 0.97, f"{_REGION}(?:人民政府|{_OFFICES})|国务院|自然资源部|国土资源部|{_OFFICES}", ("政府", "局", "委", "部", "国务院")),
+)
+# Labels whose declared values may be broken by blanks, ends of sentences, and parts that a clipped name must not be.
+FLEXIBLE = ("PROJECT_NAME", "DOCUMENT_NAME")
+SENTENCE_ENDS = "。！？；"
+CLIPPED_NAMES = ("公司", "有限公司", "有限责任公司", "股份公司", "股份有限公司", "份公司", "展有限公司", "开发有限公司", "总公司", "集团")
 #: What begins or ends a private key, well framed or not; detect.private_keys puts the markers together.
 PRIVATE_KEY_MARKER = r"(?i)-{2,}(?:BEGIN|END)[ \t]+(?:[A-Z0-9]+[ \t]+)?PRIVATE(?:[ \t]+KEY)?-*"
 PRIVATE_KEY = Rule("private_key_block", "CREDENTIAL", "critical", 1.0, PRIVATE_KEY_MARKER)

@@ -18,7 +18,6 @@ NEEDLE_CHARS = 4_000_000
 def matches(scan: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end>> of all matches of a pattern (or of its group, which ends with the match)."""
     p = patterns.FLAGS + pattern
-    parts = F.arrays_zip(F.split(scan, p, -1).alias("gap"), F.regexp_extract_all(scan, F.lit(p), F.lit(0)).alias("whole"), F.regexp_extract_all(scan, F.lit(p), F.lit(group)).alias("own"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -26,7 +25,13 @@ def matches(scan: Column, pattern: str, group: int = 0) -> Column:
         found = F.array(F.struct((to - F.char_length(x["own"])).alias("start"), to.alias("end")))
         return F.struct(to.alias("at"), F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    def places(whole: Column) -> Column:
+        own = F.regexp_extract_all(scan, F.lit(p), F.lit(group)) if group else whole
+        parts = F.arrays_zip(F.split(scan, p, -1).alias("gap"), whole.alias("whole"), own.alias("own"))
+        return F.when(F.size(whole) > 0, F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+
+    # One search; a text with matches is also split at them, which gives their places.
+    return F.get(F.transform(F.array(F.regexp_extract_all(scan, F.lit(p), F.lit(0))), places), F.lit(0))
 
 
 def private_keys(whole: Column, scan: Column) -> Column:
@@ -74,22 +79,78 @@ def _named(r: patterns.Rule) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.risk).alias("risk_level"))
 
 
+def rule_arrays(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
+    """doc_id, text, spans: array<struct<start, end, label, confidence, rule_id, risk_level>> beside the text, without a shuffle.
+
+    A rule's pattern runs only on texts that hold one of its anchors. Of spans with equal bounds and label, the most
+    confident stays (then the rule that comes last by name).
+    """
+    wanted = list(rules)
+
+    def every(view: Column) -> Column:
+        found = []
+        for r in wanted:
+            at = private_keys(view["text"], view["scan"])["ranges"] if r is patterns.PRIVATE_KEY else matches(view["scan"], r.pattern, r.group)
+            spans = F.transform(at, _named(r))
+            found.append(F.when(reduce(Column.__or__, [view["scan"].contains(a) for a in r.anchors]), spans) if r.anchors else spans)
+        return F.array_sort(F.flatten(F.array_compact(F.array(*found))))  # by start, end, label, confidence, rule
+
+    def best(all_: Column) -> Column:
+        def last_of_its_kind(s: Column, i: Column) -> Column:
+            after = F.get(all_, i + 1)
+            return after.isNull() | (after["start"] != s["start"]) | (after["end"] != s["end"]) | (after["label"] != s["label"])
+
+        return F.filter(all_, last_of_its_kind)
+
+    # Text, view and array are bound by lambdas: as columns, the optimizer would put what makes them in each place that names them.
+    views = F.array(F.struct(F.col("text").alias("text"), text.half_width("text").alias("scan")))
+    return docs.select("doc_id", "text", F.get(F.transform(F.transform(views, every), best), F.lit(0)).alias("spans"))
+
+
 def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
-    """All rules over the half-width view, in one pass without a shuffle but for the last step that drops equal spans.
+    """All rules over the half-width view, in one pass without a shuffle. Surfaces are cut from the original text."""
+    # An outer explode: for an inner one, Spark would first filter by the size of the arrays and so make them twice.
+    each = rule_arrays(docs, rules).select("doc_id", "text", F.explode_outer("spans").alias("s")).where("s IS NOT NULL").select("doc_id", "text", "s.*")
+    surface = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return each.select("doc_id", "start", "end", "label", "confidence", F.lit("rule").alias("source"), "rule_id", "risk_level", surface.alias("surface"))
+
 
-    A rule's pattern runs only on texts that hold one of its anchors. Surfaces are cut from the original text.
+def known_values(docs: DataFrame, values: DataFrame, scope: str = "namespace") -> DataFrame:
+    """doc_id, start, end, label, confidence, source, risk_level, canonical_value, surface: values that a scope owns, found again in its texts.
+
+    docs: scope, doc_id, text; values: scope, label, value. Values of 2 to 1000 characters are read literally; those of
+    patterns.FLEXIBLE labels without white space may have up to two blanks or line ends between characters. A value of
+    another scope is never looked for; the join is by scope, and each pair of text and value is one row.
     """
-    scan = docs.select("doc_id", "text", text.half_width("text").alias("scan"))
-    found = []
-    for r in rules:
-        at = private_keys(F.col("text"), F.col("scan"))["ranges"] if r is patterns.PRIVATE_KEY else matches(F.col("scan"), r.pattern, r.group)
-        spans = F.transform(at, _named(r))
-        if r.anchors:
-            spans = F.when(reduce(Column.__or__, [F.col("scan").contains(a) for a in r.anchors]), spans)
-        found.append(spans)
-    every = scan.select("doc_id", "text", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("s")).select("doc_id", "text", "s.*")
-    best = every.groupBy("doc_id", "start", "end", "label").agg(F.max_by(F.struct("confidence", "rule_id", "risk_level", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("surface")), F.struct("confidence", "rule_id")).alias("b"))
-    return best.select("doc_id", "start", "end", "label", "b.confidence", F.lit("rule").alias("source"), "b.rule_id", "b.risk_level", "b.surface")
+    fit = values.select(F.col(scope).alias("__umbra_scope"), "label", "value").where(F.char_length("value").between(2, 1000)).distinct()
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("value"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    loose = F.array_join(F.transform(F.split("value", ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "[ \\t\\r\\n]{0,2}")
+    flexible = F.col("label").isin(*patterns.FLEXIBLE) & ~F.col("value").rlike(r"(?U)\s")
+    # A text without the value's first two characters, or its first one where blanks may follow, needs no pattern.
+    near = F.contains("text", F.when(flexible, F.substring("value", 1, 1)).otherwise(F.col("value")))
+    pairs = docs.join(fit, (F.col(scope) == F.col("__umbra_scope")) & near).withColumn("pattern", F.when(flexible, loose).otherwise(quoted))
+    found = pairs.withColumns({"gap": F.expr("split(text, pattern, -1)"), "own": F.expr("regexp_extract_all(text, pattern, 0)")}).where(F.size("own") > 0)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(F.arrays_zip("gap", "own"), zero, lambda a, x: F.struct((a["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["own"]), F.lit(0))).alias("at"), F.when(x["own"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["at"] + F.char_length(x["gap"])))).alias("out")), lambda a: a["out"])
+    each = found.select("doc_id", "label", "value", "text", F.explode(F.arrays_zip(starts.alias("start"), F.col("own"))).alias("m"))
+    end = F.col("m.start") + F.char_length("m.own")
+    source = F.when(F.col("label").isin(*patterns.FLEXIBLE), "declared_value").otherwise("session_mapping")
+    return each.select("doc_id", F.col("m.start").alias("start"), end.alias("end"), "label", F.lit(1.0).alias("confidence"), source.alias("source"), F.lit("high").alias("risk_level"), F.col("value").alias("canonical_value"), F.col("m.own").alias("surface"))
+
+
+class ModelRequired(RuntimeError):
+    """A profile wants a model's spans, and there are none to read."""
+
+
+def detect(docs: DataFrame, profile, predictions: DataFrame | None = None) -> DataFrame:
+    """Rule spans, and the model's where the profile uses one. A profile that requires a model fails without its predictions: rules alone would let names pass unseen."""
+    if profile.model_required and predictions is None:
+        raise ModelRequired(f"profile {profile.name} requires model predictions")
+    found = rule_spans(docs)
+    if predictions is None or not profile.use_model:
+        return found
+    model = adapt_predictions(predictions, docs).withColumns({"rule_id": F.lit(None).cast("string")})
+    return found.unionByName(model.select(*found.columns))
 
 
 def dictionary_spans(docs: DataFrame, needles: DataFrame) -> DataFrame:
@@ -176,6 +237,30 @@ def adapt_predictions(predictions: DataFrame, docs: DataFrame, least: float = 0.
     return out.where(F.col("confidence") >= least)
 
 
+def cut_windows(docs: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
+    """doc_id, window, start, end: pieces of at most `size` characters for a model, cut at the last line end, else sentence end, of their back half.
+
+    Each text is folded over its own pieces; the next piece begins `overlap` characters before the last cut.
+    """
+    half = size // 2
+
+    def step(a: Column, _: Column) -> Column:
+        start = a["start"]
+        hard = F.least(F.char_length("text"), start + size)
+        back = F.substring(F.col("text"), start + half + 1, hard - start - half)
+        line = F.char_length(back) - F.char_length(F.substring_index(back, "\n", -1))
+        stop = F.char_length(F.regexp_extract(F.substring(back, F.lit(2), F.char_length(back)), "(?s)^(.*[" + patterns.SENTENCE_ENDS + "])", 1))
+        cut = F.when(hard >= F.char_length("text"), hard).when(back.contains("\n"), start + half + line).when(stop > 0, start + half + 1 + stop).otherwise(hard)
+        done = a["done"] | (cut >= F.char_length("text"))
+        out = F.when(a["done"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(start.alias("start"), cut.alias("end")))))
+        return F.struct(F.greatest(start + 1, cut - overlap).alias("start"), done.alias("done"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    most = F.sequence(F.lit(0), F.ceil(F.char_length("text") / F.lit(max(1, half - overlap))).cast("int"))
+    folded = docs.where(F.char_length("text") > 0).select("doc_id", F.aggregate(most, zero, step, lambda a: a["out"]).alias("all"))
+    return folded.select("doc_id", F.posexplode("all").alias("window", "w")).select("doc_id", "window", "w.start", "w.end")
+
+
 def windows(docs: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
     """doc_id, window, start, piece: a text cut into pieces for a model, by hard cuts."""
     starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - overlap - 1, F.lit(0)), F.lit(size - overlap))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GENERIC = ("公司", "项目", "部门", "集团", "供应商", "合同", "甲方", "乙方")
@@ -39,3 +39,32 @@ def lint(entries: DataFrame) -> DataFrame:
     identity = by_needle.where(F.col("values") > 1).select(F.lit("identity_conflict").alias("code"), "entry_id", F.col("needle").alias("detail"))
     label = by_needle.where(F.col("labels") > 1).select(F.lit("label_conflict").alias("code"), "entry_id", F.col("needle").alias("detail"))
     return values.unionByName(twice).unionByName(identity).unionByName(label)
+
+
+def lint_shapes(raw: DataFrame) -> DataFrame:
+    """code, index, entry_id: what is wrong with the shape of entries, read as JSON (index, entry as JSON text), before any value is looked at.
+
+    An entry that isn't in force has no issues; one without a label has none further, nor one without a canonical value.
+    """
+    def of(path: str) -> Column:
+        return F.get_json_object("entry", f"$.{path}")
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json("entry"), f"$.{path}", "variant"))
+
+    entry = F.schema_of_variant(F.try_parse_json("entry"))
+    label, value, aliases, flag = (kind(p) for p in ("label", "canonical_value", "aliases", "allow_leading_ocr_truncation"))
+    bare = F.from_json(of("aliases"), "array<string>")
+    issues = (
+        F.when(~F.coalesce(entry.startswith("OBJECT"), F.lit(False)), F.array(F.lit("entry_not_object")))
+        .when(F.coalesce(of("status"), F.lit("active")) != "active", F.array().cast("array<string>"))
+        .when((F.coalesce(label, F.lit("")) != "STRING") | (F.trim(of("label")) == ""), F.array(F.lit("label_missing")))
+        .when((F.coalesce(value, F.lit("")) != "STRING") | (F.trim(of("canonical_value")) == ""), F.array(F.lit("canonical_missing")))
+        .otherwise(F.array_compact(F.array(
+            F.when(flag.isNotNull() & ~flag.isin("BOOLEAN", "VOID"), "ocr_repair_flag_invalid"),
+            F.when(aliases.isNotNull() & ~aliases.startswith("ARRAY"), "aliases_not_list"),
+            F.when(aliases.startswith("ARRAY") & F.exists(bare, lambda a: a.isNull() | (F.trim(a) == "")), "alias_empty"),
+        )))
+    )
+    rows = raw.select("index", F.explode(issues).alias("code"), F.coalesce(of("entry_id"), F.concat(F.lit("index-"), F.col("index").cast("string"))).alias("entry_id"))
+    return rows.select("code", "index", "entry_id")

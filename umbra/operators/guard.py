@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from umbra.functions import patterns
 from umbra.functions.text import entropy, half_width, text_hash
 from umbra.operators import detect
+from umbra.operators.spans import overlapping
 
 SEVERITIES = {"info": 1, "warn": 2, "critical": 3}
 
@@ -38,6 +39,24 @@ def secrets(texts: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return texts.select(*key, F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("f")).select(*key, "f.pattern_id", "f.matched")
 
 
+def output_alerts(replies: DataFrame, mapped: DataFrame, force_block: bool = False, least: str = "warn", block_from: str | None = None) -> DataFrame:
+    """doc_id, type, severity, action, matched, n: secrets of a reply, and placeholders in it that no mapping has. replies: doc_id, reply; mapped: doc_id, placeholder."""
+    leaked = secrets(replies.select("doc_id", F.col("reply").alias("text"))).groupBy("doc_id").agg(F.array_sort(F.collect_set("matched")).alias("matched"))
+    seen = replies.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("reply", F.lit(patterns.PLACEHOLDER), F.lit(0)))).alias("placeholder"))
+    strange = seen.join(mapped.select("doc_id", "placeholder").distinct(), ["doc_id", "placeholder"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("placeholder")).alias("matched"))
+    both = leaked.select("doc_id", "matched", F.lit("secret").alias("type"), F.lit("critical").alias("severity"), F.lit(False).alias("forced")).unionByName(strange.select("doc_id", "matched", F.lit("hallucinated_placeholder").alias("type"), F.lit("warn").alias("severity"), F.lit(force_block).alias("forced")))
+    rank = severity(F.col("severity"))
+    action = F.when(F.col("forced") | (rank >= SEVERITIES[block_from] if block_from else F.lit(False)), "block").otherwise("alert")
+    out = both.withColumn("action", action).where((rank >= SEVERITIES[least]) | (F.col("action") == "block"))
+    return out.select("doc_id", "type", "severity", "action", "matched", F.size("matched").alias("n"))
+
+
+def outside_placeholders(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans found in masked texts, without those that touch a placeholder. docs: doc_id, text (masked)."""
+    places = docs.select("doc_id", F.explode(detect.matches(F.col("text"), patterns.PLACEHOLDER)).alias("m")).select("doc_id", "m.start", "m.end")
+    return overlapping(found.where(F.col("end") > F.col("start")), places, "left_anti")
+
+
 def severity(name: Column) -> Column:
     out = F.when(F.lit(False), 0)
     for key, rank in SEVERITIES.items():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.text import wilson
 from umbra.operators.policy import _OPINIONS
-from umbra.operators.spans import covered, overlapping, ratio
+from umbra.operators.spans import covered, exact_matches, near_misses, overlapping, ratio
 
 # The labels of each group of the core scope, and labels outside of it.
 CORE = {
@@ -32,12 +32,9 @@ def core_group(label: Column, category: Column) -> Column:
 def coverage_report(gold: DataFrame, predicted: DataFrame, by: tuple[str, ...] = ("category", "scenario")) -> DataFrame:
     """One row for each value of each dimension and one for all: total, fully, partial, missed, leaked, rates and interval."""
     table = covered(gold, predicted)
-    table.createOrReplaceTempView("umbra_covered")
-    sets = ", ".join(f"({c})" for c in by) + ", ()"
-    rows = table.sparkSession.sql(f"""
-        SELECT {", ".join(by)}, count(*) AS total, count_if(status = 'fully') AS fully, count_if(status = 'partial') AS partial,
-               count_if(status = 'missed') AS missed, sum(leakage) AS leaked
-        FROM umbra_covered GROUP BY GROUPING SETS ({sets})""")
+    sets = [[F.col(c)] for c in by] + [[]]
+    one = lambda name: F.count_if(F.col("status") == name).alias(name)
+    rows = table.groupingSets(sets, *by).agg(F.count(F.lit(1)).alias("total"), one("fully"), one("partial"), one("missed"), F.sum("leakage").alias("leaked"))
     low, high = wilson("fully", "total")
     return rows.withColumns({"fully_rate": ratio(F.col("fully"), F.col("total")), "leak_rate": ratio(F.col("leaked"), F.col("total")), "low": low, "high": high})
 
@@ -80,3 +77,81 @@ def utility_matrix(gold: DataFrame, strategies: dict[str, dict[str, str]]) -> Da
         one = gold.select(F.lit(name).alias("strategy"), "category", action.otherwise("redact").alias("action"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("strategy", "category", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evaluation(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """label, tp, fp, fn, near: exact matches by label, and how many of the false positives are near misses (a free gold span overlaps)."""
+    fp, fn = predicted.join(gold.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"], "left_anti"), gold.join(predicted.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"], "left_anti")
+    pairs = near_misses(fn, fp).select("doc_id", "start", "end").join(fp.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end"])
+    near = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("near"))
+    return exact_matches(gold, predicted).join(near, "label", "left").fillna(0, ["near"])
+
+
+def round_trip(docs: DataFrame, refilled: DataFrame) -> DataFrame:
+    """n, restored, blocked: texts that come back from redaction and refill as they were. docs: doc_id, text; refilled: doc_id, status, text."""
+    back = refilled.select("doc_id", "status", F.col("text").alias("back"))
+    return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == F.col("back")).alias("restored"), F.count_if(F.col("status") != "ok").alias("blocked"))
+
+
+def review_queue(gold: DataFrame, predicted: DataFrame, least: float = 0.75) -> DataFrame:
+    """queue, label, n, risk: what people should look at: core spans left in clear (persons, or any in part), semantic spans, and unsure model spans."""
+    table = covered(gold, predicted).withColumn("core", core_group(F.col("label"), F.col("category")))
+    left = table.where((F.col("status") != "fully") & F.col("core").isin(*CORE) & ((F.col("label") == "PERSON") | (F.col("status") == "partial"))).select(F.lit("core_residual").alias("queue"), "label", F.lit("high").alias("risk"))
+    meaning = gold.where(core_group(F.col("label"), F.col("category")) == "semantic").select(F.lit("semantic_policy").alias("queue"), "label", F.lit("medium").alias("risk"))
+    unsure = predicted.where((F.col("source") == "model") & (F.col("confidence") < least)).select(F.lit("low_confidence_model").alias("queue"), "label", F.lit("high").alias("risk"))
+    return left.unionByName(meaning).unionByName(unsure).groupBy("queue", "label", "risk").agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_diagnostics(raw: DataFrame, fused: DataFrame, gold: DataFrame, others: DataFrame) -> DataFrame:
+    """label, raw, kept, dropped, lift: a model's spans before and after fusion, and gold spans that only the model touches. raw, fused: doc_id, start, end, label, source."""
+    key = ["doc_id", "start", "end", "label"]
+    model = raw.where(F.col("source") == "model").select(*key).distinct()
+    after = fused.where(F.col("source") == "model").select(*key).distinct()
+    kept = model.join(after, key, "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
+    lift = overlapping(overlapping(gold, others, "left_anti"), after).groupBy("label").agg(F.count(F.lit(1)).alias("lift"))
+    all_ = model.groupBy("label").agg(F.count(F.lit(1)).alias("raw"))
+    joined = all_.join(kept, "label", "full").join(lift, "label", "full").fillna(0, ["raw", "kept", "lift"])
+    return joined.select("label", "raw", "kept", (F.col("raw") - F.col("kept")).alias("dropped"), "lift")
+
+
+def compare(before: DataFrame, after: DataFrame, key: str, measures: tuple[str, ...]) -> DataFrame:
+    """key and, of each measure, before, after and delta: two result tables side by side."""
+    b, a = (t.select(key, *[F.col(m).alias(f"{m}_{name}") for m in measures]) for t, name in ((before, "before"), (after, "after")))
+    columns = [c for m in measures for c in (F.col(f"{m}_before"), F.col(f"{m}_after"), (F.coalesce(f"{m}_after", F.lit(0)) - F.coalesce(f"{m}_before", F.lit(0))).alias(f"{m}_delta"))]
+    return b.join(a, key, "full").select(key, *columns)
+
+
+def dataset_summary(samples: DataFrame, gold: DataFrame) -> DataFrame:
+    """kind, value, n: how samples spread over scenarios and kinds of documents, and spans over categories."""
+    def one(table: DataFrame, column: str) -> DataFrame:
+        return table.groupBy(F.lit(column).alias("kind"), F.coalesce(F.col(column), F.lit("unknown")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+    return one(samples, "scenario").unionByName(one(samples, "doc_type")).unionByName(one(gold, "category"))
+
+
+# Actions that keep a span readable, and those that put a placeholder in.
+PRESERVED, REPLACED = ("pass", "warn", "generalize"), ("redact", "block")
+
+
+def utility_rates(spans: DataFrame, predicted: DataFrame, action: Column) -> DataFrame:
+    """category, n, replaced, preserved, preserve_rate: what is left readable under a policy's action where detectors hit or miss. spans: doc_id, start, end, label, category."""
+    hit = overlapping(spans, predicted).select("doc_id", "start", "end").distinct().withColumn("hit", F.lit(True))
+    marked = spans.withColumn("action", action).join(hit, ["doc_id", "start", "end"], "left")
+    gone = F.coalesce(F.col("hit"), F.lit(False)) & F.col("action").isin(*REPLACED)
+    kept = F.col("action").isin(*PRESERVED) & ~gone
+    out = marked.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("replaced"), F.count_if(kept).alias("preserved"))
+    return out.withColumn("preserve_rate", ratio(F.col("preserved"), F.col("n")))
+
+
+def over_redaction(spans: DataFrame, predicted: DataFrame, action: Column, by: str) -> DataFrame:
+    """by, n: spans of a utility set that a placeholder hides."""
+    hit = overlapping(spans.withColumn("action", action).where(F.col("action").isin(*REPLACED)), predicted)
+    return hit.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def action_matrix(spans: DataFrame, strategies: dict[str, Column]) -> DataFrame:
+    """strategy, label, action (mixed where categories differ), n, categories."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), a.alias("action")) for k, a in strategies.items()]))
+    rows = spans.select("label", "category", each.alias("s")).select("label", "category", "s.*")
+    action = F.when(F.count_distinct("action") > 1, "mixed").otherwise(F.min("action"))
+    return rows.groupBy("strategy", "label").agg(action.alias("action"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.text import generalize
@@ -28,6 +30,9 @@ class Profile:
     strict_refill: bool = True
     block_min_severity: str | None = None
     model_required: bool = False
+    use_model: bool = True
+    block_unknown_placeholders: bool = False
+    alert_min_severity: str = "warn"
 
     def __post_init__(self) -> None:
         if self.scope not in ("document", "session", "namespace"):
@@ -40,16 +45,17 @@ class Profile:
         return not self.generalize and "generalize" not in self.actions.values()
 
 
+# The presets, sensitivity tiers and scenarios.
 PROFILES = {
     p.name: p
     for p in (
-        Profile("kb", "session", strict_refill=False),
+        Profile("kb", "session", strict_refill=False, use_model=False),
         Profile("contract_review", deny=_FACTS, model_required=True),
         Profile("agent", "session", strict_refill=False),
         Profile("strict", model_required=True),
         Profile("file_workbench"),
         Profile("review", actions=dict.fromkeys(_OPINIONS, "warn"), model_required=True),
-        Profile("light", only=("CONTACT", "BANK_ACCOUNT", "CREDENTIAL", "ORG_CODE", "SYSTEM_URL")),
+        Profile("light", only=("CONTACT", "BANK_ACCOUNT", "CREDENTIAL", "ORG_CODE", "SYSTEM_URL"), use_model=False),
         Profile("standard", deny=_FACTS, actions=dict.fromkeys(_OPINIONS, "pass")),
         Profile("ultra", actions={"CREDENTIAL": "block"}, block_min_severity="critical", model_required=True),
         Profile("contract", deny=_FACTS, generalize={"ADDRESS": "region"}, actions=dict.fromkeys(("LEGAL_STRATEGY", "NEGOTIATION_POSITION"), "block"), roles="contract", model_required=True),
@@ -63,6 +69,69 @@ def resolve(base: str = "strict", **overrides) -> Profile:
     return replace(PROFILES[base], **overrides)
 
 
+def declared(app: dict) -> Profile:
+    """The profile of an application's declaration: `profile` goes before `scenario`, that before `sensitivity`, and nothing means strict.
+
+    A name is looked up among presets, tiers and scenarios, which share no name; a dict has `base` and overrides.
+    """
+    named = next((app[k] for k in ("profile", "scenario", "sensitivity") if app.get(k)), "strict")
+    if isinstance(named, dict):
+        return resolve(named.get("base", "strict"), **{k: v for k, v in named.items() if k != "base"})
+    if named not in PROFILES:
+        raise ValueError(f"unknown profile {named}")
+    return PROFILES[named]
+
+
+def check_declared_labels(profile: Profile, labels: tuple[str, ...]) -> None:
+    """Labels whose values an application may declare must be replaced or blocked by its profile, else they would be declared in vain."""
+    for label in labels:
+        if label in profile.deny or (profile.only and label not in profile.only and label not in profile.actions) or profile.actions.get(label) in ("pass", "warn") or label in profile.generalize:
+            raise ValueError(f"profile {profile.name} leaves declared label {label} in clear")
+
+
+def dimensions(profile: Profile) -> dict:
+    """The profile as five parts: detection, scenario, mapping, refill, guard."""
+    return {
+        "name": profile.name,
+        "detection": {"use_model": profile.use_model, "model_required": profile.model_required, "rules_required": True, "dictionary_required": True},
+        "scenario": {"only": list(profile.only), "deny": list(profile.deny), "min_risk": profile.min_risk, "actions": dict(profile.actions), "generalize": dict(profile.generalize), "roles": profile.roles},
+        "mapping": {"mode": profile.scope},
+        "refill": {"strict": profile.strict_refill},
+        "guard": {"block_unknown_placeholders": profile.block_unknown_placeholders, "alert_min_severity": profile.alert_min_severity, "block_min_severity": profile.block_min_severity},
+    }
+
+
+def from_dimensions(parts: dict) -> Profile:
+    """The way back. What a profile can't express is turned away: optional rules or dictionary, and mapping by namespace."""
+    if not (parts["detection"]["rules_required"] and parts["detection"]["dictionary_required"]):
+        raise ValueError("a profile always requires rules and a dictionary")
+    if parts["mapping"]["mode"] == "namespace":
+        raise ValueError("a profile can't express mapping by namespace")
+    scenario = parts["scenario"]
+    return Profile(
+        parts["name"], parts["mapping"]["mode"], tuple(scenario["deny"]), tuple(scenario["only"]), dict(scenario["generalize"]), dict(scenario["actions"]), scenario["min_risk"], scenario["roles"], parts["refill"]["strict"],
+        parts["guard"]["block_min_severity"], parts["detection"]["model_required"], parts["detection"]["use_model"], parts["guard"]["block_unknown_placeholders"], parts["guard"]["alert_min_severity"],
+    )
+
+
+def version(profile: Profile) -> str:
+    """A hash of the profile's parts, by which receipts name it."""
+    return "sha256:" + hashlib.sha256(json.dumps(dimensions(profile), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def profile_table(spark: SparkSession) -> DataFrame:
+    """A row for each profile: name, scope, use_model, model_required, strict_refill, reversible, block_min_severity."""
+    rows = [(p.name, p.scope, p.use_model, p.model_required, p.strict_refill, p.reversible, p.block_min_severity) for p in PROFILES.values()]
+    return spark.createDataFrame(rows, "name string, scope string, use_model boolean, model_required boolean, strict_refill boolean, reversible boolean, block_min_severity string")
+
+
+def readiness(apps: DataFrame) -> DataFrame:
+    """apps (profile, has_dictionary, model_loadable) with status: whether a job may start under the profile, before any text is read."""
+    table = F.broadcast(profile_table(apps.sparkSession).select(F.col("name").alias("profile"), "use_model", "model_required"))  # a row a profile
+    status = F.when(F.col("use_model").isNull(), "unknown_profile").when(~F.col("has_dictionary"), "dictionary_missing").when(F.col("model_required") & ~F.col("model_loadable"), "not_ready").when(F.col("use_model") & ~F.col("model_loadable"), "degraded").otherwise("ready")
+    return apps.join(table, "profile", "left").withColumn("status", status).drop("use_model", "model_required")
+
+
 def risk_rank(risk: Column | str) -> Column:
     """1 to 4; anything unknown counts as high."""
     r = F.col(risk) if isinstance(risk, str) else risk

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from umbra.functions import patterns
+from umbra.functions.text import text_hash
+
 
 def clip(spans: DataFrame, priority: str = "priority") -> DataFrame:
     """Each character belongs to the best span over it (priority, confidence, length, then order); spans keep what is theirs.
@@ -49,6 +52,57 @@ def drop_contained(spans: DataFrame) -> DataFrame:
     return model.join(outer, inside, "left_anti").unionByName(spans.where(F.col("source") != "model"))
 
 
+def drop_redundant(spans: DataFrame) -> DataFrame:
+    """Of model spans of one label where one holds the other, the better ranked stays (priority, confidence, length, order); per document and label."""
+    key = F.struct((-F.col("priority")).alias("p"), (-F.col("confidence")).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", F.struct(*spans.columns).alias("own"))
+    model = spans.where(F.col("source") == "model").groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(key)).alias("all"))
+
+    def step(kept: Column, x: Column) -> Column:
+        held = F.exists(kept, lambda k: ((x["start"] <= k["start"]) & (x["end"] >= k["end"])) | ((k["start"] <= x["start"]) & (k["end"] >= x["end"])))
+        return F.when(held, kept).otherwise(F.concat(kept, F.array(x)))
+
+    best = model.select(F.explode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("s")).select("s.own.*")
+    return best.unionByName(spans.where(F.col("source") != "model"))
+
+
+def drop_fragments(spans: DataFrame) -> DataFrame:
+    """Clipped spans (with surface) go where nothing but a general part of a name, or one character of a name or place, is left."""
+    bare = F.regexp_replace("surface", r"(?U)\s", "")
+    left = (F.col("label").isin("ORG", "ADDRESS") & (F.char_length(bare) == 1)) | ((F.col("label") == "ORG") & bare.isin(*patterns.CLIPPED_NAMES))
+    return spans.where(~(F.coalesce(F.col("clipped"), F.lit(False)) & left))
+
+
+def normalize(spans: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, out of bounds): a caller's spans with text_hash, each once, and those outside of their text, which must stop a job."""
+    texts = docs.select(F.col("doc_id").alias("of"), "text")
+    joined = spans.join(texts, F.col("doc_id") == F.col("of"), "left")
+    inside = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("text"))
+    marked = joined.withColumns({"inside": F.coalesce(inside, F.lit(False)), "text_hash": text_hash(F.expr("substring(text, start + 1, end - start)"))}).drop("of", "text")
+    return marked.where("inside").drop("inside").dropDuplicates(["doc_id", "start", "end", "label", "text_hash"]), marked.where("not inside").drop("inside", "text_hash")
+
+
+def exact_members(spans: DataFrame, others: DataFrame, how: str = "left_semi") -> DataFrame:
+    """spans that are among the others with bounds, label, hash and source (or that aren't, by left_anti)."""
+    key = ["doc_id", "start", "end", "label", "text_hash", "source"]
+    return spans.join(others.select(*key).distinct(), key, how)
+
+
+def near_misses(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """doc_id and bounds of a prediction and a gold span that overlap: predictions in order, each takes the first gold span that is free; a fold over each document."""
+    g = gold.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gold"))
+    p = predicted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("pred"))
+    pairs = F.array().cast("array<struct<start:int,end:int,gold_start:int,gold_end:int,no:int>>")
+
+    def step(out: Column, x: Column) -> Column:
+        free = F.filter(F.transform("gold", lambda y, i: F.struct(y["start"].alias("s"), y["end"].alias("e"), i.alias("no"))), lambda y: (y["s"] < x["end"]) & (y["e"] > x["start"]) & ~F.exists(out, lambda o: o["no"] == y["no"]))
+        first = F.get(free, F.lit(0))
+        pair = F.struct(x["start"].alias("start"), x["end"].alias("end"), first["s"].alias("gold_start"), first["e"].alias("gold_end"), first["no"].alias("no"))
+        return F.when(first.isNull(), out).otherwise(F.concat(out, F.array(pair)))
+
+    folded = p.join(g, "doc_id").select("doc_id", F.explode(F.aggregate("pred", pairs, step)).alias("m"))
+    return folded.select("doc_id", "m.start", "m.end", "m.gold_start", "m.gold_end")
+
+
 def covered(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """gold (doc_id, start, end, ...) with covered (characters under any prediction), leakage and status."""
     names = gold.columns

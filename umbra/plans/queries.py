@@ -405,3 +405,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def redact_documents(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+def _more() -> None:
+    from umbra.plans import more
+
+    QUERIES.update(more.QUERIES)
+    ORACLE.update(more.ORACLE)
+
+
+_more()

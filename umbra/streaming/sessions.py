@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from umbra.functions.patterns import PREFIXES
-from umbra.operators.placeholders import number
+from umbra.functions.patterns import PLACEHOLDER, PREFIXES
+from umbra.operators.placeholders import altered, number
 
 HELD = re.compile(r"<[A-Z]?[A-Z0-9_]*\Z")
 
@@ -72,11 +72,77 @@ def refill_chunks(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def rolling(chunks: DataFrame, size: int = 1024) -> DataFrame:
-    """chunks with seen: the chunk behind the last `size` characters before it, for scanners that look over chunk ends."""
+    """chunks with seen: the chunk behind the last `size` characters before it, for scanners that look over chunk ends.
+
+    A chunk hands on only its own last `size` characters, and as many chunks are gathered as are needed for `size` of them:
+    the characters before a chunk are a running sum, so a range window over it finds these chunks.
+    """
     from pyspark.sql.window import Window
 
-    before = Window.partitionBy("stream_id").orderBy("chunk_no").rowsBetween(-size, -1)  # a chunk has a character at least
-    return chunks.where(F.char_length("text") > 0).withColumn("before", F.array_join(F.collect_list("text").over(before), "")).withColumn("seen", F.concat(F.expr("right(before, %d)" % size), F.col("text"))).drop("before")
+    order = Window.partitionBy("stream_id").orderBy("chunk_no")
+    rows = chunks.where(F.char_length("text") > 0).withColumns({"tail": F.expr(f"right(text, {size})"), "behind": F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    # Chunks that end within the last `size` characters before this one begins, and the one that reaches into them.
+    rows = rows.withColumn("reach", F.col("behind") - F.char_length("text"))
+    near = Window.partitionBy("stream_id").orderBy("reach").rangeBetween(-size, -1)
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "tail")).over(near)), lambda x: x["tail"]), "")
+    one_before = F.coalesce(F.lag("tail").over(order), F.lit(""))
+    edge = F.min("chunk_no").over(near)
+    held = rows.withColumns({"own": own, "edge": edge, "last": one_before})
+    before_edge = held.select(F.col("stream_id").alias("s"), F.col("chunk_no").alias("c"), F.col("last").alias("reaching"))
+    joined = held.join(before_edge, (F.col("stream_id") == F.col("s")) & (F.coalesce("edge", F.col("chunk_no")) == F.col("c")))
+    seen = F.concat(F.expr(f"right(concat(reaching, own), {size})"), F.col("text"))
+    return joined.withColumn("seen", seen).select(*chunks.columns, "seen")
+
+
+def hydrate(persisted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mapping, counters, rows turned away) of persisted rows (namespace, placeholder, label, original_value).
+
+    A malformed placeholder, one given twice, and a second placeholder of one value and prefix are turned away, which stops a session; counters go on
+    from the highest number of each prefix.
+    """
+    prefix, number_ = F.regexp_extract("placeholder", r"^<([A-Z][A-Z0-9_]*)_(\d{3,})>$", 1), F.regexp_extract("placeholder", r"^<([A-Z][A-Z0-9_]*)_(\d{3,})>$", 2)
+    rows = persisted.withColumns({"prefix": prefix, "number": F.try_to_number(number_, F.lit("999999999")).cast("long")})
+    twice = rows.groupBy("namespace", "placeholder").agg(F.count(F.lit(1)).alias("times"))
+    double = rows.groupBy("namespace", "prefix", "original_value").agg(F.count_distinct("placeholder").alias("names"))
+    marked = rows.join(twice, ["namespace", "placeholder"]).join(double, ["namespace", "prefix", "original_value"])
+    reason = F.when(F.col("prefix") == "", "malformed").when(F.col("times") > 1, "placeholder_twice").when(F.col("names") > 1, "value_twice")
+    marked = marked.withColumn("reason", reason)
+    good = marked.where(F.col("reason").isNull())
+    return good.select("namespace", "placeholder", "label", "original_value"), good.groupBy("namespace", "prefix").agg(F.max("number").alias("next_after")), marked.where(F.col("reason").isNotNull()).select("namespace", "placeholder", "reason")
+
+
+def strict_streams(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
+    """stream_id, chunk_no, status, text: a stream is filled in only if the whole of it passes; else no chunk of it is given out.
+
+    A stream is judged by its placeholders alone, which are found over chunk ends (refill_chunks holds a cut one back), so
+    only they are gathered, not the text. mapped: stream_id, placeholder, original_value.
+    """
+    filled = refill_chunks(chunks, mapped)
+    held = refill_chunks(chunks, mapped.withColumn("original_value", F.concat(F.lit("\x01"), F.col("placeholder"), F.lit("\x02"))))
+    bare = F.regexp_replace("text", "\x01[^\x02]*\x02", "")  # without the known ones
+    strange = held.where(bare.rlike(PLACEHOLDER) | (F.size(altered(bare)) > 0)).select("stream_id").distinct().withColumn("bad", F.lit(True))
+    met = held.select("stream_id", F.explode(F.regexp_extract_all("text", F.lit("\x01(<[^\x02]*>)\x02"), F.lit(1))).alias("placeholder")).distinct()
+    missing = mapped.select("stream_id", "placeholder").join(met, ["stream_id", "placeholder"], "left_anti").select("stream_id").distinct().withColumn("short", F.lit(True))
+    joined = filled.join(strange, "stream_id", "left").join(missing, "stream_id", "left")
+    status = F.when(F.col("bad").isNotNull(), "unknown_or_altered").when(F.col("short").isNotNull(), "missing").otherwise("ok")
+    return joined.select("stream_id", "chunk_no", status.alias("status"), F.when(status == "ok", F.col("text")).alias("text"))
+
+
+def masked_turns(turns: DataFrame, system_too: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(turns whose text is to be masked, turns that stay as they are): system turns stay in clear unless a profile says otherwise."""
+    own = F.lit(True) if system_too else F.coalesce(F.col("role") != "system", F.lit(True))
+    return turns.where(own & F.col("text").isNotNull()), turns.where(~own | F.col("text").isNull())
+
+
+def collected(turns: DataFrame) -> DataFrame:
+    """conv_id, text: all turns of a conversation in order, a line each, for scanners that look at the whole of it."""
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def sliding_sessions(uses: DataFrame, hours: int = 24) -> DataFrame:
+    """user_id, session_start, expires_at, n: each use moves the end of a session `hours` on; a use after the end begins a new one. For tables and, with a watermark, streams."""
+    out = uses.groupBy(F.session_window("ts", f"{hours} hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("expires_at"), "n")
 
 
 def audit_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
