@@ -179,36 +179,85 @@ def test_token_files(spark, docs, none):
         start += len(ids)
 
 
-def test_ppm(docs, none):
-    got = ppm.score(docs).collect()
+def ppm_by_hand(coded: list[tuple[bytes, bool]], order: int) -> list[float]:
+    """log10 of each stream (bytes, held out) by PPM with nested dictionaries, a symbol at a time."""
+    places = lambda x: [((b" " + x)[max(0, i + 1 - order) : i + 1], x[i]) for i in range(len(x))]
+    counts = [{} for _ in range(order + 1)]
+    for x, out in coded:
+        for context, symbol in places(x) if not out else []:
+            node = counts[len(context)].setdefault(context, Counter())
+            node[symbol] += 1
+    for k in range(order, 0, -1):  # a shorter context counts the different longer ones that it ends
+        for context, node in counts[k].items():
+            for symbol in node:
+                counts[k - 1].setdefault(context[1:], Counter())[symbol] += 1
+    cut = []
+    for level in counts:
+        few = [sum(x == i for node in level.values() for x in node.values()) + 0.5 for i in range(1, 5)]
+        y = few[0] / (few[0] + 2 * few[1])
+        cut.append([0] + [min(max(i - (i + 1) * y * few[i] / few[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)])
+    out = []
+    for x, _ in coded:
+        total = 0.0
+        for context, symbol in places(x):
+            excluded = set()
+            while True:
+                left = {s: c for s, c in counts[len(context)].get(context, {}).items() if s not in excluded}
+                weights = cut[len(context)]
+                if symbol in left:
+                    total += np.log10((left[symbol] - weights[min(left[symbol], 3)]) / sum(left.values()))
+                    break
+                if left:
+                    total += np.log10(sum(weights[min(c, 3)] for c in left.values()) / sum(left.values()))
+                    excluded |= set(left)
+                if not context:
+                    total -= np.log10(256 - len(excluded))
+                    break
+                context = context[1:]
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("order", "part_grams"), [(5, 1_000_000), (5, 300), (2, 50)])
+def test_ppm(docs, none, monkeypatch, order, part_grams):
+    monkeypatch.setattr(ppm, "PART_GRAMS", part_grams)
     tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOW)) + [b"\xff"]
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(TEXTS))}
+    assert any(out.values())
     c = Counter(w for i, t, *_ in ROWS if not out[i] for w in tokens(t))
     n, v = sum(c.values()), len(c)
+    want = dict(zip([r[0] for r in ROWS], ppm_by_hand([(b" ".join(tokens(t)), out[i]) for i, t, *_ in ROWS], order), strict=True))
+    got = ppm.score(docs, order).collect()
+    assert len(got) == len(ROWS)
     for r in got:
         w = tokens(TEXTS[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) and np.isfinite(r.score) and r.score < 0
-    assert ppm.score(none).count() == 0
+        assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score == pytest.approx(want[r.doc_id])
+    assert ppm.score(none, order).count() == 0
+
+
+def test_ppm_blocks_and_untrained(spark, docs, monkeypatch):
+    """Small blocks give the same scores; without training texts each symbol costs 1/256."""
+    want = sorted((r.doc_id, round(r.score, 6)) for r in ppm.score(docs).collect())
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 1000)
+    assert sorted((r.doc_id, round(r.score, 6)) for r in ppm.score(docs).collect()) == want
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = ppm.score(spark.createDataFrame([(held, " A  b\t")], "doc_id long, text string")).first()
+    assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score == pytest.approx(-5 * np.log10(256))
 
 
 def test_trie_sums_to_one():
     """Over all byte values, the probabilities after any context are 1."""
-    import pyarrow as pa
-
-    data, place, owner = ppm.symbols(pa.array([b"abra", b"cadabra", b"ab"], pa.binary()))
-    level, gram = [], []
-    for k, context in enumerate(ppm.contexts(data, place, 3)):
-        at = place >= k - 1
-        level += [k] * at.sum()
-        gram += (context[at] << np.uint64(8) | data[at]).tolist()
-    pairs = Counter(zip(level, gram, strict=True))
-    level, gram, n = (np.array(x) for x in zip(*[(*k, c) for k, c in pairs.items()], strict=True))
-    trie = ppm.Trie(level, gram.astype(np.uint64), n, np.full(len(n), 0.4), 3)
-    words = pa.array([b"abr" + bytes([b]) for b in range(256)], pa.binary())
-    data, place, owner = ppm.symbols(words)
-    lp = trie.predict(data, place, ppm.contexts(data, place, 3))
-    assert (10 ** lp[place == 3]).sum() == pytest.approx(1)
+    data = np.frombuffer(b"abra cadabra ab \xff", np.uint8)
+    pairs = Counter()
+    for order in range(4):
+        pairs.update(ppm.codes(data, np.array([0, len(data)]), order)[max(order - 1, 0) :].tolist())
+    code, n = np.array(list(pairs)), np.array(list(pairs.values()))
+    low = (1 << ppm.LEVEL) - 1
+    trie = ppm.Trie(code >> ppm.LEVEL, code & low, n, np.full((4, 4), 0.4))
+    for context in (b"abr", b"rab", b"zzz", b"zab"):
+        gram = np.array([int.from_bytes(bytes([b]) + context[::-1], "little") for b in range(256)])
+        assert (10 ** trie.predict(np.full(256, 3), gram)).sum() == pytest.approx(1)
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])

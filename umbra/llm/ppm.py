@@ -1,31 +1,30 @@
-"""Language-model scoring by prediction by partial matching, pretrained on the corpus.
-
-A text is its lower-cased (A-Z) words and one end; a word's bytes and the space after it are coded one by one. The
-byte-context trie holds contexts of up to ORDER bytes back to the space before the word. A symbol is predicted in the
-longest context of the trie that fits; one not seen there escapes (its weight: the discounts of the counts there) to
-the context one byte shorter, in which the symbols of the longer one are excluded; below the empty context all other
-byte values are alike. Above the trie stands the word as a whole: training words have their discounted share, and what
-the discounts leave goes to the trie. Over a document the model adapts: what its earlier words show is weighed against
-the corpus. Each different word is coded by the trie once for the whole corpus.
-
-Steps: (1) one pass cuts texts into blocks, each with a dictionary of its words; (2) words are counted over the blocks;
-(3) the words' contexts are counted and the trie is laid out in parts, by the last two bytes of a context, of bounded
-size; (4) each part is broadcast in turn and adds what it predicts to the code lengths of the words; (5) words go back
-to their blocks, and documents are summed there. The tables of words and contexts grow with the corpus; no broadcast,
-task or group does.
-
-Defined results: null and empty texts are one end; a null doc_id is held out or not as id 0 is; repeated rows count and are scored each for itself; without training
-rows the trie is empty and every byte costs 1/256; no rows give no rows.
+"""Language-model scoring by prediction by partial matching over bytes, pretrained on the corpus.
+
+A text is coded as its lower-cased (A-Z) words, a space after each, and one end symbol. A symbol's context is up to ORDER
+bytes of the running text before it, over word bounds, back to a space before the text. The byte-context trie holds what
+training texts show. The longest context of the trie that fits predicts; a symbol not seen there escapes (its weight:
+the discounts of the counts there) to the context one byte shorter, in which the symbols of the longer one are excluded;
+below the empty context all other byte values are alike. The score of a text is the sum of its symbols' log10.
+
+Steps: (1) one pass cuts the texts into blocks, and each block lists its different words and grams (longest context and
+symbol) with how often training texts hold them; (2) words and grams are counted over the blocks, and shorter contexts
+from longer ones; (3) the trie and the grams to be coded are dealt by the last three bytes of a context, and each deal
+is coded by itself: each different gram is coded once for the whole corpus; (4) code lengths and word counts go back to
+the blocks that list them, where texts are summed. Nothing is broadcast, and the driver sees a few dozen counts only.
+Contexts of fewer than three bytes go to each deal; a deal of one ending has at most 2^24 grams for each level.
+
+Defined results: null and empty texts are one end; a null doc_id is held out or not as id 0 is; repeated rows count and
+are scored each for itself; without training rows the trie is empty and every symbol costs 1/256; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +33,15 @@ from umbra.llm import chunks, common
 from umbra.llm.decontaminate import LOWER
 
 ORDER = 5
-#: Weight, in words, of the corpus's prediction against what a document itself has shown so far.
-PRIOR_WORDS = 2000
-#: Contexts with symbols in a part of the trie, on average.
-PART_GRAMS = 1_500_000
+#: Grams of the trie in a deal, on average.
+PART_GRAMS = 1_000_000
+#: Bytes of the context by which grams are dealt.
+NEAR = 3
 BLOCK_BYTES = 16 << 20
 END = b"\xff"  # stands in no UTF-8 text
 SPACE = 32
+#: Where a gram's number holds the length of its context; the context's bytes and the symbol stand below.
+LEVEL = 56
 
 
 def held_out(ids: np.ndarray, mod: int = 7, rest: int = 2) -> np.ndarray:
@@ -51,160 +52,148 @@ def held_out_column(doc_id: str, mod: int = 7, rest: int = 2) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows of blocks: a word (k, word, n: in training texts) or a document (doc_id, held_out, codes: the k of its words)."""
+def streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What is coded of texts that end in a space and END: one space after each word, none elsewhere; and each text's bounds."""
+    data, bounds = common.bytes_view(column)
+    data = LOWER[data]
+    solid = ~chunks.SPACE[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = solid[:-1]
+    after[bounds[:-1]] = False
+    data[~solid] = SPACE
+    keep = solid | after
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words and ends of streams, and the number of tokens before each text."""
+    spaces = np.flatnonzero(data == SPACE)
+    first, last = np.sort(np.concatenate([bounds[:-1], spaces + 1])), np.sort(np.concatenate([bounds[1:], spaces]))
+    ends = np.append(np.stack([first, last], axis=1).ravel(), len(data))
+    column = chunks.binaries(data, ends).take(pa.array(np.arange(0, 2 * len(first), 2)))
+    return column.dictionary_encode(), np.searchsorted(first, bounds)
+
+
+def codes(data: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+    """The gram of each symbol: how many bytes its longest context has, the context, the symbol."""
+    place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
+    previous = np.where(place == 0, SPACE, np.roll(data, 1)).astype(np.int64)
+    context, out = np.zeros(len(data), np.int64), data.astype(np.int64)
+    for k in range(1, order + 1):
+        fits = place >= k - 1
+        context |= np.where(fits, np.roll(previous, k - 1), 0) << 8 * (k - 1)
+        out = np.where(fits, k << LEVEL | context << 8 | data, out)
+    return out
+
+
+def blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Rows of blocks: a word or a gram with its number in training texts (n), or a text as coded (doc_id, held_out, text)."""
     common.ship(docs.sparkSession)
+    types = {"word": pa.binary(), "gram": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.binary()}
+
+    def rows(block: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+        size = len(next(iter(columns.values())))
+        table = pa.table({"block": pa.array(np.full(size, block)), **{k: columns[k] if k in columns else pa.nulls(size, t) for k, t in types.items()}})
+        yield from table.to_batches(max_chunksize=100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        kept: list[pa.RecordBatch] = []
-        size = 0
-
-        def block() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(kept).combine_chunks()
-            ids = table.column(0).to_numpy(zero_copy_only=False)
-            data, bounds = common.bytes_view(table.column(1))
-            data = LOWER[data]
-            first, last = chunks.starts(data, bounds, ~chunks.SPACE[data])
-            ends = np.empty(2 * len(first) + 1, np.int64)  # words and the spaces between them, in turn
-            ends[0:-1:2], ends[1::2], ends[-1] = first, last, len(data)
-            column = chunks.binaries(data, ends).take(pa.array(np.arange(0, 2 * len(first), 2))).dictionary_encode()
-            codes = column.indices.to_numpy().astype(np.int32)
-            upto = np.searchsorted(first, bounds)
-            out = held_out(table.column(2).to_numpy(zero_copy_only=False))
-            weight = np.repeat(~out, np.diff(upto))
-            n = np.bincount(codes[weight], minlength=len(column.dictionary))
-            name = pa.array(np.full(max(len(n) + 1, len(ids)), (part << 32) + number), pa.int64())
-            yield pa.RecordBatch.from_arrays([name.slice(0, len(n) + 1), pa.array(np.arange(len(n) + 1, dtype=np.int32)), pa.concat_arrays([column.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), pa.array(np.append(n, (~out).sum())), *(pa.nulls(len(n) + 1, t) for t in (pa.int64(), pa.bool_(), pa.binary()))], fields)
-            raw = [codes[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            for i in range(0, len(ids), 2_000):
-                m = min(2_000, len(ids) - i)
-                yield pa.RecordBatch.from_arrays([name.slice(0, m), *(pa.nulls(m, t) for t in (pa.int32(), pa.binary(), pa.int64())), table.column(0).combine_chunks().slice(i, m), pa.array(out[i : i + m]), pa.array(raw[i : i + m], pa.binary())], fields)
-
-        for batch in common.steps(batches, "text", BLOCK_BYTES):
-            kept.append(batch)
-            size += sum(b.size for b in batch.column(1).buffers() if b is not None) if batch.num_rows < 2 else batch.column(1).nbytes
+        block, size = TaskContext.get().partitionId() << 32, 0
+        words: list[tuple[pa.Array, np.ndarray]] = []
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            column = pa.chunked_array([w for w, _ in words]).combine_chunks().dictionary_encode()
+            n = np.bincount(column.indices.to_numpy(), np.concatenate([n for _, n in words]), len(column.dictionary))
+            yield from rows(block, word=column.dictionary.cast(pa.binary()), n=pa.array(n.astype(np.int64)))
+            gram, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in grams]), len(gram))
+            yield from rows(block, gram=pa.array(gram), n=pa.array(n.astype(np.int64)))
+
+        for batch in common.steps(batches, "text", common.STEP_BYTES):
+            data, bounds = streams(batch.column(2))
+            out = held_out(batch.column(0).to_numpy(zero_copy_only=False))
+            column, upto = tokens(data, bounds)
+            words.append((column.dictionary, np.bincount(column.indices.to_numpy(), np.repeat(~out, np.diff(upto)), len(column.dictionary))))
+            both, n = np.unique(codes(data, bounds, order) << 1 | np.repeat(out, np.diff(bounds)), return_counts=True)
+            grams.append((both >> 1, np.where(both & 1, 0, n)))
+            yield from rows(block, doc_id=batch.column(1), held_out=pa.array(out), text=chunks.binaries(data, bounds).cast(pa.binary()))
+            size += len(data)
             if size >= BLOCK_BYTES:
-                yield from block()
-                kept, size, number = [], 0, number + 1
-        if kept:
-            yield from block()
-
-    fields = ["block", "k", "word", "n", "doc_id", "held_out", "codes"]
-    source = common.id_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(0)))
-    return source.mapInArrow(common.lean(run), "block long, k int, word binary, n long, doc_id long, held_out boolean, codes binary")
-
-
-def symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all words, each followed by a space: the bytes, the place of each in its word, and the word of each."""
-    data, bounds = common.bytes_view(words)
-    n = len(bounds) - 1
-    size = np.diff(bounds) + 1
-    ends = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(n), size)
-    place = np.arange(ends[-1]) - ends[owner]
-    out = np.full(ends[-1], SPACE, np.uint8)
-    out[np.delete(np.arange(ends[-1]), ends[1:] - 1)] = data
-    return out, place, owner
-
-
-def contexts(data: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """The code of the last 0, 1, ... order bytes before each symbol, where the space before the word ends what is seen."""
-    out = [np.zeros(len(data), np.uint64)]
-    previous = np.where(place == 0, SPACE, np.roll(data, 1)).astype(np.uint64)
-    for k in range(1, order + 1):
-        far = previous if k == 1 else np.where(place >= k - 1, np.roll(previous, k - 1), 0)
-        out.append(out[-1] | far << np.uint64(8 * (k - 1)))
-    return out
+                yield from lists()
+                block, size, words, grams = block + 1, 0, [], []
+        if words:
+            yield from lists()
 
+    source = common.id_text(docs).select(F.coalesce("doc_id", F.lit(0)).alias("key"), "doc_id", F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit(b" " + END)).alias("text"))
+    return source.mapInArrow(common.lean(run), "block long, word binary, gram long, n long, doc_id long, held_out boolean, text binary")
 
-def part_of(code: np.ndarray, parts: int) -> np.ndarray:
-    """The part of contexts of two bytes or more."""
-    return ((code & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65521) % np.uint64(parts)).astype(np.int32)
 
-
-def grams(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """level, gram (context and symbol), n, discount, for training words (word, c).
+def trained(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, np.ndarray]:
+    """The trie (level, gram, n) from grams (level, gram, n), and the discount of a count of 1, 2 and more for each level.
 
     The longest context that a place has counts each occurrence; a shorter one counts the different longer ones that it
-    ends (updates are excluded where a longer context predicts). The discount of a count of 1, 2 or more, which an escape
-    collects, is estimated from how many counts are 1, 2, 3 and 4, for each level and with or without a word's start.
+    ends (updates are excluded where a longer context predicts). Discounts, which an escape collects, are estimated from
+    how many counts are 1, 2, 3 and 4.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, "word", 2 << 20):
-            data, place, owner = symbols(batch.column(0))
-            count = batch.column(1).to_numpy()[owner]
-            for k, context in enumerate(contexts(data, place, order)):
-                there = place >= k - 1 if k == order else place == k - 1  # elsewhere a longer context is there
-                gram, at = np.unique(context[there] << np.uint64(8) | data[there], return_inverse=True)
-                n = np.bincount(at, count[there], minlength=len(gram)).astype(np.int64)
-                yield common.record(["level", "gram", "n"], [pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)])
-
-    rows = words.mapInArrow(common.lean(run), "level int, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n"))
-    rows = common.stored(rows, "grams")
-    longest = rows.where(F.col("level") == order)
-    out = rows
-    for k in range(order, 0, -1):  # each level counts the rows of the next longer one
-        ended = longest.select(F.lit(k - 1).alias("level"), F.expr(f"gram & {(1 << 8 * k) - 1}L").alias("gram")).groupBy("level", "gram").agg(F.count(F.lit(1)).alias("n"))
-        out = out.unionByName(ended)
-        longest = ended.select("level", "gram", "n").unionByName(rows.where(F.col("level") == k - 1)) if k > 1 else ended
-    out = common.stored(out, "counts")
-    start = F.expr(f"level > 0 and shiftrightunsigned(gram, 8 * level) & 255 = {SPACE}")
-    few = out.where(F.col("n") <= 4).groupBy("level", start.alias("start"), "n").agg(F.count(F.lit(1)).alias("rows")).collect()  # a few dozen rows
-    by = {(r.level, r.start, r.n): r["rows"] for r in few}
-    table = []
-    for level, begin in {(r.level, r.start) for r in few}:
-        n = [by.get((level, begin, i), 0) + 0.5 for i in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1])
-        table += [(level, begin, i, float(min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05))) for i in (1, 2, 3)]
-    discounts = out.sparkSession.createDataFrame(table, "level int, start boolean, kind int, discount double")
-    out = out.withColumns({"start": start, "kind": F.least("n", F.lit(3)).cast("int")})
-    return out.join(F.broadcast(discounts), ["level", "start", "kind"], "left").select("level", "gram", "n", F.coalesce("discount", F.lit(0.5)).alias("discount"))
+    seen = grams.where(F.col("n") > 0).select("level", "gram", "n")
+    longest = out = seen.where(F.col("level") == order)
+    for k in range(order, 0, -1):
+        ended = longest.select(F.expr(f"gram & {(1 << 8 * k) - 1}L").alias("gram"), F.lit(1).cast("long").alias("n"))
+        both = ended.unionByName(seen.where(F.col("level") == k - 1).select("gram", "n")).groupBy("gram").agg(F.sum("n").alias("n"))
+        longest = common.stored(both.select(F.lit(k - 1).alias("level"), "gram", "n"), f"level-{k - 1}")
+        out = out.unionByName(longest)
+    by = {(r.level, r.n): r["rows"] for r in out.where(F.col("n") <= 4).groupBy("level", "n").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    table = np.zeros((order + 1, 4))
+    for level in range(order + 1):
+        few = [by.get((level, i), 0) + 0.5 for i in range(1, 5)]
+        y = few[0] / (few[0] + 2 * few[1])
+        table[level, 1:] = [min(max(i - (i + 1) * y * few[i] / few[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+    return out, table
 
 
 class Trie:
-    """Sorted codes for each level with what prediction needs."""
+    """Sorted grams for each level with what prediction needs."""
 
-    def __init__(self, level: np.ndarray, gram: np.ndarray, n: np.ndarray, discount: np.ndarray, order: int) -> None:
-        self.order = order
-        self.grams, self.logs, self.codes, self.fields = [], [], [], []
-        for k in range(order + 1):
+    def __init__(self, level: np.ndarray, gram: np.ndarray, n: np.ndarray, discounts: np.ndarray) -> None:
+        self.order = len(discounts) - 1
+        self.grams, self.logs, self.contexts, self.fields = [], [], [], []
+        for k in range(self.order + 1):
             at = np.flatnonzero(level == k)
             at = at[np.argsort(gram[at])]
-            g, count, cut = gram[at], n[at].astype(np.float64), discount[at]
-            code, first = np.unique(g >> np.uint64(8), return_index=True)
+            g, count = gram[at], n[at].astype(np.float64)
+            cut = discounts[k][np.minimum(n[at], 3)]
+            context, first = np.unique(g >> 8, return_index=True)
             add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: B023, E731
             total, escape, kinds = add(count), add(cut), np.diff(np.append(first, len(g)))
-            down_escape, down_total = np.zeros(len(code)), np.zeros(len(code))
-            if k and len(code):
-                short = g & np.uint64((1 << 8 * k) - 1)  # the same symbol after a context one byte shorter
-                same = np.searchsorted(below[0], short)
-                parent = np.searchsorted(self.codes[-1], code & np.uint64((1 << 8 * (k - 1)) - 1))
+            down_escape, down_total = np.zeros(len(context)), np.zeros(len(context))
+            if k and len(context):
+                same = np.searchsorted(below[0], g & (1 << 8 * k) - 1)  # the same symbol after a context one byte shorter
+                parent = np.searchsorted(self.contexts[-1], context & (1 << 8 * (k - 1)) - 1)
                 more = sums[2][parent] > kinds
                 left = np.where(more, sums[0][parent] - add(below[1][same]), 1)
                 down_total = np.log10(left)
                 down_escape = np.where(more, np.log10(np.where(more, sums[1][parent] - add(below[2][same]), 1) / left), 0.0)
-            self.fields.append(np.stack([np.log10(total), np.log10(escape / total), down_escape, down_total], axis=1) if len(code) else np.zeros((0, 4)))
+            self.fields.append(np.stack([np.log10(total), np.log10(escape / total), down_escape, down_total], axis=1) if len(context) else np.zeros((0, 4)))
             self.grams.append(g)
             self.logs.append(np.log10(count - cut))
-            self.codes.append(code)
+            self.contexts.append(context)
             sums, below = (total, escape, kinds), (g, count, cut)
         self.alphabet = len(self.grams[0])
 
-    def predict(self, data: np.ndarray, place: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
-        """log10 of the probability of each symbol."""
-        out = np.zeros(len(data))
-        open_ = np.ones(len(data), bool)
-        entered = np.zeros(len(data), bool)
-        above = np.zeros((len(data), 4))
+    def predict(self, level: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's symbol in its context."""
+        out = np.zeros(len(gram))
+        open_ = np.ones(len(gram), bool)
+        entered = np.zeros(len(gram), bool)
+        above = np.zeros((len(gram), 4))
         for k in range(self.order, -1, -1):
-            at = np.flatnonzero(open_ & (place >= k - 1))
-            if not len(at) or not len(self.codes[k]):
+            at = np.flatnonzero(open_ & (level >= k))
+            if not len(at) or not len(self.contexts[k]):
                 continue
-            node = np.minimum(np.searchsorted(self.codes[k], context[k][at]), len(self.codes[k]) - 1)
-            there = self.codes[k][node] == context[k][at]
-            at, node = at[there], node[there]
-            g = context[k][at] << np.uint64(8) | data[at]
+            g = gram[at] & (1 << 8 * (k + 1)) - 1
+            node = np.minimum(np.searchsorted(self.contexts[k], g >> 8), len(self.contexts[k]) - 1)
+            there = self.contexts[k][node] == g >> 8
+            at, node, g = at[there], node[there], g[there]
             i = np.minimum(np.searchsorted(self.grams[k], g), len(self.grams[k]) - 1)
             seen = self.grams[k][i] == g
             was = entered[at]
@@ -218,81 +207,58 @@ class Trie:
         return out
 
 
-def code_lengths(words: DataFrame, trained: DataFrame, order: int = ORDER) -> DataFrame:
-    """words (word, c) with lp: log10 of the probability that the trie of trained (level, gram, n) gives to the word."""
-    spark = words.sparkSession
-    total = trained.count()
-    parts = -(-total // PART_GRAMS) or 1
-    short = F.expr("shiftright(gram, 8) & 65535")
-    own = F.when(F.col("level") <= 1, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array((short * 40503 % 65521 % parts).cast("int")))
-    dealt = common.stored(trained.select("level", "gram", "n", "discount", F.explode(own).alias("part")), "trie") if parts > 1 else trained.withColumn("part", F.lit(0))
-    out = words.withColumn("lp", F.lit(0.0))
-    for part in range(parts):
-        table = dealt.where(F.col("part") == part).select("level", "gram", "n", "discount").toArrow()
-        shared = spark.sparkContext.broadcast([table.column(i).to_numpy() for i in range(4)])
-        out = common.stored(out.mapInArrow(_adder(shared, part, parts, order), "word binary, c long, lp double"), f"words-{part}")
-    return out
-
+def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """level, gram, lp: log10 of the probability of each gram (level, gram, n: in training texts) by the trie of those with n > 0."""
+    trie, discounts = trained(grams, order)
+    parts = -(-trie.count() // PART_GRAMS) or 1
+    near = min(NEAR, order)
+    ending = F.pmod(F.hash(F.expr(f"shiftright(gram, 8) & {(1 << 8 * near) - 1}L")), F.lit(parts))
+    long = F.col("level") >= near
+    every = F.explode(F.when(long, F.array(ending)).otherwise(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = trie.select(F.col("level").alias("known_level"), F.col("gram").alias("known"), "n", every.alias("part"))  # its own names: both sides come from one table
+    asked = grams.select("level", "gram", F.when(long, ending).otherwise(F.pmod(F.hash("gram"), F.lit(parts))).alias("part"))
 
-_tries: dict[str, Trie] = {}
+    def run(own: pa.Table, held: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({"level": pa.nulls(0, pa.int32()), "gram": pa.nulls(0, pa.int64()), "lp": pa.nulls(0, pa.float64())})
+        level, gram = own.column("level").to_numpy(), own.column("gram").to_numpy()
+        trie = Trie(*(held.column(c).to_numpy() if held.num_rows else np.zeros(0, np.int64) for c in ("known_level", "known", "n")), discounts)
+        lp = [trie.predict(level[i : i + 200_000], gram[i : i + 200_000]) for i in range(0, len(gram), 200_000)]
+        return pa.table({"level": level, "gram": gram, "lp": np.concatenate(lp)})
 
-
-def _adder(shared, part: int, parts: int, order: int) -> Callable:
-    key = uuid.uuid4().hex  # of this part, on the driver: workers outlive broadcasts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, gram, n, discount = shared.value
-        if key not in _tries:
-            _tries.clear()
-            _tries[key] = Trie(level, gram.view(np.uint64), n, discount, order)
-        trie = _tries[key]
-        for batch in common.steps(batches, "word", 1 << 20):
-            data, place, owner = symbols(batch.column(0))
-            context = contexts(data, place, order)
-            # The first symbol of a word has one byte of context; part 0 takes it.
-            mine = np.where(place > 0, part_of(context[2], parts), 0) == part
-            lp = trie.predict(data[mine], place[mine], [c[mine] for c in context])
-            added = np.bincount(owner[mine], lp, minlength=batch.num_rows)
-            yield common.record(["word", "c", "lp"], [batch.column(0), batch.column(1), pa.array(batch.column(2).to_numpy() + added)])
-
-    return common.lean(run)
+    return asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(run, "level int, gram long, lp double")
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    cut = common.stored(blocks(docs), "blocks")
-    words, texts = cut.where(F.col("word").isNotNull()).select("block", "k", "word", "n"), cut.where(F.col("codes").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "codes")
+    cut = common.stored(blocks(docs, order), "blocks")
+    words, listed = cut.where(F.col("word").isNotNull()).select("block", "word", "n"), cut.where(F.col("gram").isNotNull()).select("block", "gram", "n")
+    texts = cut.where(F.col("text").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "text")
     counted = common.stored(words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    known = counted.where(F.col("c") > 0)
-    sums = known.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in range(1, 5)]).first()
-    n, v, few = sums.n or 0, sums.v, [(sums[f"n{i}"] or 0) + 0.5 for i in range(1, 5)]
-    y = few[0] / (few[0] + 2 * few[1])
-    cut_off = np.array([0] + [min(max(i - (i + 1) * y * few[i] / few[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)])
-    escape = (cut_off[1] * (few[0] - 0.5) + cut_off[2] * (few[1] - 0.5) + cut_off[3] * (v - few[0] - few[1] + 1)) / n if n else 1.0
-    coded = code_lengths(counted, common.stored(grams(known, order), "trained"), order)
-    back = words.select("block", "k", "word").join(coded, "word").select("block", "k", "c", "lp")
+    sums = counted.where(F.col("c") > 0).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = sums.n, sums.v
+    low = (1 << LEVEL) - 1
+    grams = listed.groupBy("gram").agg(F.sum("n").alias("n")).select(F.shiftright("gram", LEVEL).cast("int").alias("level"), F.expr(f"gram & {low}L").alias("gram"), "n")
+    coded = code_lengths(common.stored(grams, "grams"), order).select(F.expr(f"shiftleft(cast(level as long), {LEVEL}) | gram").alias("gram"), "lp")
+    back = words.select("block", "word").join(counted, "word").select("block", "word", "c")
+    back = back.unionByName(listed.select("block", "gram").join(coded, "gram").select("block", "gram", "lp"), allowMissingColumns=True)
 
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
-        k = own.column("k").to_numpy()
-        c, by_trie = np.zeros(len(k), np.int64), np.zeros(len(k))
-        c[k], by_trie[k] = own.column("c").to_numpy(), own.column("lp").to_numpy() * np.log(10)
-        base = np.log10((c + 1) / (n + v + 1))
-        with np.errstate(divide="ignore"):
-            whole = np.logaddexp(np.log((c - cut_off[np.minimum(c, 3)]) / max(n, 1)), np.log(escape) + by_trie)
-        raw = [np.append(np.frombuffer(x.as_buffer(), np.int32), np.int32(len(k) - 1)) for x in rows.column("codes").combine_chunks()]  # the end is the last word of a block
-        size = np.array([len(x) for x in raw], np.int64)
-        codes, text = np.concatenate(raw) if raw else np.zeros(0, np.int32), np.repeat(np.arange(len(raw)), size)
-        add = lambda x: np.bincount(text, x, minlength=len(raw))
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        key = text * len(k) + codes
-        order_ = np.argsort(key, kind="stable")
-        key = key[order_]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        before = np.empty(len(key))
-        before[order_] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-        with np.errstate(divide="ignore"):
-            lp = (np.logaddexp(np.log(before), np.log(PRIOR_WORDS) + whole[codes]) - np.log(place + PRIOR_WORDS)) / np.log(10)
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": size, "n_known": add((c > 0)[codes]).astype(np.int64), "train_tokens": np.full(len(raw), n, np.int64), "base_score": add(base[codes]), "score": add(lp)})
+        is_word = own.column("word").is_valid()
+        vocabulary = own.column("word").filter(is_word).combine_chunks().cast(pa.large_binary())
+        c = own.column("c").filter(is_word).to_numpy()
+        base, is_known = np.log10((c + 1) / (n + v + 1)), c > 0
+        gram, lp = (own.column(name).filter(pc.invert(is_word)).to_numpy() for name in ("gram", "lp"))
+        by = np.argsort(gram)
+        gram, lp, found = gram[by], lp[by], []
+        for batch in common.steps(rows.select(["text"]).to_batches(), "text", common.STEP_BYTES):
+            data, bounds = common.bytes_view(batch.column(0))
+            column, upto = tokens(data, bounds)
+            at = pc.index_in(column.dictionary, value_set=vocabulary).to_numpy()[column.indices.to_numpy()]
+            add = lambda x, to: np.add.reduceat(x, to[:-1])
+            found.append((np.diff(upto), add(is_known[at].astype(np.int64), upto), add(base[at], upto), add(lp[np.searchsorted(gram, codes(data, bounds, order))], bounds)))
+        of = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (int, int, float, float)]
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": of[0], "n_known": of[1], "train_tokens": np.full(len(of[0]), n, np.int64), "base_score": of[2], "score": of[3]})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return back.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(run, schema)
