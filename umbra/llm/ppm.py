@@ -6,7 +6,7 @@ training texts show. The longest context of the trie that fits predicts; a symbo
 the discounts of the counts there) to the context one byte shorter, in which the symbols of the longer one are excluded;
 below the empty context all other byte values are alike. The score of a text is the sum of its symbols' log10.
 
-Steps: (1) one pass cuts the texts into blocks, and each block lists its different words and grams (longest context and
+Steps: (1) one pass gathers the texts in blocks, small partitions together, and each block lists its different words and grams (longest context and
 symbol) with how often training texts hold them; (2) words and grams are counted over the blocks, and shorter contexts
 from longer ones; (3) the trie and the grams to be coded are dealt by the last three bytes of a context, and each deal
 is coded by itself: each different gram is coded once for the whole corpus; (4) code lengths and word counts go back to
@@ -37,7 +37,8 @@ ORDER = 5
 PART_GRAMS = 1_000_000
 #: Bytes of the context by which grams are dealt.
 NEAR = 3
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block: the larger, the fewer rows list the same words and grams.
+BLOCK_BYTES = 64 << 20
 END = b"\xff"  # stands in no UTF-8 text
 SPACE = 32
 #: Where a gram's number holds the length of its context; the context's bytes and the symbol stand below.
@@ -124,7 +125,9 @@ def blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if words:
             yield from lists()
 
-    source = common.id_text(docs).select(F.coalesce("doc_id", F.lit(0)).alias("key"), "doc_id", F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit(b" " + END)).alias("text"))
+    texts = common.id_text(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    source = texts.coalesce(-(-size // BLOCK_BYTES) or 1).select(F.coalesce("doc_id", F.lit(0)).alias("key"), "doc_id", F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.lit(b" " + END)).alias("text"))
     return source.mapInArrow(common.lean(run), "block long, word binary, gram long, n long, doc_id long, held_out boolean, text binary")
 
 
@@ -226,7 +229,10 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
         lp = [trie.predict(level[i : i + 200_000], gram[i : i + 200_000]) for i in range(0, len(gram), 200_000)]
         return pa.table({"level": level, "gram": gram, "lp": np.concatenate(lp)})
 
-    return asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(run, "level int, gram long, lp double")
+    coded = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(run, "level int, gram long, lp double")
+    coded = common.stored(coded, "coded")
+    common.tidy(grams.sparkSession, trie)
+    return coded
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
