@@ -39,6 +39,9 @@ PART_GRAMS = 1_000_000
 NEAR = 3
 #: Text bytes of a block: the larger, the fewer rows list the same words and grams.
 BLOCK_BYTES = 64 << 20
+#: Text bytes that a task works on at a time, and grams listed by such steps that it keeps before it adds them up.
+STEP_BYTES = 1 << 20
+FOLD_GRAMS = 1_000_000
 END = b"\xff"  # stands in no UTF-8 text
 SPACE = 32
 #: Where a gram's number holds the length of its context; the context's bytes and the symbol stand below.
@@ -94,23 +97,30 @@ def blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def rows(block: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
         size = len(next(iter(columns.values())))
-        table = pa.table({"block": pa.array(np.full(size, block)), **{k: columns[k] if k in columns else pa.nulls(size, t) for k, t in types.items()}})
-        yield from table.to_batches(max_chunksize=100_000)
+        for i in range(0, size, 50_000):
+            m = min(50_000, size - i)
+            yield common.record(["block", *types], [np.full(m, block), *(columns[k].slice(i, m) if k in columns else pa.nulls(m, t) for k, t in types.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
         words: list[tuple[pa.Array, np.ndarray]] = []
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def lists() -> Iterator[pa.RecordBatch]:
+        def fold() -> None:
             column = pa.chunked_array([w for w, _ in words]).combine_chunks().dictionary_encode()
-            n = np.bincount(column.indices.to_numpy(), np.concatenate([n for _, n in words]), len(column.dictionary))
-            yield from rows(block, word=column.dictionary.cast(pa.binary()), n=pa.array(n.astype(np.int64)))
-            gram, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in grams]), len(gram))
-            yield from rows(block, gram=pa.array(gram), n=pa.array(n.astype(np.int64)))
+            words[:] = [(column.dictionary, np.bincount(column.indices.to_numpy(), np.concatenate([n for _, n in words]), len(column.dictionary)))]
+            gram, n = (np.concatenate(x) for x in zip(*grams, strict=True))
+            by = np.argsort(gram)
+            gram = gram[by]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            grams[:] = [(gram[first], np.add.reduceat(n[by], first))]
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            fold()
+            yield from rows(block, word=words[0][0].cast(pa.binary()), n=pa.array(words[0][1].astype(np.int64)))
+            yield from rows(block, gram=pa.array(grams[0][0]), n=pa.array(grams[0][1]))
 
-        for batch in common.steps(batches, "text", common.STEP_BYTES):
+        for batch in common.steps(batches, "text", STEP_BYTES):
             data, bounds = streams(batch.column(2))
             out = held_out(batch.column(0).to_numpy(zero_copy_only=False))
             column, upto = tokens(data, bounds)
@@ -119,9 +129,13 @@ def blocks(docs: DataFrame, order: int = ORDER) -> DataFrame:
             grams.append((both >> 1, np.where(both & 1, 0, n)))
             yield from rows(block, doc_id=batch.column(1), held_out=pa.array(out), text=chunks.binaries(data, bounds).cast(pa.binary()))
             size += len(data)
+            if sum(len(g) for g, _ in grams[1:]) > FOLD_GRAMS:
+                fold()
             if size >= BLOCK_BYTES:
                 yield from lists()
-                block, size, words, grams = block + 1, 0, [], []
+                block, size = block + 1, 0
+                words.clear()
+                grams.clear()
         if words:
             yield from lists()
 
@@ -211,7 +225,10 @@ class Trie:
 
 
 def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """level, gram, lp: log10 of the probability of each gram (level, gram, n: in training texts) by the trie of those with n > 0."""
+    """level, gram, lp, stored: log10 of the probability of each gram (level, gram, n: in training texts) by the trie of those with n > 0.
+
+    A stored table of grams is deleted, as all that comes before the result.
+    """
     trie, discounts = trained(grams, order)
     parts = -(-trie.count() // PART_GRAMS) or 1
     near = min(NEAR, order)
