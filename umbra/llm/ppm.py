@@ -279,7 +279,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             column, upto = tokens(data, bounds)
             at = pc.index_in(column.dictionary, value_set=vocabulary).to_numpy()[column.indices.to_numpy()]
             add = lambda x, to: np.add.reduceat(x, to[:-1])
-            found.append((np.diff(upto), add(is_known[at].astype(np.int64), upto), add(base[at], upto), add(lp[np.searchsorted(gram, codes(data, bounds, order))], bounds)))
+            coded = []
+            for piece in common.steps([batch], "text", STEP_BYTES // 4):
+                data, bounds = common.bytes_view(piece.column(0))
+                coded.append(add(lp[np.searchsorted(gram, codes(data, bounds, order))], bounds))
+            found.append((np.diff(upto), add(is_known[at].astype(np.int64), upto), add(base[at], upto), np.concatenate(coded)))
         of = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (int, int, float, float)]
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": of[0], "n_known": of[1], "train_tokens": np.full(len(of[0]), n, np.int64), "base_score": of[2], "score": of[3]})
 
