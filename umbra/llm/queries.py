@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from umbra.llm import alignment, bpe, decontaminate, html_text, media, mixing, near_dedup, ppm, sharding, substrings, token_files, toxicity
+from umbra.llm import alignment, bpe, collocations, decontaminate, html_text, media, mixing, near_dedup, ppm, sharding, substrings, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,8 +17,9 @@ QUERIES = {
         toxicity.op8_boosted_toxicity,
         bpe.op9_forced_split_bpe,
         media.op10_mpeg_audio,
+        collocations.op11_phrase_collocations,
         mixing.op12_source_mix,
         alignment.op13_token_alignment,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op12_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_phrase_collocations": collocations.SQL, "op12_source_mix": mixing.SQL}
