@@ -6,11 +6,12 @@ training texts show. The longest context of the trie that fits predicts; a symbo
 the discounts of the counts there) to the context one byte shorter, in which the symbols of the longer one are excluded;
 below the empty context all other byte values are alike. The score of a text is the sum of its symbols' log10.
 
-Steps: (1) one pass gathers the texts in blocks, small partitions together, and each block lists its different words and grams (longest context and
-symbol) with how often training texts hold them; (2) words and grams are counted over the blocks, and shorter contexts
+Steps: (1) one pass gathers the texts in blocks, small partitions together, and each block lists its different words and
+grams (longest context and symbol) with how often training texts hold them; (2) words and grams are counted over the blocks, and shorter contexts
 from longer ones; (3) the trie and the grams to be coded are dealt by the last three bytes of a context, and each deal
 is coded by itself: each different gram is coded once for the whole corpus; (4) code lengths and word counts go back to
-the blocks that list them, where texts are summed. Nothing is broadcast, and the driver sees a few dozen counts only.
+the blocks that list them, in the order grams, words, texts, so that a task holds two columns of a block's grams and sums
+its texts as they stream by. Nothing is broadcast, and the driver sees a few dozen counts only.
 Contexts of fewer than three bytes go to each deal; a deal of one ending has at most 2^24 grams for each level.
 
 Defined results: null and empty texts are one end; a null doc_id is held out or not as id 0 is; repeated rows count and
@@ -252,43 +253,79 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return coded
 
 
+#: Rows that meet in a block, in this order.
+GRAM, WORD, TEXT = 0, 1, 2
+
+
+class Block:
+    """What a block lists: code lengths of its grams, in their order, and counts of its words."""
+
+    def __init__(self, no: int | None) -> None:
+        self.no, self.parts = no, {GRAM: [], WORD: []}
+
+    def take(self, rows: pa.RecordBatch, kind: int) -> None:
+        key = rows.column(2).to_numpy() if kind == GRAM else rows.column(4).cast(pa.large_binary())
+        self.parts[kind].append((key, rows.column(3).to_numpy()))
+
+    def close(self) -> None:
+        """All rows but texts are here."""
+        if self.parts:
+            self.gram, self.lp = (np.concatenate([x[i] for x in self.parts[GRAM]]) for i in (0, 1))
+            self.words, self.c = pa.concat_arrays([x[0] for x in self.parts[WORD]]), np.concatenate([x[1] for x in self.parts[WORD]])
+            self.parts = {}
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     cut = common.stored(blocks(docs, order), "blocks")
     words, listed = cut.where(F.col("word").isNotNull()).select("block", "word", "n"), cut.where(F.col("gram").isNotNull()).select("block", "gram", "n")
-    texts = cut.where(F.col("text").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "text")
+    texts = cut.where(F.col("text").isNotNull()).select("block", "doc_id", "text")
     counted = common.stored(words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     sums = counted.where(F.col("c") > 0).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums.n, sums.v
     low = (1 << LEVEL) - 1
     grams = listed.groupBy("gram").agg(F.sum("n").alias("n")).select(F.shiftright("gram", LEVEL).cast("int").alias("level"), F.expr(f"gram & {low}L").alias("gram"), "n")
     coded = code_lengths(common.stored(grams, "grams"), order).select(F.expr(f"shiftleft(cast(level as long), {LEVEL}) | gram").alias("gram"), "lp")
-    back = words.select("block", "word").join(counted, "word").select("block", "word", "c")
-    back = back.unionByName(listed.select("block", "gram").join(coded, "gram").select("block", "gram", "lp"), allowMissingColumns=True)
-
-    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
-        is_word = own.column("word").is_valid()
-        vocabulary = own.column("word").filter(is_word).combine_chunks().cast(pa.large_binary())
-        c = own.column("c").filter(is_word).to_numpy()
-        base, is_known = np.log10((c + 1) / (n + v + 1)), c > 0
-        gram, lp = (own.column(name).filter(pc.invert(is_word)).to_numpy() for name in ("gram", "lp"))
-        by = np.argsort(gram)
-        gram, lp, found = gram[by], lp[by], []
-        for batch in common.steps(rows.select(["text"]).to_batches(), "text", common.STEP_BYTES):
-            data, bounds = common.bytes_view(batch.column(0))
-            column, upto = tokens(data, bounds)
-            at = pc.index_in(column.dictionary, value_set=vocabulary).to_numpy()[column.indices.to_numpy()]
-            add = lambda x, to: np.add.reduceat(x, to[:-1])
-            coded = []
-            for piece in common.steps([batch], "text", STEP_BYTES // 4):
-                data, bounds = common.bytes_view(piece.column(0))
-                coded.append(add(lp[np.searchsorted(gram, codes(data, bounds, order))], bounds))
-            found.append((np.diff(upto), add(is_known[at].astype(np.int64), upto), add(base[at], upto), np.concatenate(coded)))
-        of = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (int, int, float, float)]
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": of[0], "n_known": of[1], "train_tokens": np.full(len(of[0]), n, np.int64), "base_score": of[2], "score": of[3]})
+    row = lambda df, kind, key, value, data: df.select("block", F.lit(kind).cast("byte").alias("kind"), F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("value"), F.col(data).cast("binary").alias("data"))
+    nothing = F.lit(None)
+    grams_back = row(listed.select("block", "gram").join(coded, "gram").withColumn("no", nothing), GRAM, "gram", "lp", "no")
+    words_back = row(words.select("block", "word").join(counted, "word").withColumn("no", nothing), WORD, "no", "c", "word")
+    every = grams_back.unionByName(words_back).unionByName(row(texts.withColumn("no", nothing), TEXT, "doc_id", "no", "text"))
+
+    def summed(block: Block, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        add = lambda x, to: np.add.reduceat(x, to[:-1])
+        for batch in common.steps([rows], "data", common.STEP_BYTES):
+            column, upto = tokens(*common.bytes_view(batch.column(4)))
+            at = pc.index_in(column.dictionary, value_set=block.words).to_numpy()[column.indices.to_numpy()]
+            lengths = []
+            for piece in common.steps([batch], "data", STEP_BYTES // 4):
+                data, bounds = common.bytes_view(piece.column(4))
+                lengths.append(add(block.lp[np.searchsorted(block.gram, codes(data, bounds, order))], bounds))
+            c = block.c[at]
+            found.append((np.diff(upto), add((c > 0).astype(np.int64), upto), add(np.log10((c + 1) / (n + v + 1)), upto), np.concatenate(lengths)))
+        of = [np.concatenate(x) for x in zip(*found, strict=True)]
+        ids = rows.column(2)
+        out = held_out(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False))
+        return common.record(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [ids, out, of[0], of[1], np.full(len(ids), n, np.int64), of[2], of[3]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(None)
+        for batch in batches:
+            of, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(kind) != 0))) if len(of) else []
+            for a, b in zip(cuts, [*cuts[1:], len(of)], strict=True):
+                part = batch.slice(a, b - a)
+                if of[a] != block.no:
+                    block = Block(of[a])
+                if kind[a] == TEXT:
+                    block.close()
+                    yield summed(block, part)
+                else:
+                    block.take(part, kind[a])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return back.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(run, schema)
+    return every.repartition("block").sortWithinPartitions("block", "kind", "key").mapInArrow(common.lean(run), schema)
 
 
 def op4_ppm(spark, sf_dir: str) -> DataFrame:
