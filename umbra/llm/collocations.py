@@ -151,7 +151,7 @@ def _dealt(block: int, buckets: np.ndarray, body) -> list[tuple]:
     """A row for each bucket; body gives what goes to it from the ascending places of its entries."""
     order = np.argsort(buckets, kind="stable")
     names, starts = np.unique(buckets[order], return_index=True)
-    return [(int(n), block, body(order[a:b])) for n, a, b in zip(names, starts, [*starts[1:], len(order)], strict=True)]
+    return [(int(n), block, body(order[a:b])) for n, a, b in zip(names, starts, np.append(starts, len(order))[1:], strict=True)]
 
 
 def send_words(made: DataFrame, buckets: int) -> DataFrame:

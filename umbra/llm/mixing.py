@@ -79,11 +79,11 @@ def _taken(before: Column) -> Column:
 
 def materialized(docs: DataFrame, mixed: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that a mix of docs (ids each once) takes: docs, once for each epoch (column epoch, from 0); the last text cut after its last taken word."""
-    taken = mixed.select(F.col("doc_id").alias("__of"), "size", "taken").where("taken > 0")
-    each = docs.join(taken, F.col(id_column) == F.col("__of")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("CAST((taken - 1) div size AS INT)"))))
-    left = F.least(F.col("taken") - F.col("epoch") * F.col("size"), F.col("size"))
+    taken = mixed.where("taken > 0").select(F.col("doc_id").alias("__of"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    each = docs.join(taken, F.col(id_column) == F.col("__of")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("CAST((__taken - 1) div __size AS INT)"))))
+    left = F.least(F.col("__taken") - F.col("epoch") * F.col("__size"), F.col("__size"))
     cut = F.array_join(F.slice(F.regexp_extract_all(text_column, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), left.cast("int")), "")
-    return each.withColumn(text_column, F.when(left < F.col("size"), cut).otherwise(F.col(text_column))).drop("__of", "size", "taken")
+    return each.withColumn(text_column, F.when(left < F.col("__size"), cut).otherwise(F.col(text_column))).drop("__of", "__size", "__taken")
 
 
 def op12_source_mix(spark, sf_dir: str) -> DataFrame:
