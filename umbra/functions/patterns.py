@@ -66,7 +66,11 @@ PRIVATE_KEY_MARKER = r"(?i)-{2,}(?:BEGIN|END)[ \t]+(?:[A-Z0-9]+[ \t]+)?PRIVATE(?
 PRIVATE_KEY = Rule("private_key_block", "CREDENTIAL", "critical", 1.0, PRIVATE_KEY_MARKER)
 #: Priority of a whole private key over all other spans.
 PRIVATE_KEY_PRIORITY = 110
+# Priorities of sources, of others, and what a rule adds from which confidence on.
+SOURCES = {"manual": 100, "declared_value": 95, "session_mapping": 90, "dictionary": 80, "rule": 70, "public_context_rule": 70, "openai_privacy_filter": 55, "model": 50}
+OTHER_SOURCE, SURE_RULE, SURE_RULE_BONUS = 40, 0.95, 5
 
+# Signatures of injections and the general form of a secret.
 INJECTION = {
     "ignore_instructions": r"(?i)ignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|prompts?|messages?|context|rules?)",
     "disregard_above": r"(?i)disregard\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)",
@@ -82,14 +86,18 @@ SECRET = r"(?i)(?:password|passwd|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']
 #: Our own bounds: characters and bits of entropy from which on a value counts as a secret.
 SECRET_LENGTH, SECRET_BITS = 12, 3.0
 
+# Role sets with their cues, labels that take roles, characters in front that are searched.
 ROLES = {
     "contract": {"PARTYA": "甲方|发包人|发包方", "PARTYB": "乙方|承包人|承包方", "GENCON": "总包|总承包", "SUBCON": "分包", "GUARANTOR": "担保人|保证人", "SUPERVISOR": "监理", "PRINCIPAL": "委托方|委托人"},
     "investment": {"LEAD": "牵头方|牵头投资|主投", "TARGET": "标的方|标的公司|投资标的|被投方|被投", "PARTNER": "合作方|合作伙伴|联合体", "INVESTOR": "投资方|投资人", "TRANSFEROR": "转让方|出让方", "TRANSFEREE": "受让方"},
 }
 ROLE_LABELS, ROLE_WINDOW = ("ORG", "SUPPLIER"), 10
 
+# Short names in placeholders, forms of placeholders, areas.
 PREFIXES = {"DEPARTMENT": "DEPT", "LAND_PARCEL": "PARCEL", "SYSTEM_URL": "URL", "RISK_JUDGMENT": "RISK", "INTERNAL_OPINION": "OPINION", "NEGOTIATION_POSITION": "POSITION"}
 PLACEHOLDER = r"<[A-Z][A-Z0-9_]*_\d{3,}>"
 ALTERED = (r"<[A-Z][A-Z0-9_]*[-_]\d{1,}>", r"<\s*[A-Za-z][A-Za-z0-9_]*\s*[-_]?\s*\d{1,}\s*>")
 BARE_PLACEHOLDER = r"(?<!<)\b[A-Z][A-Z0-9_]*_\d{3,}\b(?!>)"
-AREA = r"^\s*(?:平\s*方\s*米|平\s*米|㎡|m²)"
+AREA = r"(?i)^\s*(?:平\s*方\s*米|平\s*米|㎡|m²)"
+AREA_END = r"(?i)(?:平\s*方\s*米|平\s*米|㎡|m²)\s*$"
+QUANTITY = r"(?i)^\s*\d+(?:[,，]\d{3})*(?:\.\d+)?\s*[万亿]?\s*(?:平\s*方\s*米|平\s*米|㎡|m²)?\s*$"

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.functions import patterns, text
-
-#: Characters of dictionary needles that a pass broadcasts; a larger dictionary takes more passes.
-NEEDLE_CHARS = 4_000_000
+from umbra import workers
+from umbra.functions import patterns, scan, text
+from umbra.operators import matcher
 
 
 def matches(scan: Column, pattern: str, group: int = 0) -> Column:
@@ -64,53 +62,37 @@ def private_keys(whole: Column, scan: Column) -> Column:
     return F.when(scan.rlike(patterns.FLAGS + patterns.PRIVATE_KEY_MARKER), folded)
 
 
-def framed(docs: DataFrame) -> DataFrame:
-    """docs with error: what is wrong with the framing of a private key. The text of such a document is null, so that nothing of it is given out."""
-    error = private_keys(F.col("text"), text.half_width("text"))["error"]
-    return docs.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule]) -> DataFrame:
+    """doc_id, text, error, spans (scan.SPANS) of each text: one pass over compiled patterns, without a shuffle."""
+    workers.ship(docs.sparkSession)
+    wanted, kind = list(rules), docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scan.rules(t, wanted) if t is not None else (None, None) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([e for _, e in found], pa.string()), scan.column([s for s, _ in found])], ["doc_id", "text", "error", "spans"])
 
-def priority() -> Column:
-    """Rules have one priority, but a whole private key goes before all spans."""
-    return F.when(F.col("rule_id") == patterns.PRIVATE_KEY.rule_id, patterns.PRIVATE_KEY_PRIORITY).otherwise(1)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, text string, error string, spans {scan.SPANS}")
 
 
-def _named(r: patterns.Rule) -> Callable[[Column], Column]:
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.risk).alias("risk_level"))
+def framed(docs: DataFrame) -> DataFrame:
+    """docs with error: what is wrong with the framing of a private key. The text of such a document is null, so that nothing of it is given out."""
+    error = private_keys(F.col("text"), text.half_width("text"))["error"]
+    return docs.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
 
 
 def rule_arrays(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
-    """doc_id, text, spans: array<struct<start, end, label, confidence, rule_id, risk_level>> beside the text, without a shuffle.
+    """doc_id, text, spans (scan.SPANS) beside the text, without a shuffle; of a text with a badly framed private key there are none.
 
     A rule's pattern runs only on texts that hold one of its anchors. Of spans with equal bounds and label, the most
     confident stays (then the rule that comes last by name).
     """
-    wanted = list(rules)
-
-    def every(view: Column) -> Column:
-        found = []
-        for r in wanted:
-            at = private_keys(view["text"], view["scan"])["ranges"] if r is patterns.PRIVATE_KEY else matches(view["scan"], r.pattern, r.group)
-            spans = F.transform(at, _named(r))
-            found.append(F.when(reduce(Column.__or__, [view["scan"].contains(a) for a in r.anchors]), spans) if r.anchors else spans)
-        return F.array_sort(F.flatten(F.array_compact(F.array(*found))))  # by start, end, label, confidence, rule
-
-    def best(all_: Column) -> Column:
-        def last_of_its_kind(s: Column, i: Column) -> Column:
-            after = F.get(all_, i + 1)
-            return after.isNull() | (after["start"] != s["start"]) | (after["end"] != s["end"]) | (after["label"] != s["label"])
-
-        return F.filter(all_, last_of_its_kind)
-
-    # Text, view and array are bound by lambdas: as columns, the optimizer would put what makes them in each place that names them.
-    views = F.array(F.struct(F.col("text").alias("text"), text.half_width("text").alias("scan")))
-    return docs.select("doc_id", "text", F.get(F.transform(F.transform(views, every), best), F.lit(0)).alias("spans"))
+    return _scanned(docs, rules).drop("error")
 
 
 def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
     """All rules over the half-width view, in one pass without a shuffle. Surfaces are cut from the original text."""
-    # An outer explode: for an inner one, Spark would first filter by the size of the arrays and so make them twice.
-    each = rule_arrays(docs, rules).select("doc_id", "text", F.explode_outer("spans").alias("s")).where("s IS NOT NULL").select("doc_id", "text", "s.*")
+    each = rule_arrays(docs, rules).select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "text", "s.*")
     surface = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     return each.select("doc_id", "start", "end", "label", "confidence", F.lit("rule").alias("source"), "rule_id", "risk_level", surface.alias("surface"))
 
@@ -118,24 +100,19 @@ def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULE
 def known_values(docs: DataFrame, values: DataFrame, scope: str = "namespace") -> DataFrame:
     """doc_id, start, end, label, confidence, source, risk_level, canonical_value, surface: values that a scope owns, found again in its texts.
 
-    docs: scope, doc_id, text; values: scope, label, value. Values of 2 to 1000 characters are read literally; those of
-    patterns.FLEXIBLE labels without white space may have up to two blanks or line ends between characters. A value of
-    another scope is never looked for; the join is by scope, and each pair of text and value is one row.
+    docs: scope, doc_id (each once), text; values: scope, label, value. Values of 2 to 1000 characters are read literally;
+    those of patterns.FLEXIBLE labels without white space may have up to two blanks or line ends between characters. A
+    value of another scope is never looked for; texts and values meet by key (matcher).
     """
-    fit = values.select(F.col(scope).alias("__umbra_scope"), "label", "value").where(F.char_length("value").between(2, 1000)).distinct()
-    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("value"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    loose = F.array_join(F.transform(F.split("value", ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "[ \\t\\r\\n]{0,2}")
-    flexible = F.col("label").isin(*patterns.FLEXIBLE) & ~F.col("value").rlike(r"(?U)\s")
-    # A text without the value's first two characters, or its first one where blanks may follow, needs no pattern.
-    near = F.contains("text", F.when(flexible, F.substring("value", 1, 1)).otherwise(F.col("value")))
-    pairs = docs.join(fit, (F.col(scope) == F.col("__umbra_scope")) & near).withColumn("pattern", F.when(flexible, loose).otherwise(quoted))
-    found = pairs.withColumns({"gap": F.expr("split(text, pattern, -1)"), "own": F.expr("regexp_extract_all(text, pattern, 0)")}).where(F.size("own") > 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(F.arrays_zip("gap", "own"), zero, lambda a, x: F.struct((a["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["own"]), F.lit(0))).alias("at"), F.when(x["own"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["at"] + F.char_length(x["gap"])))).alias("out")), lambda a: a["out"])
-    each = found.select("doc_id", "label", "value", "text", F.explode(F.arrays_zip(starts.alias("start"), F.col("own"))).alias("m"))
-    end = F.col("m.start") + F.char_length("m.own")
+    fit = values.select(F.col(scope).alias("scope"), "label", F.col("value").alias("needle")).where(F.char_length("value").between(2, 1000)).distinct()
+    loose = F.col("label").isin(*patterns.FLEXIBLE) & ~F.col("needle").rlike(r"(?U)\s")
+    texts, out = docs.select("doc_id", F.col(scope).alias("scope"), F.col("text").alias("view")), None
+    for broken, own in ((False, fit.where(~loose)), (True, fit.where(loose))):
+        found = matcher.occurrences(texts, own.select("scope", "needle").distinct(), broken).join(own, ["scope", "needle"])
+        out = found if out is None else out.unionByName(found)
     source = F.when(F.col("label").isin(*patterns.FLEXIBLE), "declared_value").otherwise("session_mapping")
-    return each.select("doc_id", F.col("m.start").alias("start"), end.alias("end"), "label", F.lit(1.0).alias("confidence"), source.alias("source"), F.lit("high").alias("risk_level"), F.col("value").alias("canonical_value"), F.col("m.own").alias("surface"))
+    joined = out.join(docs.select(F.col("doc_id").alias("of"), "text"), F.col("doc_id") == F.col("of"))
+    return joined.select("doc_id", "start", "end", "label", F.lit(1.0).alias("confidence"), source.alias("source"), F.lit("high").alias("risk_level"), F.col("needle").alias("canonical_value"), F.expr("substring(text, start + 1, end - start)").alias("surface"))
 
 
 class ModelRequired(RuntimeError):
@@ -156,50 +133,15 @@ def detect(docs: DataFrame, profile, predictions: DataFrame | None = None) -> Da
 def dictionary_spans(docs: DataFrame, needles: DataFrame) -> DataFrame:
     """doc_id, start, end, label, confidence, source, entry_id, canonical_value, risk_level, surface.
 
-    needles: entry_id, canonical_value, needle, label, risk_level. Each worker has an automaton over at most NEEDLE_CHARS
-    characters of needles; more needles take more passes over the documents.
+    needles: entry_id, canonical_value, needle, label, risk_level. Texts and needles are compared in half-width and meet by
+    key (matcher): no needle is broadcast or passes the driver.
     """
-    spark = docs.sparkSession
-    scan = docs.select("doc_id", "text", text.half_width("text").alias("scan"))
+    every = F.lit(0)
     wanted = needles.select("entry_id", "canonical_value", text.half_width(F.trim("needle")).alias("needle"), "label", "risk_level").where(F.col("needle") != "").distinct()
-    schema = "doc_id long, start int, end int, label string, confidence double, source string, entry_id string, canonical_value string, risk_level string, surface string"
-    out, block, size = None, [], 0
-
-    def one(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            machine, owners = ahocorasick.Automaton(), {}
-            for r in shared.value:
-                owners.setdefault(r[2], []).append(r)
-            for n in owners:
-                machine.add_word(n, n)
-            if owners:
-                machine.make_automaton()
-            for batch in batches:
-                rows = []
-                for doc, whole, view in zip(batch["doc_id"], batch["text"], batch["scan"], strict=True):
-                    last: dict[str, int] = {}
-                    for end, n in machine.iter(view) if owners and view else ():
-                        start = end + 1 - len(n)
-                        if start < last.get(n, 0):
-                            continue  # a needle doesn't overlap itself
-                        last[n] = end + 1
-                        rows += [(doc, start, end + 1, o[3], 0.99, "dictionary", o[0], o[1], o[4], whole[start : end + 1]) for o in owners[n]]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-        return scan.mapInPandas(run, schema)
-
-    for r in wanted.toLocalIterator():
-        block.append(tuple(r))
-        size += len(r.needle)
-        if size >= NEEDLE_CHARS:
-            out, block, size = (one(block) if out is None else out.unionByName(one(block))), [], 0
-    if block or out is None:
-        out = one(block) if out is None else out.unionByName(one(block))
-    return drop_overlaps(out)
+    found = matcher.occurrences(docs.select("doc_id", every.alias("scope"), text.half_width("text").alias("view")), wanted.select(every.alias("scope"), "needle").distinct())
+    joined = found.join(wanted, "needle").join(docs.select(F.col("doc_id").alias("of"), "text"), F.col("doc_id") == F.col("of"))
+    surface = F.expr("substring(text, start + 1, end - start)").alias("surface")
+    return drop_overlaps(joined.select("doc_id", "start", "end", "label", F.lit(0.99).alias("confidence"), F.lit("dictionary").alias("source"), "entry_id", "canonical_value", "risk_level", surface))
 
 
 def drop_overlaps(spans: DataFrame) -> DataFrame:

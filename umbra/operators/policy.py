@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions import patterns
 from umbra.functions.text import generalize
 
 RISKS = {"low": 1, "medium": 2, "high": 3, "critical": 4}
@@ -157,16 +158,25 @@ def decide(profile: Profile, label: Column | str = "label", risk: Column | str =
     return out.when(risk_rank(risk) < RISKS[profile.min_risk], "pass").otherwise("redact")
 
 
+def _whole_key(spans: DataFrame) -> Column | None:
+    """A whole private key is never left in clear, whatever labels a profile passes."""
+    return F.col("rule_id") == patterns.PRIVATE_KEY.rule_id if "rule_id" in spans.columns else None
+
+
+def coarse(profile: Profile, label: Column, surface: Column, action: Column) -> Column:
+    """The value that stands in for a generalised one; null for others."""
+    name = F.when(F.lit(False), F.lit(None).cast("string"))
+    for key, generalizer in profile.generalize.items():
+        name = name.when(label == key, generalizer)
+    return F.when(action == "generalize", generalize(name, surface)) if profile.generalize else F.lit(None).cast("string")
+
+
 def apply(spans: DataFrame, profile: Profile) -> DataFrame:
     """spans with action and coarse (the value that stands in for a generalised one); passed and warned ones go."""
-    out = spans.withColumn("action", decide(profile))
-    name = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, generalizer in profile.generalize.items():
-        name = name.when(F.col("label") == label, generalizer)
-    coarse = F.when(F.col("action") == "generalize", generalize(name, F.col("surface")))
-    return out.withColumn("coarse", coarse).where(F.col("action").isin("redact", "generalize", "block"))
+    out = spans.withColumn("action", decide(profile, whole_key=_whole_key(spans)))
+    return out.withColumn("coarse", coarse(profile, F.col("label"), F.col("surface"), F.col("action"))).where(F.col("action").isin("redact", "generalize", "block"))
 
 
 def blocked_labels(spans: DataFrame, profile: Profile) -> DataFrame:
     """doc_id, blocked: the labels of a document that its profile blocks, in order."""
-    return spans.where(decide(profile) == "block").groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("blocked"))
+    return spans.where(decide(profile, whole_key=_whole_key(spans)) == "block").groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("blocked"))

@@ -11,6 +11,19 @@ FROM (SELECT o_orderkey, concat('合同编号：HT-', 20000000 + o_orderkey, '
       '@example.com。金额为', 100 + o_orderkey % 9000, '万元，日期：', year(o_orderdate), '年', month(o_orderdate), '月', day(o_orderdate),
       '日。api_key=', 'k', lpad(cast(o_orderkey AS string), 20, '0'), '。') AS raw FROM {orders}) t
 """
+#: A model's predictions for them: a person within each contract's number, which the rule's span covers whole.
+MODEL = """SELECT o_orderkey AS doc_id, cast(8 AS int) AS start, cast(11 AS int) AS "end", 'PERSON' AS label, cast(0.9 AS double) AS score FROM {orders}"""
+#: Spans of several sources on each document of 70 characters or more, by its key: they overlap each other, and hold, are in, and cross line ends.
+SOURCES = """
+SELECT doc_id, cast(s AS int) AS start, cast(e AS int) AS "end", label, source, cast(confidence AS double) AS confidence FROM (
+SELECT doc_id, 10 + doc_id % 7 AS s, 25 + doc_id % 5 AS e, 'ORG' AS label, 'dictionary' AS source, 0.99 AS confidence FROM {documents} WHERE length(text) >= 70
+UNION ALL SELECT doc_id, 20, 32 + doc_id % 11, 'PERSON', 'session_mapping', 1.0 FROM {documents} WHERE length(text) >= 70
+UNION ALL SELECT doc_id, 30 - doc_id % 3, 36, 'PROJECT_NAME', 'declared_value', 1.0 FROM {documents} WHERE length(text) >= 70 AND doc_id % 2 = 0
+UNION ALL SELECT doc_id, 16, 18 + doc_id % 4, 'DATE', 'manual', 1.0 FROM {documents} WHERE length(text) >= 70 AND doc_id % 3 = 0
+UNION ALL SELECT doc_id, 9, 40 + doc_id % 20, 'ADDRESS', 'model', 0.5 + doc_id % 5 / 10.0 FROM {documents} WHERE length(text) >= 70
+UNION ALL SELECT doc_id, 41, 44 + doc_id % 13, 'ADDRESS', 'model', 0.7 FROM {documents} WHERE length(text) >= 70
+UNION ALL SELECT doc_id, 42, 45, 'PERSON', 'model', 0.95 FROM {documents} WHERE length(text) >= 70) x
+"""
 #: Rules that find something in them: rule, label, pattern for the oracle (over half-width text), characters in front of the value.
 CONTRACT_RULES = (
     ("phone_cn", "CONTACT", "联系电话:([0-9]{11})", 5, 0.97, "high"),
@@ -49,14 +62,17 @@ FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppke
 """
 
 
+TABLES = ("orders", "lineitem", "customer", "supplier", "events", "part", "documents", "conversations", "pages", "nation")
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The carrier over the tables of a folder."""
-    names = [t for t in ("orders", "lineitem", "customer", "supplier", "events", "part") if "{" + t + "}" in sql]
+    names = [t for t in TABLES if "{" + t + "}" in sql]
     return spark.sql(sql.replace('"end"', "`end`"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
 
 
 def oracle(sql: str) -> str:
     """The carrier for the oracle's engine."""
-    for t in ("orders", "lineitem", "customer", "supplier", "events", "part"):
+    for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions import patterns, text
-from umbra.operators import detect, guard, ledger, measure, placeholders, policy, roles, spans
+from umbra.operators import detect, fusion, guard, ledger, measure, placeholders, policy, roles, spans
 from umbra.operators import dictionary as dictionaries
 from umbra.plans import carriers
 from umbra.sources import readers
@@ -61,15 +61,17 @@ def documents_rule_counts(spark, sf_dir):
     return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ran(spark, sf_dir, profile="strict"):
+    return fusion.run(contracts(spark, sf_dir), policy.PROFILES[profile], carriers.spark_sql(spark, sf_dir, carriers.MODEL))
+
+
 def _fused(spark, sf_dir):
-    docs = detect.framed(contracts(spark, sf_dir)).drop("error")
-    found = detect.suppress_areas(detect.rule_spans(docs), docs).withColumn("priority", detect.priority())
-    return docs, spans.trim(spans.clip(found), docs)
+    return fusion.exploded(_ran(spark, sf_dir))
 
 
 @query(_FUSED + ' SELECT doc_id, "start", "end", label, rule_id, surface, false AS clipped FROM fused')
 def fused_spans(spark, sf_dir):
-    return _fused(spark, sf_dir)[1].select("doc_id", "start", "end", "label", "rule_id", "surface", "clipped")
+    return _fused(spark, sf_dir).select("doc_id", "start", "end", "label", "rule_id", "surface", "clipped")
 
 
 @query(f"""WITH o AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, confidence DESC, "end" - start DESC, start, "end", label, source) AS no, * FROM ({carriers.oracle(carriers.OVERLAPS)}) s),
@@ -96,19 +98,19 @@ WHEN p.profile IN ('contract_review', 'standard', 'contract', 'litigation') AND
 WHEN p.profile = 'light' AND label NOT IN ('CONTACT', 'BANK_ACCOUNT', 'CREDENTIAL', 'ORG_CODE', 'SYSTEM_URL') THEN 'pass' ELSE 'redact' END AS action, count(*) AS n
 FROM fused, (SELECT unnest(['kb','contract_review','agent','strict','file_workbench','review','light','standard','ultra','contract','pre_investment','litigation']) AS profile) p GROUP BY ALL""")
 def policy_decisions(spark, sf_dir):
-    found = _fused(spark, sf_dir)[1].groupBy("label", "risk_level").agg(F.count(F.lit(1)).alias("n"))
+    found = _fused(spark, sf_dir).groupBy("label", "risk_level").agg(F.count(F.lit(1)).alias("n"))
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("profile"), policy.decide(p).alias("action")) for name, p in policy.PROFILES.items()]))
     return found.select("label", "n", each.alias("d")).groupBy("d.profile", "label", "d.action").agg(F.sum("n").alias("n"))
 
 
 @query(_FUSED + " SELECT doc_id, 'CREDENTIAL' AS blocked FROM fused WHERE label = 'CREDENTIAL' GROUP BY doc_id")
 def blocked_labels(spark, sf_dir):
-    return policy.blocked_labels(_fused(spark, sf_dir)[1], policy.PROFILES["ultra"]).select("doc_id", F.array_join("blocked", ",").alias("blocked"))
+    return _ran(spark, sf_dir, "ultra").where(F.size("blocked") > 0).select("doc_id", F.array_join("blocked", ",").alias("blocked"))
 
 
 def _redacted(spark, sf_dir, profile="strict"):
-    docs, found = _fused(spark, sf_dir)
-    return placeholders.redact(docs, policy.apply(found, policy.PROFILES[profile]))
+    done = fusion.redacted(_ran(spark, sf_dir, profile))
+    return done.select("doc_id", "redacted_text"), fusion.mapping(done)
 
 
 _REDACTED = "concat('合同编号：<CONTRACT_ID_001>。联系电话：<CONTACT_001>，邮箱：<CONTACT_002>。', {amount}, '，日期：<DATE_001>。api_key=<CREDENTIAL_001>。')"
@@ -139,8 +141,7 @@ def placeholder_numbering(spark, sf_dir):
 
 @query(_FUSED + " SELECT doc_id, label, count(*) AS detections, count(DISTINCT surface) AS placeholders, CAST(0 AS BIGINT) AS generalized FROM fused GROUP BY ALL")
 def risk_summary(spark, sf_dir):
-    found = policy.apply(_fused(spark, sf_dir)[1], policy.PROFILES["strict"])
-    return placeholders.risk_summary(placeholders.number(found))
+    return placeholders.risk_summary(placeholders.number(_fused(spark, sf_dir)))
 
 
 def _replies(spark, sf_dir):
@@ -388,25 +389,61 @@ def rolling_guard(spark, sf_dir):
     return guard.secrets(sessions.rolling(turns).select("stream_id", "chunk_no", F.col("seen").alias("text")), ("stream_id", "chunk_no"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """doc_id, redacted_text, placeholders, error. Documents with a badly framed private key have an error and no text."""
-    docs = detect.framed(docs)
-    found = detect.rule_spans(docs).withColumn("priority", detect.priority())
-    masked, mapped = placeholders.redact(docs, policy.apply(spans.trim(spans.clip(found), docs), policy.PROFILES["strict"]))
-    counted = masked.join(mapped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("placeholders")), "doc_id", "left").fillna(0, ["placeholders"])
-    return counted.join(docs.where(F.col("error").isNotNull()).select("doc_id", "error"), "doc_id", "left")
+#: The flagship's profile: everything is replaced, and a model is used where there is one.
+FLAGSHIP = policy.PROFILES["file_workbench"]
+_EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+[.][A-Za-z]{2,}"
+_MAILS = f"SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS gap FROM documents"
+
+
+def redacted(docs: DataFrame, profile: policy.Profile = FLAGSHIP, predictions: DataFrame | None = None) -> DataFrame:
+    """doc_id, redacted_text, placeholders, error, degraded. Documents that the run turns away have an error and no text."""
+    done = fusion.redacted(fusion.run(docs, profile, predictions))
+    return done.select("doc_id", "redacted_text", F.when(F.col("mapping").isNull(), 0).otherwise(F.size("mapping")).alias("placeholders"), "error", "degraded")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents redacted under the strict profile, with the number of placeholders of each."""
+    """All documents redacted, with the number of placeholders of each."""
     return redacted(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query(None)
+@query(f"""WITH d AS ({_MAILS}), u AS (SELECT *, list_filter(m, lambda x, i: list_position(m, x) = i) AS known FROM d),
+p AS (SELECT *, list_transform(gap, lambda g, i: concat(g, CASE WHEN i <= len(m) THEN concat('<CONTACT_', lpad(CAST(list_position(known, m[i]) AS VARCHAR), 3, '0'), '>') ELSE '' END)) AS piece FROM u)
+SELECT doc_id, CASE WHEN length(text) <= 200000 THEN array_to_string(piece, '') END AS redacted_text, CASE WHEN length(text) <= 200000 THEN CAST(len(known) AS INTEGER) ELSE 0 END AS placeholders, CASE WHEN length(text) > 200000 THEN 'text_too_long' END AS error, true AS degraded FROM p""")
 def redact_documents(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+def _first_words(docs: DataFrame) -> DataFrame:
+    """A detector of our own: the first word of a text, a title."""
+    word = F.regexp_extract("text", "^[^ \n]+", 0)
+    return docs.where(F.char_length(word) > 0).select("doc_id", F.lit(0).alias("start"), F.char_length(word).alias("end"), F.lit("TITLE").alias("label"), F.lit(0.6).alias("confidence"))
+
+
+if "first_word" not in fusion.DETECTORS:
+    fusion.register(fusion.Detector("first_word", _first_words))
+
+
+@query(f"""WITH m AS ({_MAILS}), e AS (SELECT doc_id, unnest(generate_series(1, len(m))) AS i, m, gap FROM m), rules AS (SELECT doc_id, list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS s, length(m[i]) AS n FROM e),
+every AS (SELECT doc_id, start AS s, "end" AS e, label, source, confidence, CASE source WHEN 'manual' THEN 100 WHEN 'declared_value' THEN 95 WHEN 'session_mapping' THEN 90 WHEN 'dictionary' THEN 80 ELSE 50 END AS priority FROM ({carriers.oracle(carriers.SOURCES)}) x
+UNION ALL SELECT doc_id, CAST(s AS INTEGER), CAST(s + n AS INTEGER), 'CONTACT', 'rule', 0.96, 75 FROM rules
+UNION ALL SELECT doc_id, 0, length(w), 'TITLE', 'first_word', 0.6, 40 FROM (SELECT doc_id, regexp_extract(text, '^[^ \n]+', 0) AS w FROM documents) f WHERE w <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, confidence DESC, e - s DESC, s, e, label, source) AS no FROM every),
+k AS (SELECT * FROM r a WHERE source <> 'model' OR NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = a.doc_id AND b.source = 'model' AND b.s <= a.s AND b.e >= a.e AND (b.label <> a.label AND b.e - b.s >= a.e - a.s + 2))),
+q AS (SELECT * FROM k a WHERE source <> 'model' OR NOT EXISTS (SELECT 1 FROM k b WHERE b.doc_id = a.doc_id AND b.source = 'model' AND b.label = a.label AND b.no < a.no AND (b.s <= a.s AND b.e >= a.e OR a.s <= b.s AND a.e >= b.e))),
+t AS (SELECT q.*, text, s + length(v) - length(ltrim(v, ' ' || chr(10))) AS ts, e - length(v) + length(rtrim(v, ' ' || chr(10))) AS te FROM (SELECT q.*, text, substr(text, s + 1, e - s) AS v FROM q JOIN documents USING (doc_id)) q),
+c AS (SELECT doc_id, unnest(generate_series(ts, te - 1)) AS c, no FROM t WHERE te > ts), best AS (SELECT doc_id, c, min(no) AS no FROM c GROUP BY ALL), g AS (SELECT doc_id, no, c, c - row_number() OVER (PARTITION BY doc_id, no ORDER BY c) AS run FROM best),
+b AS (SELECT g.doc_id, g.no, min(c) AS a, max(c) + 1 AS z FROM g GROUP BY g.doc_id, g.no, run), x AS (SELECT b.*, t.s, t.e, label, source, substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS v FROM b JOIN t ON t.doc_id = b.doc_id AND t.no = b.no),
+y AS (SELECT *, a + length(v) - length(ltrim(v, ' ' || chr(10))) AS start, z - length(v) + length(rtrim(v, ' ' || chr(10))) AS stop, trim(v, ' ' || chr(10)) AS surface FROM x)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", label, source, surface, start <> s OR stop <> e AS clipped FROM y WHERE stop > start AND NOT ((start <> s OR stop <> e) AND label IN ('ORG', 'ADDRESS') AND length(replace(replace(surface, ' ', ''), chr(10), '')) = 1)""")
+def detection_run(spark, sf_dir):
+    """Spans of every source on the documents, fused under a profile that requires a model; one detector is our own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    given = carriers.spark_sql(spark, sf_dir, carriers.SOURCES)
+    predictions = given.where("source = 'model'").withColumnRenamed("confidence", "score")
+    ran = fusion.run(docs, policy.PROFILES["strict"], predictions, [given.where("source <> 'model'")], ["first_word"])
+    return fusion.exploded(ran).select("doc_id", "start", "end", "label", "source", "surface", "clipped")
+
+
 def _more() -> None:
     from umbra.plans import more
 
