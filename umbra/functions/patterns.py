@@ -101,3 +101,25 @@ BARE_PLACEHOLDER = r"(?<!<)\b[A-Z][A-Z0-9_]*_\d{3,}\b(?!>)"
 AREA = r"(?i)^\s*(?:平\s*方\s*米|平\s*米|㎡|m²)"
 AREA_END = r"(?i)(?:平\s*方\s*米|平\s*米|㎡|m²)\s*$"
 QUANTITY = r"(?i)^\s*\d+(?:[,，]\d{3})*(?:\.\d+)?\s*[万亿]?\s*(?:平\s*方\s*米|平\s*米|㎡|m²)?\s*$"
+
+# Tails of names that a model cuts off, by label; characters at which a name stops; how far a tail is looked for.
+ORG_TAILS = ("股份有限公司", "有限公司", "有限责任公司", "集团", "公司", "研究院", "设计院", "工程局", "事务所", "管理处", "管理局", "委员会", "办公室", "中心", "基金", "银行", "证券", "保险", "股权投资项目", "投资项目")
+ADDRESS_TAILS = ("大厦", "大楼", "广场", "大道", "街道", "社区", "村委会", "基地", "号", "栋", "室", "座", "层")
+NAME_STOPS = "的了是在与和及或为由对把被让向从到等将该其此之，。、；：！？,.;:!?\n\r\t （）()【】[]\"'《》"
+TAIL_WINDOW = 12
+# What ends a whole name before a line end, what a name over two lines ends in, and tails that begin a line.
+WHOLE_ORGS = (*ORG_TAILS[:-2], "政府", "局", "部")
+WRAPPED_ORGS = (*WHOLE_ORGS, "行政主管部门")
+WRAPPED_ADDRESSES = ("省", "市", "区", "县", "路", "站", "街", "镇", "乡", "园", "城", *ADDRESS_TAILS)
+NEXT_LINE_TAILS = ("股份有限公司", "有限责任公司", "有限公司", "工程局", "公司", "集团")
+WRAPPED_AUTHORITY = "规划和自然资源"
+# Names that a model gives but that name nobody, edges that aren't part of a name, predicates behind one.
+NOBODY = {
+    "ORG": ("公司", "限公司", "有限公司", "股份公司", "份公司", "项目公司", "管理委员会", "展有限公司", "开发有限公司", "行政机关", "人民政府", "国务院", "自然资源部", "国土资源管理部门", "人民政府土地管理部门", "城市规划、建设、房产管理部门", "行政主管部门"),
+    "ADDRESS": ("地铁", "市", "区", "县"),
+}
+PUBLIC_TAILS = ("人民法院", "仲裁委员会", "仲裁院", "仲裁中心")
+PUBLIC_FORMS = ("行政机关", "人民政府", "县人民政府土地管理部门", "市县人民政府国土资源行政主管部门", "人民政府国土资源行政主管部门", "直辖市人民政府", "国务院", "自然资源部", "国土资源部", "国土资源管理部门", "城市规划建设房产管理部门", "项目公司")
+NAME_EDGES = " \t“”‘’\"'「」『』【】[]"
+PREDICATE = "(?:有意|意向|计划|拟)?(?:收购|转让|退出|参与)|自行(?:决定|管理|运营)|负责(?:实施|管理|运营)?|按照"
+REPEAT_WINDOW = 16

@@ -56,11 +56,12 @@ def wanted_rules(profile: policy.Profile, rules: Iterable[patterns.Rule] = (*pat
     return [*rules, *(patterns.PUBLIC if {r.label for r in patterns.PUBLIC} <= clear else ())]
 
 
-def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None = None, spans: Iterable[DataFrame] = (), detectors: Iterable[str] = (), rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
+def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None = None, spans: Iterable[DataFrame] = (), detectors: Iterable[str] = (), rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY), model: Callable[[DataFrame, DataFrame], DataFrame] = detect.adapt_predictions) -> DataFrame:
     """doc_id, text, error, degraded, blocked, spans of each document (doc_id, text; ids each once).
 
     predictions: a model's output (doc_id, start, end, label, score); spans: tables of further sources (dictionary,
-    declared and known values, manual); detectors: names of registered ones. The array holds what the profile doesn't leave
+    declared and known values, manual); detectors: names of registered ones; model: what makes spans of predictions and
+    documents (model_spans.spans repairs names). The array holds what the profile doesn't leave
     in clear, with text_hash, action, coarse and role; blocked are labels that the profile blocks. degraded: the profile
     would use a model, and there was none.
 
@@ -73,7 +74,7 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.when(reason.isNull(), F.col("text")).alias("text"), reason.alias("error"))
     tables = [_table(t) for t in spans] + [_table(DETECTORS[name].spans(docs.select("doc_id", "text")), name) for name in detectors]
     if predictions is not None and profile.use_model:
-        tables.append(_table(detect.adapt_predictions(predictions, docs), "model"))
+        tables.append(_table(model(predictions, docs), "model"))
     rows = rows.withColumn("given", F.lit(None).cast(f"array<struct<{', '.join(f'{n}:{scan.TYPES[n]}' for n in _GIVEN)}>>"))
     if tables:
         every = tables[0]

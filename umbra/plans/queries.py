@@ -445,10 +445,11 @@ def detection_run(spark, sf_dir):
 
 
 def _more() -> None:
-    from umbra.plans import more
+    from umbra.plans import models, more
 
-    QUERIES.update(more.QUERIES)
-    ORACLE.update(more.ORACLE)
+    for m in (more, models):
+        QUERIES.update(m.QUERIES)
+        ORACLE.update(m.ORACLE)
 
 
 _more()
