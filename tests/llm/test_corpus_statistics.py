@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from umbra.llm import alignment, bpe, collocations, mixing
 
@@ -65,6 +66,17 @@ def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([(1, "one two", None)], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_blocks_are_told_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUCKET_ENTRIES", 3)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 60)) + " w1 w2 w3 w4 w5", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    send = collocations.send_phrases
+    monkeypatch.setattr(collocations, "send_phrases", lambda made, told, *a: send(made, told.repartition(5, F.rand(1)), *a))
+    assert sorted(tuple(r) for r in collocations.collocations(docs, least=4, top=300).collect()) == mined(rows, 4, 300)
+
+
 def test_long_text_is_cut_after_ends(monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 10)
     for text in (b"", b"abc", b"abcdefghijklmnop", b"ab.cd,ef;ghijklmnopqrstuvwxyz.a", b"........................"):

@@ -222,7 +222,7 @@ def add_phrases(sent: DataFrame, size: int, least: int) -> DataFrame:
 def extended(line: np.ndarray, told: dict[int, tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block, the different phrases of `size` words: number of all words but the last as a phrase, number of the last word, frequency.
 
-    told: by length, which of the block's phrases (in the order of this function) are frequent, and their numbers.
+    told: by length, which of the block's phrases (in the order of this function, ascending) are frequent, and their numbers.
     """
     none = np.zeros(0, np.int64)
     if any(k not in told for k in range(1, size)):
@@ -262,7 +262,9 @@ def send_phrases(made: DataFrame, told: DataFrame, size: int, buckets: int) -> D
         for length, body in zip(right.column("size").to_pylist(), right.column("body").to_pylist(), strict=True):
             local, number = unpack(body)
             lists.setdefault(length, []).append((_full(local), longs(number)))
-        known = {k: tuple(np.concatenate([x[i] for x in v]) for i in (0, 1)) for k, v in lists.items()}
+        # Rows of buckets come in any order; a block's phrases have one.
+        whole = {k: [np.concatenate([x[i] for x in v]) for i in (0, 1)] for k, v in lists.items()}
+        known = {k: (local[by], number[by]) for k, (local, number) in whole.items() for by in [np.argsort(local)]}
         first, last, n = extended(line, known, size)
         with np.errstate(over="ignore"):
             mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
