@@ -383,10 +383,17 @@ def model_windows(spark, sf_dir):
     return detect.windows(table(spark, sf_dir, "documents")).withColumn("piece", F.sha2("piece", 256))
 
 
-@query(None)
+#: Turns of each conversation: every second one ends in the first half of a secret, the next one begins with the other half.
+_HALVES = """SELECT conv_id AS stream_id, turn AS chunk_no, concat(CASE WHEN turn % 2 = 1 THEN concat('qLmN4', conv_id, 'vBt" ') ELSE '' END, coalesce(text, ''), CASE WHEN turn % 2 = 0 THEN ' password="Zx9' ELSE '' END) AS text FROM {conversations}"""
+
+
+@query(f"""WITH c AS ({carriers.oracle(_HALVES)}), o AS (SELECT *, sum(length(text)) OVER (PARTITION BY stream_id ORDER BY chunk_no) AS z FROM c),
+s AS (SELECT a.stream_id, b.chunk_no AS no, a.z - 13 AS place, concat('Zx9qLmN4', a.stream_id, 'vBt') AS matched FROM o a JOIN o b ON b.stream_id = a.stream_id AND b.chunk_no = a.chunk_no + 1 WHERE a.chunk_no % 2 = 0)
+SELECT o.stream_id, o.chunk_no, 'generic_secret' AS pattern_id, matched FROM o JOIN s ON s.stream_id = o.stream_id AND s.no <= o.chunk_no AND s.place >= o.z - length(o.text) - 1024""")
 def rolling_guard(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("chunk_no"), "text")
-    return guard.secrets(sessions.rolling(turns).select("stream_id", "chunk_no", F.col("seen").alias("text")), ("stream_id", "chunk_no"))
+    """Secrets that chunk ends cut in two, seen as long as they are in the window."""
+    chunks = carriers.spark_sql(spark, sf_dir, _HALVES)
+    return guard.secrets(sessions.rolling(chunks).select("stream_id", "chunk_no", F.col("seen").alias("text")), ("stream_id", "chunk_no"))
 
 
 #: The flagship's profile: everything is replaced, and a model is used where there is one.

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-from umbra.functions.patterns import PLACEHOLDER, PREFIXES
+from umbra.functions.patterns import PLACEHOLDER
 from umbra.operators.placeholders import altered, number
-
-HELD = re.compile(r"<[A-Z]?[A-Z0-9_]*\Z")
+from umbra.streaming import state
 
 
 def mask_values(values: DataFrame) -> DataFrame:
@@ -22,53 +17,42 @@ def mask_values(values: DataFrame) -> DataFrame:
 
 
 def mask_stream(values: DataFrame, hours: int | None = 24) -> DataFrame:
-    """The same over a stream: state by namespace has the placeholders so far and the last seq; rows out of order are marked."""
-    schema = "namespace string, seq long, surface string, placeholder string, late boolean"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old = state.get if state.exists else ([], [], -1)
-        names, last = dict(zip(old[0], old[1], strict=True)), int(old[2])
-        counts: dict[str, int] = {}
-        for p in names.values():
-            prefix = p[1:].rpartition("_")[0]
-            counts[prefix] = counts.get(prefix, 0) + 1
-        rows = []
-        for _, r in pd.concat(list(frames)).sort_values("seq").iterrows():
-            prefix = PREFIXES.get(r["label"], r["label"])
-            owner = f"{prefix}\0{r['surface']}"
-            if owner not in names:
-                counts[prefix] = counts.get(prefix, 0) + 1
-                names[owner] = f"<{prefix}_{counts[prefix]:03d}>"
-            rows.append((key[0], r["seq"], r["surface"], names[owner], bool(r["seq"] <= last)))
-            last = max(last, int(r["seq"]))
-        state.update((list(names), list(names.values()), last))
-        if hours:
-            state.setTimeoutDuration(hours * 3_600_000)
-        yield pd.DataFrame(rows, columns=["namespace", "seq", "surface", "placeholder", "late"])
-
-    return values.groupBy("namespace").applyInPandasWithState(run, schema, "owners array<string>, placeholders array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout if hours else GroupStateTimeout.NoTimeout)
+    """The same over a stream: a namespace's state has its placeholders and the last seq; rows out of order are marked, and it ends `hours` after its last row."""
+    return state.mask_values(values, hours * 3_600_000 if hours else None)
 
 
-def refill_chunks(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
-    """chunks (stream_id, chunk_no, text) with their placeholders filled in; the start of one at a chunk's end waits for the next."""
-    table = mapped.groupBy("stream_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"))
+def held_back(chunks: DataFrame) -> DataFrame:
+    """chunks (stream_id, chunk_no, text) with out: what may go out with each chunk, when the start of a placeholder at a chunk's end waits for the next one.
+
+    What a chunk leaves depends on it alone, unless it is all made of characters of a placeholder: then what waits goes on.
+    So chunks are put in runs of one other chunk and those that only hand on, and a chunk is joined with its run only. Null
+    texts are empty; the last chunk gives all that waits.
+    """
+    order = Window.partitionBy("stream_id").orderBy("chunk_no")
+    rows = chunks.select("stream_id", "chunk_no", F.coalesce("text", F.lit("")).alias("text")).withColumns({"goes_on": F.col("text").rlike("^[A-Z0-9_]*$"), "tail": F.regexp_extract("text", "<[A-Z0-9_]*$", 0), "next": F.lead("chunk_no").over(order)})
+    rows = rows.withColumn("run", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("stream_id", "run").orderBy("chunk_no")
+    rows = rows.withColumns({"first": F.first("tail").over(within), "begins": F.row_number().over(within) == 1})
+    # In a run whose first chunk leaves a tail, all that follow wait with it.
+    rows = rows.withColumns({"waits": (F.col("first") != "") & F.col("next").isNotNull(), "left": F.when(F.col("begins"), F.col("tail")).otherwise(F.col("text"))})
+    waiting = F.when(F.col("first") != "", F.array_join(F.collect_list("left").over(within.rowsBetween(Window.unboundedPreceding, -1)), "")).otherwise("")
+    rows = rows.withColumn("own_wait", waiting)
+    # A chunk that begins a run also gives what waited at the end of the run before it.
+    ended = rows.withColumn("end_wait", F.when(F.col("first") != "", F.concat("own_wait", "left")).otherwise(""))
+    ended = ended.withColumn("came", F.when(F.col("begins"), F.coalesce(F.lag("end_wait").over(order), F.lit(""))).otherwise(F.col("own_wait")))
+    body = F.when(F.col("begins"), F.expr("substring(text, 1, char_length(text) - char_length(tail))")).otherwise(F.lit(""))
+    out = F.when(F.col("waits"), F.when(F.col("begins"), F.concat("came", body)).otherwise("")).otherwise(F.concat("came", "text"))
+    return ended.select("stream_id", "chunk_no", out.alias("out"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rest, out = "", []
-        values = dict(group["values"].iloc[0] or {})
-        last = group["chunk_no"].max()
-        for no, text in sorted(zip(group["chunk_no"], group["text"], strict=True)):
-            whole = rest + (text or "")
-            held = HELD.search(whole)
-            cut = held.start() if held and no != last else len(whole)
-            whole, rest = whole[:cut], whole[cut:]
-            out.append((group["stream_id"].iloc[0], no, re.sub(r"<[A-Z][A-Z0-9_]*_\d{3,}>", lambda m: values.get(m[0], m[0]), whole)))
-        return pd.DataFrame(out, columns=["stream_id", "chunk_no", "text"])
 
-    return chunks.join(table, "stream_id", "left").groupBy("stream_id").applyInPandas(run, "stream_id long, chunk_no long, text string")
+def refill_chunks(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
+    """stream_id, chunk_no, text: chunks with their placeholders filled in, as refill_stream does it; unknown ones stay. mapped: stream_id, placeholder (each once), original_value."""
+    rows = held_back(chunks).withColumn("all", F.regexp_extract_all("out", F.lit(PLACEHOLDER), F.lit(0)))
+    met = rows.select("stream_id", "chunk_no", F.explode(F.array_distinct("all")).alias("placeholder")).join(mapped.select("stream_id", "placeholder", "original_value"), ["stream_id", "placeholder"])
+    values = met.groupBy("stream_id", "chunk_no").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"))
+    joined = rows.join(values, ["stream_id", "chunk_no"], "left").withColumn("gap", F.split("out", PLACEHOLDER, -1))
+    put = F.transform(F.arrays_zip(F.col("gap").alias("g"), F.col("all").alias("p")), lambda x: F.concat(x["g"], F.when(x["p"].isNull(), "").otherwise(F.coalesce(F.try_element_at("values", x["p"]), x["p"]))))
+    return joined.select("stream_id", "chunk_no", F.when(F.size("all") > 0, F.array_join(put, "")).otherwise(F.col("out")).alias("text"))
 
 
 def rolling(chunks: DataFrame, size: int = 1024) -> DataFrame:
@@ -77,8 +61,6 @@ def rolling(chunks: DataFrame, size: int = 1024) -> DataFrame:
     A chunk hands on only its own last `size` characters, and as many chunks are gathered as are needed for `size` of them:
     the characters before a chunk are a running sum, so a range window over it finds these chunks.
     """
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("stream_id").orderBy("chunk_no")
     rows = chunks.where(F.char_length("text") > 0).withColumns({"tail": F.expr(f"right(text, {size})"), "behind": F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     # Chunks that end within the last `size` characters before this one begins, and the one that reaches into them.
@@ -114,15 +96,16 @@ def hydrate(persisted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def strict_streams(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
     """stream_id, chunk_no, status, text: a stream is filled in only if the whole of it passes; else no chunk of it is given out.
 
-    A stream is judged by its placeholders alone, which are found over chunk ends (refill_chunks holds a cut one back), so
+    A stream is judged by its placeholders alone, which are found over chunk ends (held_back keeps a cut one together), so
     only they are gathered, not the text. mapped: stream_id, placeholder, original_value.
     """
     filled = refill_chunks(chunks, mapped)
-    held = refill_chunks(chunks, mapped.withColumn("original_value", F.concat(F.lit("\x01"), F.col("placeholder"), F.lit("\x02"))))
-    bare = F.regexp_replace("text", "\x01[^\x02]*\x02", "")  # without the known ones
-    strange = held.where(bare.rlike(PLACEHOLDER) | (F.size(altered(bare)) > 0)).select("stream_id").distinct().withColumn("bad", F.lit(True))
-    met = held.select("stream_id", F.explode(F.regexp_extract_all("text", F.lit("\x01(<[^\x02]*>)\x02"), F.lit(1))).alias("placeholder")).distinct()
-    missing = mapped.select("stream_id", "placeholder").join(met, ["stream_id", "placeholder"], "left_anti").select("stream_id").distinct().withColumn("short", F.lit(True))
+    held = held_back(chunks)
+    seen = held.select("stream_id", F.explode(F.regexp_extract_all("out", F.lit(PLACEHOLDER), F.lit(0))).alias("placeholder")).distinct()
+    known = mapped.select("stream_id", "placeholder").distinct()
+    bent = held.where(F.size(altered(F.regexp_replace("out", PLACEHOLDER, ""))) > 0).select("stream_id")
+    strange = bent.unionByName(seen.join(known, ["stream_id", "placeholder"], "left_anti").select("stream_id")).distinct().withColumn("bad", F.lit(True))
+    missing = known.join(seen, ["stream_id", "placeholder"], "left_anti").select("stream_id").distinct().withColumn("short", F.lit(True))
     joined = filled.join(strange, "stream_id", "left").join(missing, "stream_id", "left")
     status = F.when(F.col("bad").isNotNull(), "unknown_or_altered").when(F.col("short").isNotNull(), "missing").otherwise("ok")
     return joined.select("stream_id", "chunk_no", status.alias("status"), F.when(status == "ok", F.col("text")).alias("text"))
