@@ -54,6 +54,13 @@ SELECT doc_id, cast(start + CASE WHEN part % 7 = 1 THEN 3 ELSE 0 END AS int) AS
 FROM ($GOLD) g WHERE part % 7 <> 4
 """
 PREDICTED = _PREDICTED.replace("$GOLD", GOLD)
+#: Gold spans of which every fourth is semantic, and predictions with a source and a confidence, some of which only touch a gold span.
+MEANT = f"""SELECT doc_id, start, "end", label, CASE WHEN part % 4 = 0 THEN 'semantic_sensitive' ELSE category END AS category, scenario, part, supp FROM ({GOLD}) m"""
+FOUND = f"""
+SELECT doc_id, cast(start + CASE WHEN part % 7 = 1 THEN 3 ELSE 0 END AS int) AS start, cast("end" - CASE WHEN part % 7 = 2 THEN 2 ELSE 0 END AS int) AS "end", CASE WHEN part % 11 = 3 THEN 'OTHER' ELSE label END AS label,
+       'model' AS source, cast(supp % 10 AS double) / 10 AS confidence FROM ({GOLD}) g WHERE part % 7 <> 4
+UNION ALL SELECT doc_id, cast(start - 4 AS int), cast(start + 2 AS int), label, 'rule', cast(0.9 AS double) FROM ({GOLD}) h WHERE part % 5 = 0
+"""
 #: Overlapping spans with priorities for the sweep.
 OVERLAPS = """
 SELECT l_orderkey AS doc_id, cast(l_partkey % 30 AS int) AS start, cast(l_partkey % 30 + 1 + l_suppkey % 12 AS int) AS "end", concat('L', l_partkey % 3) AS label,

@@ -9,6 +9,7 @@ from umbra.functions import patterns
 from umbra.operators import detect, guard, limits, measure, policy, refills, store
 from umbra.operators import dictionary as dictionaries
 from umbra.operators import spans as algebra
+from umbra.plans import carriers
 from umbra.sources import office
 from umbra.streaming import sessions
 
@@ -139,39 +140,46 @@ def cut_windows(spark, sf_dir):
 
 # Spans -------------------------------------------------------------------------------------------------------------
 
-_GOLD = "SELECT o_orderkey AS doc_id, u.start, u.\"end\" FROM orders, (VALUES (0, 5), (10, 15), (30, 40)) u(start, \"end\")"
+def _pairs(spark, sf_dir):
+    return carriers.spark_sql(spark, sf_dir, carriers.MEANT), carriers.spark_sql(spark, sf_dir, carriers.FOUND)
 
 
-def _pairs(spark, sf_dir):
-    base = orders(spark, sf_dir, "o_orderkey AS doc_id")
-    gold = base.withColumn("s", F.explode(F.expr("array(named_struct('start', 0, 'end', 5), named_struct('start', 10, 'end', 15), named_struct('start', 30, 'end', 40))"))).select("doc_id", "s.start", "s.end", F.lit("ORG").alias("label"), F.when(F.col("s.start") == 30, "semantic_sensitive").otherwise("known").alias("category"))
-    pred = base.withColumn("s", F.explode(F.expr("filter(array(named_struct('start', 3, 'end', 8), named_struct('start', 4, 'end', 12), named_struct('start', 20, 'end', 22), named_struct('start', 0, 'end', 5)), x -> x.start > 0 OR doc_id % 2 = 0)"))).select("doc_id", "s.start", "s.end", F.lit("ORG").alias("label"), F.lit("model").alias("source"), F.when(F.col("s.start") == 20, 0.5).otherwise(0.9).alias("confidence"))
-    return gold, pred
+_PAIRS = f'WITH g AS ({carriers.oracle(carriers.MEANT)}), p AS ({carriers.oracle(carriers.FOUND)})'
+#: Characters of each gold span that a prediction covers, and the group of the core scope.
+_COVERED = _PAIRS + """, x AS (SELECT g.doc_id, g.start, unnest(generate_series(greatest(g.start, p.start), least(g."end", p."end") - 1)) AS c FROM g JOIN p ON p.doc_id = g.doc_id AND p.start < g."end" AND p."end" > g.start),
+n AS (SELECT doc_id, start, count(DISTINCT c) AS got FROM x GROUP BY ALL), t AS (SELECT g.*, coalesce(got, 0) AS got, CASE WHEN category = 'semantic_sensitive' THEN 'semantic' WHEN label = 'PERSON' THEN 'personal' WHEN label = 'ORG' THEN 'enterprise' WHEN label = 'PROJECT' THEN 'project'
+WHEN label = 'CONTRACT_ID' OR (label = 'ADDRESS' AND category <> 'quasi_identifier') THEN 'locator' ELSE 'out' END AS core FROM g LEFT JOIN n USING (doc_id, start))"""
+_HIT = _PAIRS + """, t AS (SELECT g.*, EXISTS (SELECT 1 FROM p WHERE p.doc_id = g.doc_id AND p.start < g."end" AND p."end" > g.start) AS hit FROM g)"""
 
 
-@query("""SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS start, CAST(5 AS INTEGER) AS "end", CAST(0 AS INTEGER) AS gold_start, CAST(5 AS INTEGER) AS gold_end FROM orders WHERE o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, 3, 8, 0, 5 FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey, 4, 12, 10, 15 FROM orders""")
+@query(_PAIRS + """ SELECT g.doc_id, min(struct_pack(s := p.start, e := p."end")).s AS start, min(struct_pack(s := p.start, e := p."end")).e AS "end", g.start AS gold_start, g."end" AS gold_end FROM g JOIN p ON p.doc_id = g.doc_id AND p.start < g."end" AND p."end" > g.start GROUP BY ALL""")
 def near_misses(spark, sf_dir):
+    """No prediction reaches two gold spans here: each gold span takes the first that touches it."""
     return algebra.near_misses(*_pairs(spark, sf_dir))
 
 
-@query("""SELECT 'ORG' AS label, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS tp, 3 * count(*) AS fp, sum(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END) AS fn, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END) AS near FROM orders""")
+@query(_PAIRS + """, fp AS (SELECT * FROM p ANTI JOIN g USING (doc_id, start, "end", label)), fn AS (SELECT * FROM g ANTI JOIN p USING (doc_id, start, "end", label)),
+m AS (SELECT fn.doc_id, fn.start AS gs, arg_min(fp.label, struct_pack(s := fp.start, e := fp."end")) AS label FROM fn JOIN fp ON fp.doc_id = fn.doc_id AND fp.start < fn."end" AND fp."end" > fn.start GROUP BY ALL),
+l AS (SELECT label FROM g UNION SELECT label FROM p), c AS (SELECT label, (SELECT count(*) FROM p WHERE p.label = l.label) AS np, (SELECT count(*) FROM g WHERE g.label = l.label) AS ng, (SELECT count(*) FROM fp WHERE fp.label = l.label) AS fp, (SELECT count(*) FROM m WHERE m.label = l.label) AS near FROM l)
+SELECT label, np - fp AS tp, fp, ng - (np - fp) AS fn, near FROM c""")
 def evaluation(spark, sf_dir):
     return measure.evaluation(*_pairs(spark, sf_dir))
 
 
-@query("""SELECT 'low_confidence_model' AS queue, 'ORG' AS label, 'high' AS risk, count(*) AS n FROM orders UNION ALL SELECT 'semantic_policy', 'ORG', 'medium', count(*) FROM orders
-UNION ALL SELECT 'core_residual', 'ORG', 'high', count(*) + sum(CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END) FROM orders""")
+@query(_COVERED + """ SELECT 'low_confidence_model' AS queue, label, 'high' AS risk, count(*) AS n FROM p WHERE source = 'model' AND confidence < 0.75 GROUP BY label
+UNION ALL SELECT 'semantic_policy', label, 'medium', count(*) FROM t WHERE core = 'semantic' GROUP BY label
+UNION ALL SELECT 'core_residual', label, 'high', count(*) FROM t WHERE core IN ('personal', 'enterprise', 'project', 'locator') AND got < "end" - start AND (label = 'PERSON' OR got > 0) GROUP BY label""")
 def review_queue(spark, sf_dir):
     return measure.review_queue(*_pairs(spark, sf_dir))
 
 
-@query("""SELECT 'ORG' AS label, sum(CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 3 END) AS raw, sum(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END) AS kept, 2 * count(*) AS dropped, count(*) AS lift FROM orders""")
+@query(_PAIRS + """, k AS (SELECT * FROM p WHERE source = 'model' AND confidence >= 0.5), r AS (SELECT label, count(*) AS raw, count(*) FILTER (confidence >= 0.5) AS kept FROM p WHERE source = 'model' GROUP BY label),
+f AS (SELECT label, count(*) AS lift FROM g WHERE EXISTS (SELECT 1 FROM k WHERE k.doc_id = g.doc_id AND k.start < g."end" AND k."end" > g.start) AND NOT EXISTS (SELECT 1 FROM p WHERE p.source = 'rule' AND p.doc_id = g.doc_id AND p.start < g."end" AND p."end" > g.start) GROUP BY label)
+SELECT label, coalesce(raw, 0) AS raw, coalesce(kept, 0) AS kept, coalesce(raw, 0) - coalesce(kept, 0) AS dropped, coalesce(lift, 0) AS lift FROM r FULL JOIN f USING (label)""")
 def model_diagnostics(spark, sf_dir):
-    """Fusion lets the spans from 4 on and from 0 on pass; rules touch the first gold span."""
+    """Fusion lets the surer half of the model's spans pass."""
     gold, raw = _pairs(spark, sf_dir)
-    rules = orders(spark, sf_dir, "o_orderkey AS doc_id", "0 AS start", "2 AS `end`")
-    return measure.model_diagnostics(raw, raw.where(F.col("start").isin(0, 4)), gold, rules)
+    return measure.model_diagnostics(raw, raw.where("confidence >= 0.5"), gold, raw.where("source = 'rule'"))
 
 
 @query("""SELECT o_orderpriority AS scenario, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS total_before, count(*) AS total_after, sum(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END) AS total_delta FROM orders GROUP BY 1""")
@@ -181,29 +189,31 @@ def level_comparison(spark, sf_dir):
     return measure.compare(before, after, "scenario", ("total",)).fillna(0)
 
 
-@query("""SELECT 'scenario' AS kind, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'doc_type', CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2
-UNION ALL SELECT 'category', 'semantic_sensitive', count(*) FROM orders UNION ALL SELECT 'category', 'known', 2 * count(*) FROM orders""")
+@query(_PAIRS + """ SELECT 'scenario' AS kind, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'doc_type', CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'category', category, count(*) FROM g GROUP BY 2""")
 def dataset_summary(spark, sf_dir):
     samples = orders(spark, sf_dir, "o_orderpriority AS scenario", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS doc_type")
     return measure.dataset_summary(samples, _pairs(spark, sf_dir)[0])
 
 
-@query("""SELECT 'known' AS category, 2 * count(*) AS n, 2 * count(*) AS replaced, 0 AS preserved, CAST(0 AS DOUBLE) AS preserve_rate FROM orders UNION ALL SELECT 'semantic_sensitive', count(*), 0, count(*), 1.0 FROM orders""")
+@query(_HIT + """ SELECT category, count(*) AS n, count(*) FILTER (hit AND category <> 'semantic_sensitive') AS replaced, count(*) FILTER (category = 'semantic_sensitive') AS preserved, count(*) FILTER (category = 'semantic_sensitive') / CAST(count(*) AS DOUBLE) AS preserve_rate FROM t GROUP BY category""")
 def utility_rates(spark, sf_dir):
     gold, pred = _pairs(spark, sf_dir)
     return measure.utility_rates(gold, pred, F.when(F.col("category") == "semantic_sensitive", "warn").otherwise("redact"))
 
 
-@query("""SELECT 'known' AS category, 2 * count(*) AS n FROM orders""")
+@query(_HIT + """ SELECT category, count(*) AS n FROM t WHERE hit AND label <> 'AMOUNT' GROUP BY category""")
 def over_redaction(spark, sf_dir):
     gold, pred = _pairs(spark, sf_dir)
-    return measure.over_redaction(gold, pred, F.lit("redact"), "category")
+    return measure.over_redaction(gold, pred, F.when(F.col("label") == "AMOUNT", "pass").otherwise("redact"), "category")
 
 
-@query("""SELECT * FROM (SELECT 'strict' AS strategy, 'ORG' AS label, 'redact' AS action, 3 * count(*) AS n, 'known,semantic_sensitive' AS categories FROM orders UNION ALL SELECT 'standard', 'ORG', 'mixed', 3 * count(*), 'known,semantic_sensitive' FROM orders) x""")
+@query(_PAIRS + """, a AS (SELECT s, label, category, CASE WHEN s = 'standard' AND category = 'semantic_sensitive' OR s = 'coarse' AND label = 'AMOUNT' THEN 'pass' WHEN s = 'coarse' AND label = 'ADDRESS' THEN 'generalize' ELSE 'redact' END AS action FROM g, (SELECT unnest(['strict', 'standard', 'coarse']) AS s) v)
+SELECT s AS strategy, label, CASE WHEN count(DISTINCT action) > 1 THEN 'mixed' ELSE min(action) END AS action, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM a GROUP BY s, label""")
 def action_matrix(spark, sf_dir):
     gold, _ = _pairs(spark, sf_dir)
-    return measure.action_matrix(gold, {"strict": F.lit("redact"), "standard": F.when(F.col("category") == "semantic_sensitive", "pass").otherwise("redact")})
+    coarse = F.when(F.col("label") == "AMOUNT", "pass").when(F.col("label") == "ADDRESS", "generalize").otherwise("redact")
+    return measure.action_matrix(gold, {"strict": F.lit("redact"), "standard": F.when(F.col("category") == "semantic_sensitive", "pass").otherwise("redact"), "coarse": coarse})
 
 
 _SETS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS start, CAST(l_linenumber + 1 + l_quantity % 4 AS INT) AS {end}, 'ORG' AS label, concat('h', l_linenumber) AS text_hash, CASE WHEN l_partkey % 2 = 0 THEN 'rule' ELSE 'model' END AS source FROM {lineitem}"
@@ -215,38 +225,72 @@ def exact_members(spark, sf_dir):
     return algebra.exact_members(spans, spans.where("`end` - start > 2")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END AS INTEGER) AS start, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 6 END AS INTEGER) AS "end", 'ORG' AS label FROM orders
-UNION ALL SELECT o_orderkey, 8, 12, 'ORG' FROM orders UNION ALL SELECT o_orderkey, 2, 6, 'PERSON' FROM orders UNION ALL SELECT o_orderkey, 3, 5, 'ORG' FROM orders WHERE FALSE""")
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY priority DESC, confidence DESC, "end" - start DESC, start, "end", source) AS no FROM ({carriers.oracle(carriers.OVERLAPS)}) s),
+k AS (SELECT DISTINCT doc_id, label, CAST(0 AS BIGINT) AS no, CAST([] AS STRUCT(s INTEGER, e INTEGER, src VARCHAR)[]) AS kept FROM o
+UNION ALL SELECT k.doc_id, k.label, o.no, CASE WHEN len(list_filter(kept, lambda x: (x.s <= o.start AND x.e >= o."end") OR (o.start <= x.s AND o."end" >= x.e))) > 0 THEN kept ELSE list_append(kept, {{'s': o.start, 'e': o."end", 'src': o.source}}) END FROM k JOIN o ON o.doc_id = k.doc_id AND o.label = k.label AND o.no = k.no + 1),
+f AS (SELECT doc_id, label, unnest(arg_max(kept, no)) AS x FROM k GROUP BY doc_id, label) SELECT doc_id, x.s AS start, x.e AS "end", label, x.src AS was FROM f""")
 def redundant_models(spark, sf_dir):
-    """One of two spans of a label stays where one holds the other, by confidence; a partial overlap and another label stay."""
-    each = F.explode(F.expr("array(named_struct('s', 0, 'e', 9, 'l', 'ORG', 'c', IF(doc_id % 2 = 0, 0.9D, 0.6D)), named_struct('s', 2, 'e', 6, 'l', 'ORG', 'c', 0.8D), named_struct('s', 8, 'e', 12, 'l', 'ORG', 'c', 0.5D), named_struct('s', 2, 'e', 6, 'l', 'PERSON', 'c', 0.5D))"))
-    made = orders(spark, sf_dir, "o_orderkey AS doc_id").withColumn("x", each).select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.l").alias("label"), F.col("x.c").alias("confidence"), F.lit(1).alias("priority"), F.lit("model").alias("source"))
-    return algebra.drop_redundant(made).select("doc_id", "start", "end", "label")
+    """Of a model's spans of one label where one holds another, the better ranked stays; partial overlaps and other labels stay."""
+    made = carriers.spark_sql(spark, sf_dir, carriers.OVERLAPS).withColumn("was", F.col("source")).withColumn("source", F.lit("model"))
+    # Their order beyond bounds is by all columns, of which the former source is the last that differs.
+    return algebra.drop_redundant(made).select("doc_id", "start", "end", "label", "was")
+
+
+_PARTS = "SELECT p_partkey AS doc_id, CASE p_partkey % 5 WHEN 0 THEN concat('宏 远', p_partkey, '公司') WHEN 1 THEN '有限 公司' WHEN 2 THEN substr(p_name, 1, CAST(1 + p_partkey % 3 AS int)) WHEN 3 THEN ' 集团' ELSE '某' END AS surface, CASE p_partkey % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'ADDRESS' ELSE 'PERSON' END AS label, p_partkey % 7 <> 1 AS clipped FROM {part}"
 
 
-@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 3 THEN '宏 远公司' WHEN 4 THEN '某' ELSE '有限 公司' END AS surface FROM orders WHERE o_orderkey % 5 = 3 OR o_orderkey % 5 = 4 OR o_orderkey % 5 = 1""")
+@query(f"""SELECT doc_id, surface FROM ({carriers.oracle(_PARTS)}) x WHERE NOT (clipped AND (label IN ('ORG', 'ADDRESS') AND length(replace(surface, ' ', '')) = 1 OR label = 'ORG' AND replace(surface, ' ', '') IN ('有限公司', '集团')))""")
 def clipped_fragments(spark, sf_dir):
-    rows = orders(spark, sf_dir, "o_orderkey AS doc_id", "CASE o_orderkey % 5 WHEN 3 THEN '宏 远公司' WHEN 4 THEN '某' ELSE '有限 公司' END AS surface", "CASE WHEN o_orderkey % 5 = 4 THEN 'PERSON' ELSE 'ORG' END AS label", "o_orderkey % 5 <> 1 AS clipped")
-    return algebra.drop_fragments(rows).select("doc_id", "surface")
+    return algebra.drop_fragments(carriers.spark_sql(spark, sf_dir, _PARTS)).select("doc_id", "surface")
 
 
-@query("""SELECT 'kept' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'outside', sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) FROM orders""")
+_PLACED = "SELECT doc_id, CAST(doc_id % 50 AS int) AS start, CAST(doc_id % 50 + doc_id % 97 * 8 AS int) AS {end}, 'ORG' AS label FROM {documents} UNION ALL SELECT doc_id, CAST(doc_id % 50 AS int), CAST(doc_id % 50 + doc_id % 97 * 8 AS int), 'ORG' FROM {documents} WHERE doc_id % 3 = 0"
+
+
+@query(f"""WITH s AS (SELECT x.*, text, x.start >= 0 AND x.e > x.start AND x.e <= length(text) AS inside FROM ({_PLACED.format(end='e', documents='documents')}) x JOIN documents d ON d.doc_id = x.doc_id)
+SELECT doc_id, start, e AS "end", CASE WHEN inside THEN 'sha256:' || sha256(substr(text, start + 1, e - start)) END AS text_hash, CASE WHEN inside THEN 1 ELSE count(*) END AS n FROM s GROUP BY doc_id, start, e, inside, text""")
 def normalized_spans(spark, sf_dir):
-    docs = orders(spark, sf_dir, "o_orderkey AS doc_id", "'abcdef' AS text")
-    made = docs.select("doc_id", F.explode(F.expr("filter(array(named_struct('start', 0, 'end', 3), named_struct('start', 0, 'end', 3), named_struct('start', 4, 'end', 9)), x -> x.start = 0 OR doc_id % 3 = 0)")).alias("x")).select("doc_id", "x.start", "x.end", F.lit("ORG").alias("label"))
-    good, bad = algebra.normalize(made, docs)
-    return good.groupBy(F.lit("kept").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(bad.groupBy(F.lit("outside").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    """A caller's spans on documents, each once with its hash, and those outside of their text, as often as they came."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good, bad = algebra.normalize(spark.sql(_PLACED.format(end="`end`", documents="{documents}"), documents=docs), docs)
+    out = bad.select("doc_id", "start", "end", F.lit(None).cast("string").alias("text_hash"))
+    return good.select("doc_id", "start", "end", "text_hash").unionByName(out).groupBy("doc_id", "start", "end", "text_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Policy ------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('kb','session',false,false,false,true,NULL), ('contract_review','document',true,true,true,true,NULL), ('agent','session',true,false,false,true,NULL), ('strict','document',true,true,true,true,NULL),
+_PRESETS = """VALUES ('kb','session',false,false,false,true,NULL), ('contract_review','document',true,true,true,true,NULL), ('agent','session',true,false,false,true,NULL), ('strict','document',true,true,true,true,NULL),
 ('file_workbench','document',true,false,true,true,NULL), ('review','document',true,true,true,true,NULL), ('light','document',false,false,true,true,NULL), ('standard','document',true,false,true,true,NULL),
-('ultra','document',true,true,true,true,'critical'), ('contract','document',true,true,true,false,NULL), ('pre_investment','document',true,true,true,false,NULL), ('litigation','document',true,true,true,false,NULL))
-p(name, scope, use_model, model_required, strict_refill, reversible, block_min_severity)""")
+('ultra','document',true,true,true,true,'critical'), ('contract','document',true,true,true,false,NULL), ('pre_investment','document',true,true,true,false,NULL), ('litigation','document',true,true,true,false,NULL)"""
+_NAMES = ("kb", "contract_review", "agent", "strict", "file_workbench", "review", "light", "standard", "ultra", "contract", "pre_investment", "litigation")
+
+
+@query(f"""SELECT c_custkey AS app_id, p.* FROM customer JOIN ({_PRESETS}) p(name, scope, use_model, model_required, strict_refill, reversible, block_min_severity) ON name = [{', '.join(f"'{n}'" for n in _NAMES)}][CAST(c_custkey % 13 AS INTEGER) + 1]""")
 def profile_table(spark, sf_dir):
-    return policy.profile_table(spark)
+    """The preset that each application (a customer) names; every thirteenth names none that there is."""
+    names = F.array(*[F.lit(n) for n in _NAMES], F.lit("no profile"))
+    apps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("app_id"), F.get(names, (F.col("c_custkey") % 13).cast("int")).alias("name"))
+    return apps.join(policy.profile_table(spark), "name").select("app_id", "name", "scope", "use_model", "model_required", "strict_refill", "reversible", "block_min_severity")
+
+
+#: Labels of every kind, by line item; and, by profile, what isn't replaced: written out, not taken from the profiles.
+_KINDS = ("ADDRESS", "AMOUNT", "DATE", "COURT", "ARBITRATION", "STATUTE", "CONTACT", "CREDENTIAL", "ORG", "PERSON", "LEGAL_STRATEGY", "NEGOTIATION_POSITION", "RISK_JUDGMENT", "INTERNAL_OPINION", "SYSTEM_URL", "BANK_ACCOUNT", "ORG_CODE")
+_OTHERWISE = (
+    ("contract_review", "pass", "AMOUNT DATE COURT ARBITRATION STATUTE"), ("review", "warn", "LEGAL_STRATEGY NEGOTIATION_POSITION RISK_JUDGMENT INTERNAL_OPINION"), ("light", "pass", "ADDRESS AMOUNT DATE COURT ARBITRATION STATUTE ORG PERSON LEGAL_STRATEGY NEGOTIATION_POSITION RISK_JUDGMENT INTERNAL_OPINION"),
+    ("standard", "pass", "AMOUNT DATE COURT ARBITRATION STATUTE LEGAL_STRATEGY NEGOTIATION_POSITION RISK_JUDGMENT INTERNAL_OPINION"), ("ultra", "block", "CREDENTIAL"), ("contract", "pass", "AMOUNT DATE COURT ARBITRATION STATUTE"), ("contract", "generalize", "ADDRESS"), ("contract", "block", "LEGAL_STRATEGY NEGOTIATION_POSITION"),
+    ("pre_investment", "generalize", "AMOUNT"), ("pre_investment", "block", "LEGAL_STRATEGY NEGOTIATION_POSITION"), ("litigation", "pass", "AMOUNT DATE COURT ARBITRATION STATUTE"), ("litigation", "generalize", "ADDRESS"),
+)
+_LABELLED = f"SELECT l_orderkey, CASE l_partkey % {len(_KINDS)} {' '.join(f'WHEN {i} THEN {chr(39)}{k}{chr(39)}' for i, k in enumerate(_KINDS))} END AS label, CASE l_suppkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'critical' WHEN 2 THEN 'medium' END AS risk_level FROM {{lineitem}}"
+
+
+@query(f"""WITH l AS ({carriers.oracle(_LABELLED)}), p AS (SELECT unnest([{', '.join(f"'{n}'" for n in _NAMES)}]) AS profile), o(profile, action, labels) AS (VALUES {', '.join(f"('{p}', '{a}', string_split('{k}', ' '))" for p, a, k in _OTHERWISE)})
+SELECT p.profile, label, coalesce(o.action, 'redact') AS action, count(*) AS n FROM l CROSS JOIN p LEFT JOIN o ON o.profile = p.profile AND list_contains(o.labels, label) GROUP BY ALL""")
+def policy_matrix(spark, sf_dir):
+    """What every profile does to labels of every kind."""
+    rows = carriers.spark_sql(spark, sf_dir, _LABELLED).groupBy("label", "risk_level").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("profile"), policy.decide(p).alias("action")) for name, p in policy.PROFILES.items()]))
+    return rows.select("label", "n", each.alias("d")).groupBy("d.profile", "label", "d.action").agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT c_custkey AS app_id, CASE WHEN c_custkey % 4 = 3 THEN 'unknown_profile' WHEN c_custkey % 5 = 0 THEN 'dictionary_missing' WHEN c_custkey % 4 = 0 AND c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'not_ready'
@@ -420,9 +464,9 @@ def namespace_lifecycle(spark, sf_dir):
     return store.namespaces(events)
 
 
-@query("""SELECT doc_id, concat('sha256:', sha256(text)) AS text_hash, 'p,d,r' AS versions FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, 'sha256:' || sha256(text) AS text_hash, 'p,d,r' AS versions FROM documents""")
 def receipts(spark, sf_dir):
-    made = store.receipt(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "p", "d", "r")
+    made = store.receipt(table(spark, sf_dir, "documents"), "p", "d", "r")
     return made.select("doc_id", "text_hash", F.concat_ws(",", "versions.profile", "versions.dictionary", "versions.detectors").alias("versions"))
 
 
@@ -535,7 +579,13 @@ def pdf_lines(spark, sf_dir):
     return office.lines(chars).select("doc_id", "line", "text")
 
 
-@query("""SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN bad > 0.01 * n THEN 'garbled' ELSE 'ok' END AS status FROM (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS bad FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(65533)) AND NOT regexp_matches(text, '[\\x{E000}-\\x{F8FF}]')) d""")
+_MARRED = "SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN concat(text, {bad}) WHEN 2 THEN concat({private}, text) WHEN 3 THEN concat(repeat({control}, CAST(length(text) / 50 AS INT)), text) ELSE text END AS text FROM {documents}"
+
+
+@query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN strange OR bad > 0.01 * n THEN 'garbled' ELSE 'ok' END AS status FROM (SELECT doc_id, length(text) AS n, contains(text, chr(65533)) OR regexp_matches(text, '[\\x{{E000}}-\\x{{F8FF}}]') AS strange, length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS bad
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM ({_MARRED.format(bad='chr(65533)', private='chr(57345)', control='chr(1)', documents='documents').replace(' / ', ' // ')}) m) c) d""")
 def garbled_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").where(~F.col("text").contains("�") & ~F.col("text").rlike("[-]"))
-    return docs.select("doc_id", F.when(F.char_length("text") == 0, "empty").when(office.garbled(F.col("text")), "garbled").otherwise("ok").alias("status"))
+    """All documents; some get a replacement character, one of private use, or control characters."""
+    made = spark.sql(_MARRED.format(bad="decode(unhex('EFBFBD'), 'UTF-8')", private="decode(unhex('EE8081'), 'UTF-8')", control="char(1)", documents="{documents}"), documents=table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return made.select("doc_id", F.when(F.char_length(text) == 0, "empty").when(office.garbled(text), "garbled").otherwise("ok").alias("status"))

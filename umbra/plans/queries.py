@@ -322,10 +322,10 @@ def egress_decision(spark, sf_dir):
     return guard.egress(jobs).select("doc_id", "reasons", "allowed")
 
 
-@query("""SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(text, '(?i)(you\\s+are\\s+now\\b)|(ignore\\s+(all\\s+)?(the\\s+)?(previous|prior|above|earlier)\\s+(instruction|prompt|message|context|rule))')) AS hit FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(text, '(?i)(you\\s+are\\s+now\\b)|(pretend\\s+(to\\s+be|you\\s+are|that))|(act\\s+as\\s+(if|an?)\\b)|(ignore\\s+(all\\s+)?(the\\s+)?(previous|prior|above|earlier)\\s+(instructions?|prompts?|messages?|context|rules?))')) AS hit FROM conversations GROUP BY role""")
 def conversation_guard(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    hit = guard.injection(turns, ("conv_id", "turn")).where(F.col("pattern_id").isin("role_override", "ignore_instructions")).where(~F.col("matched").rlike("(?i)^(pretend|act)")).select("conv_id", "turn").distinct().withColumn("h", F.lit(1))
+    hit = guard.injection(turns, ("conv_id", "turn")).where(F.col("pattern_id").isin("role_override", "ignore_instructions")).select("conv_id", "turn").distinct().withColumn("h", F.lit(1))
     return turns.join(hit, ["conv_id", "turn"], "left").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count("h").alias("hit"))
 
 
