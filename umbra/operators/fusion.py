@@ -167,3 +167,50 @@ def mapping(done: DataFrame) -> DataFrame:
     """doc_id, placeholder, label, original_value, n, text_hash of redacted documents: what leads back to the values."""
     rows = done.select("doc_id", F.explode("mapping").alias("m")).select("doc_id", "m.*")
     return rows.withColumn("text_hash", F.concat(F.lit("sha256:"), F.sha2(F.encode("original_value", "UTF-8"), 256)))
+
+
+def redact_batches(items: DataFrame, profile: policy.Profile, predictions: DataFrame | None = None, shared: bool = False, most: int = limits.BATCH_ITEMS, chars: int = limits.TEXT_CHARS) -> DataFrame:
+    """batch_id, item_id, status, redacted_text of items (batch_id, item_id, text), under one verdict for each batch.
+
+    A batch that is too large, has an item id twice or none, a text that is too long or turned away by the run, or a label that
+    the profile blocks, is refused as a whole: the status says why and no text of it comes back. shared: a value has the same
+    placeholder in all items of its batch, numbered in the order of items; else each item counts for itself.
+    """
+    from umbra.operators import placeholders
+
+    verdict = limits.batches(items, most, chars).select(F.col("batch_id").alias("__batch"), F.col("status").alias("verdict"))
+    judged = items.select("batch_id", "item_id", "text").join(verdict, F.col("batch_id").eqNullSafe(F.col("__batch"))).drop("__batch")
+    good = judged.where("verdict = 'ok'").select(F.to_json(F.struct("batch_id", "item_id"), {"ignoreNullFields": "false"}).alias("doc_id"), "batch_id", "item_id", "text")
+    ran = run(good.select("doc_id", "text"), profile, predictions)
+    names = good.select(F.col("doc_id").alias("__id"), "batch_id", "item_id")
+    done = redacted(ran).join(names, F.col("doc_id") == F.col("__id"))
+    bad = done.groupBy("batch_id").agg(F.coalesce(F.min("error"), F.when(F.max(F.size("blocked")) > 0, "blocked"), F.lit("ok")).alias("status"))
+    if shared:
+        spans = exploded(ran).join(names, F.col("doc_id") == F.col("__id")).drop("__id")
+        named = placeholders.number(spans, "batch_id", ("item_id", "start"))
+        texts = placeholders.rewrite(ran.where("error IS NULL"), named.select("doc_id", "start", "end", F.coalesce("coarse", "placeholder").alias("replacement")))
+        done = done.drop("redacted_text").join(texts.select(F.col("doc_id").alias("__of"), "redacted_text"), F.col("doc_id") == F.col("__of"), "left")
+    out = done.select("batch_id", "item_id", "redacted_text").join(bad.withColumnRenamed("batch_id", "__batch"), F.col("batch_id").eqNullSafe(F.col("__batch")))
+    refused = judged.where("verdict <> 'ok'").select("batch_id", "item_id", F.col("verdict").alias("status"), F.lit(None).cast("string").alias("redacted_text"))
+    return out.select("batch_id", "item_id", "status", F.when(F.col("status") == "ok", F.col("redacted_text")).alias("redacted_text")).unionByName(refused)
+
+
+def findings(masked: DataFrame, profile_rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
+    """doc_id, label, source, n: what detection finds again in masked texts (doc_id, redacted_text) outside of their placeholders, fused."""
+    from umbra.operators import guard
+
+    docs = masked.select("doc_id", F.col("redacted_text").alias("text"))
+    rows = docs.withColumns({"error": F.lit(None).cast("string"), "given": F.lit(None).cast(f"array<struct<{', '.join(f'{n}:{scan.TYPES[n]}' for n in _GIVEN)}>>")})
+    spans = exploded(_fused(rows, list(profile_rules), None))
+    return guard.outside_placeholders(spans, docs).groupBy("doc_id", "label", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot(done: DataFrame, items: DataFrame) -> DataFrame:
+    """namespace, placeholder, label, sources, documents, occurrences, detectors of a job's mapping: where its values stand, and what found them.
+
+    done: what redacted() gives, with the spans of its run beside it (doc_id, mapping, spans); items: doc_id, namespace, source.
+    """
+    each = done.select("doc_id", F.explode("mapping").alias("m"), "spans").select("doc_id", "m.placeholder", "m.label", "m.original_value", "m.n", F.array_distinct(F.transform(F.filter("spans", lambda s: s["surface"] == F.col("m.original_value")), lambda s: F.concat_ws(":", s["source"], s["rule_id"]))).alias("by"))
+    joined = each.join(items.select(F.col("doc_id").alias("__of"), "namespace", "source"), F.col("doc_id") == F.col("__of"))
+    out = joined.groupBy("namespace", "label", "original_value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("by")))).alias("detectors"))
+    return out.select("namespace", "label", F.concat(F.lit("sha256:"), F.sha2("original_value", 256)).alias("text_hash"), "sources", "documents", "occurrences", "detectors")

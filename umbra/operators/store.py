@@ -136,3 +136,15 @@ def holds(rows: DataFrame, search: str) -> Column:
     """Whether a row, as JSON, holds the text in any case."""
     needle = search.strip().lower()
     return F.lower(F.to_json(F.struct(*rows.columns))).contains(json.dumps(needle, ensure_ascii=False)[1:-1]) if needle else F.lit(True)
+
+
+def write_mapping(mapped: DataFrame, path: str) -> None:
+    """A mapping in plain text as JSON lines (doc_id, placeholder, label, original_value, text_hash, n), all or nothing: Spark commits the folder when all tasks are done.
+
+    Refuses a folder that is there already. Who may read it is a matter of the folder it stands in.
+    """
+    mapped.select("doc_id", "placeholder", "label", "original_value", "text_hash", "n").write.mode("error").json(path)
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, placeholder string, label string, original_value string, text_hash string, n long").json(path)

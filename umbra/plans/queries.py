@@ -452,9 +452,9 @@ def detection_run(spark, sf_dir):
 
 
 def _more() -> None:
-    from umbra.plans import models, more
+    from umbra.plans import models, more, payloads
 
-    for m in (more, models):
+    for m in (more, models, payloads):
         QUERIES.update(m.QUERIES)
         ORACLE.update(m.ORACLE)
 

@@ -12,20 +12,52 @@ ENTRY = "entry_id string, canonical_value string, aliases array<string>, label s
 
 def samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good and bad rows of a JSON-lines file: a gold span must cut its own text out of the sample."""
-    rows = spark.read.schema(SAMPLE).json(path)
-    good = F.forall(F.coalesce("gold_spans", F.array()), lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"])
-    checked = rows.withColumn("good", F.coalesce(good & F.col("text").isNotNull(), F.lit(False)))
-    return checked.where("good").drop("good"), checked.where("not good").drop("good")
+    good, bad = numbered_samples(spark, path)
+    return good.drop("line_no"), bad.drop("line_no", "reason")
+
+
+def numbered_samples(spark: SparkSession, path: str, schema: str = SAMPLE, spans: tuple[str, ...] = ("gold_spans",)) -> tuple[DataFrame, DataFrame]:
+    """Samples with their line number, from 1 in each file; and those turned away, with reason (malformed, no_text, span_mismatch). Blank lines are none.
+
+    Lines are numbered by what each part of a file has before it, so a file isn't read by one task.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    part = F.shiftright("at", 33)
+    sizes = lines.groupBy("file", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("file", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = lines.withColumn("part", part).join(bases, ["file", "part"]).select((F.col("at") - F.col("first") + F.col("base") + 1).alias("line_no"), "value").where(F.trim("value") != "")
+    rows = numbered.withColumn("s", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    rows = rows.withColumn("whole", F.try_parse_json("value").isNotNull()).select("line_no", "whole", "s.*")
+    cut = F.lit(True)
+    for name in spans:
+        cut = cut & F.coalesce(F.forall(F.coalesce(F.col(name), F.array()), lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]) == s["text"]), F.lit(False))
+    reason = F.when(~F.col("whole"), "malformed").when(F.col("text").isNull(), "no_text").when(~cut, "span_mismatch")
+    marked = rows.withColumn("reason", reason).drop("whole")
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 
 def dictionary(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(ENTRY).option("multiLine", True).json(list(paths))
 
 
+def merged_dictionary(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
+    """(entries of all files with `file_no`, in the order in which the files are named; one row with the version of their contents)."""
+    out = None
+    for i, path in enumerate(paths):
+        one = dictionary(spark, path).withColumn("file_no", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out, content_version(spark, *paths)
+
+
 def content_version(spark: SparkSession, *paths: str) -> DataFrame:
-    """version: a hash over the files' hashes, in the order of their names."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", F.sha2("content", 256).alias("h"))
-    return files.agg(F.array_sort(F.collect_list(F.struct("path", "h"))).alias("all")).select(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("all", lambda x: x["h"]), ""), 256)).alias("version"))
+    """version: a hash over the files' bytes, one file after the other in the order in which they are named. Dictionaries are small files."""
+    out = None
+    for i, path in enumerate(paths):
+        one = spark.read.format("binaryFile").load(path).select(F.lit(i).alias("no"), "path", "content")
+        out = one if out is None else out.unionByName(one)
+    files = out.agg(F.array_sort(F.collect_list(F.struct("no", "path", F.hex("content").alias("hex")))).alias("all"))
+    return files.select(F.concat(F.lit("sha256:"), F.sha2(F.unhex(F.array_join(F.transform("all", lambda x: x["hex"]), "")), 256)).alias("version"))
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -41,6 +73,48 @@ def markdown(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
+def _tables(cells: DataFrame) -> DataFrame:
+    """doc_id, table_id, order, block_id, body: the cells of each table as a pipe table, at the place of its first cell."""
+    text = F.regexp_replace(F.regexp_replace(F.trim("text"), r"\|", r"\\|"), r"\s*\n\s*", "<br>")
+    key = ["doc_id", "table_id"]
+    wide = cells.groupBy(*key).agg(F.max("col").alias("cols"), F.max("row").alias("rows"), F.min(F.struct("order", "block_id")).alias("at"))
+    rows = cells.groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("text")))).alias("by_col"))
+    # Rows without a cell are rows of a table too.
+    every = wide.select(*key, "cols", "at", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("row")).join(rows, [*key, "row"], "left")
+    filled = F.transform(F.sequence(F.lit(0), F.col("cols")), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit("")))
+    line = F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("cols") + 1))
+    lines = every.select(*key, "at", "row", F.when(F.col("row") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
+    joined = lines.groupBy(*key).agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("row", "line"))).alias("all"))
+    return joined.select(*key, F.col("at.order"), F.col("at.block_id"), F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
+
+
+def block_tree(blocks: DataFrame, ancillary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, markdown; doc_id, block_id, first_line, last_line of each block) of blocks as extraction gives them.
+
+    blocks: doc_id, block_id, order, text, kind (paragraph, heading, cell, ancillary), level, table_id, row, col. Blank
+    blocks go, but for cells; order and then id say what comes first. The cells of a table (also of a sheet) are one pipe table
+    where its first cell stands. ancillary blocks (headers, footers, notes) come only when asked. Lines count from 1; all
+    cells of a table have its lines.
+    """
+    shown = blocks.where((F.coalesce("kind", F.lit("paragraph")) != "ancillary") | F.lit(ancillary))
+    cells = shown.where("kind = 'cell' AND table_id IS NOT NULL").select("doc_id", "block_id", "order", F.coalesce("text", F.lit("")).alias("text"), "table_id", "row", "col")
+    plain = shown.where("(kind IS NULL OR kind <> 'cell' OR table_id IS NULL)").where(F.trim(F.coalesce("text", F.lit(""))).rlike(r"\S"))
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6))
+    body = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))).otherwise(F.col("text"))
+    every = plain.select("doc_id", "order", "block_id", F.lit(None).cast("string").alias("table_id"), body.alias("body")).unionByName(_tables(cells).select("doc_id", "order", "block_id", F.col("table_id").cast("string").alias("table_id"), "body"))
+    size = F.char_length("body") - F.char_length(F.replace(F.col("body"), F.lit("\n"), F.lit(""))) + 1
+    before = Window.partitionBy("doc_id").orderBy("order", "block_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = every.withColumn("lines", size).withColumn("first_line", (F.coalesce(F.sum(F.col("lines") + 1).over(before), F.lit(0)) + 1).cast("int"))
+    placed = placed.withColumn("last_line", (F.col("first_line") + F.col("lines") - 1).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("first_line", "body")))
+    text = placed.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: x["body"]), "\n\n"), F.lit("\n")).alias("markdown"))
+    own = placed.where("table_id IS NULL").select("doc_id", "block_id", "first_line", "last_line")
+    of_tables = placed.where("table_id IS NOT NULL").select("doc_id", "table_id", "first_line", "last_line")
+    in_tables = cells.select("doc_id", "block_id", F.col("table_id").cast("string").alias("table_id")).join(of_tables, ["doc_id", "table_id"]).drop("table_id")
+    return text, own.unionByName(in_tables.select(*own.columns))
+
+
 def paragraphs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text) of paragraphs joined by a blank line, and where each starts (doc_id, block, start, end)."""
     before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
