@@ -119,7 +119,7 @@ def masked(payloads: DataFrame, profile: policy.Profile, predictions: DataFrame
     put = numbered.groupBy("doc_id", "no").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("coarse", "placeholder").alias("value")))).alias("puts"))
     bad = ran.groupBy("of").agg(F.min("error").alias("error"), F.max(F.size("blocked") > 0).alias("blocked"))
     lists = put.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("no", "puts")).alias("all"))
-    joined = payloads.select("doc_id", "payload").join(lists, F.col("doc_id") == F.col("__of"), "left").join(bad, F.col("doc_id") == F.col("of"), "left").select("doc_id", "payload", "all", "error", "blocked")
+    joined = payloads.select("doc_id", "payload").join(lists, F.col("doc_id").eqNullSafe(F.col("__of")), "left").join(bad, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "payload", "all", "error", "blocked")
     kind = payloads.schema["doc_id"].dataType.simpleString()
 
     def one(raw: str | None, puts: list[dict] | None, error: str | None, blocked: bool | None) -> tuple[str | None, str]:

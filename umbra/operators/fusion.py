@@ -65,7 +65,7 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
     in clear, with text_hash, action, coarse and role; blocked are labels that the profile blocks. degraded: the profile
     would use a model, and there was none.
 
-    A null text has no spans; spans of ids that no document has are ignored; repeated spans count once.
+    A null text has no spans; a null id is one like any other; spans of ids that no document has are ignored; repeated spans count once.
     """
     if profile.model_required and predictions is None:
         raise detect.ModelRequired(f"profile {profile.name} requires model predictions")
@@ -81,7 +81,7 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
         for t in tables[1:]:
             every = every.unionByName(t)
         lists = every.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct(*_GIVEN)).alias("__given"))
-        rows = rows.drop("given").join(lists, F.col("doc_id") == F.col("__of"), "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
+        rows = rows.drop("given").join(lists, F.col("doc_id").eqNullSafe(F.col("__of")), "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
     fused = _fused(rows, wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None)
     return _decided(fused, profile, profile.use_model and predictions is None)
 
@@ -189,7 +189,7 @@ def redact_batches(items: DataFrame, profile: policy.Profile, predictions: DataF
         spans = exploded(ran).join(names, F.col("doc_id") == F.col("__id")).drop("__id")
         named = placeholders.number(spans, "batch_id", ("item_id", "start"))
         texts = placeholders.rewrite(ran.where("error IS NULL"), named.select("doc_id", "start", "end", F.coalesce("coarse", "placeholder").alias("replacement")))
-        done = done.drop("redacted_text").join(texts.select(F.col("doc_id").alias("__of"), "redacted_text"), F.col("doc_id") == F.col("__of"), "left")
+        done = done.drop("redacted_text").join(texts.select(F.col("doc_id").alias("__of"), "redacted_text"), F.col("doc_id").eqNullSafe(F.col("__of")), "left")
     out = done.select("batch_id", "item_id", "redacted_text").join(bad.withColumnRenamed("batch_id", "__batch"), F.col("batch_id").eqNullSafe(F.col("__batch")))
     refused = judged.where("verdict <> 'ok'").select("batch_id", "item_id", F.col("verdict").alias("status"), F.lit(None).cast("string").alias("redacted_text"))
     return out.select("batch_id", "item_id", "status", F.when(F.col("status") == "ok", F.col("redacted_text")).alias("redacted_text")).unionByName(refused)

@@ -25,14 +25,14 @@ def number(spans: DataFrame, scope: str = "doc_id", order: tuple[str, ...] = ("s
     first = one.groupBy(scope, "prefix", value).agg(F.min("at").alias("first"))
     numbered = first.withColumn("n", F.dense_rank().over(Window.partitionBy(scope, "prefix").orderBy("first", value)))
     named = numbered.select(F.col(scope).alias("__s"), F.col("prefix").alias("__p"), F.col(value).alias("__v"), F.format_string("<%s_%s>", F.col("prefix"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("placeholder"))
-    joined = one.join(named, (F.col(scope) == F.col("__s")) & (F.col("prefix") == F.col("__p")) & (F.col(value) == F.col("__v")))
+    joined = one.join(named, F.col(scope).eqNullSafe(F.col("__s")) & (F.col("prefix") == F.col("__p")) & (F.col(value) == F.col("__v")))  # a null scope is one too: nothing stays in clear
     return joined.select(*names, "placeholder")
 
 
 def rewrite(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, redacted_text of every document; spans (doc_id, start, end, replacement) don't overlap."""
     lists = spans.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("own"))
-    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("of"), "left")
+    joined = docs.select("doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
