@@ -32,7 +32,13 @@ class Span(NamedTuple):
 
 
 TYPES = {"start": "int", "end": "int", "label": "string", "confidence": "double", "source": "string", "rule_id": "string", "risk_level": "string", "canonical_value": "string", "clipped": "boolean"}
-SPANS = "array<struct<" + ", ".join(f"{n}:{t}" for n, t in TYPES.items()) + ">>"
+
+
+def ddl(types: dict[str, str]) -> str:
+    return "array<struct<" + ", ".join(f"{n}:{t}" for n, t in types.items()) + ">>"
+
+
+SPANS = ddl(TYPES)
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 

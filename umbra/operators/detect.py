@@ -62,17 +62,22 @@ def private_keys(whole: Column, scan: Column) -> Column:
     return F.when(scan.rlike(patterns.FLAGS + patterns.PRIVATE_KEY_MARKER), folded)
 
 
-def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule]) -> DataFrame:
-    """doc_id, text, error, spans (scan.SPANS) of each text: one pass over compiled patterns, without a shuffle."""
+def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule], surfaces: bool = False) -> DataFrame:
+    """doc_id, text, error, spans (scan.SPANS, and the surface if asked) of each text: one pass over compiled patterns."""
     workers.ship(docs.sparkSession)
     wanted, kind = list(rules), docs.schema["doc_id"].dataType.simpleString()
+    types = scan.TYPES | ({"surface": "string"} if surfaces else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [scan.rules(t, wanted) if t is not None else (None, None) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([e for _, e in found], pa.string()), scan.column([s for s, _ in found])], ["doc_id", "text", "error", "spans"])
+            spans = [s for s, _ in found]
+            if surfaces:
+                spans = [s if s is None else [(*x, t[x.start : x.end]) for x in s] for s, t in zip(spans, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([e for _, e in found], pa.string()), scan.column(spans, types)], ["doc_id", "text", "error", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, text string, error string, spans {scan.SPANS}")
+    rows = workers.spread(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    return rows.mapInArrow(run, f"doc_id {kind}, text string, error string, spans {scan.ddl(types)}")
 
 
 def framed(docs: DataFrame) -> DataFrame:
@@ -91,10 +96,9 @@ def rule_arrays(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RUL
 
 
 def rule_spans(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
-    """All rules over the half-width view, in one pass without a shuffle. Surfaces are cut from the original text."""
-    each = rule_arrays(docs, rules).select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "text", "s.*")
-    surface = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return each.select("doc_id", "start", "end", "label", "confidence", F.lit("rule").alias("source"), "rule_id", "risk_level", surface.alias("surface"))
+    """All rules over the half-width view, in one pass. Surfaces are cut from the original text."""
+    each = _scanned(docs, rules, surfaces=True).select("doc_id", F.explode("spans").alias("s"))
+    return each.select("doc_id", *[f"s.{c}" for c in ("start", "end", "label", "confidence", "source", "rule_id", "risk_level", "surface")])
 
 
 def known_values(docs: DataFrame, values: DataFrame, scope: str = "namespace") -> DataFrame:

@@ -21,6 +21,7 @@ from umbra.functions import patterns, scan
 from umbra.operators import detect, limits, policy
 
 _GIVEN = ("start", "end", "label", "confidence", "source", "rule_id", "risk_level", "canonical_value")
+_GIVEN_TYPE = scan.ddl({n: scan.TYPES[n] for n in _GIVEN})
 
 
 @dataclass(frozen=True)
@@ -75,14 +76,14 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
     tables = [_table(t) for t in spans] + [_table(DETECTORS[name].spans(docs.select("doc_id", "text")), name) for name in detectors]
     if predictions is not None and profile.use_model:
         tables.append(_table(model(predictions, docs), "model"))
-    rows = rows.withColumn("given", F.lit(None).cast(f"array<struct<{', '.join(f'{n}:{scan.TYPES[n]}' for n in _GIVEN)}>>"))
+    rows = rows.withColumn("given", F.lit(None).cast(_GIVEN_TYPE))
     if tables:
         every = tables[0]
         for t in tables[1:]:
             every = every.unionByName(t)
         lists = every.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct(*_GIVEN)).alias("__given"))
         rows = rows.drop("given").join(lists, F.col("doc_id").eqNullSafe(F.col("__of")), "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
-    fused = _fused(rows, wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None)
+    fused = _fused(rows if tables else workers.spread(rows), wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None)
     return _decided(fused, profile, profile.use_model and predictions is None)
 
 
@@ -91,7 +92,7 @@ _TYPES = {**scan.TYPES, "text_hash": "string", "role": "string", "surface": "str
 
 def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | None) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, error string, spans array<struct<{', '.join(f'{n}:{t}' for n, t in _TYPES.items())}>>"
+    schema = f"doc_id {kind}, text string, error string, spans {scan.ddl(_TYPES)}"
 
     def one(whole: str | None, error: str | None, given: list[dict] | None) -> tuple[str | None, list[tuple] | None]:
         if whole is None or error:
@@ -138,7 +139,7 @@ _MAPPED = {"placeholder": "string", "label": "string", "original_value": "string
 def redacted(ran: DataFrame) -> DataFrame:
     """doc_id, redacted_text, mapping (array of placeholder, label, original_value, n), error, degraded, blocked of a run. No exchange."""
     kind = ran.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, redacted_text string, mapping array<struct<{', '.join(f'{n}:{t}' for n, t in _MAPPED.items())}>>, error string, degraded boolean, blocked array<string>"
+    schema = f"doc_id {kind}, redacted_text string, mapping {scan.ddl(_MAPPED)}, error string, degraded boolean, blocked array<string>"
 
     def one(whole: str | None, spans: list[dict] | None) -> tuple[str | None, list[tuple] | None]:
         if whole is None:
@@ -200,7 +201,7 @@ def findings(masked: DataFrame, profile_rules: Iterable[patterns.Rule] = (*patte
     from umbra.operators import guard
 
     docs = masked.select("doc_id", F.col("redacted_text").alias("text"))
-    rows = docs.withColumns({"error": F.lit(None).cast("string"), "given": F.lit(None).cast(f"array<struct<{', '.join(f'{n}:{scan.TYPES[n]}' for n in _GIVEN)}>>")})
+    rows = docs.withColumns({"error": F.lit(None).cast("string"), "given": F.lit(None).cast(_GIVEN_TYPE)})
     spans = exploded(_fused(rows, list(profile_rules), None))
     return guard.outside_placeholders(spans, docs).groupBy("doc_id", "label", "source").agg(F.count(F.lit(1)).alias("n"))
 

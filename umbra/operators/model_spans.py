@@ -31,7 +31,7 @@ def _by_document(predictions: DataFrame, docs: DataFrame, least: float, one: Cal
             done = [one(text or "", [(g["start"], g["end"], g["label"], -g["less"]) for g in given if g["end"] <= len(text or "")]) for text, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scan.column(done, _TYPES)], ["doc_id", "text", "spans"])
 
-    out = rows.mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<{', '.join(f'{n}:{t}' for n, t in _TYPES.items())}>>")
+    out = rows.mapInArrow(run, f"doc_id {kind}, text string, spans {scan.ddl(_TYPES)}")
     return out.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", "s.*", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("surface"))
 
 

@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from umbra.functions import patterns
+from umbra import workers
+from umbra.functions import patterns, scan
 from umbra.functions.text import text_hash
 
+PIECE = {"start": "int", "end": "int", "no": "int"}
+
 
 def clip(spans: DataFrame, priority: str = "priority") -> DataFrame:
     """Each character belongs to the best span over it (priority, confidence, length, then order); spans keep what is theirs.
 
-    Elementary intervals: the ends of a document's spans cut it into pieces, each piece goes to the best span over it, and
-    neighbouring pieces of one span are joined. Spans are read once and meet in one exchange by doc_id.
+    Spans meet in one exchange by doc_id, ranked; a sweep over the ends of a document's spans, with the live ones in a heap,
+    gives each its pieces in n log n.
     """
+    workers.ship(spans.sparkSession)
     key = F.struct((-F.col(priority)).alias("p"), (-F.col("confidence")).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "label", "source", F.struct(*spans.columns).alias("own"))
     lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("all"))
-    lists = lists.withColumn("points", F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(x["start"], x["end"]))))))
+    lists = lists.select("doc_id", F.transform("all", lambda x: x["own"]).alias("all"), F.transform("all", lambda x: x["start"]).alias("starts"), F.transform("all", lambda x: x["end"]).alias("ends"))
 
-    def piece(a: Column, i: Column) -> Column:
-        b = F.get("points", i + 1)
-        return F.struct(a.alias("from"), b.alias("to"), F.array_position(F.transform("all", lambda x: (x["start"] <= a) & (x["end"] >= b)), True).cast("int").alias("no"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            swept = [scan.sweep(list(zip(s, e, strict=True))) for s, e in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scan.column(swept, PIECE)], ["doc_id", "all", "pieces"])
 
-    pieces = lists.select("doc_id", "all", F.explode(F.transform(F.slice("points", 1, F.size("points") - 1), piece)).alias("x")).where(F.col("x.no") > 0)
-    best = pieces.select("doc_id", "x.*", F.expr("element_at(all, x.no)").getField("own").alias("own"))
-    of = Window.partitionBy("doc_id", "no").orderBy("from")
-    runs = best.withColumn("run", F.sum((F.coalesce(F.lag("to").over(of), F.lit(-1)) != F.col("from")).cast("int")).over(of))
-    out = runs.groupBy("doc_id", "no", "run").agg(F.min("from").alias("new_start"), F.max("to").alias("new_end"), F.first("own").alias("own"))
+    schema = StructType([lists.schema["doc_id"], lists.schema["all"]]).add("pieces", ArrayType(StructType([StructField(n, IntegerType()) for n in PIECE])))
+    pieces = lists.mapInArrow(run, schema).select("doc_id", F.explode(F.transform("pieces", lambda x: F.struct(x["start"].alias("new_start"), x["end"].alias("new_end"), F.get("all", x["no"]).alias("own")))).alias("x")).select("doc_id", "x.*")
     clipped = (F.col("new_start") != F.col("own.start")) | (F.col("new_end") != F.col("own.end"))
     rest = [F.col(f"own.{c}") for c in spans.columns if c not in ("doc_id", "start", "end")]
-    return out.select("doc_id", F.col("new_start").alias("start"), F.col("new_end").alias("end"), *rest, clipped.alias("clipped"))
+    return pieces.select("doc_id", F.col("new_start").alias("start"), F.col("new_end").alias("end"), *rest, clipped.alias("clipped"))
 
 
 def trim(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files are too small for it, by Spark's own estimate: one small file is one task, however long its rows take.
+
+    A shuffle of such a table costs little; a larger one stays as its files are split.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * split else rows
