@@ -66,7 +66,7 @@ def _keys(docs: DataFrame, sizes: list[int], loose: bool) -> DataFrame:
                 all_.setdefault(view[i : i + size], []).append(i)
         return all_.items()
 
-    return _passed(docs.where("view IS NOT NULL"), ["view"], found, "key string, at array<int>")
+    return _passed(workers.spread(docs.select("doc_id", "scope", "view").where("view IS NOT NULL")), ["view"], found, "key string, at array<int>")
 
 
 def _cut(hits: DataFrame, loose: bool) -> DataFrame:
