@@ -22,4 +22,4 @@ QUERIES = {
         alignment.op13_token_alignment,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op11_phrase_collocations": collocations.SQL, "op12_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_fm_index": decontaminate.SQL, "op11_phrase_collocations": collocations.SQL, "op12_source_mix": mixing.SQL}
