@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from umbra.operators import chat, dictionary, fusion, policy, store
-from umbra.sources import readers
+from umbra.sources import office, readers
 
 OPEN = policy.PROFILES["file_workbench"]
 TEL, MAIL = "13812345678", "a@b.example"
@@ -111,3 +113,36 @@ def test_mapping_sink(spark, tmp_path):
     assert sorted(map(str, store.read_mapping(spark, str(tmp_path / "m")).collect())) == sorted(map(str, mapped.select("doc_id", "placeholder", "label", "original_value", "text_hash", "n").collect()))
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         store.write_mapping(mapped, str(tmp_path / "m"))
+
+
+def word_file(*paragraphs: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{office.W[1:-1]}"><w:body>{"".join(f"<w:p>{p}</w:p>" for p in paragraphs)}</w:body></w:document>')
+        z.writestr("word/media/image1.png", b"\x89PNG")
+    return out.getvalue()
+
+
+def run_of(text: str, bold: bool = False) -> str:
+    return f"<w:r>{'<w:rPr><w:b/></w:rPr>' if bold else ''}<w:t xml:space=\"preserve\">{text.replace('<', '&lt;')}</w:t></w:r>"
+
+
+def test_docx_refill(spark):
+    files = {
+        1: word_file(run_of("to <ORG_001> and ") + run_of("<ORG_002>!", True), run_of("<ORG_001>")), 2: word_file(run_of("to <ORG") + run_of("_001>", True)), 3: word_file(run_of("<ORG_009> <org 1> ORG_001")), 4: word_file(run_of("nothing")), 5: b"no file",
+    }
+    table = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "doc_id int, content binary")
+    mapped = spark.createDataFrame([(i, p, v) for i in (1, 2, 3) for p, v in (("<ORG_001>", "甲 <ORG_002> & co"), ("<ORG_002>", "乙"))], "doc_id int, placeholder string, original_value string")
+    got = {r.doc_id: r for r in office.refill_docx(table, mapped).collect()}
+    assert {i: (r.status, r.restored, r.unknown, r.altered, r.split) for i, r in got.items()} == {1: ("ok", 3, [], [], []), 2: ("blocked", 0, [], [], ["<ORG_001>"]), 3: ("blocked", 0, ["<ORG_009>"], ["<org 1>", "ORG_001"], []), 4: ("ok", 0, [], [], []), 5: ("refused", 0, [], [], ["not_docx"])}
+    back = {(r.paragraph, r.text) for r in office.docx_blocks(spark.createDataFrame([(1, bytearray(got[1].content))], "doc_id int, content binary")).collect()}
+    assert back == {(0, "to 甲 <ORG_002> & co and 乙!"), (1, "甲 <ORG_002> & co")}
+    assert zipfile.ZipFile(io.BytesIO(got[1].content)).read("word/media/image1.png") == b"\x89PNG" and got[2].content is None
+
+
+def test_docx_ledger(spark):
+    table = spark.createDataFrame([(1, bytearray(word_file(run_of("abc") + run_of("def", True) + run_of("ghi", True))))], "doc_id int, content binary")
+    rows = [(0, 0, 2), (0, 1, 3), (0, 2, 5), (0, 4, 8), (0, 8, 12), (0, 9, 9), (1, 0, 1)]
+    replaced = spark.createDataFrame([(1, "word/document.xml", *r, "x") for r in rows], "doc_id int, part string, paragraph int, start int, end int, replacement string")
+    got = [(r.paragraph, r.start, r.end, r.first_node, r.last_node, r.format_mixed, r.problem) for r in office.docx_ledger(table, replaced).collect()]
+    assert sorted(got, key=lambda r: r[:3]) == [(0, 0, 2, 0, 0, False, None), (0, 1, 3, 0, 0, False, "overlap"), (0, 2, 5, 0, 1, True, "overlap"), (0, 4, 8, 1, 2, False, "overlap"), (0, 8, 12, 2, 2, False, "out_of_range"), (0, 9, 9, None, None, False, "empty"), (1, 0, 1, None, None, None, "no_such_paragraph")]

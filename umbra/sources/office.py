@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from umbra import workers
+from umbra.functions import patterns
 
 # Formats by file name, name spaces, and parts that an export must not carry along.
 TEXT = (".txt", ".md", ".csv", ".json", ".yaml", ".yml")
@@ -166,6 +167,114 @@ def patch_docx(table: DataFrame, replaced: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, f"doc_id {kind}, content binary")
 
 
+def _nodes(p: ElementTree.Element) -> list[tuple[ElementTree.Element, int, int, bytes]]:
+    """The text nodes of a paragraph with their bounds in its text (a tab is one character) and the format of their run."""
+    out, at = [], 0
+    for r in p.iter(W + "r"):
+        form = r.find(W + "rPr")
+        for t in r.iter():
+            if t.tag == W + "t":
+                out.append((t, at, at + len(t.text or ""), b"" if form is None else ElementTree.tostring(form)))
+                at += len(t.text or "")
+            elif t.tag == W + "tab" and form is not t:
+                at += 1
+    return out
+
+
+def docx_ledger(table: DataFrame, replaced: DataFrame) -> DataFrame:
+    """doc_id, part, paragraph, start, end, first_node, last_node, format_mixed, problem of each stretch that patch_docx would replace.
+
+    problem: no_such_paragraph, out_of_range, empty, overlap, no_text; a patch must not be made where one has a problem.
+    format_mixed: the stretch goes over runs of different formats, of which only the first one's stays.
+    """
+    workers.ship(table.sparkSession)
+    kind = dict(table.dtypes)["doc_id"]
+    lists = replaced.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("part", "paragraph", "start", "end"))).alias("own"))
+
+    def one(raw: bytes, wanted: list) -> Iterator[tuple]:
+        parts = _parts(raw)
+        paragraphs = {n: list(ElementTree.fromstring(parts.read(n)).iter(W + "p")) for n in {r["part"] for r in wanted} & set(parts.namelist())}
+        last: tuple = (None, None, 0)
+        for r in wanted:
+            part, no, start, end = (r[c] for c in ("part", "paragraph", "start", "end"))
+            own = paragraphs.get(part, [])
+            if not 0 <= no < len(own):
+                yield part, no, start, end, None, None, None, "no_such_paragraph"
+                continue
+            nodes = _nodes(own[no])
+            met = [i for i, (_, a, b, _) in enumerate(nodes) if a < end and b > start]
+            size = max((b for _, _, b, _ in nodes), default=0)
+            problem = "empty" if start >= end else "out_of_range" if start < 0 or end > size else "overlap" if last[:2] == (part, no) and start < last[2] else None if met else "no_text"
+            last = part, no, max(end, last[2] if last[:2] == (part, no) else 0)
+            yield part, no, start, end, met[0] if met else None, met[-1] if met else None, len({nodes[i][3] for i in met}) > 1, problem
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(doc, *x) for doc, raw, own in zip(frame["doc_id"], frame["content"], frame["own"], strict=True) for x in one(raw, own)]
+            yield pd.DataFrame(out, columns=["doc_id", "part", "paragraph", "start", "end", "first_node", "last_node", "format_mixed", "problem"]).astype({"first_node": "Int32", "last_node": "Int32", "format_mixed": "boolean"})
+
+    joined = table.join(lists, F.col("doc_id") == F.col("of")).select("doc_id", "content", "own")
+    return joined.mapInPandas(run, f"doc_id {kind}, part string, paragraph int, start int, end int, first_node int, last_node int, format_mixed boolean, problem string")
+
+
+_EXACT, _ALTERED = re.compile(patterns.PLACEHOLDER), [re.compile(x) for x in (*patterns.ALTERED, patterns.BARE_PLACEHOLDER)]
+
+
+def _docx_refilled(raw: bytes, values: dict[str, str]) -> tuple[bytes | None, int, dict[str, set[str]]]:
+    """The file with all known placeholders filled in, how many, and what blocks it: then nothing is filled in."""
+    parts, bad, done, roots = _parts(raw), {"unknown": set(), "altered": set(), "split": set()}, 0, {}
+    for name in (n for n in parts.namelist() if re.fullmatch(r"word/(document|header\d*|footer\d*)\.xml", n)):
+        roots[name] = ElementTree.fromstring(parts.read(name))
+        for p in roots[name].iter(W + "p"):
+            texts = [t.text or "" for t, *_ in _nodes(p)]
+            met = set(_EXACT.findall("".join(texts)))
+            bad["unknown"] |= met - set(values)
+            bad["altered"] |= {x for r in _ALTERED for x in r.findall("".join(texts))} - met
+            # A placeholder that people have cut in two runs by a change of format is in no run whole.
+            bad["split"] |= {k for k in met & set(values) if not any(k in t for t in texts)}
+    if any(bad.values()):
+        return None, 0, bad
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
+        for item in parts.infolist():
+            data = parts.read(item.filename)
+            if item.filename in roots:
+                before = done
+                for t in roots[item.filename].iter(W + "t"):
+                    t.text, n = _EXACT.subn(lambda m: values[m[0]], t.text or "")
+                    done += n
+                if done > before:
+                    data = ElementTree.tostring(roots[item.filename], encoding="utf-8", xml_declaration=True)
+            target.writestr(item.filename, data)
+    return out.getvalue(), done, bad
+
+
+def refill_docx(table: DataFrame, mapped: DataFrame) -> DataFrame:
+    """doc_id, status, content (null unless ok), restored, unknown, altered, split of Word files (doc_id, content) under a mapping (doc_id, placeholder, original_value).
+
+    Blocked are files with unknown placeholders, with things like placeholders, and with ones that several runs share; refused
+    those that docx_blocks refuses. What is filled in isn't read again; parts without a placeholder stay byte by byte.
+    """
+    workers.ship(table.sparkSession)
+    kind = dict(table.dtypes)["doc_id"]
+    lists = mapped.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"))
+
+    def one(raw: bytes, values: dict | None) -> tuple:
+        why = _docx_probe(raw)
+        if why:
+            return "refused", None, 0, [], [], why
+        content, done, bad = _docx_refilled(raw, dict(values or {}))
+        return "blocked" if content is None else "ok", content, done, *(sorted(bad[k]) for k in ("unknown", "altered", "split"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(doc, *one(raw, values)) for doc, raw, values in zip(frame["doc_id"], frame["content"], frame["values"], strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "status", "content", "restored", "unknown", "altered", "split"])
+
+    joined = table.join(lists, F.col("doc_id") == F.col("of"), "left").select("doc_id", "content", "values")
+    return joined.mapInPandas(run, f"doc_id {kind}, status string, content binary, restored int, unknown array<string>, altered array<string>, split array<string>")
+
+
 def _column(n: int) -> str:
     out = ""
     while n:
