@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +97,13 @@ def quarter(value: Column | str) -> Column:
 GENERALIZERS = {"amount_bucket": amount_bucket, "amount_band_10yi": amount_band, "region": region, "quarter": quarter}
 
 
+def register_generalizer(name: str, f: Callable[[Column], Column]) -> None:
+    """Profiles may name f from now on: it makes a coarse value of a half-width one, or null where it can't."""
+    if name in GENERALIZERS:
+        raise ValueError(f"generalizer {name} is registered already")
+    GENERALIZERS[name] = f
+
+
 def generalize(name: Column | str, value: Column | str) -> Column:
     """The coarse value by a generaliser's name; null for other names, for which callers use a placeholder."""
     seen, out = half_width(value), F.when(F.lit(False), F.lit(None).cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import patterns
-from umbra.functions.text import entropy, half_width, text_hash
+from umbra.functions.text import entropy, half_width, keyed_hash, text_hash
 from umbra.operators import detect
 from umbra.operators.spans import overlapping
 
@@ -72,6 +72,21 @@ def alerts(injected: DataFrame, leaked: DataFrame, least: str = "warn", block_fr
     return out.withColumn("text_hash", text_hash("matched")).drop("matched")
 
 
+#: Patterns whose matches could be guessed: of them not even a keyed hash is kept.
+GUESSABLE = ("generic_secret",)
+
+
+def alert_events(found: DataFrame, key: bytes, direction: str = "outbound", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, type, severity, direction, detector, n, hashes of findings (keep, pattern_id, matched, type, severity): one event for each pattern, without a value.
+
+    hashes are keyed: they tell equal matches under one key, and can't be looked up without it.
+    """
+    hashed = F.when(~F.col("pattern_id").isin(*GUESSABLE), keyed_hash("matched", key))
+    rows = found.withColumn("__hash", hashed)
+    out = rows.groupBy(*keep, "type", "severity", F.col("pattern_id").alias("detector")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("__hash")).alias("hashes"))
+    return out.select(*keep, "type", "severity", F.lit(direction).alias("direction"), "detector", "n", "hashes")
+
+
 def summary(found: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """key, n, max_severity, types (in order, joined by a comma), blocked."""
     out = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by("severity", severity(F.col("severity"))).alias("max_severity"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.max("blocked").alias("blocked"))

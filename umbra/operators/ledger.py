@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,20 @@ def inspection(masked: DataFrame, mapped: DataFrame) -> DataFrame:
 
     seen = masked.select("doc_id", F.explode(found(F.col("redacted_text"))).alias("placeholder"))
     return seen.join(mapped, ["doc_id", "placeholder"]).groupBy("label").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("text_hash").alias("values"))
+
+
+def audit_events(ran: DataFrame, done: DataFrame, refilled: DataFrame | None = None) -> DataFrame:
+    """doc_id, detections, labels, sources (maps of counts), placeholders, refill_status, error_types of each document of a run; no value of it.
+
+    ran: what fusion.run gives; done: what fusion.redacted gives of it; refilled: doc_id, status, error_types.
+    """
+    def counts(name: str) -> Column:
+        values = F.array_sort(F.transform("spans", lambda s: s[name]))
+        return F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(v.alias("key"), F.size(F.filter(values, lambda x: x == v)).alias("value"))))
+
+    rows = ran.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("detections"), counts("label").alias("labels"), counts("source").alias("sources"))
+    rows = rows.join(done.select(F.col("doc_id").alias("__of"), F.when(F.col("mapping").isNull(), 0).otherwise(F.size("mapping")).alias("placeholders")), F.col("doc_id").eqNullSafe(F.col("__of"))).drop("__of")
+    if refilled is None:
+        return rows.withColumns({"refill_status": F.lit(None).cast("string"), "error_types": F.array().cast("array<string>")})
+    back = refilled.select(F.col("doc_id").alias("__of"), F.col("status").alias("refill_status"), "error_types")
+    return rows.join(back, F.col("doc_id").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("error_types", F.coalesce("error_types", F.array().cast("array<string>")))
