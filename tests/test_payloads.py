@@ -146,3 +146,24 @@ def test_docx_ledger(spark):
     replaced = spark.createDataFrame([(1, "word/document.xml", *r, "x") for r in rows], "doc_id int, part string, paragraph int, start int, end int, replacement string")
     got = [(r.paragraph, r.start, r.end, r.first_node, r.last_node, r.format_mixed, r.problem) for r in office.docx_ledger(table, replaced).collect()]
     assert sorted(got, key=lambda r: r[:3]) == [(0, 0, 2, 0, 0, False, None), (0, 1, 3, 0, 0, False, "overlap"), (0, 2, 5, 0, 1, True, "overlap"), (0, 4, 8, 1, 2, False, "overlap"), (0, 8, 12, 2, 2, False, "out_of_range"), (0, 9, 9, None, None, False, "empty"), (1, 0, 1, None, None, None, "no_such_paragraph")]
+
+
+def test_normalize(spark):
+    key = "-----BEGIN PRIVATE KEY-----\nQUJD\n-----END PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"甲方公司 {key} z"), (2, "短"), (3, key[:40])], "doc_id long, text string")
+    given = spark.createDataFrame([(1, 0, 4, "ORG", "manual"), (1, 0, 4, "ORG", "manual"), (1, 2, 30, "PERSON", "dictionary"), (2, 0, 9, "ORG", "manual")], "doc_id long, start int, end int, label string, source string")
+    got = {r.doc_id: r for r in fusion.normalize(docs, given).collect()}
+    assert [(s.start, s.end, s.label, s.clipped) for s in got[1].spans] == [(0, 4, "ORG", False), (5, 5 + len(key), "CREDENTIAL", False)]
+    assert got[1].spans[1].text_hash == "sha256:" + hashlib.sha256(key.encode()).hexdigest()
+    assert (got[2].error, got[3].error) == ("span_out_of_bounds", "incomplete private key block")
+
+
+def test_audit_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "mask") for i in range(5)], "n long, event string")
+    now = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    store.append_audit(rows, str(tmp_path), "calls", now)
+    store.append_audit(rows, str(tmp_path), "calls", now)
+    lines = spark.read.text(str(tmp_path / "stream=calls")).collect()
+    assert len(lines) == 10 and all(json.loads(r.value)["event"] == "mask" and json.loads(r.value)["at"].startswith("2024-01-02T03:04:05") for r in lines)
+    with pytest.raises(ValueError, match="bad stream name"):
+        store.append_audit(rows, str(tmp_path), "../calls", now)

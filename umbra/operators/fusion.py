@@ -215,3 +215,11 @@ def snapshot(done: DataFrame, items: DataFrame) -> DataFrame:
     joined = each.join(items.select(F.col("doc_id").alias("__of"), "namespace", "source"), F.col("doc_id") == F.col("__of"))
     out = joined.groupBy("namespace", "label", "original_value").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("occurrences"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("by")))).alias("detectors"))
     return out.select("namespace", "label", F.concat(F.lit("sha256:"), F.sha2("original_value", 256)).alias("text_hash"), "sources", "documents", "occurrences", "detectors")
+
+
+def normalize(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, text, error, degraded, blocked, spans of documents under spans that a caller gives: with whole private keys added, fused again, hashed anew.
+
+    A span outside of its text, and a badly framed key, turn their document away.
+    """
+    return run(docs, policy.Profile("given", use_model=False), spans=[spans], rules=[patterns.PRIVATE_KEY])

@@ -180,3 +180,29 @@ def apply(spans: DataFrame, profile: Profile) -> DataFrame:
 def blocked_labels(spans: DataFrame, profile: Profile) -> DataFrame:
     """doc_id, blocked: the labels of a document that its profile blocks, in order."""
     return spans.where(decide(profile, whole_key=_whole_key(spans)) == "block").groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("blocked"))
+
+
+def applications(apps: DataFrame) -> DataFrame:
+    """apps (profile, scenario, sensitivity, declared: labels whose values the application declares) with resolved, scope, reversible, min_rank, status.
+
+    The first name that isn't null or empty counts, in this order; none means strict. status: unknown_profile; declared_in_clear
+    (the profile would leave values of a declared label in clear, so they'd be declared in vain); else ok.
+    """
+    spark = apps.sparkSession
+    labels = sorted({*_FACTS, *_OPINIONS, *(k for p in PROFILES.values() for k in (*p.only, *p.generalize, *p.actions))})
+    rows = [(p.name, p.scope, p.reversible, RISKS[p.min_risk], [k for k in labels if _in_clear(p, k)], bool(p.only), [*p.only, *p.actions]) for p in PROFILES.values()]
+    table = F.broadcast(spark.createDataFrame(rows, "resolved string, scope string, reversible boolean, min_rank int, in_clear array<string>, only boolean, kept array<string>"))  # a row a profile
+    named = [F.when(F.trim(c) != "", F.trim(c)) for c in ("profile", "scenario", "sensitivity")]
+    out = apps.withColumn("resolved", F.coalesce(*named, F.lit("strict"))).join(table, "resolved", "left")
+    declared = F.coalesce("declared", F.array().cast("array<string>"))
+    vain = F.arrays_overlap(declared, "in_clear") | (F.col("only") & (F.size(F.array_except(declared, "kept")) > 0))
+    status = F.when(F.col("scope").isNull(), "unknown_profile").when(vain, "declared_in_clear").otherwise("ok")
+    return out.withColumn("status", status).drop("in_clear", "only", "kept")
+
+
+def _in_clear(profile: Profile, label: str) -> bool:
+    try:
+        check_declared_labels(profile, (label,))
+    except ValueError:
+        return True
+    return False

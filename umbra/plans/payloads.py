@@ -178,3 +178,26 @@ def alert_events(spark, sf_dir):
     docs = carriers.spark_sql(spark, sf_dir, _LEAKS).select("doc_id", "text")
     found = guard.injection(docs).withColumns({"type": F.lit("injection"), "severity": F.lit("warn")}).unionByName(guard.secrets(docs).withColumns({"type": F.lit("secret"), "severity": F.lit("critical")}))
     return guard.alert_events(found, _KEY).withColumn("hashes", F.array_join("hashes", ","))
+
+
+#: What each customer's application declares: names at three places, and labels of values.
+_APPS = """SELECT c_custkey AS app_id, CASE c_custkey % 4 WHEN 0 THEN 'light' WHEN 1 THEN '' END AS profile, CASE c_custkey % 5 WHEN 0 THEN 'contract' WHEN 1 THEN ' pre_investment ' WHEN 2 THEN 'nothing' END AS scenario, CASE c_custkey % 3 WHEN 0 THEN 'ultra' WHEN 1 THEN 'standard' END AS sensitivity,
+CASE c_custkey % 7 WHEN 0 THEN 'AMOUNT' WHEN 1 THEN 'PERSON' WHEN 2 THEN 'ADDRESS' WHEN 3 THEN 'CONTACT' WHEN 4 THEN 'COURT' END AS label FROM {customer}"""
+
+
+@query(f"""WITH r AS (SELECT *, coalesce(nullif(trim(profile), ''), nullif(trim(scenario), ''), nullif(trim(sensitivity), ''), 'strict') AS resolved FROM ({carriers.oracle(_APPS)}) a)
+SELECT app_id, resolved, CASE WHEN resolved = 'nothing' THEN NULL ELSE 'document' END AS scope, resolved NOT IN ('contract', 'pre_investment', 'nothing') AS reversible, CASE WHEN resolved = 'nothing' THEN 'unknown_profile'
+WHEN resolved = 'light' AND label <> 'CONTACT' OR resolved IN ('standard', 'contract') AND label IN ('AMOUNT', 'COURT') OR resolved = 'contract' AND label = 'ADDRESS' OR resolved = 'pre_investment' AND label = 'AMOUNT' THEN 'declared_in_clear' ELSE 'ok' END AS status FROM r""")
+def application_profiles(spark, sf_dir):
+    """The profile that each application's declaration names, and whether values that it declares would stay in clear under it."""
+    apps = carriers.spark_sql(spark, sf_dir, _APPS).withColumn("declared", F.when(F.col("label").isNotNull(), F.array("label")))
+    return policy.applications(apps).select("app_id", "resolved", "scope", F.coalesce("reversible", F.lit(False)).alias("reversible"), "status")
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 < 2) AS restored, count(*) FILTER (o_orderkey % 3 = 2) AS blocked FROM orders""")
+def round_trip(spark, sf_dir):
+    """Contracts redacted and filled in again; of a third a placeholder was lost on the way."""
+    docs = carriers.spark_sql(spark, sf_dir, carriers.CONTRACTS)
+    done = fusion.redacted(fusion.run(docs, policy.PROFILES["file_workbench"]))
+    reply = F.when(F.col("doc_id") % 3 == 2, F.replace(F.col("redacted_text"), F.lit("<DATE_001>"), F.lit(""))).otherwise(F.col("redacted_text"))
+    return measure.round_trip(docs, placeholders.refill(done.select("doc_id", reply.alias("reply")), fusion.mapping(done)))
