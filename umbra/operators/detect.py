@@ -174,15 +174,20 @@ def suppress_areas(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(area, F.lit(False))).select(*spans.columns)
 
 
-def adapt_predictions(predictions: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """A model's output table (doc_id, start, end, label, score) as spans: malformed rows go, scores are held in [0, 1]."""
-    texts = docs.select(F.col("doc_id").alias("of"), "text")
+def clean_predictions(predictions: DataFrame, least: float = 0.5) -> DataFrame:
+    """A model's output table (doc_id, start, end, label, score) as spans: malformed rows go, scores are held in [0, 1]. Texts aren't read."""
     good = predictions.where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & F.col("label").isNotNull() & F.col("score").isNotNull())
-    joined = good.join(texts, F.col("doc_id") == F.col("of")).where(F.col("end") <= F.char_length("text"))
-    out = joined.select("doc_id", "start", "end", "label", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.lit("model").alias("source"), F.lit("high").alias("risk_level"), F.expr("substring(text, start + 1, end - start)").alias("surface"))
+    out = good.select("doc_id", "start", "end", "label", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("confidence"), F.lit("model").alias("source"), F.lit("high").alias("risk_level"))
     return out.where(F.col("confidence") >= least)
 
 
+def adapt_predictions(predictions: DataFrame, docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The same with surfaces; spans outside of their text go."""
+    texts = docs.select(F.col("doc_id").alias("of"), "text")
+    joined = clean_predictions(predictions, least).join(texts, F.col("doc_id") == F.col("of")).where(F.col("end") <= F.char_length("text"))
+    return joined.drop("of").withColumn("surface", F.expr("substring(text, start + 1, end - start)")).drop("text")
+
+
 def cut_windows(docs: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
     """doc_id, window, start, end: pieces of at most `size` characters for a model, cut at the last line end, else sentence end, of their back half.
 

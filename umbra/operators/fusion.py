@@ -57,14 +57,14 @@ def wanted_rules(profile: policy.Profile, rules: Iterable[patterns.Rule] = (*pat
     return [*rules, *(patterns.PUBLIC if {r.label for r in patterns.PUBLIC} <= clear else ())]
 
 
-def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None = None, spans: Iterable[DataFrame] = (), detectors: Iterable[str] = (), rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY), model: Callable[[DataFrame, DataFrame], DataFrame] = detect.adapt_predictions) -> DataFrame:
+def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None = None, spans: Iterable[DataFrame] = (), detectors: Iterable[str] = (), rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY), model: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, text, error, degraded, blocked, spans of each document (doc_id, text; ids each once).
 
     predictions: a model's output (doc_id, start, end, label, score); spans: tables of further sources (dictionary,
     declared and known values, manual); detectors: names of registered ones; model: what makes spans of predictions and
-    documents (model_spans.spans repairs names). The array holds what the profile doesn't leave
-    in clear, with text_hash, action, coarse and role; blocked are labels that the profile blocks. degraded: the profile
-    would use a model, and there was none.
+    documents (model_spans.spans repairs names); without it predictions count as they are, and those outside of their text
+    go. The array holds what the profile doesn't leave in clear, with text_hash, action, coarse and role; blocked are labels
+    that the profile blocks. degraded: the profile would use a model, and there was none.
 
     A null text has no spans; a null id is one like any other; spans of ids that no document has are ignored; repeated spans count once.
     """
@@ -75,7 +75,7 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", F.when(reason.isNull(), F.col("text")).alias("text"), reason.alias("error"))
     tables = [_table(t) for t in spans] + [_table(DETECTORS[name].spans(docs.select("doc_id", "text")), name) for name in detectors]
     if predictions is not None and profile.use_model:
-        tables.append(_table(model(predictions, docs), "model"))
+        tables.append(_table(model(predictions, docs) if model else detect.clean_predictions(predictions), "model"))
     rows = rows.withColumn("given", F.lit(None).cast(_GIVEN_TYPE))
     if tables:
         every = tables[0]
@@ -98,7 +98,7 @@ def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | N
         if whole is None or error:
             return error, None
         found, error = scan.rules(whole, rules)
-        others = [scan.Span(**g) for g in given or ()]
+        others = [s for s in (scan.Span(**g) for g in given or ()) if s.source != "model" or s.end is None or s.end <= len(whole)]
         if not error and any(s.start is None or s.end is None or s.label is None or not 0 <= s.start < s.end <= len(whole) for s in others):
             error = "span_out_of_bounds"
         if error:

@@ -78,10 +78,17 @@ def refill(texts: DataFrame, mapped: DataFrame, contract: str = "exact_transform
     exact_transform wants each placeholder as often as it was given; trusted_display any part of them; none is always
     blocked. texts: doc_id, reply. One pass over a text: what is put in isn't read again.
     """
+    table = mapped.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("placeholder", "original_value", "n"))).alias("mapping"))
+    return refill_rows(texts.select("doc_id", "reply").join(table, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "reply", "mapping"), contract)
+
+
+def refill_rows(rows: DataFrame, contract: str = "exact_transform") -> DataFrame:
+    """As refill, of rows that have their mapping beside the reply (doc_id, reply, mapping: array of placeholder, original_value, n): nothing is joined."""
     if contract not in ("exact_transform", "trusted_display", "none"):
         raise ValueError(contract)
-    table = mapped.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("placeholder", "original_value")))).alias("values"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("placeholder", F.col("n").cast("int"))))).alias("counts"))
-    joined = texts.select("doc_id", "reply").join(table, F.col("doc_id") == F.col("of"), "left")
+    entries = F.array_sort(F.transform("mapping", lambda m: F.struct(m["placeholder"].alias("placeholder"), m["original_value"].alias("original_value"), m["n"].cast("int").alias("n"))))
+    pairs = lambda c: F.map_from_entries(F.transform(entries, lambda m: F.struct(m["placeholder"], m[c])))
+    joined = rows.select("doc_id", "reply", pairs("original_value").alias("values"), pairs("n").alias("counts"))
     joined = joined.withColumns({"values": F.coalesce("values", F.expr("map()").cast("map<string,string>")), "counts": F.coalesce("counts", F.expr("map()").cast("map<string,int>")), "all": found(F.col("reply"))})
     known = F.map_keys("values")
     joined = joined.withColumns({"unknown": F.array_sort(F.array_distinct(F.array_except("all", known))), "missing": F.array_sort(F.array_except(known, F.col("all"))), "altered": altered(F.col("reply"))})

@@ -145,28 +145,30 @@ def risk_summary(spark, sf_dir):
 
 
 def _replies(spark, sf_dir):
-    masked, mapped = _redacted(spark, sf_dir)
+    """Replies to redacted contracts, with their mapping: whole, with a placeholder lost, altered, strange or once more."""
+    done = fusion.redacted(_ran(spark, sf_dir))
     k, t = F.col("doc_id") % 5, F.col("redacted_text")
     reply = F.when(k == 0, t).when(k == 1, F.replace(t, F.lit("<DATE_001>"), F.lit(""))).when(k == 2, F.replace(t, F.lit("<DATE_001>"), F.lit("<DATE-001>"))).when(k == 3, F.concat(t, F.lit("<ORG_009>"))).otherwise(F.concat(t, F.lit("<DATE_001>")))
-    return masked.select("doc_id", reply.alias("reply")), mapped
+    return done.select("doc_id", reply.alias("reply"), "mapping")
 
 
 @query(f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ok' ELSE 'blocked' END AS status, CASE WHEN doc_id % 5 = 0 THEN text END AS text,
 CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'missing' WHEN 2 THEN 'missing,altered' WHEN 3 THEN 'unknown' ELSE 'count_mismatch' END AS error_types FROM ({_C}) c""")
 def refill_exact(spark, sf_dir):
-    return placeholders.refill(*_replies(spark, sf_dir)).select("doc_id", "status", "text", F.array_join("error_types", ",").alias("error_types"))
+    return placeholders.refill_rows(_replies(spark, sf_dir)).select("doc_id", "status", "text", F.array_join("error_types", ",").alias("error_types"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 3) THEN 'blocked' ELSE 'ok' END AS status, CASE doc_id % 5 WHEN 2 THEN 'altered' WHEN 3 THEN 'unknown' ELSE '' END AS error_types,
 CASE WHEN doc_id % 5 = 2 THEN '<DATE-001>' ELSE '' END AS altered FROM ({_C}) c""")
 def refill_display(spark, sf_dir):
-    out = placeholders.refill(*_replies(spark, sf_dir), contract="trusted_display")
+    out = placeholders.refill_rows(_replies(spark, sf_dir), contract="trusted_display")
     return out.select("doc_id", "status", F.array_join("error_types", ",").alias("error_types"), F.array_join("altered", ",").alias("altered"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN '<ORG_009>' ELSE '<DATE_001>' END AS placeholder, CASE doc_id % 5 WHEN 3 THEN 'unknown' WHEN 4 THEN 'duplicated' ELSE 'missing' END AS kind FROM ({_C}) c WHERE doc_id % 5 <> 0""")
 def placeholder_diff(spark, sf_dir):
-    return placeholders.diff(*_replies(spark, sf_dir)).select("doc_id", "placeholder", "kind")
+    rows = _replies(spark, sf_dir)
+    return placeholders.diff(rows, fusion.mapping(rows)).select("doc_id", "placeholder", "kind")
 
 
 @query("SELECT label, occurrences, documents, n AS \"values\" FROM (SELECT 'x' AS label, 0 AS occurrences, 0 AS documents, 0 AS n WHERE false) UNION ALL " + _FUSED.replace("WITH h", "(WITH h", 1) + " SELECT label, count(*), count(DISTINCT doc_id), count(DISTINCT surface) FROM fused GROUP BY label)")
