@@ -8,6 +8,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Powers are kept for data of up to so many bytes; longer data have their own while they are worked on.
 KEPT = 1 << 20
+#: Places of windows that a trigger can name: a longer text can't be worked on, and is refused by name.
+MOST = 1 << 28
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -69,6 +71,8 @@ def phrases(rolling: Rolling, bounds: np.ndarray, length: int, window: int) -> t
     """
     gap = length - window + 1
     h = rolling.all(window)
+    if len(h) > MOST:
+        raise ValueError(f"a text of {len(rolling.sums) - 1} bytes is too long: {MOST} at most")
     n = len(rolling.sums) - 1 - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:

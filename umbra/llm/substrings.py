@@ -16,7 +16,8 @@ Phrases are told apart by two 64-bit hashes (of trigger and phrase).
 
 Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing; repeated rows are repeats of each
 other, also with the same doc_id; strings never cross rows; rows with a null or the same doc_id are documents like any
-other, as spans belong to a row number (common.numbered), not to a doc_id.
+other, as spans belong to a row number (common.numbered), not to a doc_id; a text of over 268 million bytes
+(phrases.MOST) stops the job with a ValueError that says so.
 """
 
 from __future__ import annotations
