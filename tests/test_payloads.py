@@ -167,3 +167,20 @@ def test_audit_lines(spark, tmp_path):
     assert len(lines) == 10 and all(json.loads(r.value)["event"] == "mask" and json.loads(r.value)["at"].startswith("2024-01-02T03:04:05") for r in lines)
     with pytest.raises(ValueError, match="bad stream name"):
         store.append_audit(rows, str(tmp_path), "../calls", now)
+
+
+def test_ingested_files(spark, tmp_path):
+    book = office.write_xlsx(spark.createDataFrame([(1, [["a", None], ["b & c", "d"]])], "doc_id int, rows array<array<string>>")).first().content
+    hidden = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(hidden, "w") as new:
+        for item in old.infolist():
+            new.writestr(item.filename, old.read(item.filename).replace(b"<sheetData>", b'<cols><col min="2" max="2" hidden="1"/></cols><sheetData>'))
+    contents = {"a.txt": "一\n\n二x".encode(), "copy/a.md": "一\n\n二x".encode(), "b.docx": word_file(run_of("para")), "c.xlsx": book, "d.xlsx": hidden.getvalue(), "e.pdf": b"%PDF", "f.csv": b" \n", "g.docx": word_file("<w:ins/>")}
+    for name, raw in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rpartition("/")[2]: r for r in office.ingested(spark, str(tmp_path)).collect()}
+    assert {k: (r.blocks, r.chars, r.warnings, r.error) for k, r in got.items()} == {
+        "a.txt": (2, 3, [], None), "a.md": (2, 3, [], None), "b.docx": (1, 4, [], None), "c.xlsx": (3, 7, [], None), "d.xlsx": (3, 7, ["hidden_columns"], None), "e.pdf": (0, 0, [], "unsupported_format"), "f.csv": (0, 0, ["empty"], None), "g.docx": (0, 0, [], "tracked_changes"),
+    }
+    assert got["a.txt"].source_uid == got["a.md"].source_uid != got["b.docx"].source_uid and got["a.txt"].sha256 == hashlib.sha256(contents["a.txt"]).hexdigest()

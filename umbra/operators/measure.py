@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.text import wilson
-from umbra.operators.policy import _OPINIONS
+from umbra.operators.policy import _OPINIONS, PROFILES, decide
 from umbra.operators.spans import covered, exact_matches, near_misses, overlapping, ratio
 
 # The labels of each group of the core scope, and labels outside of it.
@@ -79,6 +79,34 @@ def utility_matrix(gold: DataFrame, strategies: dict[str, dict[str, str]]) -> Da
     return out.groupBy("strategy", "category", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+# What the strategies of the utility measure leave readable besides semantic spans, and what they make coarse.
+READABLE, COARSE = ("quasi_identifier", "legal_analysis"), ("AMOUNT", "DATE", "LOCATION", "LOCATION_CONTEXT")
+STRATEGIES = ("standard", "review", "strict", "contract_review", "litigation")
+
+
+def policy_action(strategy: str, label: Column, category: Column, risk: Column | None = None) -> Column:
+    """What a strategy does to a labelled span: pass, redact, warn, generalize or block. Decoys pass; a strategy that isn't known passes all.
+
+    standard, review and strict differ in what meaning and hints they leave; the others are profiles, but what only hints
+    at somebody is never replaced by them.
+    """
+    kind = F.coalesce(category, F.lit(""))
+    semantic, hint = kind == "semantic_sensitive", kind.isin(*READABLE)
+    decoy = F.when(kind == "decoy", "pass")
+    core = F.when(label.isin(*[x for group in CORE.values() for x in group]), "redact").otherwise("pass")
+    if strategy == "standard":
+        return decoy.when(semantic | hint, "pass").otherwise(core)
+    if strategy == "review":
+        return decoy.when(semantic, "warn").when(hint, "pass").otherwise(core)
+    if strategy == "strict":
+        quasi = F.when(label.isin(*COARSE), "generalize").otherwise("warn")
+        return decoy.when(semantic, "warn").when(kind == "quasi_identifier", quasi).when(hint, "pass").otherwise(core)
+    if strategy in PROFILES:
+        decided = decide(PROFILES[strategy], label, F.lit("high") if risk is None else risk)
+        return decoy.when(hint & (decided == "redact"), "pass").otherwise(decided)
+    return F.lit("pass")
+
+
 def evaluation(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """label, tp, fp, fn, near: exact matches by label, and how many of the false positives are near misses (a free gold span overlaps)."""
     fp, fn = predicted.join(gold.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"], "left_anti"), gold.join(predicted.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"], "left_anti")

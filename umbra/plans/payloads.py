@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from umbra.operators import chat, dictionary, fusion, guard, ledger, measure, placeholders, policy, refills
 from umbra.plans import carriers
 from umbra.sources import office, readers
+from umbra.streaming import sessions
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -201,3 +202,42 @@ def round_trip(spark, sf_dir):
     done = fusion.redacted(fusion.run(docs, policy.PROFILES["file_workbench"]))
     reply = F.when(F.col("doc_id") % 3 == 2, F.replace(F.col("redacted_text"), F.lit("<DATE_001>"), F.lit(""))).otherwise(F.col("redacted_text"))
     return measure.round_trip(docs, placeholders.refill(done.select("doc_id", reply.alias("reply")), fusion.mapping(done)))
+
+
+#: Labels and kinds of spans by line item.
+_UTILITY = """SELECT CASE l_partkey % 9 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'AMOUNT' WHEN 2 THEN 'DATE' WHEN 3 THEN 'ADDRESS' WHEN 4 THEN 'LEGAL_STRATEGY' WHEN 5 THEN 'COURT' WHEN 6 THEN 'CREDENTIAL' WHEN 7 THEN 'SCALE' ELSE 'ORG' END AS label,
+CASE l_suppkey % 5 WHEN 0 THEN 'decoy' WHEN 1 THEN 'semantic_sensitive' WHEN 2 THEN 'quasi_identifier' WHEN 3 THEN 'legal_analysis' END AS category FROM {lineitem}"""
+
+
+@query(f"""WITH u AS ({carriers.oracle(_UTILITY)}), s AS (SELECT *, label IN ('PERSON', 'ADDRESS', 'CREDENTIAL', 'ORG') AS core, label IN ('AMOUNT', 'DATE', 'COURT') AS fact FROM u, (SELECT unnest(['standard', 'review', 'strict', 'contract_review', 'litigation', 'other']) AS strategy) x)
+SELECT strategy, label, coalesce(category, 'none') AS category, CASE WHEN strategy = 'other' OR category = 'decoy' THEN 'pass' WHEN strategy IN ('standard', 'review', 'strict') THEN CASE WHEN category = 'semantic_sensitive' THEN CASE WHEN strategy = 'standard' THEN 'pass' ELSE 'warn' END
+WHEN category = 'quasi_identifier' AND strategy = 'strict' THEN CASE WHEN label IN ('AMOUNT', 'DATE') THEN 'generalize' ELSE 'warn' END WHEN category IN ('quasi_identifier', 'legal_analysis') THEN 'pass' WHEN core THEN 'redact' ELSE 'pass' END
+WHEN fact THEN 'pass' WHEN strategy = 'litigation' AND label = 'ADDRESS' THEN 'generalize' WHEN category IN ('quasi_identifier', 'legal_analysis') THEN 'pass' ELSE 'redact' END AS action, count(*) AS n FROM s GROUP BY ALL""")
+def utility_actions(spark, sf_dir):
+    rows = carriers.spark_sql(spark, sf_dir, _UTILITY)
+    each = F.array(*[F.struct(F.lit(s).alias("strategy"), measure.policy_action(s, F.col("label"), F.col("category")).alias("action")) for s in (*measure.STRATEGIES, "other")])
+    return rows.select("label", F.coalesce("category", F.lit("none")).alias("category"), F.explode(each).alias("d")).groupBy("d.strategy", "label", "category", "d.action").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DECLARED = "SELECT o_custkey % 60 AS namespace, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'SYSTEM_URL' ELSE 'ORG' END AS label, CASE o_orderkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN concat(' v', o_custkey % 9) ELSE concat('v', o_custkey % 9) END AS surface FROM {orders}"
+
+
+@query(f"""WITH v AS ({carriers.oracle(_DECLARED)}), f AS (SELECT *, min(seq) OVER (PARTITION BY namespace, label, surface) AS f FROM v WHERE trim(surface) <> '')
+SELECT namespace, seq, surface, concat('<', CASE label WHEN 'SYSTEM_URL' THEN 'URL' ELSE label END, '_', lpad(CAST(dense_rank() OVER (PARTITION BY namespace, label ORDER BY f) AS VARCHAR), 3, '0'), '>') AS masked FROM f UNION ALL SELECT namespace, seq, surface, surface FROM v WHERE surface IS NULL OR trim(surface) = ''""")
+def declared_mask(spark, sf_dir):
+    """Declared values as placeholders by their exact characters, blanks at their edges included; blank ones pass."""
+    return sessions.mask_declared(carriers.spark_sql(spark, sf_dir, _DECLARED)).select("namespace", "seq", "surface", "masked")
+
+
+#: A key of each format by part, made of the hash of its name; and forms that are too short to be one.
+_FORMATS = (
+    ("aws_access_key", "'AKIA'", "upper(substr(h, 1, 16))"), ("github_token", "'ghp_'", "substr(h, 1, 40)"), ("slack_token", "'xoxb-'", "substr(h, 1, 20)"), ("live_api_key", "'sk_live_'", "substr(h, 1, 24)"), ("openai_like_key", "'sk-proj-'", "substr(h, 1, 30)"),
+    ("google_api_key", "'AIza'", "substr(h, 1, 35)"), ("jwt", "'eyJ'", "concat(substr(h, 1, 20), '.', substr(h, 5, 20), '.', substr(h, 9, 20))"), ("generic_secret", "'api_key: '", "concat('Zx9', substr(h, 1, 20))"),
+)
+_KEYED = f"SELECT p_partkey AS doc_id, p_partkey % 9 AS kind, concat('见 ', CASE p_partkey % 9 {' '.join(f'WHEN {i} THEN concat({head}, {body})' for i, (_, head, body) in enumerate(_FORMATS))} ELSE concat('AKIA', upper(substr(h, 1, 9)), ' ghp_', substr(h, 1, 9)) END, ' 止') AS text, CASE p_partkey % 9 {' '.join(f'WHEN {i} THEN ' + (body if name == 'generic_secret' else f'concat({head}, {body})') for i, (name, head, body) in enumerate(_FORMATS))} END AS key FROM (SELECT p_partkey, sha2(concat('part', p_partkey), 256) AS h FROM {{part}}) p"
+
+
+@query(f"""SELECT doc_id, [{', '.join(f"'{n}'" for n, _, _ in _FORMATS)}][CAST(kind AS INTEGER) + 1] AS pattern_id, key AS matched FROM ({carriers.oracle(_KEYED).replace("sha2(concat('part', p_partkey), 256)", "sha256(concat('part', p_partkey))")}) k WHERE kind < 8""")
+def secret_formats(spark, sf_dir):
+    """A secret of every format that the guard knows, and nothing in forms that are too short."""
+    return guard.secrets(carriers.spark_sql(spark, sf_dir, _KEYED).select("doc_id", "text"))

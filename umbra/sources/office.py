@@ -107,6 +107,23 @@ def files(spark: SparkSession, path: str, text_column: str = "text") -> tuple[Da
     return read.where("reason IS NULL").drop("reason"), read.where("reason IS NOT NULL").select("path", "format", "reason")
 
 
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """path, format, sha256, source_uid, blocks, chars, warnings, error of all files under a path.
+
+    source_uid begins with the content's hash, so that a file is the same source wherever it lies. warnings: what a person
+    should look at (hidden_columns of spreadsheets, empty: no text at all); error: why there is no reader, or no export.
+    """
+    good, refused = files(spark, path)
+    counted = good.groupBy("path", "format", "sha256").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.char_length("text")).cast("long").alias("chars"))
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).alias("format"), F.sha2("content", 256).alias("sha256"), "content")
+    sheets = every.where(F.col("format").isin(".xlsx", ".xlsm")).select(F.col("path").alias("doc_id"), "content")
+    hidden = xlsx_cells(sheets).where("hidden").groupBy(F.col("doc_id").alias("__path")).agg(F.count(F.lit(1)).alias("hidden"))
+    rows = every.drop("content").join(counted.select(F.col("path").alias("__of"), "blocks", "chars"), F.col("path") == F.col("__of"), "left").drop("__of")
+    rows = rows.join(refused.select(F.col("path").alias("__bad"), F.col("reason").alias("error")), F.col("path") == F.col("__bad"), "left").drop("__bad").join(hidden, F.col("path") == F.col("__path"), "left").drop("__path")
+    warnings = F.array_compact(F.array(F.when(F.col("hidden") > 0, "hidden_columns"), F.when(F.col("error").isNull() & F.col("blocks").isNull(), "empty")))
+    return rows.select("path", "format", "sha256", F.concat(F.lit("src-"), F.substring("sha256", 1, 16)).alias("source_uid"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("chars", F.lit(0)).alias("chars"), warnings.alias("warnings"), "error")
+
+
 def write_docx(docs: DataFrame) -> DataFrame:
     """doc_id, content: each text as a plain Word file, a paragraph a line."""
     workers.ship(docs.sparkSession)

@@ -16,6 +16,13 @@ def mask_values(values: DataFrame) -> DataFrame:
     return number(values, scope="namespace", order=("seq",))
 
 
+def mask_declared(values: DataFrame) -> DataFrame:
+    """values (namespace, seq, label, surface) with masked: the placeholder of each declared value, by its exact characters; blank and null values pass as they are."""
+    blank = F.col("surface").isNull() | ~F.col("surface").rlike(r"(?U)\S")
+    named = mask_values(values.where(~blank)).withColumn("masked", F.col("placeholder")).drop("placeholder")
+    return named.unionByName(values.where(blank).withColumn("masked", F.col("surface")))
+
+
 def mask_stream(values: DataFrame, hours: int | None = 24) -> DataFrame:
     """The same over a stream: a namespace's state has its placeholders and the last seq; rows out of order are marked, and it ends `hours` after its last row."""
     return state.mask_values(values, hours * 3_600_000 if hours else None)
