@@ -18,7 +18,6 @@ the id and the text don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 from collections.abc import Iterator
