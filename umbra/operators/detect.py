@@ -80,12 +80,6 @@ def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule], surfaces: bool = F
     return rows.mapInArrow(run, f"doc_id {kind}, text string, error string, spans {scan.ddl(types)}")
 
 
-def framed(docs: DataFrame) -> DataFrame:
-    """docs with error: what is wrong with the framing of a private key. The text of such a document is null, so that nothing of it is given out."""
-    error = private_keys(F.col("text"), text.half_width("text"))["error"]
-    return docs.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
-
-
 def rule_arrays(docs: DataFrame, rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
     """doc_id, text, spans (scan.SPANS) beside the text, without a shuffle; of a text with a badly framed private key there are none.
 
