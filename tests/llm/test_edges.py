@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from umbra.llm import bpe, media, phrases, sharding, toxicity
+from umbra.llm import bpe, media, phrases, ppm, sharding, toxicity
 
 
 def test_ring_with_null_and_repeated_keys(spark):
@@ -50,3 +50,14 @@ def test_text_beyond_the_limit_is_refused(monkeypatch):
     data = np.frombuffer(b"abcdefghij" * 100, np.uint8)
     with pytest.raises(ValueError, match="a text of 1000 bytes is too long"):
         phrases.phrases(phrases.Rolling(data), np.array([0, 1000]), 200, 16)
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 5000):
+        numbers = np.unique(np.concatenate([rng.integers(0, 1 << 60, n), np.arange(n) << 40]))
+        table = ppm.Lookup(numbers, numbers / 3.0)
+        asked = rng.choice(numbers, 3 * n) if n else numbers
+        assert (table.of(asked) == asked / 3.0).all()
+    with pytest.raises(KeyError):
+        ppm.Lookup(np.arange(5), np.arange(5.0)).of(np.array([3, 9]))

@@ -257,8 +257,43 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
 GRAM, WORD, TEXT = 0, 1, 2
 
 
+class Lookup:
+    """Values of different numbers, not below 0, by open addressing: a place or two is read for a number, where a binary search reads twenty."""
+
+    def __init__(self, numbers: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(numbers)).bit_length())  # half of the places stay free
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        at, rest = self.home(numbers), np.arange(len(numbers))
+        while len(rest):
+            wanted = at[rest]
+            free = self.keys[wanted] < 0
+            self.keys[wanted[free]] = numbers[rest[free]]  # of several that want a place, one gets it
+            got = self.keys[wanted] == numbers[rest]
+            self.values[wanted[got]] = values[rest[got]]
+            rest = rest[~got]
+            at[rest] = self.after(at[rest])
+
+    def home(self, numbers: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def after(self, at: np.ndarray) -> np.ndarray:
+        return at + 1 & (1 << self.bits) - 1
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        at = self.home(numbers)
+        rest = np.flatnonzero(self.keys[at] != numbers)
+        while len(rest):
+            at[rest] = self.after(at[rest])
+            met = self.keys[at[rest]]
+            if (met < 0).any():
+                raise KeyError("a number that isn't listed")
+            rest = rest[met != numbers[rest]]
+        return self.values[at]
+
+
 class Block:
-    """What a block lists: code lengths of its grams, in their order, and counts of its words."""
+    """What a block lists: code lengths of its grams and counts of its words."""
 
     def __init__(self, no: int | None) -> None:
         self.no, self.parts = no, {GRAM: [], WORD: []}
@@ -270,7 +305,7 @@ class Block:
     def close(self) -> None:
         """All rows but texts are here."""
         if self.parts:
-            self.gram, self.lp = (np.concatenate([x[i] for x in self.parts[GRAM]]) for i in (0, 1))
+            self.lengths = Lookup(*(np.concatenate([x[i] for x in self.parts[GRAM]]) for i in (0, 1)))
             self.words, self.c = pa.concat_arrays([x[0] for x in self.parts[WORD]]), np.concatenate([x[1] for x in self.parts[WORD]])
             self.parts = {}
 
@@ -301,7 +336,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             lengths = []
             for piece in common.steps([batch], "data", STEP_BYTES // 4):
                 data, bounds = common.bytes_view(piece.column(4))
-                lengths.append(add(block.lp[np.searchsorted(block.gram, codes(data, bounds, order))], bounds))
+                lengths.append(add(block.lengths.of(codes(data, bounds, order)), bounds))
             c = block.c[at]
             found.append((np.diff(upto), add((c > 0).astype(np.int64), upto), add(np.log10((c + 1) / (n + v + 1)), upto), np.concatenate(lengths)))
         of = [np.concatenate(x) for x in zip(*found, strict=True)]
