@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from umbra.functions import patterns
+
 #: A contract for each order; full-width digits in every fifth.
 CONTRACTS = """
 SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN translate(raw, '0123456789', '０１２３４５６７８９') ELSE raw END AS text
@@ -67,6 +69,8 @@ SELECT l_orderkey AS doc_id, cast(l_partkey % 30 AS int) AS start, cast(l_partke
        cast(l_linenumber % 3 AS int) AS priority, cast(l_suppkey % 5 AS double) / 10 AS confidence, concat('s', l_linenumber) AS source
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l
 """
+#: Whether a value has the bits of entropy from which on the guard takes it for a secret, for the oracle.
+ENOUGH = f"list_aggregate(string_split({{}}, ''), 'entropy') >= {patterns.SECRET_BITS}"
 
 
 TABLES = ("orders", "lineitem", "customer", "supplier", "events", "part", "documents", "conversations", "pages", "nation")
