@@ -29,7 +29,7 @@ def test_alert_events_leaves_out_values_of_little_entropy(spark, tmp_path):
 
 def test_summary_and_secrets_leave_out_values_of_little_entropy(spark, tmp_path):
     spark.createDataFrame([(9, 17), (4378647, 444444), (12, 5)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    for name in ("alert_summary",):
+    for name in ("alert_summary", "secret_entropy"):
         got, want = both(spark, tmp_path, name)
         assert got == want
         assert all(4378647 not in r for r in got)

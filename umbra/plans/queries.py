@@ -307,7 +307,7 @@ def injection_scan(spark, sf_dir):
     return guard.injection(carriers.spark_sql(spark, sf_dir, _SAID))
 
 
-@query(f"{_T} SELECT doc_id, 'generic_secret' AS pattern_id, regexp_extract(text, 'Zx9[0-9]+qLmN4vBt', 0) AS matched FROM t WHERE doc_id % 6 = 3")
+@query(f"{_T} SELECT doc_id, 'generic_secret' AS pattern_id, {_PASSWORD} AS matched FROM t WHERE doc_id % 6 = 3 AND {carriers.ENOUGH.format(_PASSWORD)}")
 def secret_entropy(spark, sf_dir):
     return guard.secrets(carriers.spark_sql(spark, sf_dir, _SAID))
 
