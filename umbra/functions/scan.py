@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from umbra.functions import patterns, text
 
-_WIDE, _NARROW = re.compile("[" + re.escape(text.FULL) + "]"), str.maketrans(text.FULL, text.HALF)
+_NARROW = dict(zip(text.FULL, text.HALF, strict=True))
+_WIDE = frozenset(_NARROW)
 
 
 class Span(NamedTuple):
@@ -42,6 +43,21 @@ SPANS = ddl(TYPES)
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows: what Python makes of them at a time doesn't grow with Spark's batches."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def lists(structs: pa.ListArray) -> list[list[tuple] | None]:
+    """An Arrow column of lists of structs as lists of tuples, field by field; null is None."""
+    inner, ends, valid = structs.values, structs.offsets.to_pylist(), structs.is_valid().to_pylist()
+    first, last = ends[0], ends[-1]
+    inner = inner.slice(first, last - first)
+    flat = list(zip(*(inner.field(i).slice(0, last - first).to_pylist() for i in range(inner.type.num_fields)), strict=True))
+    return [flat[a - first : b - first] if ok else None for a, b, ok in zip(ends, ends[1:], valid)]  # noqa: B905, RUF007
+
+
 def column(rows: list[list[tuple] | None], types: dict[str, str] = TYPES) -> pa.Array:
     """Lists of tuples as an Arrow column of lists of structs; None is null."""
     flat = [x for r in rows for x in r or ()]
@@ -54,7 +70,11 @@ def column(rows: list[list[tuple] | None], types: dict[str, str] = TYPES) -> pa.
 
 
 def half_width(whole: str) -> str:
-    return whole.translate(_NARROW) if not whole.isascii() and _WIDE.search(whole) else whole
+    if not whole.isascii():
+        # A text holds few different characters of this kind, and many that aren't.
+        for wide in _WIDE.intersection(whole):
+            whole = whole.replace(wide, _NARROW[wide])
+    return whole
 
 
 @lru_cache(maxsize=64)
@@ -84,23 +104,40 @@ def private_keys(whole: str, view: str) -> tuple[list[tuple[int, int]], str | No
     return ([], "incomplete private key block") if opened else (found, None)
 
 
+class Prepared(list):
+    """Rules as a task runs them: (finditer or None for private keys, anchors, group, label, confidence, rule, risk)."""
+
+
+def prepare(wanted: Iterable[patterns.Rule]) -> Prepared:
+    out = Prepared()
+    for r in wanted:
+        key = r == patterns.PRIVATE_KEY
+        out.append((None if key else _compiled(r.pattern).finditer, ("--",) if key else r.anchors, r.group, r.label, r.confidence, r.rule_id, r.risk))
+    return out
+
+
 def rules(whole: str, wanted: Iterable[patterns.Rule]) -> tuple[list[Span], str | None]:
     """Spans of all rules over the half-width view, in order. Of spans with equal bounds and label the most confident stays, then the rule last by name."""
     view, best = half_width(whole), {}
-    for r in wanted:
-        if r.anchors and not any(a in view for a in r.anchors):
-            continue
-        if r == patterns.PRIVATE_KEY:
+    for find, anchors, group, label, confidence, rule_id, risk in wanted if isinstance(wanted, Prepared) else prepare(wanted):
+        for a in anchors:
+            if a in view:
+                break
+        else:
+            if anchors:
+                continue
+        if find is None:
             places, error = private_keys(whole, view)
             if error:
                 return [], error
         else:
-            places = [m.span(r.group) for m in _compiled(r.pattern).finditer(view)]
+            places = [m.span(group) for m in find(view)]
         for start, end in places:
-            span, key = Span(start, end, r.label, r.confidence, "rule", r.rule_id, r.risk), (start, end, r.label)
-            if key not in best or (best[key].confidence, best[key].rule_id) < (span.confidence, span.rule_id):
-                best[key] = span
-    return sorted(best.values(), key=lambda s: s[:3]), None
+            key = start, end, label
+            old = best.get(key)
+            if old is None or (old.confidence, old.rule_id) < (confidence, rule_id):
+                best[key] = Span(start, end, label, confidence, "rule", rule_id, risk)
+    return [best[key] for key in sorted(best)], None
 
 
 def priority(s: Span) -> int:

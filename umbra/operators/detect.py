@@ -69,8 +69,9 @@ def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule], surfaces: bool = F
     types = scan.TYPES | ({"surface": "string"} if surfaces else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [scan.rules(t, wanted) if t is not None else (None, None) for t in batch.column(1).to_pylist()]
+        prepared = scan.prepare(wanted)
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            found = [scan.rules(t, prepared) if t is not None else (None, None) for t in batch.column(1).to_pylist()]
             spans = [s for s, _ in found]
             if surfaces:
                 spans = [s if s is None else [(*x, t[x.start : x.end]) for x in s] for s, t in zip(spans, batch.column(1).to_pylist(), strict=True)]

@@ -20,7 +20,7 @@ from umbra import workers
 from umbra.functions import patterns, scan
 from umbra.operators import detect, limits, policy
 
-_GIVEN = ("start", "end", "label", "confidence", "source", "rule_id", "risk_level", "canonical_value")
+_GIVEN = ("start", "end", "label", "confidence", "source", "rule_id", "risk_level", "canonical_value")  # as in scan.Span
 _GIVEN_TYPE = scan.ddl({n: scan.TYPES[n] for n in _GIVEN})
 
 
@@ -81,8 +81,12 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
         every = tables[0]
         for t in tables[1:]:
             every = every.unionByName(t)
-        lists = every.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set(F.struct(*_GIVEN)).alias("__given"))
-        rows = rows.drop("given").join(lists, F.col("doc_id").eqNullSafe(F.col("__of")), "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
+        # Both sides are dealt alike, into a number of parts that Spark doesn't lessen: their bytes are few, what Python does with them isn't.
+        n, key = workers.parts(docs.select("doc_id", "text")), [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull()]
+        dealt = every.select(key[0].alias("__id"), key[1].alias("__null"), *_GIVEN).repartition(n, "__id", "__null")
+        lists = dealt.groupBy("__id", "__null").agg(F.collect_set(F.struct(*_GIVEN)).alias("__given"))
+        rows = rows.drop("given").withColumns({"__id": key[0], "__null": key[1]}).repartition(n, "__id", "__null")
+        rows = rows.join(lists, ["__id", "__null"], "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
     fused = _fused(rows if tables else workers.spread(rows), wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None)
     return _decided(fused, profile, profile.use_model and predictions is None)
 
@@ -92,13 +96,15 @@ _TYPES = {**scan.TYPES, "text_hash": "string", "role": "string", "surface": "str
 
 def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | None) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, error string, spans {scan.ddl(_TYPES)}"
+    schema, prepared = f"doc_id {kind}, text string, error string, spans {scan.ddl(_TYPES)}", []
 
-    def one(whole: str | None, error: str | None, given: list[dict] | None) -> tuple[str | None, list[tuple] | None]:
+    def one(whole: str | None, error: str | None, given: list[tuple] | None) -> tuple[str | None, list[tuple] | None]:
         if whole is None or error:
             return error, None
-        found, error = scan.rules(whole, rules)
-        others = [s for s in (scan.Span(**g) for g in given or ()) if s.source != "model" or s.end is None or s.end <= len(whole)]
+        if not prepared:
+            prepared.append(scan.prepare(rules))
+        found, error = scan.rules(whole, prepared[0])
+        others = [s for s in (scan.Span(*g) for g in given or ()) if s.source != "model" or s.end is None or s.end <= len(whole)]
         if not error and any(s.start is None or s.end is None or s.label is None or not 0 <= s.start < s.end <= len(whole) for s in others):
             error = "span_out_of_bounds"
         if error:
@@ -108,10 +114,11 @@ def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | N
         return None, [(*s, scan.digest(whole[s.start : s.end]), role, whole[s.start : s.end]) for s, role in zip(left, named, strict=True)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [one(*r) for r in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            every = batch.column(1).to_pylist()
+            done = [one(*r) for r in zip(every, batch.column(2).to_pylist(), scan.lists(batch.column(3)), strict=True)]
             errors = pa.array([e for e, _ in done], pa.string())
-            texts = pa.array([None if e else t for t, (e, _) in zip(batch.column(1).to_pylist(), done, strict=True)], pa.string())
+            texts = pa.array([None if e else t for t, (e, _) in zip(every, done, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, errors, scan.column([s for _, s in done], _TYPES)], ["doc_id", "text", "error", "spans"])
 
     return rows.mapInArrow(task, schema)
@@ -136,32 +143,36 @@ def exploded(ran: DataFrame) -> DataFrame:
 _MAPPED = {"placeholder": "string", "label": "string", "original_value": "string", "n": "long"}
 
 
-def redacted(ran: DataFrame) -> DataFrame:
-    """doc_id, redacted_text, mapping (array of placeholder, label, original_value, n), error, degraded, blocked of a run. No exchange."""
+def redacted(ran: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, redacted_text, mapping (array of placeholder, label, original_value, n), error, degraded, blocked of a run. No exchange.
+
+    keep: further columns of the run (spans, or made of them), which stay beside it: a plan that reads run and result would run twice.
+    """
     kind = ran.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, redacted_text string, mapping {scan.ddl(_MAPPED)}, error string, degraded boolean, blocked array<string>"
+    schema = ", ".join([schema, *(f"`{c}` {ran.schema[c].dataType.simpleString()}" for c in keep)])
 
-    def one(whole: str | None, spans: list[dict] | None) -> tuple[str | None, list[tuple] | None]:
+    def one(whole: str | None, spans: list[tuple] | None) -> tuple[str | None, list[tuple] | None]:
         if whole is None:
             return None, None
         spans = spans or []
-        keys = [(s["role"] or patterns.PREFIXES.get(s["label"], s["label"]), s["surface"]) for s in spans]
-        names, mapped = list(scan.numbered(keys)), {}
+        # start, end, label, role, surface, coarse
+        names, mapped = list(scan.numbered((s[3] or patterns.PREFIXES.get(s[2], s[2]), s[4]) for s in spans)), {}
         # What is generalised has a number but no way back.
         for name, s in zip(names, spans, strict=True):
-            if s["coarse"] is None:
-                old = mapped.get(name, (name, s["label"], s["surface"], 0))
-                mapped[name] = name, min(old[1], s["label"]), s["surface"], old[3] + 1
-        text = scan.replaced(whole, ((s["start"], s["end"], name if s["coarse"] is None else s["coarse"]) for s, name in zip(spans, names, strict=True)))
+            if s[5] is None:
+                old = mapped.get(name, (name, s[2], s[4], 0))
+                mapped[name] = name, min(old[1], s[2]), s[4], old[3] + 1
+        text = scan.replaced(whole, ((s[0], s[1], name if s[5] is None else s[5]) for s, name in zip(spans, names, strict=True)))
         return text, sorted(mapped.values())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [one(*r) for r in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), scan.column([m for _, m in done], _MAPPED), *(batch.column(i) for i in (3, 4, 5))], ["doc_id", "redacted_text", "mapping", "error", "degraded", "blocked"])
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            done = [one(*r) for r in zip(batch.column(1).to_pylist(), scan.lists(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), scan.column([m for _, m in done], _MAPPED), *batch.columns[3:]], ["doc_id", "redacted_text", "mapping", *batch.schema.names[3:]])
 
     needed = F.transform("spans", lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "label", "role", "surface", "coarse")]))
-    return ran.select("doc_id", "text", needed.alias("spans"), "error", "degraded", "blocked").mapInArrow(task, schema)
+    return ran.select("doc_id", "text", needed.alias("__spans"), "error", "degraded", "blocked", *keep).mapInArrow(task, schema)
 
 
 def mapping(done: DataFrame) -> DataFrame:

@@ -26,6 +26,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def parts(rows: DataFrame) -> int:
+    """Partitions for Python to work on a table, or on what is joined with it: some for each core, more for tables of over 16 MB a part in their files."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()  # above joins Spark's estimates are products
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(4 * rows.sparkSession.sparkContext.defaultParallelism, sum(s for s in sizes if s < 1 << 50) >> 24)  # rows of the driver have no size
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where their files are too small for it, by Spark's own estimate: one small file is one task, however long its rows take.
 
