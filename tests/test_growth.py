@@ -39,3 +39,9 @@ def test_lists_of_structs():
     assert scan.lists(scan.column(rows, types).slice(2, 2)) == rows[2:]
     batch = pa.RecordBatch.from_arrays([scan.column(rows * 100, types)], ["a"])
     assert [x for part in scan.slices(batch, 7) for x in scan.lists(part.column(0))] == rows * 100
+
+
+def test_findings_read_the_masked_text_once(spark):
+    assert passes(plans.QUERIES["inspection_findings"](spark, FOLDER)) == 3  # the run, the redaction, the search
+    masked = spark.createDataFrame([(1, "<CONTACT_001> 电话13800000001。"), (None, "<CONTACT_001>"), (2, None)], "doc_id long, redacted_text string")
+    assert [tuple(r) for r in fusion.findings(masked).collect()] == [(1, "CONTACT", "rule", 1)]

@@ -209,12 +209,11 @@ def redact_batches(items: DataFrame, profile: policy.Profile, predictions: DataF
 
 def findings(masked: DataFrame, profile_rules: Iterable[patterns.Rule] = (*patterns.RULES, patterns.PRIVATE_KEY)) -> DataFrame:
     """doc_id, label, source, n: what detection finds again in masked texts (doc_id, redacted_text) outside of their placeholders, fused."""
-    from umbra.operators import guard
-
     docs = masked.select("doc_id", F.col("redacted_text").alias("text"))
     rows = docs.withColumns({"error": F.lit(None).cast("string"), "given": F.lit(None).cast(_GIVEN_TYPE)})
-    spans = exploded(_fused(rows, list(profile_rules), None))
-    return guard.outside_placeholders(spans, docs).groupBy("doc_id", "label", "source").agg(F.count(F.lit(1)).alias("n"))
+    fused = _fused(rows, list(profile_rules), None).where(F.size("spans") > 0).select("doc_id", "spans", detect.matches(F.col("text"), patterns.PLACEHOLDER).alias("places"))
+    outside = F.filter("spans", lambda s: ~F.exists("places", lambda p: (p["start"] < s["end"]) & (p["end"] > s["start"])))
+    return fused.select("doc_id", F.explode(outside).alias("s")).select("doc_id", "s.label", "s.source").groupBy("doc_id", "label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def snapshot(done: DataFrame, items: DataFrame) -> DataFrame:
