@@ -45,3 +45,13 @@ def test_findings_read_the_masked_text_once(spark):
     assert passes(plans.QUERIES["inspection_findings"](spark, FOLDER)) == 3  # the run, the redaction, the search
     masked = spark.createDataFrame([(1, "<CONTACT_001> 电话13800000001。"), (None, "<CONTACT_001>"), (2, None)], "doc_id long, redacted_text string")
     assert [tuple(r) for r in fusion.findings(masked).collect()] == [(1, "CONTACT", "rule", 1)]
+
+
+def test_windows_are_cut_in_one_walk(spark):
+    from umbra.operators import detect
+
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, "a" * 250 + "。" + "b" * 300), (3, "a" * 200 + "\n" + "b" * 100 + "；" + "c" * 200), (4, ""), (5, None), (6, "y")], "doc_id long, text string")
+    cut = detect.cut_windows(docs)
+    assert passes(cut) == 1
+    got = [(r.doc_id, r.window, r.start, r.end) for r in cut.orderBy("doc_id", "window").collect()]
+    assert got == [(1, 0, 0, 384), (1, 1, 320, 704), (1, 2, 640, 1000), (2, 0, 0, 251), (2, 1, 187, 551), (3, 0, 0, 201), (3, 1, 137, 502), (6, 0, 0, 1)]

@@ -186,24 +186,31 @@ def adapt_predictions(predictions: DataFrame, docs: DataFrame, least: float = 0.
 def cut_windows(docs: DataFrame, size: int = 384, overlap: int = 64) -> DataFrame:
     """doc_id, window, start, end: pieces of at most `size` characters for a model, cut at the last line end, else sentence end, of their back half.
 
-    Each text is folded over its own pieces; the next piece begins `overlap` characters before the last cut.
+    The next piece begins `overlap` characters before the last cut. A text is walked through once: each piece takes as long
+    as its own characters.
     """
-    half = size // 2
-
-    def step(a: Column, _: Column) -> Column:
-        start = a["start"]
-        hard = F.least(F.char_length("text"), start + size)
-        back = F.substring(F.col("text"), start + half + 1, hard - start - half)
-        line = F.char_length(back) - F.char_length(F.substring_index(back, "\n", -1))
-        stop = F.char_length(F.regexp_extract(F.substring(back, F.lit(2), F.char_length(back)), "(?s)^(.*[" + patterns.SENTENCE_ENDS + "])", 1))
-        cut = F.when(hard >= F.char_length("text"), hard).when(back.contains("\n"), start + half + line).when(stop > 0, start + half + 1 + stop).otherwise(hard)
-        done = a["done"] | (cut >= F.char_length("text"))
-        out = F.when(a["done"], a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(start.alias("start"), cut.alias("end")))))
-        return F.struct(F.greatest(start + 1, cut - overlap).alias("start"), done.alias("done"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    most = F.sequence(F.lit(0), F.ceil(F.char_length("text") / F.lit(max(1, half - overlap))).cast("int"))
-    folded = docs.where(F.char_length("text") > 0).select("doc_id", F.aggregate(most, zero, step, lambda a: a["out"]).alias("all"))
+    workers.ship(docs.sparkSession)
+    half, kind, types = size // 2, docs.schema["doc_id"].dataType.simpleString(), {"start": "int", "end": "int"}
+
+    def cuts(whole: str) -> list[tuple[int, int]]:
+        out, start = [], 0
+        while True:
+            hard = cut = min(len(whole), start + size)
+            if hard < len(whole):
+                line = whole.rfind("\n", start + half, hard)
+                stop = max(whole.rfind(c, start + half + 1, hard) for c in patterns.SENTENCE_ENDS)
+                cut = line + 1 if line >= 0 else stop + 1 if stop >= 0 else hard
+            out.append((start, cut))
+            if cut >= len(whole):
+                return out
+            start = max(start + 1, cut - overlap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), scan.column([cuts(t) for t in batch.column(1).to_pylist()], types)], ["doc_id", "all"])
+
+    rows = workers.spread(docs.where(F.char_length("text") > 0).select("doc_id", "text"))
+    folded = rows.mapInArrow(run, f"doc_id {kind}, all {scan.ddl(types)}")
     return folded.select("doc_id", F.posexplode("all").alias("window", "w")).select("doc_id", "window", "w.start", "w.end")
 
 
