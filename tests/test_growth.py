@@ -55,3 +55,13 @@ def test_windows_are_cut_in_one_walk(spark):
     assert passes(cut) == 1
     got = [(r.doc_id, r.window, r.start, r.end) for r in cut.orderBy("doc_id", "window").collect()]
     assert got == [(1, 0, 0, 384), (1, 1, 320, 704), (1, 2, 640, 1000), (2, 0, 0, 251), (2, 1, 187, 551), (3, 0, 0, 201), (3, 1, 137, 502), (6, 0, 0, 1)]
+
+
+def test_diff_by_row(spark):
+    assert passes(plans.QUERIES["placeholder_diff"](spark, FOLDER)) == 2
+    from umbra.operators import placeholders
+
+    kind = "doc_id long, reply string, mapping array<struct<placeholder:string,label:string,original_value:string,n:bigint>>"
+    rows = spark.createDataFrame([(1, "<A_001><A_001><B_009>", [("<A_001>", "A", "x", 1), ("<A_002>", "A", "y", 2)]), (2, None, [("<A_001>", "A", "x", 1)]), (3, "<A_001>", None)], kind)
+    got = sorted((r.doc_id, r.placeholder, r.expected, r.seen, r.kind) for r in placeholders.diff_rows(rows).collect())
+    assert got == [(1, "<A_001>", 1, 2, "duplicated"), (1, "<A_002>", 2, 0, "missing"), (1, "<B_009>", 0, 1, "unknown"), (2, "<A_001>", 1, 0, "missing"), (3, "<A_001>", 0, 1, "unknown")]

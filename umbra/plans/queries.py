@@ -167,8 +167,7 @@ def refill_display(spark, sf_dir):
 
 @query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN '<ORG_009>' ELSE '<DATE_001>' END AS placeholder, CASE doc_id % 5 WHEN 3 THEN 'unknown' WHEN 4 THEN 'duplicated' ELSE 'missing' END AS kind FROM ({_C}) c WHERE doc_id % 5 <> 0""")
 def placeholder_diff(spark, sf_dir):
-    rows = _replies(spark, sf_dir)
-    return placeholders.diff(rows, fusion.mapping(rows)).select("doc_id", "placeholder", "kind")
+    return placeholders.diff_rows(_replies(spark, sf_dir)).select("doc_id", "placeholder", "kind")
 
 
 @query("SELECT label, occurrences, documents, n AS \"values\" FROM (SELECT 'x' AS label, 0 AS occurrences, 0 AS documents, 0 AS n WHERE false) UNION ALL " + _FUSED.replace("WITH h", "(WITH h", 1) + " SELECT label, count(*), count(DISTINCT doc_id), count(DISTINCT surface) FROM fused GROUP BY label)")
