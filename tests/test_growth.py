@@ -65,3 +65,12 @@ def test_diff_by_row(spark):
     rows = spark.createDataFrame([(1, "<A_001><A_001><B_009>", [("<A_001>", "A", "x", 1), ("<A_002>", "A", "y", 2)]), (2, None, [("<A_001>", "A", "x", 1)]), (3, "<A_001>", None)], kind)
     got = sorted((r.doc_id, r.placeholder, r.expected, r.seen, r.kind) for r in placeholders.diff_rows(rows).collect())
     assert got == [(1, "<A_001>", 1, 2, "duplicated"), (1, "<A_002>", 2, 0, "missing"), (1, "<B_009>", 0, 1, "unknown"), (2, "<A_001>", 1, 0, "missing"), (3, "<A_001>", 0, 1, "unknown")]
+
+
+def test_inspection_by_row(spark):
+    assert passes(plans.QUERIES["inspection_snapshot"](spark, FOLDER)) == 2
+    from umbra.operators import ledger
+
+    kind = "doc_id long, redacted_text string, mapping array<struct<placeholder:string,label:string,original_value:string,n:bigint>>"
+    rows = spark.createDataFrame([(1, "<A_001><A_002><A_001><C_009>", [("<A_001>", "A", "x", 2), ("<A_002>", "A", "y", 1), ("<B_001>", "B", "z", 1)]), (2, "<A_001>", [("<A_001>", "A", "y", 1)]), (3, None, None)], kind)
+    assert [tuple(r) for r in ledger.inspection_rows(rows).collect()] == [("A", 4, 2, 2)]

@@ -172,7 +172,7 @@ def placeholder_diff(spark, sf_dir):
 
 @query("SELECT label, occurrences, documents, n AS \"values\" FROM (SELECT 'x' AS label, 0 AS occurrences, 0 AS documents, 0 AS n WHERE false) UNION ALL " + _FUSED.replace("WITH h", "(WITH h", 1) + " SELECT label, count(*), count(DISTINCT doc_id), count(DISTINCT surface) FROM fused GROUP BY label)")
 def inspection_snapshot(spark, sf_dir):
-    return ledger.inspection(*_redacted(spark, sf_dir))
+    return ledger.inspection_rows(fusion.redacted(_ran(spark, sf_dir)))
 
 
 @query("""SELECT o_orderkey AS doc_id, CAST(2 AS INTEGER) AS "start", CAST(2 + length(c_name) AS INTEGER) AS "end", 'ORG' AS label, CAST(c_custkey AS VARCHAR) AS entry_id, c_name AS surface FROM orders JOIN customer ON o_custkey = c_custkey
