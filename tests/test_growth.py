@@ -74,3 +74,13 @@ def test_inspection_by_row(spark):
     kind = "doc_id long, redacted_text string, mapping array<struct<placeholder:string,label:string,original_value:string,n:bigint>>"
     rows = spark.createDataFrame([(1, "<A_001><A_002><A_001><C_009>", [("<A_001>", "A", "x", 2), ("<A_002>", "A", "y", 1), ("<B_001>", "B", "z", 1)]), (2, "<A_001>", [("<A_001>", "A", "y", 1)]), (3, None, None)], kind)
     assert [tuple(r) for r in ledger.inspection_rows(rows).collect()] == [("A", 4, 2, 2)]
+
+
+def test_model_names_are_dealt_to_all_cores(spark):
+    from umbra.operators import model_spans
+
+    docs = spark.createDataFrame([(i, f"企业{i}集团的，") for i in range(40)], "doc_id long, text string")
+    given = spark.createDataFrame([(i, 0, 2, "ORG", 0.9) for i in range(40)], "doc_id long, start int, end int, label string, score double")
+    found = model_spans.spans(given, docs)
+    assert found.rdd.getNumPartitions() >= 16
+    assert found.count() == 40

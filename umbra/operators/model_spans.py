@@ -22,13 +22,15 @@ def _by_document(predictions: DataFrame, docs: DataFrame, least: float, one: Cal
     good = predictions.where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & F.col("label").isNotNull() & (F.col("score") >= least))
     # Of equal bounds and labels the most confident comes first.
     order = F.array_sort(F.collect_list(F.struct("start", "end", "label", (-F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("less"))))
-    lists = good.groupBy(F.col("doc_id").alias("__of")).agg(order.alias("given"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(lists, F.col("doc_id") == F.col("__of")).select("doc_id", "text", "given")
+    # Dealt alike into parts for all cores, whose number Spark doesn't lessen.
+    n = workers.parts(docs.select("doc_id", "text"))
+    lists = good.withColumnRenamed("doc_id", "__of").repartition(n, "__of").groupBy("__of").agg(order.alias("given"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartition(n, "doc_id").join(lists, F.col("doc_id") == F.col("__of")).select("doc_id", "text", "given")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [one(text or "", [(g["start"], g["end"], g["label"], -g["less"]) for g in given if g["end"] <= len(text or "")]) for text, given in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            done = [one(text or "", [(start, end, label, -less) for start, end, label, less in given if end <= len(text or "")]) for text, given in zip(batch.column(1).to_pylist(), scan.lists(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scan.column(done, _TYPES)], ["doc_id", "text", "spans"])
 
     out = rows.mapInArrow(run, f"doc_id {kind}, text string, spans {scan.ddl(_TYPES)}")
