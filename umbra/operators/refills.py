@@ -129,8 +129,9 @@ def structured(rows: DataFrame, mapped: DataFrame, contract: str = "exact_transf
 
 def _problems(text: Column, mapped: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (doc_id, reply) with values, unknown, altered, missing, duplicated, hits."""
-    table = mapped.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"), F.map_from_entries(F.collect_list(F.struct("placeholder", F.col("n").cast("int")))).alias("counts"))
-    joined = rows.join(table, F.col("doc_id") == F.col("of"), "left").drop("of")
+    n = workers.joint(rows)  # a task's share stays the same as tables grow
+    table = mapped.withColumnRenamed("doc_id", "of").repartition(n, "of").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"), F.map_from_entries(F.collect_list(F.struct("placeholder", F.col("n").cast("int")))).alias("counts"))
+    joined = rows.repartition(n, "doc_id").join(table, F.col("doc_id") == F.col("of"), "left").drop("of")
     joined = joined.withColumns({"values": F.coalesce("values", F.expr("map()").cast("map<string,string>")), "counts": F.coalesce("counts", F.expr("map()").cast("map<string,int>")), "all": found(text)})
     known, times = F.map_keys("values"), lambda k: F.size(F.filter("all", lambda x: x == k))
     return joined.withColumns({

@@ -33,6 +33,11 @@ def parts(rows: DataFrame) -> int:
     return max(4 * rows.sparkSession.sparkContext.defaultParallelism, sum(s for s in sizes if s < 1 << 50) >> 24)  # rows of the driver have no size
 
 
+def joint(rows: DataFrame) -> int:
+    """Partitions to join or group a table in: as many as Spark would take, more for tables whose parts would outgrow a task's memory."""
+    return max(parts(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores where their files are too small for it, by Spark's own estimate: one small file is one task, however long its rows take.
 
