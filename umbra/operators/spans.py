@@ -112,14 +112,15 @@ def near_misses(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 def covered(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """gold (doc_id, start, end, ...) with covered (characters under any prediction), leakage and status."""
     names = gold.columns
-    numbered = gold.withColumn("gold_no", F.xxhash64(*names))
-    pred = predicted.select(F.col("doc_id").alias("d"), F.col("start").alias("ps"), F.col("end").alias("pe")).distinct()
-    parts = numbered.select("doc_id", "start", "end").distinct().join(pred, (F.col("doc_id") == F.col("d")) & (F.col("ps") < F.col("end")) & (F.col("pe") > F.col("start")))
+    n = workers.joint(gold)  # a task's share stays the same as tables grow
+    pred = predicted.select(F.col("doc_id").alias("d"), F.col("start").alias("ps"), F.col("end").alias("pe")).repartition(n, "d").distinct()
+    parts = gold.select("doc_id", "start", "end").repartition(n, "doc_id").distinct().join(pred, (F.col("doc_id") == F.col("d")) & (F.col("ps") < F.col("end")) & (F.col("pe") > F.col("start")))
     parts = parts.select("doc_id", "start", "end", F.greatest("ps", "start").alias("a"), F.least("pe", "end").alias("b"))
     before = Window.partitionBy("doc_id", "start", "end").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("b").over(before), F.col("start"))
     sums = parts.withColumn("new", F.greatest(F.lit(0), F.col("b") - F.greatest("a", reach))).groupBy("doc_id", "start", "end").agg(F.sum("new").alias("covered"))
-    out = gold.join(sums, ["doc_id", "start", "end"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("int"))
+    key = ("doc_id", "start", "end")
+    out = gold.repartition(n, *key).join(sums.repartition(n, *key), [*key], "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("int"))
     size = F.col("end") - F.col("start")
     return out.select(*names, "covered", ((size - F.col("covered")) / size).alias("leakage"), F.when(F.col("covered") == 0, "missed").when(F.col("covered") < size, "partial").otherwise("fully").alias("status"))
 
