@@ -84,3 +84,12 @@ def test_model_names_are_dealt_to_all_cores(spark):
     found = model_spans.spans(given, docs)
     assert found.rdd.getNumPartitions() >= 16
     assert found.count() == 40
+
+
+def test_joins_of_measures_and_sessions_have_parts_by_size(spark, monkeypatch):
+    from umbra import workers
+
+    monkeypatch.setattr(workers, "parts", lambda rows: 37)
+    for name in ("session_refill", "review_queue", "risk_levels"):
+        plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert ", 37), REPARTITION_BY_NUM" in plan
