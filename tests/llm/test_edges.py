@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from umbra.llm import bpe, media, phrases, ppm, sharding, toxicity
+from umbra.llm import bpe, media, phrases, ppm, sharding, substrings, toxicity
 
 
 def test_ring_with_null_and_repeated_keys(spark):
@@ -61,3 +62,13 @@ def test_lookup():
         assert (table.of(asked) == asked / 3.0).all()
     with pytest.raises(KeyError):
         ppm.Lookup(np.arange(5), np.arange(5.0)).of(np.array([3, 9]))
+
+
+def test_repeats_are_cut_in_every_step_of_a_batch():
+    own = [[{"lo": 0, "hi": 1}], [{"lo": 2, "hi": 2}, {"lo": 6, "hi": 6}], [], [{"lo": 1, "hi": 3}], None, [{"lo": 4, "hi": 4}]]
+    for some in (own, [x or [] for x in own]):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abcdefghij"] * 6), pa.array(some, pa.list_(pa.struct({"lo": pa.int64(), "hi": pa.int64()})))], ["row", "text", "own"])
+        want = [[(0, 4)], [(2, 5), (6, 9)], [], [(1, 6)], [], [(4, 7)]]
+        for at in range(6):
+            for n in range(1, 7 - at):
+                assert [list(zip(a.tolist(), b.tolist(), strict=True)) for _, a, b in substrings._cut(batch.slice(at, n), 3)] == want[at : at + n]

@@ -225,6 +225,7 @@ def _cut(batch: pa.RecordBatch, length: int) -> Iterator[tuple[memoryview, np.nd
     data, bounds = common.bytes_view(batch.column(1))
     own = batch.column(2).fill_null([]) if batch.column(2).null_count else batch.column(2)
     at, flat = own.offsets.to_numpy(), own.flatten()
+    at = at - at[0]  # a slice's offsets count from the whole column, its values from the slice
     lo, hi = (flat.field(i).to_numpy() for i in range(2))
     raw = memoryview(data)
     for i in range(batch.num_rows):
