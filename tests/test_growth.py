@@ -93,3 +93,15 @@ def test_joins_of_measures_and_sessions_have_parts_by_size(spark, monkeypatch):
     for name in ("session_refill", "review_queue", "risk_levels"):
         plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert ", 37), REPARTITION_BY_NUM" in plan
+
+
+def test_strict_streams_join_twice(spark):
+    from umbra.streaming import sessions
+
+    plan = plans.QUERIES["strict_stream_refill"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
+    chunks = spark.createDataFrame([(1, 0, "a <ORG"), (1, 1, "_001>"), (2, 0, "<ORG_001><ORG_009>"), (3, 0, "none"), (4, 0, "<ORG_001>"), (5, 0, "plain"), (6, 0, "<ORG_001>"), (7, 0, "<ORG_001>"), (8, 0, "[ORG_001] <ORG_001>")], "stream_id long, chunk_no long, text string")
+    given = [(1, "<ORG_001>", "A"), (2, "<ORG_001>", "B"), (3, "<ORG_001>", "C"), (4, "<ORG_001>", None), (6, "<ORG_001>", "D"), (6, None, "E"), (8, "<ORG_001>", "F"), (None, "<ORG_001>", "G")]
+    got = sorted(tuple(r) for r in sessions.strict_streams(chunks, spark.createDataFrame(given, "stream_id long, placeholder string, original_value string")).collect())
+    assert [r[2:] for r in got[:7]] == [("ok", "a "), ("ok", "A"), ("unknown_or_altered", None), ("missing", None), ("ok", "<ORG_001>"), ("ok", "plain"), ("missing", None)]
+    assert got[7][2:] == ("unknown_or_altered", None)
