@@ -105,3 +105,17 @@ def test_strict_streams_join_twice(spark):
     got = sorted(tuple(r) for r in sessions.strict_streams(chunks, spark.createDataFrame(given, "stream_id long, placeholder string, original_value string")).collect())
     assert [r[2:] for r in got[:7]] == [("ok", "a "), ("ok", "A"), ("unknown_or_altered", None), ("missing", None), ("ok", "<ORG_001>"), ("ok", "plain"), ("missing", None)]
     assert got[7][2:] == ("unknown_or_altered", None)
+
+
+def test_markdown_tables_in_one_pass(spark):
+    from umbra.sources import readers
+
+    plan = plans.QUERIES["markdown_tables"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 0
+    kind = "doc_id long, block_id string, `order` int, text string, kind string, level int, table_id string, row int, col int"
+    cells = [(1, "a", 5, "x|y", 2, 1), (1, "b", 6, None, 2, 3), (1, "c", 7, "p \n q", 4, 0), (2, "a", 1, "z", 0, 0)]
+    tree = spark.createDataFrame([(d, b, o, t, "cell", None, "t", r, c) for d, b, o, t, r, c in cells] + [(1, "w", 9, "end", None, None, None, None, None)], kind)
+    text, lines = readers.block_tree(tree)
+    empty = "|  |  |  |  |"
+    assert {r.doc_id: r.markdown for r in text.collect()} == {1: "\n".join([empty, "| --- | --- | --- | --- |", empty, r"|  | x\|y |  |  |", empty, "| p<br>q |  |  |  |", "", "end", ""]), 2: "| z |\n| --- |\n"}
+    assert sorted(tuple(r) for r in lines.collect()) == [(1, "a", 1, 6), (1, "b", 1, 6), (1, "c", 1, 6), (1, "w", 8, 8), (2, "a", 1, 2)]

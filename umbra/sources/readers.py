@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,23 +76,47 @@ def markdown(blocks: DataFrame) -> DataFrame:
 
 
 def _tables(cells: DataFrame) -> DataFrame:
-    """doc_id, table_id, order, block_id, body: the cells of each table as a pipe table, at the place of its first cell."""
+    """doc_id, table_id, order, block_id, body, ids (block_id of all cells): the cells of each table as a pipe table, at the place of its first cell."""
     text = F.regexp_replace(F.regexp_replace(F.trim("text"), r"\|", r"\\|"), r"\s*\n\s*", "<br>")
     key = ["doc_id", "table_id"]
-    wide = cells.groupBy(*key).agg(F.max("col").alias("cols"), F.max("row").alias("rows"), F.min(F.struct("order", "block_id")).alias("at"))
-    rows = cells.groupBy(*key, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("text")))).alias("by_col"))
+
+    def since(all_: str, name: str) -> Callable[[Column, Column], Column]:
+        # How far an entry is behind the one before it, by which cells and rows that nothing is given for are put in.
+        def gap(x: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.get(F.col(all_), i - 1)[name]).otherwise(-1)
+            return F.when(x[name] == last, F.raise_error(F.concat(F.lit(f"a table has a {name} twice: "), x[name].cast("string")))).otherwise(x[name] - last).cast("int")
+
+        return gap
+
+    at, cell = F.min(F.struct("order", "block_id")).alias("at"), F.when(F.col("col") >= 0, F.struct("col", text.alias("text")))
+    rows = cells.groupBy(*key, "row").agg(F.max("col").alias("cols"), at, F.collect_list("block_id").alias("ids"), F.array_sort(F.collect_list(cell)).alias("own"))
+    space, far = since("own", "col"), F.coalesce(F.get("own", F.size("own") - 1)["col"], F.lit(0))
+    line = F.array_join(F.transform("own", lambda x, i: F.concat(F.repeat(F.lit(" | "), space(x, i) - F.when(i == 0, 1).otherwise(0)), x["text"])), "")
+    rows = rows.select(*key, "row", "cols", "at", "ids", far.cast("int").alias("far"), line.alias("line"))
     # Rows without a cell are rows of a table too.
-    every = wide.select(*key, "cols", "at", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("row")).join(rows, [*key, "row"], "left")
-    filled = F.transform(F.sequence(F.lit(0), F.col("cols")), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit("")))
-    line = F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("cols") + 1))
-    lines = every.select(*key, "at", "row", F.when(F.col("row") == 0, F.concat(line, F.lit("\n"), rule)).otherwise(line).alias("line"))
-    joined = lines.groupBy(*key).agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("row", "line"))).alias("all"))
-    return joined.select(*key, F.col("at.order"), F.col("at.block_id"), F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
+    every = F.array_sort(F.collect_list(F.when(F.col("row") >= 0, F.struct("row", "far", "line"))))
+    whole = rows.groupBy(*key).agg(F.max("cols").cast("int").alias("cols"), F.min("at").alias("at"), F.flatten(F.collect_list("ids")).alias("ids"), every.alias("lines"))
+    skip, empty = since("lines", "row"), F.concat(F.lit("| "), F.repeat(F.lit(" | "), F.col("cols")), F.lit(" |"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("cols") + 1))
+    full = F.transform("lines", lambda x, i: F.struct(skip(x, i).alias("skip"), F.concat(F.lit("| "), x["line"], F.repeat(F.lit(" | "), F.col("cols") - x["far"]), F.lit(" |")).alias("line")))
+    whole = whole.where(F.size("lines") > 0).select(*key, "at", "ids", rule.alias("rule"), empty.alias("empty"), full.alias("lines"))
+    blank = F.concat("empty", F.lit("\n"))
+
+    def put(x: Column, i: Column) -> Column:
+        first = F.when(x["skip"] == 1, F.concat(x["line"], F.col("rule"))).otherwise(F.concat(F.col("empty"), F.col("rule"), F.lit("\n"), F.repeat(blank, x["skip"] - 2), x["line"]))
+        return F.when(i == 0, first).otherwise(F.concat(F.repeat(blank, x["skip"] - 1), x["line"]))
+
+    return whole.select(*key, F.col("at.order"), F.col("at.block_id"), F.array_join(F.transform("lines", put), "\n").alias("body"), "ids")
 
 
 def block_tree(blocks: DataFrame, ancillary: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, markdown; doc_id, block_id, first_line, last_line of each block) of blocks as extraction gives them.
+    """(doc_id, markdown; doc_id, block_id, first_line, last_line of each block) of blocks, as rendered() puts them together."""
+    whole = rendered(blocks, ancillary)
+    return whole.select("doc_id", "markdown"), whole.select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*")
+
+
+def rendered(blocks: DataFrame, ancillary: bool = False) -> DataFrame:
+    """doc_id, markdown, places (array of block_id, first_line, last_line) of blocks as extraction gives them, in one pass.
 
     blocks: doc_id, block_id, order, text, kind (paragraph, heading, cell, ancillary), level, table_id, row, col. Blank
     blocks go, but for cells; order and then id say what comes first. The cells of a table (also of a sheet) are one pipe table
@@ -102,17 +128,15 @@ def block_tree(blocks: DataFrame, ancillary: bool = False) -> tuple[DataFrame, D
     plain = shown.where("(kind IS NULL OR kind <> 'cell' OR table_id IS NULL)").where(F.trim(F.coalesce("text", F.lit(""))).rlike(r"\S"))
     level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6))
     body = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.regexp_replace(F.trim("text"), r"\s*\n\s*", " "))).otherwise(F.col("text"))
-    every = plain.select("doc_id", "order", "block_id", F.lit(None).cast("string").alias("table_id"), body.alias("body")).unionByName(_tables(cells).select("doc_id", "order", "block_id", F.col("table_id").cast("string").alias("table_id"), "body"))
+    every = plain.select("doc_id", "order", "block_id", F.lit(None).cast("string").alias("table_id"), body.alias("body"), F.array("block_id").alias("ids")).unionByName(_tables(cells).select("doc_id", "order", "block_id", F.col("table_id").cast("string").alias("table_id"), "body", "ids"))
     size = F.char_length("body") - F.char_length(F.replace(F.col("body"), F.lit("\n"), F.lit(""))) + 1
     before = Window.partitionBy("doc_id").orderBy("order", "block_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = every.withColumn("lines", size).withColumn("first_line", (F.coalesce(F.sum(F.col("lines") + 1).over(before), F.lit(0)) + 1).cast("int"))
     placed = placed.withColumn("last_line", (F.col("first_line") + F.col("lines") - 1).cast("int"))
+    own = F.transform("ids", lambda x: F.struct(x.alias("block_id"), F.col("first_line"), F.col("last_line")))
     ordered = F.array_sort(F.collect_list(F.struct("first_line", "body")))
-    text = placed.groupBy("doc_id").agg(ordered.alias("all")).select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: x["body"]), "\n\n"), F.lit("\n")).alias("markdown"))
-    own = placed.where("table_id IS NULL").select("doc_id", "block_id", "first_line", "last_line")
-    of_tables = placed.where("table_id IS NOT NULL").select("doc_id", "table_id", "first_line", "last_line")
-    in_tables = cells.select("doc_id", "block_id", F.col("table_id").cast("string").alias("table_id")).join(of_tables, ["doc_id", "table_id"]).drop("table_id")
-    return text, own.unionByName(in_tables.select(*own.columns))
+    every = placed.select("doc_id", "first_line", "body", own.alias("own")).groupBy("doc_id").agg(ordered.alias("all"), F.flatten(F.collect_list("own")).alias("places"))
+    return every.select("doc_id", F.concat(F.array_join(F.transform("all", lambda x: x["body"]), "\n\n"), F.lit("\n")).alias("markdown"), "places")
 
 
 def paragraphs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
