@@ -119,3 +119,21 @@ def test_markdown_tables_in_one_pass(spark):
     empty = "|  |  |  |  |"
     assert {r.doc_id: r.markdown for r in text.collect()} == {1: "\n".join([empty, "| --- | --- | --- | --- |", empty, r"|  | x\|y |  |  |", empty, "| p<br>q |  |  |  |", "", "end", ""]), 2: "| z |\n| --- |\n"}
     assert sorted(tuple(r) for r in lines.collect()) == [(1, "a", 1, 6), (1, "b", 1, 6), (1, "c", 1, 6), (1, "w", 8, 8), (2, "a", 1, 2)]
+
+
+def test_parts_stay_small_as_tables_grow(spark, tmp_path, monkeypatch):
+    from umbra import workers
+
+    assert workers.parts(spark.range(100)) == 16
+    assert workers.parts(spark.range(100_000_000)) == 800_000_000 >> 22
+    # A table of many splits is dealt too: a worker's batches hold what a part does.
+    spark.range(300).selectExpr("id AS doc_id", "concat('电话', 13800000000 + id) AS text").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(workers, "parts", lambda rows: 37)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows = plans.QUERIES["redact_documents"](spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 37
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.doc_id, r.redacted_text) for r in rows.collect()} == {(i, "电话<CONTACT_001>") for i in range(300)}

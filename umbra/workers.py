@@ -27,10 +27,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def parts(rows: DataFrame) -> int:
-    """Partitions for Python to work on a table, or on what is joined with it: some for each core, more for tables of over 16 MB a part in their files."""
+    """Partitions for Python to work on a table, or on what is joined with it: some for each core, more for tables of over 4 MB a part in their files.
+
+    A worker holds whole Arrow batches, of up to 10,000 rows: parts of a few MB keep these from growing with the table.
+    """
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()  # above joins Spark's estimates are products
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(4 * rows.sparkSession.sparkContext.defaultParallelism, sum(s for s in sizes if s < 1 << 50) >> 24)  # rows of the driver have no size
+    return max(4 * rows.sparkSession.sparkContext.defaultParallelism, sum(s for s in sizes if s < 1 << 50) >> 22)  # rows of the driver have no size
 
 
 def joint(rows: DataFrame) -> int:
@@ -39,12 +42,5 @@ def joint(rows: DataFrame) -> int:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores where their files are too small for it, by Spark's own estimate: one small file is one task, however long its rows take.
-
-    A shuffle of such a table costs little; a larger one stays as its files are split.
-    """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * split else rows
+    """rows over all cores, and in parts by size: one file or split is one task, however long its rows take, and fills a worker's batches."""
+    return rows.repartition(parts(rows))
