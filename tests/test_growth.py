@@ -137,3 +137,17 @@ def test_parts_stay_small_as_tables_grow(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {(r.doc_id, r.redacted_text) for r in rows.collect()} == {(i, "电话<CONTACT_001>") for i in range(300)}
+
+
+def test_carriers_group_tables_in_parts_by_size(spark, monkeypatch):
+    from umbra import workers
+    from umbra.plans import carriers
+
+    monkeypatch.setattr(workers, "parts", lambda rows: 37)
+    gold = carriers.spark_sql(spark, FOLDER, carriers.GOLD)
+    assert gold.rdd.getNumPartitions() == 37
+    assert carriers.spark_sql(spark, FOLDER, carriers.FOUND).rdd.getNumPartitions() == 74
+    assert carriers.spark_sql(spark, FOLDER, carriers.OVERLAPS).rdd.getNumPartitions() == 37
+    plain = spark.read.parquet(f"{FOLDER}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "min"})
+    assert {(r.doc_id, r.start // 40, r.part, r.supp) for r in gold.collect()} == {tuple(r) for r in plain.select("l_orderkey", "l_linenumber", "min(l_partkey)", "min(l_suppkey)").collect()}
+    assert gold.count() == plain.count()
