@@ -151,3 +151,10 @@ def test_carriers_group_tables_in_parts_by_size(spark, monkeypatch):
     plain = spark.read.parquet(f"{FOLDER}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "min"})
     assert {(r.doc_id, r.start // 40, r.part, r.supp) for r in gold.collect()} == {tuple(r) for r in plain.select("l_orderkey", "l_linenumber", "min(l_partkey)", "min(l_suppkey)").collect()}
     assert gold.count() == plain.count()
+
+
+def test_joined_rows_have_parts_of_a_few_megabytes(spark):
+    docs = spark.range(100_000_000).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+    given = spark.createDataFrame([(1, 0, 1, "ORG", 0.9)], "doc_id long, start int, end int, label string, score double")
+    plan = fusion.run(docs, policy.PROFILES["strict"], given)._jdf.queryExecution().executedPlan().toString()
+    assert f", {800_000_000 >> 22}), REPARTITION_BY_NUM" in plan
