@@ -158,3 +158,17 @@ def test_joined_rows_have_parts_of_a_few_megabytes(spark):
     given = spark.createDataFrame([(1, 0, 1, "ORG", 0.9)], "doc_id long, start int, end int, label string, score double")
     plan = fusion.run(docs, policy.PROFILES["strict"], given)._jdf.queryExecution().executedPlan().toString()
     assert f", {800_000_000 >> 22}), REPARTITION_BY_NUM" in plan
+
+
+def test_slices_hold_few_bytes_however_long_texts_are():
+    texts = [None if i % 11 == 0 else "长" * 100_000 if i == 5 else "y" * 2_000_000 if i == 8 else "é" * (i * 150) for i in range(700)]
+    spans = [None if i % 7 == 0 else [(j, "L" * j) for j in range(i % 5)] for i in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), scan.column(spans, {"start": "int", "label": "string"})], ["text", "given"])
+    parts = list(scan.slices(batch, size=1_000_000))
+    assert all(p.nbytes <= 1_000_000 or p.num_rows == 1 for p in parts)
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert [x for p in parts for x in scan.lists(p.column(1))] == spans
+    assert max(p.nbytes for p in scan.slices(batch.slice(400))) <= 1 << 22
+    short = pa.RecordBatch.from_arrays([pa.array(range(600))], ["n"])
+    assert [p.num_rows for p in scan.slices(short)] == [256, 256, 88]
+    assert not list(scan.slices(batch.slice(0, 0)))

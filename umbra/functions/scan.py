@@ -43,10 +43,15 @@ SPANS = ddl(TYPES)
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of a few rows: what Python makes of them at a time doesn't grow with Spark's batches."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows and bytes (a longer row is a part): what Python makes of them at a time grows neither with Spark's batches nor with texts."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > size:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def lists(structs: pa.ListArray) -> list[list[tuple] | None]:
