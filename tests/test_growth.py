@@ -172,3 +172,28 @@ def test_slices_hold_few_bytes_however_long_texts_are():
     short = pa.RecordBatch.from_arrays([pa.array(range(600))], ["n"])
     assert [p.num_rows for p in scan.slices(short)] == [256, 256, 88]
     assert not list(scan.slices(batch.slice(0, 0)))
+
+
+def test_risk_summary_by_row(spark):
+    from umbra.operators import placeholders
+
+    plan = plans.QUERIES["risk_summary"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert plan.count("Join ") == 1  # texts and predictions; their spans stay in a row
+    kind = "doc_id long, spans array<struct<start:int,label:string,role:string,surface:string,coarse:string>>"
+    rows = spark.createDataFrame([(1, [(0, "ORG", "LEAD", "a", None), (2, "ORG", None, "a", None), (4, "ORG", None, "a", None), (6, "DATE", None, "d", "2020Q1"), (8, "DEPARTMENT", None, "a", None)]), (2, []), (3, None)], kind)
+    got = sorted(tuple(r) for r in placeholders.risk_summary_rows(rows).collect())
+    assert got == [(1, "DATE", 1, 1, 1), (1, "DEPARTMENT", 1, 1, 0), (1, "ORG", 3, 2, 0)]
+    each = rows.selectExpr("doc_id", "inline(spans)")
+    assert sorted(tuple(r) for r in placeholders.risk_summary(placeholders.number(each)).collect()) == got
+
+
+def test_numbering_broadcasts_nothing(spark):
+    from umbra.operators import placeholders
+
+    # By its files the table is small; its spans are a thousand times as many.
+    spans = spark.range(20).selectExpr("id AS doc_id", "explode(sequence(1, 1000)) AS start").selectExpr("doc_id", "start", "'ORG' AS label", "concat('v', start % 7) AS surface")
+    named = placeholders.number(spans)
+    assert named.count() == 20_000
+    assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()
+    assert {r.placeholder for r in named.where("surface = 'v3'").collect()} == {"<ORG_003>"}

@@ -141,7 +141,7 @@ def placeholder_numbering(spark, sf_dir):
 
 @query(_FUSED + " SELECT doc_id, label, count(*) AS detections, count(DISTINCT surface) AS placeholders, CAST(0 AS BIGINT) AS generalized FROM fused GROUP BY ALL")
 def risk_summary(spark, sf_dir):
-    return placeholders.risk_summary(placeholders.number(_fused(spark, sf_dir)))
+    return placeholders.risk_summary_rows(_ran(spark, sf_dir))
 
 
 def _replies(spark, sf_dir):
