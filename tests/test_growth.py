@@ -197,3 +197,13 @@ def test_numbering_broadcasts_nothing(spark):
     assert named.count() == 20_000
     assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()
     assert {r.placeholder for r in named.where("surface = 'v3'").collect()} == {"<ORG_003>"}
+
+
+def test_round_trip_runs_once_by_row(spark):
+    from umbra.operators import measure
+
+    plan = plans.QUERIES["round_trip"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("Join ")) == (2, 0)
+    rows = [(1, "a", "ok", "a"), (2, "b", "ok", "x"), (3, "c", "blocked", None), (None, "d", "ok", "d"), (4, None, "ok", None)]
+    refilled = spark.createDataFrame(rows, "doc_id long, whole string, status string, text string")
+    assert tuple(measure.round_trip_rows(refilled).first()) == (5, 2, 1)

@@ -121,6 +121,11 @@ def round_trip(docs: DataFrame, refilled: DataFrame) -> DataFrame:
     return docs.join(back, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == F.col("back")).alias("restored"), F.count_if(F.col("status") != "ok").alias("blocked"))
 
 
+def round_trip_rows(rows: DataFrame) -> DataFrame:
+    """As round_trip, of refilled rows that have their text beside them (whole, status, text): nothing is joined."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("whole") == F.col("text")).alias("restored"), F.count_if(F.col("status") != "ok").alias("blocked"))
+
+
 def review_queue(gold: DataFrame, predicted: DataFrame, least: float = 0.75) -> DataFrame:
     """queue, label, n, risk: what people should look at: core spans left in clear (persons, or any in part), semantic spans, and unsure model spans."""
     table = covered(gold, predicted).withColumn("core", core_group(F.col("label"), F.col("category")))
