@@ -207,3 +207,23 @@ def test_round_trip_runs_once_by_row(spark):
     rows = [(1, "a", "ok", "a"), (2, "b", "ok", "x"), (3, "c", "blocked", None), (None, "d", "ok", "d"), (4, None, "ok", None)]
     refilled = spark.createDataFrame(rows, "doc_id long, whole string, status string, text string")
     assert tuple(measure.round_trip_rows(refilled).first()) == (5, 2, 1)
+
+
+def test_findings_are_counted_by_row(spark):
+    masked = spark.createDataFrame([(1, "<CONTACT_001> 电话13800000001，13800000002。2020年1月2日"), (2, "<A_13800000003>"), (3, "nothing")], "doc_id long, redacted_text string")
+    found = fusion.findings(masked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "CONTACT", "rule", 2), (1, "DATE", "rule", 1)]
+
+
+def test_spans_outside_of_places():
+    spans = [scan.Span(a, b, "X", 1.0, "rule") for a, b in ((0, 2), (2, 5), (5, 6), (6, 9), (8, 9), (9, 12))]
+    assert [s[:2] for s in scan.outside(spans, [(2, 3), (6, 8)])] == [(0, 2), (5, 6), (8, 9), (9, 12)]
+    assert scan.outside(spans, []) == spans
+
+
+def test_columns_as_lists():
+    for values in (pa.array(["a", None, "长"]), pa.array([1, 2, 3]), pa.array([1, None]), pa.array([True, False]), pa.array([0.5, None]), pa.array([None, None]), pa.array([[1], None]), pa.array(["x", "y", None, ""]).slice(1, 2)):
+        assert scan.plain(values) == values.to_pylist()
+        assert [type(x) for x in scan.plain(values)] == [type(x) for x in values.to_pylist()]

@@ -71,10 +71,11 @@ def _scanned(docs: DataFrame, rules: Iterable[patterns.Rule], surfaces: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = scan.prepare(wanted)
         for batch in (part for whole in batches for part in scan.slices(whole)):
-            found = [scan.rules(t, prepared) if t is not None else (None, None) for t in batch.column(1).to_pylist()]
+            texts = scan.plain(batch.column(1))
+            found = [scan.rules(t, prepared) if t is not None else (None, None) for t in texts]
             spans = [s for s, _ in found]
             if surfaces:
-                spans = [s if s is None else [(*x, t[x.start : x.end]) for x in s] for s, t in zip(spans, batch.column(1).to_pylist(), strict=True)]
+                spans = [s if s is None else [(*x, t[x.start : x.end]) for x in s] for s, t in zip(spans, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([e for _, e in found], pa.string()), scan.column(spans, types)], ["doc_id", "text", "error", "spans"])
 
     rows = workers.spread(docs.select("doc_id", F.col("text").cast("string").alias("text")))
