@@ -318,3 +318,17 @@ def numbered(keys: Iterable[tuple[str, str]]) -> Iterator[str]:
             counts[prefix] = counts.get(prefix, 0) + 1
             names[prefix, value] = f"<{prefix}_{counts[prefix]:03d}>"
         yield names[prefix, value]
+
+
+def put_in(spans: Iterable[tuple[str, str | None, str, str | None]]) -> tuple[list[str], list[tuple[str, str, str, int]]]:
+    """For (label, role, surface, coarse) in order: what each is replaced by, and the mapping (placeholder, label, value, n). What is generalised has a number but no way back."""
+    spans = list(spans)
+    names, mapped = list(numbered((role or patterns.PREFIXES.get(label, label), value) for label, role, value, _ in spans)), {}
+    for name, (label, _, value, coarse) in zip(names, spans, strict=True):
+        if coarse is None:
+            old = mapped.get(name, (name, label, value, 0))
+            mapped[name] = name, min(old[1], label), value, old[3] + 1
+    return [name if s[3] is None else s[3] for name, s in zip(names, spans, strict=True)], sorted(mapped.values())
+
+
+MAPPED = {"placeholder": "string", "label": "string", "original_value": "string", "n": "long"}

@@ -142,36 +142,26 @@ def exploded(ran: DataFrame) -> DataFrame:
     return ran.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
 
-_MAPPED = {"placeholder": "string", "label": "string", "original_value": "string", "n": "long"}
-
-
 def redacted(ran: DataFrame, *keep: str) -> DataFrame:
     """doc_id, redacted_text, mapping (array of placeholder, label, original_value, n), error, degraded, blocked of a run. No exchange.
 
     keep: further columns of the run (spans, or made of them), which stay beside it: a plan that reads run and result would run twice.
     """
     kind = ran.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, redacted_text string, mapping {scan.ddl(_MAPPED)}, error string, degraded boolean, blocked array<string>"
+    schema = f"doc_id {kind}, redacted_text string, mapping {scan.ddl(scan.MAPPED)}, error string, degraded boolean, blocked array<string>"
     schema = ", ".join([schema, *(f"`{c}` {ran.schema[c].dataType.simpleString()}" for c in keep)])
 
     def one(whole: str | None, spans: list[tuple] | None) -> tuple[str | None, list[tuple] | None]:
         if whole is None:
             return None, None
-        spans = spans or []
-        # start, end, label, role, surface, coarse
-        names, mapped = list(scan.numbered((s[3] or patterns.PREFIXES.get(s[2], s[2]), s[4]) for s in spans)), {}
-        # What is generalised has a number but no way back.
-        for name, s in zip(names, spans, strict=True):
-            if s[5] is None:
-                old = mapped.get(name, (name, s[2], s[4], 0))
-                mapped[name] = name, min(old[1], s[2]), s[4], old[3] + 1
-        text = scan.replaced(whole, ((s[0], s[1], name if s[5] is None else s[5]) for s, name in zip(spans, names, strict=True)))
-        return text, sorted(mapped.values())
+        spans = spans or []  # start, end, label, role, surface, coarse
+        values, mapped = scan.put_in(s[2:] for s in spans)
+        return scan.replaced(whole, ((s[0], s[1], v) for s, v in zip(spans, values, strict=True))), mapped
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in scan.slices(whole)):
             done = [one(*r) for r in zip(scan.plain(batch.column(1)), scan.lists(batch.column(2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), scan.column([m for _, m in done], _MAPPED), *batch.columns[3:]], ["doc_id", "redacted_text", "mapping", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), scan.column([m for _, m in done], scan.MAPPED), *batch.columns[3:]], ["doc_id", "redacted_text", "mapping", *batch.schema.names[3:]])
 
     needed = F.transform("spans", lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "label", "role", "surface", "coarse")]))
     return ran.select("doc_id", "text", needed.alias("__spans"), "error", "degraded", "blocked", *keep).mapInArrow(task, schema)

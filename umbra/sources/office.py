@@ -10,12 +10,14 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from umbra import workers
-from umbra.functions import patterns
+from umbra.functions import patterns, scan
+from umbra.operators import fusion, policy
 
 # Formats by file name, name spaces, and parts that an export must not carry along.
 TEXT = (".txt", ".md", ".csv", ".json", ".yaml", ".yml")
@@ -36,36 +38,49 @@ def _parts(raw: bytes) -> zipfile.ZipFile | None:
         return None
 
 
-def _docx_probe(raw: bytes) -> list[str]:
-    """Why a Word file is turned away; empty if it isn't."""
+def _docx_opened(raw: bytes) -> tuple[list[str], zipfile.ZipFile | None, ElementTree.Element | None]:
+    """Why a Word file is turned away (empty if it isn't), its parts, and its body."""
     if raw[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
-        return ["encrypted"]
+        return ["encrypted"], None, None
     parts = _parts(raw)
-    if parts is None or "word/document.xml" not in parts.namelist():
-        return ["not_docx"]
-    names = parts.namelist()
+    names = parts.namelist() if parts else []
+    if "word/document.xml" not in names:
+        return ["not_docx"], None, None
     found = {why for part, why in REFUSED_PARTS.items() if any(n.startswith(part) for n in names)}
     root = ElementTree.fromstring(parts.read("word/document.xml"))
-    return sorted(found | {why for tag, why in REFUSED_TAGS.items() if root.find(f".//{W}{tag}") is not None})
+    return sorted(found | {why for tag, why in REFUSED_TAGS.items() if root.find(f".//{W}{tag}") is not None}), parts, root
+
 
+def _docx_probe(raw: bytes) -> list[str]:
+    """Why a Word file is turned away; empty if it isn't."""
+    return _docx_opened(raw)[0]
 
-def _docx_paragraphs(raw: bytes) -> list[tuple[str, int, str]]:
+
+def _docx_paragraphs(raw: bytes, opened: tuple | None = None) -> list[tuple[str, int, str]]:
     """part, paragraph, text of body, headers and footers."""
-    parts, out = _parts(raw), []
+    _, parts, body = opened or ([], _parts(raw), None)
+    out = []
     for name in sorted(n for n in parts.namelist() if re.fullmatch(r"word/(document|header\d*|footer\d*)\.xml", n)):
-        for i, p in enumerate(ElementTree.fromstring(parts.read(name)).iter(W + "p")):
+        root = body if name == "word/document.xml" and body is not None else ElementTree.fromstring(parts.read(name))
+        for i, p in enumerate(root.iter(W + "p")):
             out.append((name, i, "".join(t.text or "" if t.tag == W + "t" else "\t" for t in p.iter() if t.tag in (W + "t", W + "tab"))))
     return out
 
 
-def _docx_patched(raw: bytes, replaced: dict[tuple[str, int], list[tuple[int, int, str]]]) -> bytes:
+def _xml(root: ElementTree.Element) -> bytes:
+    """As ElementTree.tostring in UTF-8 with a declaration, which takes longer as it encodes each piece by itself."""
+    return ("<?xml version='1.0' encoding='utf-8'?>\n" + ElementTree.tostring(root, encoding="unicode")).encode("utf-8", "xmlcharrefreplace")
+
+
+def _docx_patched(raw: bytes, replaced: dict[tuple[str, int], list[tuple[int, int, str]]], opened: tuple | None = None) -> bytes:
     """The file with stretches (start, end, text) of paragraphs replaced: the first run of a stretch takes the text, the others lose theirs."""
-    parts, out = _parts(raw), io.BytesIO()
+    _, parts, body = opened or ([], _parts(raw), None)
+    out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
         for item in parts.infolist():
             data = parts.read(item.filename)
             if any(part == item.filename for part, _ in replaced):
-                root = ElementTree.fromstring(data)
+                root = body if item.filename == "word/document.xml" and body is not None else ElementTree.fromstring(data)
                 for i, p in enumerate(root.iter(W + "p")):
                     for start, end, text in sorted(replaced.get((item.filename, i), []), reverse=True):
                         at = 0
@@ -75,7 +90,7 @@ def _docx_patched(raw: bytes, replaced: dict[tuple[str, int], list[tuple[int, in
                             if a < b and t.tag == W + "t":
                                 t.text = own[: a - at] + (text if a == start else "") + own[b - at :]
                             at += len(own)
-                data = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+                data = _xml(root)
             target.writestr(item.filename, data)
     return out.getvalue()
 
@@ -144,24 +159,73 @@ def write_docx(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, content binary")
 
 
+_BLOCK = {"block": "int", "part": "string", "paragraph": "int", "text": "string"}
+
+
+def docx_texts(table: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, blocks of Word files (doc_id, content): as docx_blocks, an array in each file's row; null without content. keep: further columns, which stay."""
+    workers.ship(table.sparkSession)
+    schema = ", ".join([f"doc_id {dict(table.dtypes)['doc_id']}, blocks {scan.ddl(_BLOCK)}", *(f"`{c}` {dict(table.dtypes)[c]}" for c in keep)])
+
+    def one(raw: bytes | None) -> list[tuple] | None:
+        if raw is None:
+            return None
+        opened = _docx_opened(raw)
+        if opened[0]:
+            return [(0, ",".join(opened[0]), 0, None)]
+        return [(n + 1, *x) for n, x in enumerate(x for x in _docx_paragraphs(raw, opened) if x[2].strip(" \t"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), scan.column([one(raw) for raw in batch.column(1).to_pylist()], _BLOCK), *batch.columns[2:]], ["doc_id", "blocks", *keep])
+
+    return table.select("doc_id", "content", *keep).mapInArrow(run, schema)
+
+
 def docx_blocks(table: DataFrame) -> DataFrame:
     """doc_id, block, part, paragraph, text of Word files (doc_id, content) without blank paragraphs; a refused file gives one row with text null and the reasons as part."""
-    workers.ship(table.sparkSession)
-    kind = dict(table.dtypes)["doc_id"]
+    return docx_texts(table).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, raw in zip(frame["doc_id"], frame["content"], strict=True):
-                bad = _docx_probe(raw)
-                if bad:
-                    out.append((doc, 0, ",".join(bad), 0, None))
-                    continue
-                found = [x for x in _docx_paragraphs(raw) if x[2].strip(" \t")]
-                out += [(doc, n + 1, part, i, t) for n, (part, i, t) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["doc_id", "block", "part", "paragraph", "text"])
 
-    return table.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, block int, part string, paragraph int, text string")
+_PUT = ("start", "end", "label", "role", "surface", "coarse")
+
+
+def redact_docx(table: DataFrame, profile: policy.Profile) -> DataFrame:
+    """doc_id, content, mapping, error of Word files (doc_id, content; ids each once): paragraphs redacted under a profile, values numbered by file.
+
+    A refused file, and one with a paragraph that the run turns away or whose label the profile blocks, has an error and no
+    content. Files and the spans of their paragraphs meet in one join; the mapping stays in its file's row.
+    """
+    kind, n = dict(table.dtypes)["doc_id"], workers.parts(table)
+    # Both uses of the files read all of these columns, so that Spark deals them once.
+    keyed = table.select("doc_id", "content", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("doc_id").isNull().alias("__null")).repartition(n, "__id", "__null")
+    blocks = docx_texts(keyed, "__id", "__null").select("__id", "__null", F.explode("blocks").alias("b")).where("b.text IS NOT NULL")
+    ran = fusion.run(blocks.select(F.to_json(F.struct("__id", "__null", "b.part", "b.paragraph")).alias("doc_id"), "b.text"), profile)
+    found = ran.select(F.from_json("doc_id", "__id string, __null boolean, part string, paragraph int").alias("k"), "error", F.size("blocked").alias("blocked"), F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in _PUT])).alias("s"))
+    found = found.where("error IS NOT NULL OR size(s) > 0 OR blocked > 0").select("k.*", "error", "blocked", "s").repartition(n, "__id", "__null")
+    why = F.coalesce(F.min("error"), F.when(F.max("blocked") > 0, "blocked"))
+    # Sorted by part and paragraph; a paragraph's spans come by place.
+    lists = found.groupBy("__id", "__null").agg(why.alias("error"), F.sort_array(F.collect_list(F.struct("part", "paragraph", "s"))).alias("all"))
+    joined = keyed.join(lists.hint("merge"), ["__id", "__null"], "left")
+    flat = F.flatten(F.transform("all", lambda b: F.transform(b["s"], lambda s: F.struct(b["part"].alias("part"), b["paragraph"].alias("paragraph"), *[s[c].alias(c) for c in _PUT]))))
+
+    def one(raw: bytes | None, error: str | None, spans: list[tuple] | None) -> tuple[bytes | None, list[tuple] | None, str | None]:
+        opened = _docx_opened(raw) if raw is not None and not error else ([], None, None)
+        error = error or ",".join(opened[0]) or None
+        if error or raw is None:
+            return None, None, error
+        values, mapped = scan.put_in(s[4:] for s in spans or ())
+        replaced: dict[tuple[str, int], list[tuple[int, int, str]]] = {}
+        for (part, paragraph, start, end, *_), value in zip(spans or (), values, strict=True):
+            replaced.setdefault((part, paragraph), []).append((start, end, value))
+        return _docx_patched(raw, replaced, opened) if replaced else raw, mapped, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            done = [one(*r) for r in zip(batch.column(1).to_pylist(), scan.plain(batch.column(2)), scan.lists(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.binary()), scan.column([d[1] for d in done], scan.MAPPED), pa.array([d[2] for d in done], pa.string())], ["doc_id", "content", "mapping", "error"])
+
+    return joined.select("doc_id", "content", "error", flat.alias("spans")).mapInArrow(run, f"doc_id {kind}, content binary, mapping {scan.ddl(scan.MAPPED)}, error string")
 
 
 def patch_docx(table: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -237,16 +301,20 @@ def docx_ledger(table: DataFrame, replaced: DataFrame) -> DataFrame:
 _EXACT, _ALTERED = re.compile(patterns.PLACEHOLDER), [re.compile(x) for x in (*patterns.ALTERED, patterns.BARE_PLACEHOLDER)]
 
 
-def _docx_refilled(raw: bytes, values: dict[str, str]) -> tuple[bytes | None, int, dict[str, set[str]]]:
+def _docx_refilled(raw: bytes, values: dict[str, str], opened: tuple | None = None) -> tuple[bytes | None, int, dict[str, set[str]]]:
     """The file with all known placeholders filled in, how many, and what blocks it: then nothing is filled in."""
-    parts, bad, done, roots = _parts(raw), {"unknown": set(), "altered": set(), "split": set()}, 0, {}
+    _, parts, body = opened or ([], _parts(raw), None)
+    bad, done, roots = {"unknown": set(), "altered": set(), "split": set()}, 0, {}
     for name in (n for n in parts.namelist() if re.fullmatch(r"word/(document|header\d*|footer\d*)\.xml", n)):
-        roots[name] = ElementTree.fromstring(parts.read(name))
+        roots[name] = body if name == "word/document.xml" and body is not None else ElementTree.fromstring(parts.read(name))
         for p in roots[name].iter(W + "p"):
             texts = [t.text or "" for t, *_ in _nodes(p)]
-            met = set(_EXACT.findall("".join(texts)))
+            whole = "".join(texts)
+            if "<" not in whole and "_" not in whole:
+                continue  # every form of a placeholder has one of them
+            met = set(_EXACT.findall(whole))
             bad["unknown"] |= met - set(values)
-            bad["altered"] |= {x for r in _ALTERED for x in r.findall("".join(texts))} - met
+            bad["altered"] |= {x for r in _ALTERED for x in r.findall(whole)} - met
             # A placeholder that people have cut in two runs by a change of format is in no run whole.
             bad["split"] |= {k for k in met & set(values) if not any(k in t for t in texts)}
     if any(bad.values()):
@@ -261,7 +329,7 @@ def _docx_refilled(raw: bytes, values: dict[str, str]) -> tuple[bytes | None, in
                     t.text, n = _EXACT.subn(lambda m: values[m[0]], t.text or "")
                     done += n
                 if done > before:
-                    data = ElementTree.tostring(roots[item.filename], encoding="utf-8", xml_declaration=True)
+                    data = _xml(roots[item.filename])
             target.writestr(item.filename, data)
     return out.getvalue(), done, bad
 
@@ -272,24 +340,32 @@ def refill_docx(table: DataFrame, mapped: DataFrame) -> DataFrame:
     Blocked are files with unknown placeholders, with things like placeholders, and with ones that several runs share; refused
     those that docx_blocks refuses. What is filled in isn't read again; parts without a placeholder stay byte by byte.
     """
-    workers.ship(table.sparkSession)
-    kind = dict(table.dtypes)["doc_id"]
     lists = mapped.groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original_value"))).alias("values"))
+    entries = F.transform(F.map_entries("values"), lambda e: F.struct(e["key"].alias("placeholder"), e["value"].alias("original_value")))
+    return refill_docx_rows(table.join(lists, F.col("doc_id") == F.col("of"), "left").select("doc_id", "content", entries.alias("mapping")))
 
-    def one(raw: bytes, values: dict | None) -> tuple:
-        why = _docx_probe(raw)
-        if why:
-            return "refused", None, 0, [], [], why
-        content, done, bad = _docx_refilled(raw, dict(values or {}))
+
+def refill_docx_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """As refill_docx, of files that have their mapping beside them (doc_id, content, mapping: array of placeholder, original_value): nothing is joined. keep: further columns, which stay."""
+    workers.ship(rows.sparkSession)
+    texts, kinds = {"unknown": pa.list_(pa.string()), "altered": pa.list_(pa.string()), "split": pa.list_(pa.string())}, dict(rows.dtypes)
+    schema = ", ".join([f"doc_id {kinds['doc_id']}, status string, content binary, restored int", *(f"{n} array<string>" for n in texts), *(f"`{c}` {kinds[c]}" for c in keep)])
+
+    def one(raw: bytes, mapping: list[tuple] | None) -> tuple:
+        opened = _docx_opened(raw)
+        if opened[0]:
+            return "refused", None, 0, [], [], opened[0]
+        content, done, bad = _docx_refilled(raw, dict(mapping or ()), opened)
         return "blocked" if content is None else "ok", content, done, *(sorted(bad[k]) for k in ("unknown", "altered", "split"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(doc, *one(raw, values)) for doc, raw, values in zip(frame["doc_id"], frame["content"], frame["values"], strict=True)]
-            yield pd.DataFrame(out, columns=["doc_id", "status", "content", "restored", "unknown", "altered", "split"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in scan.slices(whole)):
+            done = [one(*r) for r in zip(batch.column(1).to_pylist(), scan.lists(batch.column(2)), strict=True)]
+            made = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int32(), *texts.values()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "status", "content", "restored", *texts, *keep])
 
-    joined = table.join(lists, F.col("doc_id") == F.col("of"), "left").select("doc_id", "content", "values")
-    return joined.mapInPandas(run, f"doc_id {kind}, status string, content binary, restored int, unknown array<string>, altered array<string>, split array<string>")
+    values = F.transform("mapping", lambda m: F.struct(m["placeholder"].alias("placeholder"), m["original_value"].alias("original_value")))
+    return rows.select("doc_id", "content", values.alias("__mapping"), *keep).mapInArrow(run, schema)
 
 
 def _column(n: int) -> str:
