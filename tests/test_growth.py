@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from umbra.functions import scan
+from umbra.functions import patterns, scan
 from umbra.operators import fusion, policy
 from umbra.plans import queries as plans
 
@@ -258,3 +259,12 @@ def test_xml_as_before():
 
     root = ElementTree.fromstring('<a xmlns:w="urn:x"><w:b c="&quot;&#10;">长 &lt;é&amp;\n\r</w:b>z</a>')
     assert office._xml(root) == ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+
+
+def test_spans_in_clear_are_told_alike_in_tasks_and_columns(spark):
+    labels = sorted({r.label for r in patterns.RULES} | {k for p in policy.PROFILES.values() for k in (*p.deny, *p.only, *p.generalize, *p.actions)} | {"OTHER"})
+    rows = spark.createDataFrame([(a, b, k) for a in labels for b in (None, "low", "medium", "high", "critical", "odd") for k in (False, True)], "label string, risk_level string, whole boolean")
+    odd = policy.Profile("odd", deny=("DATE",), only=("ORG", "DATE", "AMOUNT"), generalize={"AMOUNT": "amount_bucket", "DATE": "quarter"}, actions={"DATE": "warn", "CREDENTIAL": "block"}, min_risk="high")
+    for p in (*policy.PROFILES.values(), odd):
+        for r in rows.withColumn("action", policy.decide(p, whole_key=F.col("whole"))).collect():
+            assert policy.kept(p, r.label, r.risk_level, r.whole) == (r.action in ("redact", "generalize", "block")), (p.name, r)

@@ -34,12 +34,12 @@ RULES = (
     Rule("contract_id_legal_item", "CONTRACT_ID", "high", 0.94, r"(?<![A-Z0-9-])([A-Z]{2,5}-\d{4}-[A-Z]{2,8}-\d{3,4})(?=项下)", ("项下",), 1),
     Rule("bank_account", "BANK_ACCOUNT", "high", 0.96, r"(?:收款账号|银行账号|开户账号|账户|账号|卡号|开户行)[^\d。；;\n]{0,20}?([0-9](?:[ -]?[0-9]){11,27})", ("账号", "账户", "卡号", "开户行"), 1),
     Rule("bank_card_number", "BANK_ACCOUNT", "high", 0.95, r"银行卡[:：\s]*([0-9](?:[ -]?[0-9]){11,27})", ("银行卡",), 1),
-    Rule("amount_cny", "AMOUNT", "medium", 0.88, r"(?:人民币|￥|¥)\s*\d+(?:[,，]\d{3})*(?:\.\d{1,2})?\s*[万亿]?\s*元?|(?:金额|报价|价款)为\s*\d+(?:\.\d{1,2})?万元", ("人民币", "￥", "¥", "金额", "报价", "价款")),
+    Rule("amount_cny", "AMOUNT", "medium", 0.88, "|".join([*(c + r"\s*\d+(?:[,，]\d{3})*(?:\.\d{1,2})?\s*[万亿]?\s*元?" for c in ("人民币", "￥", "¥")), *(c + r"为\s*\d+(?:\.\d{1,2})?万元" for c in ("金额", "报价", "价款"))]), ("人民币", "￥", "¥", "金额", "报价", "价款")),
     Rule("amount_cny_unit", "AMOUNT", "medium", 0.85, r"\d(?<![\d.].)\d*+(?:[,，]\d{3})*+(?:\.\d++)?+\s*+[万亿](?!\s*(?:平\s*方\s*米|平\s*米|㎡|m²))(?:\s*元)?", ("万", "亿")),
     Rule("discount_rate", "DISCOUNT_RATE", "high", 0.90, r"下浮(?:率|比例)?\s*[为:：]?\s*(\d+(?:\.\d+)?\s*[%％])", ("下浮",), 1),
     Rule("date", "DATE", "medium", 0.90, r"\d{4}(?:年\d{1,2}月\d{1,2}日?|([-/.])\d{1,2}\1\d{1,2})"),
     Rule("url", "SYSTEM_URL", "high", 0.94, r"https?://[^\s，。；;、！？（）()【】《》“”‘’\"'「」]+", ("http",)),
-    Rule("token_like", "CREDENTIAL", "critical", 0.93, r"(?i)(?:token|api[_-]?key|secret|hr[_-]?key)\s*[:=]\s*([A-Za-z0-9_.=-]{16,})", (":", "="), 1),
+    Rule("token_like", "CREDENTIAL", "critical", 0.93, r"[tTaAsSſhH](?i:(?<=t)oken|(?<=a)pi[_-]?key|(?<=s)ecret|(?<=h)r[_-]?key)\s*[:=]\s*((?i:[A-Za-z0-9_.=-]{16,}))", (":", "="), 1),
     Rule("aws_access_key", "CREDENTIAL", "critical", 0.97, _L + "AKIA[0-9A-Z]{16}" + _R, ("AKIA",)),
     Rule("github_token", "CREDENTIAL", "critical", 0.96, _L + "gh[pousr]_[A-Za-z0-9]{36,255}" + _R, ("gh",)),
     Rule("slack_token", "CREDENTIAL", "critical", 0.95, _L + "xox[baprs]-[0-9A-Za-z-]{10,255}" + _R, ("xox",)),

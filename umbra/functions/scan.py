@@ -257,12 +257,13 @@ def fuse(whole: str, spans: Iterable[Span]) -> list[Span]:
     They come by place. A clipped span's canonical value is what is left. Areas are no amounts; general parts of names that clipping leaves go.
     """
     kept = [s for s in spans if s.label != "AMOUNT" or not is_area(whole, s)]
-    if sum(s.source == "model" for s in kept) > 1:
+    if [s.source for s in kept].count("model") > 1:
         kept = alternatives(sorted(kept, key=rank))
     bounds, out = [trimmed(whole, s.start, s.end) for s in kept], []
     for group in _clusters(bounds):
-        if len(group) == 1:
-            pieces = [(*bounds[group[0]], kept[group[0]])]
+        best = group[0] if len(group) == 1 else min(group, key=lambda i: rank(kept[i]))
+        if all(bounds[best][0] <= bounds[i][0] and bounds[i][1] <= bounds[best][1] for i in group):
+            pieces = [(*bounds[best], kept[best])]  # it leaves nothing of the others
         else:
             group.sort(key=lambda i: rank(kept[i]))
             pieces = [(*trimmed(whole, a, b), kept[group[no]]) for a, b, no in sweep([bounds[i] for i in group])]

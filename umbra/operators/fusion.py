@@ -89,14 +89,14 @@ def run(docs: DataFrame, profile: policy.Profile, predictions: DataFrame | None
         lists = dealt.groupBy("__id", "__null").agg(F.collect_set(F.struct(*_GIVEN)).alias("__given"))
         rows = rows.drop("given").withColumns({"__id": key[0], "__null": key[1]}).repartition(n, "__id", "__null")
         rows = rows.join(lists, ["__id", "__null"], "left").select("doc_id", "text", "error", F.col("__given").alias("given"))
-    fused = _fused(rows if tables else workers.spread(rows), wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None)
+    fused = _fused(rows if tables else workers.spread(rows), wanted_rules(profile, rules), patterns.ROLES.get(profile.roles) if profile.roles else None, profile)
     return _decided(fused, profile, profile.use_model and predictions is None)
 
 
 _TYPES = {**scan.TYPES, "text_hash": "string", "role": "string", "surface": "string"}
 
 
-def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | None) -> DataFrame:
+def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | None, profile: policy.Profile) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema, prepared = f"doc_id {kind}, text string, error string, spans {scan.ddl(_TYPES)}", []
 
@@ -113,7 +113,7 @@ def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | N
             return error, None
         left = scan.fuse(whole, [*found, *(s._replace(confidence=1.0 if s.confidence is None else s.confidence, source=s.source or "") for s in others)])
         named = scan.roles(whole, left, cues) if cues else [None] * len(left)
-        return None, [(*s, scan.digest(value := whole[s.start : s.end]), role, value) for s, role in zip(left, named, strict=True)]
+        return None, [(*s, scan.digest(value := whole[s.start : s.end]), role, value) for s, role in zip(left, named, strict=True) if policy.kept(profile, s.label, s.risk_level, s.rule_id == patterns.PRIVATE_KEY.rule_id)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in scan.slices(whole)):
@@ -127,6 +127,7 @@ def _fused(rows: DataFrame, rules: list[patterns.Rule], cues: dict[str, str] | N
 
 
 def _decided(fused: DataFrame, profile: policy.Profile, degraded: bool) -> DataFrame:
+    # What stays in clear is gone already; spans that are left get their action here.
     def judged(s: Column) -> Column:
         action = policy.decide(profile, s["label"], s["risk_level"], s["rule_id"] == patterns.PRIVATE_KEY.rule_id)
         return F.struct(*[s[n].alias(n) for n in _TYPES], action.alias("action"), policy.coarse(profile, s["label"], s["surface"], action).alias("coarse"))

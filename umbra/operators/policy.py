@@ -158,6 +158,18 @@ def decide(profile: Profile, label: Column | str = "label", risk: Column | str =
     return out.when(risk_rank(risk) < RISKS[profile.min_risk], "pass").otherwise("redact")
 
 
+def kept(profile: Profile, label: str, risk: str | None, whole_key: bool) -> bool:
+    """Whether decide() gives redact, generalize or block, for code that has a span at hand."""
+    if whole_key:
+        return True
+    if label in profile.actions:
+        return profile.actions[label] in ("redact", "generalize", "block")
+    if label in profile.generalize:
+        return True
+    in_clear = label in profile.deny or (profile.only and label not in profile.only)
+    return not in_clear and RISKS.get(risk, RISKS["high"]) >= RISKS[profile.min_risk]
+
+
 def _whole_key(spans: DataFrame) -> Column | None:
     """A whole private key is never left in clear, whatever labels a profile passes."""
     return F.col("rule_id") == patterns.PRIVATE_KEY.rule_id if "rule_id" in spans.columns else None
